@@ -1,0 +1,11 @@
+"""All registered queries of the engine, with their SQL oracles."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
