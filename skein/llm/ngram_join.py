@@ -1,9 +1,9 @@
 """Exact Jaccard self-join of documents on word shingles, by a pigeonhole over partitions of the token universe.
 
-Sizes are cut into bands. For a band whose largest set has `hi` shingles, two sets of similarity t = 0.8 or more
-differ in at most D = floor(2*hi*(1-t)/(1+t)) shingles. A hash deals the shingle universe into D + 1 + slack
-segments, so at least 1 + slack segments of such a pair hold equal subsets. A document indexes the fingerprint of
-each of its non-empty segments, in its own band and (for larger partners) in the next one.
+Pairs fall into classes by the smaller set's size. Two sets a, b of similarity t = 0.8 or more differ in at most
+floor((|a|+|b|)*(1-t)/(1+t)) shingles, D for the largest pair of a class. A hash deals the shingle universe into
+D + 1 + slack segments, so at least 1 + slack segments of such a pair hold equal subsets. A document indexes the
+fingerprint of each of its non-empty segments, in its own class and as a larger partner in the one below.
 
 Allocation by cost: an empty segment, or one whose subset is shared by more than HOT documents, may be left out
 (threshold -1) while a document leaves out at most `slack`; the others are matched exactly (threshold 0).
@@ -32,61 +32,61 @@ HUB_ROUNDS = 3
 SHINGLE = 5
 
 
-def bands(largest: int, num: int, den: int) -> np.ndarray:
-    """The largest size of each band; the next band reaches all partners of a smaller set."""
-    top = [1]
-    while top[-1] < largest:
-        top.append(max(top[-1] + 1, top[-1] * 3 // 2, top[-1] * den // num))
-    return np.array([*top, max(top[-1] + 1, top[-1] * 3 // 2, top[-1] * den // num)], np.int64)
+def lowest(largest: int, num: int, den: int) -> np.ndarray:
+    """The least size of each class. A class holds sizes below the next one's least, and all larger partners of these."""
+    low = [1]
+    while low[-1] <= largest + 1:
+        low.append(max(low[-1] + 1, low[-1] * 3 // 2, -(-low[-1] * den // num)))
+    return np.array(low, np.int64)
 
 
-def segments(hi: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(largest difference, slack, number of segments) of bands by their largest size."""
-    apart = 2 * hi * (den - num) // (den + num)
-    slack = np.where(apart == 0, 0, 1 + apart // 12)
-    return apart, slack, apart + 1 + slack
+def segments(top: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(largest difference D, segments) of classes whose largest smaller size is top."""
+    apart = (top + top * den // num) * (den - num) // (den + num)
+    return apart, apart + 1 + np.where(apart == 0, 0, 1 + apart // 12)
 
 
 def segment_rows(row: np.ndarray, token: np.ndarray, rows: int, num: int, den: int):
-    """Signatures of shingle sets: (row, signature, spare, size); spare: segments the row may still leave out.
+    """Signatures of shingle sets: (row, signature, size, segments of the class, empty segments).
 
-    Where spare is negative the row also has its one-deletion signatures, and where these are too few, its shingles.
+    Rows with more empty segments than slack also have their one-deletion signatures, and where these are too few, shingles.
     """
     size = np.bincount(row, minlength=rows)
-    top = bands(int(size.max(initial=1)), num, den)
-    band = np.searchsorted(top, size)
-    low, high = (token & np.uint64(0xFFFFFFFF)).astype(np.float64), (token >> np.uint64(32)).astype(np.float64)
+    low = lowest(int(size.max(initial=1)), num, den)
+    own = np.searchsorted(low, size, "right") - 1
+    lo32, hi32 = (token & np.uint64(0xFFFFFFFF)).astype(np.float64), (token >> np.uint64(32)).astype(np.float64)
     place = mix(token ^ np.uint64(0x5851F42D4C957F2D))
     for step in (0, 1):
-        use = band + step
-        take = size > 0 if step == 0 else (size > 0) & (size * den // num > top[band])
-        apart, slack, m = segments(top[use], num, den)
+        use = np.maximum(own - step, 0)
+        top = low[use + 1] - 1
+        take = (size > 0) & (step == 0 or (own > 0) & (size <= top * den // num))
+        apart, m = segments(top, num, den)
         begin = np.concatenate([[0], np.cumsum(np.where(take, m, 0))])
         keep = take[row]
         r = row[keep]
-        segment = (place[keep] % m[r].astype(np.uint64)).astype(np.int64)
-        key = begin[r] + segment
+        key = begin[r] + (place[keep] % m[r].astype(np.uint64)).astype(np.int64)
         total = int(begin[-1])
         held = np.bincount(key, minlength=total)
-        a, b = np.bincount(key, low[keep], total), np.bincount(key, high[keep], total)
+        x, y = np.bincount(key, lo32[keep], total), np.bincount(key, hi32[keep], total)
         owner = np.repeat(np.arange(rows), np.diff(begin))
-        at = np.arange(total) - begin[owner]
-        salt = mix((use[owner] * 1_000_003 + at).astype(np.uint64))
+        salt = mix((use[owner] * 1_000_003 + np.arange(total) - begin[owner]).astype(np.uint64))
 
         def sign(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
-            return mix(x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(y.astype(np.uint64) + s))
+            return mix(x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(y.astype(np.uint64) + s)) >> np.uint64(8)
 
         full = held > 0
-        spare = slack - np.bincount(owner[~full], minlength=rows)
-        yield owner[full], sign(a[full], b[full], salt[full]), spare[owner[full]], size[owner[full]]
-        poor = take & (spare < 0)
+        empty = np.bincount(owner[~full], minlength=rows)
+        o = owner[full]
+        yield o, sign(x[full], y[full], salt[full]), size[o], m[o], empty[o]
+        poor = take & (empty > m - apart - 1)
         if poor.any():
             mine = poor[r] & (held[key] > 1)
-            k = key[mine]
-            yield r[mine], sign(a[k] - low[keep][mine], b[k] - high[keep][mine], salt[k]), spare[r[mine]], size[r[mine]]
+            k, o = key[mine], r[mine]
+            yield o, sign(x[k] - lo32[keep][mine], y[k] - hi32[keep][mine], salt[k]), size[o], m[o], empty[o]
             room = np.bincount(owner, (held > 0).astype(float) + (held > 1), rows)
             hard = (poor & (room < apart + 1))[r]
-            yield r[hard], mix(token[keep][hard] + np.uint64(77) + use[r[hard]].astype(np.uint64)), spare[r[hard]], size[r[hard]]
+            o = r[hard]
+            yield o, mix(token[keep][hard] + np.uint64(77) + use[o].astype(np.uint64)) >> np.uint64(8), size[o], m[o], empty[o]
 
 
 def _keys(k: int):
@@ -108,8 +108,45 @@ def _signatures(k: int, num: int, den: int):
             at, data = text_buffers(batch.column(1))
             for lo, hi in slices(at):
                 row, token = Words(at, data, lo, hi, fold=True).shingle_sets(k)
-                for owner, sig, spare, size in segment_rows(row, token, hi - lo, num, den):
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[lo + owner]), pa.array(size.astype(np.int32)), pa.array(spare.astype(np.int32))], names=["sig", "doc", "size", "spare"])
+                for owner, sig, size, m, empty in segment_rows(row, token, hi - lo, num, den):
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[lo + owner]), pa.array(size.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(empty.astype(np.int32))], names=["sig", "doc", "size", "m", "lost"])
+    return run
+
+
+def _parity(token: np.ndarray) -> bytes:
+    """A bitmap of at least four bits a shingle, each the parity of the shingles that fall on it."""
+    bits = 64 << max(0, int(len(token) * 4 // 64).bit_length())
+    count = np.bincount((mix(token) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _sketches(k: int):
+    def run(batches):
+        for batch in batches:
+            at, data = text_buffers(batch.column(1))
+            for lo, hi in slices(at):
+                row, token = Words(at, data, lo, hi, fold=True).shingle_sets(k)
+                edge = np.searchsorted(row, np.arange(hi - lo + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(edge).astype(np.int32)), pa.array([_parity(token[x:y]) for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], names=["doc", "n", "bits"])
+    return run
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """No more than the number of shingles in one set only: the longer bitmap is folded, then differing bits count."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _likely(num: int, den: int):
+    """Pairs whose bitmaps don't rule the link out."""
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            apart = [_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+            good = pa.array(np.array(apart, np.int64) * (den + num) <= (na.astype(np.int64) + nb) * (den - num))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
     return run
 
 
@@ -117,29 +154,31 @@ def _verify(k: int, num: int, den: int):
     def run(batches):
         for batch in batches:
             sides = [text_buffers(batch.column(i)) for i in (2, 3)]
-            a_ids, b_ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            good = np.zeros(len(a_ids), bool)
-            last: dict = {}
-            for i in range(len(a_ids)):
-                sets = []
-                for s, ids in enumerate((a_ids, b_ids)):
-                    if last.get(s, (None,))[0] != ids[i]:
-                        last[s] = (ids[i], Words(*sides[s], i, i + 1, fold=True).shingle_sets(k)[1])
-                    sets.append(last[s][1])
-                x, y = sets
-                if min(len(x), len(y)) and den * min(len(x), len(y)) >= num * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good[i] = den * both >= num * (len(x) + len(y) - both)
+            good = np.zeros(len(batch), bool)
+            for i in range(len(batch)):
+                x, y = (Words(*side, i, i + 1, fold=True).shingle_sets(k)[1] for side in sides)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good[i] = both > 0 and den * both >= num * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of ids whose texts link; only texts of documents in pairs are shuffled."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
-    texts = docs.join(bounded(ids), "doc", "left_semi")
-    sides = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
-    return materialise(sides.select("a", "b", "ta", "tb").mapInArrow(_verify(k, num, den), "a long, b long"), "links")
+class Verifier:
+    """Exact tests of pairs: bitmaps rule most false ones out, whole texts decide the others."""
+
+    def __init__(self, docs: DataFrame, rows: DataFrame, k: int, num: int, den: int):
+        self.k, self.num, self.den, self.docs = k, num, den, docs
+        ids = materialise(rows.select("doc").distinct(), "ids")
+        self.bits = materialise(docs.join(bounded(ids), "doc", "left_semi").select("doc", "text").mapInArrow(_sketches(k), "doc long, n int, bits binary"), "bitmaps")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        side = lambda x: self.bits.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
+        likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_likely(self.num, self.den), "a long, b long")
+        likely = materialise(likely, "likely")
+        ids = materialise(likely.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
+        texts = self.docs.join(bounded(ids), "doc", "left_semi")
+        both = likely.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
+        return materialise(both.select("a", "b", "ta", "tb").mapInArrow(_verify(self.k, self.num, self.den), "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = 80, den: int = 100) -> DataFrame:
@@ -163,42 +202,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _join_components(reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(node, component) of the distinct documents that link with another."""
-    sig = reps.select("doc", "text").mapInArrow(_signatures(k, num, den), "sig long, doc long, size int, spare int")
-    group = Window.partitionBy("sig")
-    rows = sig.withColumn("c", F.count("*").over(group)).where("c > 1").dropDuplicates(["sig", "doc"])
+    sig = reps.select("doc", "text").mapInArrow(_signatures(k, num, den), "sig long, doc long, size int, m int, lost int")
+    rows = sig.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1").dropDuplicates(["sig", "doc"])
     rows = materialise(rows, "signatures")
     hot = rows.where(F.col("c") > HOT)
     if not hot.isEmpty():
-        needs = hot.groupBy("doc", "spare", "size").agg(F.count("*").alias("f")).where("f > spare").select("doc").distinct()
-        rows = materialise(rows.where(F.col("c") <= HOT).unionByName(hot.join(needs, "doc", "left_semi")), "signatures")
-    rows = rows.select("sig", "doc", "size")
+        hold = materialise(hot.groupBy("doc", "m", "size", "lost").agg(F.count("*").alias("f")), "hot")
+        slack = F.expr("if(m < 3, 0, m - 1 - ceil((m - 2) * 12 / 13))")  # segments() solved for m - 1 - D
+        short = hold.where(F.col("f") + F.col("lost") > slack).select("doc").distinct()
+        kept = hot.join(short, "doc", "left_semi")
+        rows = rows.where(F.col("c") <= HOT).unionByName(kept).join(hold.select("doc", "m", "f"), ["doc", "m"], "left")
+        rows = materialise(rows.withColumn("lost", F.col("lost") + F.coalesce("f", F.lit(0))), "signatures")
+    rows = rows.select("sig", "doc", "size", "m", "lost")
+    check = Verifier(reps, rows, k, num, den)
     links, seen, comp = None, None, None
     fits = f"a <> b and {den} * least(sa, sb) >= {num} * greatest(sa, sb)"
     for turn in range(HUB_ROUNDS + 1):
-        label = rows.select("sig", "doc", "size", F.col("doc").alias("component")) if comp is None else rows.join(comp, rows.doc == comp.node, "left").select("sig", "doc", "size", F.coalesce("component", "doc").alias("component"))
-        open_sig = label.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), F.col("doc").alias("hub"), F.col("size").alias("sh"), F.col("component").alias("ch"))).alias("m")).where("lo <> hi")
-        live = materialise(label.join(open_sig.select("sig", "m"), "sig"), "open")
+        label = rows.withColumn("component", F.col("doc")) if comp is None else rows.join(comp, rows.doc == comp.node, "left").withColumn("component", F.coalesce("component", "doc")).drop("node")
+        hub = F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), F.col("doc").alias("hub"), F.col("size").alias("sh"), F.col("component").alias("ch"))).alias("hub")
+        several = label.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), hub).where("lo <> hi")
+        live = materialise(label.join(several.select("sig", "hub"), "sig"), "open")
         if live.isEmpty():
             break
         if turn < HUB_ROUNDS:
-            pairs = live.where("component <> m.ch").select(F.col("m.hub").alias("a"), F.col("m.sh").alias("sa"), F.col("doc").alias("b"), F.col("size").alias("sb"))
-            if turn == 0:  # most of a class is settled by each document's likeliest partner
-                most = pairs.where(fits).groupBy("a", "b").agg(F.count("*").alias("n"))
-                pairs = most.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-            else:
-                pairs = pairs.where(fits)
+            # the likeliest hub of each document; no more than a shortcut, as the last turn has every pair
+            pairs = live.where("component <> hub.ch").select(F.col("hub.hub").alias("a"), F.col("hub.sh").alias("sa"), F.col("doc").alias("b"), F.col("size").alias("sb")).where(fits)
+            pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            left, right = live.select("sig", F.col("doc").alias("a"), F.col("size").alias("sa"), F.col("component").alias("ca")), live.select("sig", F.col("doc").alias("b"), F.col("size").alias("sb"), F.col("component").alias("cb"))
-            pairs = left.join(right, "sig").where(f"a < b and ca <> cb and {fits}").select("a", "b").distinct()
+            # equal segments of a linked pair: m - (its largest difference) - (segments empty or too common in either)
+            side = lambda x: live.select("sig", "m", F.col("doc").alias(x), F.col("size").alias(f"s{x}"), F.col("component").alias(f"c{x}"), F.col("lost").alias(f"l{x}"))
+            least = F.expr(f"m - floor((sa + sb) * {den - num} / {den + num}) - least(la, lb)")
+            pairs = side("a").join(side("b"), ["sig", "m"]).where(f"a < b and ca <> cb and {fits}")
+            pairs = pairs.groupBy("a", "b", "m").agg(F.count("*").alias("n"), F.first("sa").alias("sa"), F.first("sb").alias("sb"), F.first("la").alias("la"), F.first("lb").alias("lb")).where(F.col("n") >= least).select("a", "b").distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         if not pairs.isEmpty():
-            found = verified(pairs, reps, k, num, den)
+            found = check.links(pairs)
             links = found if links is None else materialise(links.unionByName(found), "links")
             seen = pairs if seen is None else materialise(seen.unionByName(pairs), "seen")
             if not links.isEmpty():
                 comp = components(links)
-        rows = live.select("sig", "doc", "size")
+        rows = live.drop("hub", "component")
     return comp if comp is not None else rows.select(F.col("doc").alias("node"), F.col("doc").alias("component")).limit(0)
