@@ -3,12 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import detect
+
+    return detect(_docs(spark, sf_dir))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokencount import token_counts
+
+    return token_counts(_docs(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_digests
+
+    return encode_digests(_docs(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, identify
+    from .shared import crc_mod
+
+    docs = _docs(spark, sf_dir)
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    found = identify(docs.select("doc_id", "text"), fit(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score", "language.cross_entropy", "language.rejected")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_components
 
@@ -16,7 +51,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op2_pii, op3_token_counts, op6_bpe, op7_ngram_jaccard_join, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
