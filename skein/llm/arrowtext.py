@@ -19,6 +19,9 @@ _FOLDED = _BYTES.copy()
 _FOLDED[65:91] = _BYTES[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Byte classes that end a word: white space, or all ASCII but letters and digits.
+SPACES = _SPACE
+MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -63,12 +66,12 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
 class Words:
     """The words of rows [lo, hi): byte ranges in `data`, hashes, and each row's first word in `first`."""
 
-    def __init__(self, offsets: np.ndarray, data: np.ndarray, lo: int, hi: int, fold: bool):
+    def __init__(self, offsets: np.ndarray, data: np.ndarray, lo: int, hi: int, fold: bool, breaks: np.ndarray = SPACES):
         base = int(offsets[lo])
         self.data = raw = data[base:int(offsets[hi])]
         row = offsets[lo:hi + 1] - base
         n = len(raw)
-        ink = ~_SPACE[raw]
+        ink = ~breaks[raw]
         edge = np.zeros(n + 1, bool)
         edge[row] = True
         before = np.empty(n, bool)
@@ -116,6 +119,17 @@ class Words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         return np.concatenate(out_row), np.concatenate(out_at), np.concatenate(out)
 
+    def long_grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of every run of k words in a row, by prefix sums; for large k."""
+        n = len(self.hash)
+        if n < k:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        row = self.rows()
+        at = np.flatnonzero(row[:n - k + 1] == row[k - 1:])
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.hash * _power("up", _BASE, n), out=total[1:])
+        return at, mix((total[at + k] - total[at]) * _power("down", _INVERSE, n)[at] + np.uint64(k))
+
     def shingle_sets(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, hash) of the distinct k-word shingles of each row, sorted; a row of fewer words has one."""
         row, _, value = self.grams(k, short=True)

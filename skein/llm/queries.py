@@ -16,6 +16,18 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    return remove_repeats(_docs(spark, sf_dir))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import detect
 
@@ -51,7 +63,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op3_token_counts, op6_bpe, op7_ngram_jaccard_join, op9_language_id)}
+    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_token_counts, op5_substring_dedup, op6_bpe, op7_ngram_jaccard_join, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
