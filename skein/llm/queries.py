@@ -22,6 +22,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    return score(_docs(spark, sf_dir))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import remove_repeats
 
@@ -46,6 +52,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_docs(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_packages, write_packages
+
+    return read_packages(write_packages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, identify
     from .shared import crc_mod
@@ -62,8 +74,14 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_docs(spark, sf_dir))
 
 
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .winnow import edits
+
+    return edits(_docs(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_token_counts, op5_substring_dedup, op6_bpe, op7_ngram_jaccard_join, op9_language_id)}
+    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_token_counts, op4_lm_scoring, op5_substring_dedup, op6_bpe, op7_ngram_jaccard_join, op8_warc, op9_language_id, op10_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
