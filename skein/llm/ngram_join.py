@@ -5,15 +5,17 @@ floor((|a|+|b|)*(1-t)/(1+t)) shingles, D for the largest pair of a class. A hash
 D + 1 + slack segments, so at least 1 + slack segments of such a pair hold equal subsets. A document indexes the
 fingerprint of each of its non-empty segments, in its own class and as a larger partner in the one below.
 
-Allocation by cost: an empty segment, or one whose subset is shared by more than HOT documents, may be left out
-(threshold -1) while a document leaves out at most `slack`; the others are matched exactly (threshold 0).
-Documents with more empty segments than slack also index the one-deletion neighbourhood of their segments
-(threshold 1), and those for which even that is too little every single shingle. A pair in which one side has
-enough exact segments is found by these; one in which both fall short by the neighbourhoods. No link is lost.
+Allocation by cost: shingles that many documents hold (by a bounded sample; any set of shingles would do) make
+costly groups, so they are left out of the segments (threshold -1 for what only they fill); differences in the
+other shingles are no more than in all. A document may miss up to `slack` segments that way; the others are matched
+exactly (threshold 0). A document that misses more also indexes the one-deletion neighbourhoods of its segments
+(threshold 1). Where even that falls short (texts of common shingles), it is cut into segments of all its shingles
+beside others of its kind, and as a last resort each shingle is a signature. A pair in which one side has enough
+exact segments is found by these, one in which both fall short by the wider nets of both. No link is lost.
 
 Candidates are verified on whole texts. Links inside a component that is known already are not verified again:
-rounds of hub pairs (each group's members against one of them) come first, then every pair of members of a
-group that are still in different components.
+each document's likeliest hub comes first, then every pair of members of a group that are still in different
+components; where many documents share a segment these pairs are tested in blocks and don't become rows.
 """
 
 from __future__ import annotations
@@ -24,11 +26,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import Words, mix, slices, text_buffers
-from .shared import bounded, components, materialise
+from .shared import BROADCAST_ROWS, bounded, components, materialise
 
-#: Documents that share a segment's subset, beyond which the segment may be left out.
+#: Documents in the sample of common shingles, and the documents of it that a common one is in.
+SAMPLE = 10_000
+COMMON = 4
+#: Documents that share a segment, beyond which its pairs are looked for in blocks, and the size of a block.
 HOT = 64
-HUB_ROUNDS = 3
+BLOCK = 256
 SHINGLE = 5
 
 
@@ -46,16 +51,31 @@ def segments(top: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarra
     return apart, apart + 1 + np.where(apart == 0, 0, 1 + apart // 12)
 
 
-def segment_rows(row: np.ndarray, token: np.ndarray, rows: int, num: int, den: int):
+def segment_rows(row: np.ndarray, token: np.ndarray, size: np.ndarray, common: np.ndarray, num: int, den: int):
     """Signatures of shingle sets: (row, signature, size, segments of the class, empty segments).
 
-    Rows with more empty segments than slack also have their one-deletion signatures, and where these are too few, shingles.
+    row, token: the shingles of each row; size: their number; common: whether a shingle is one of the common ones.
     """
-    size = np.bincount(row, minlength=rows)
+    hard = np.zeros(len(size), bool)
+    for out, short in _segmented(row[~common], token[~common], size, num, den, 0):
+        yield out
+        hard |= short
+    if hard.any():
+        mine = hard[row]
+        for out, short in _segmented(row[mine], token[mine], np.where(hard, size, 0), num, den, 1):
+            yield out
+            if short.any():  # every shingle is a signature
+                take = short[row]
+                yield row[take], mix(token[take] + np.uint64(77)) >> np.uint64(8), size[row[take]], size[row[take]], size[row[take]]
+
+
+def _segmented(row: np.ndarray, token: np.ndarray, size: np.ndarray, num: int, den: int, space: int):
+    """Signatures of one way to cut the universe, and the rows for which even one-deletion signatures are too few."""
+    rows = len(size)
     low = lowest(int(size.max(initial=1)), num, den)
     own = np.searchsorted(low, size, "right") - 1
     lo32, hi32 = (token & np.uint64(0xFFFFFFFF)).astype(np.float64), (token >> np.uint64(32)).astype(np.float64)
-    place = mix(token ^ np.uint64(0x5851F42D4C957F2D))
+    place = mix(token ^ np.uint64(0x5851F42D4C957F2D + space))
     for step in (0, 1):
         use = np.maximum(own - step, 0)
         top = low[use + 1] - 1
@@ -69,7 +89,7 @@ def segment_rows(row: np.ndarray, token: np.ndarray, rows: int, num: int, den: i
         held = np.bincount(key, minlength=total)
         x, y = np.bincount(key, lo32[keep], total), np.bincount(key, hi32[keep], total)
         owner = np.repeat(np.arange(rows), np.diff(begin))
-        salt = mix((use[owner] * 1_000_003 + np.arange(total) - begin[owner]).astype(np.uint64))
+        salt = mix(((use[owner] * 2 + space) * 1_000_003 + np.arange(total) - begin[owner]).astype(np.uint64))
 
         def sign(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
             return mix(x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(y.astype(np.uint64) + s)) >> np.uint64(8)
@@ -77,16 +97,14 @@ def segment_rows(row: np.ndarray, token: np.ndarray, rows: int, num: int, den: i
         full = held > 0
         empty = np.bincount(owner[~full], minlength=rows)
         o = owner[full]
-        yield o, sign(x[full], y[full], salt[full]), size[o], m[o], empty[o]
+        none = np.zeros(rows, bool)
+        yield (o, sign(x[full], y[full], salt[full]), size[o], m[o], empty[o]), none
         poor = take & (empty > m - apart - 1)
         if poor.any():
             mine = poor[r] & (held[key] > 1)
             k, o = key[mine], r[mine]
-            yield o, sign(x[k] - lo32[keep][mine], y[k] - hi32[keep][mine], salt[k]), size[o], m[o], empty[o]
             room = np.bincount(owner, (held > 0).astype(float) + (held > 1), rows)
-            hard = (poor & (room < apart + 1))[r]
-            o = r[hard]
-            yield o, mix(token[keep][hard] + np.uint64(77) + use[o].astype(np.uint64)) >> np.uint64(8), size[o], m[o], empty[o]
+            yield (o, sign(x[k] - lo32[keep][mine], y[k] - hi32[keep][mine], salt[k]), size[o], m[o], empty[o]), poor & (room < apart + 1)
 
 
 def _keys(k: int):
@@ -101,14 +119,34 @@ def _keys(k: int):
     return run
 
 
-def _signatures(k: int, num: int, den: int):
+def _shingles(k: int):
     def run(batches):
+        for batch in batches:
+            at, data = text_buffers(batch.column(0))
+            for lo, hi in slices(at):
+                token, n = np.unique(Words(at, data, lo, hi, fold=True).shingle_sets(k)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
+    return run
+
+
+def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    """Shingles of COMMON or more of a sample of SAMPLE documents, sorted; no result depends on the sample."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    sample = docs.where(F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20))
+    counts = sample.select("text").mapInArrow(_shingles(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    return np.sort(counts.select("token").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _signatures(k: int, num: int, den: int, box):
+    def run(batches):
+        common = box.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             at, data = text_buffers(batch.column(1))
             for lo, hi in slices(at):
                 row, token = Words(at, data, lo, hi, fold=True).shingle_sets(k)
-                for owner, sig, size, m, empty in segment_rows(row, token, hi - lo, num, den):
+                held = common[np.minimum(np.searchsorted(common, token), len(common) - 1)] == token if len(common) else np.zeros(len(token), bool)
+                for owner, sig, size, m, empty in segment_rows(row, token, np.bincount(row, minlength=hi - lo), held, num, den):
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[lo + owner]), pa.array(size.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(empty.astype(np.int32))], names=["sig", "doc", "size", "m", "lost"])
     return run
 
@@ -175,8 +213,8 @@ class Verifier:
         side = lambda x: self.bits.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
         likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_likely(self.num, self.den), "a long, b long")
         likely = materialise(likely, "likely")
-        ids = materialise(likely.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
-        texts = self.docs.join(bounded(ids), "doc", "left_semi")
+        ids = likely.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+        texts = self.docs.join(F.broadcast(ids) if likely.count() <= BROADCAST_ROWS // 2 else ids, "doc", "left_semi")
         both = likely.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
         return materialise(both.select("a", "b", "ta", "tb").mapInArrow(_verify(self.k, self.num, self.den), "a long, b long"), "links")
 
@@ -202,47 +240,87 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _join_components(reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(node, component) of the distinct documents that link with another."""
-    sig = reps.select("doc", "text").mapInArrow(_signatures(k, num, den), "sig long, doc long, size int, m int, lost int")
+    box = reps.sparkSession.sparkContext.broadcast(common_shingles(reps, k))
+    sig = reps.select("doc", "text").mapInArrow(_signatures(k, num, den, box), "sig long, doc long, size int, m int, lost int")
     rows = sig.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1").dropDuplicates(["sig", "doc"])
     rows = materialise(rows, "signatures")
-    hot = rows.where(F.col("c") > HOT)
-    if not hot.isEmpty():
-        hold = materialise(hot.groupBy("doc", "m", "size", "lost").agg(F.count("*").alias("f")), "hot")
-        slack = F.expr("if(m < 3, 0, m - 1 - ceil((m - 2) * 12 / 13))")  # segments() solved for m - 1 - D
-        short = hold.where(F.col("f") + F.col("lost") > slack).select("doc").distinct()
-        kept = hot.join(short, "doc", "left_semi")
-        rows = rows.where(F.col("c") <= HOT).unionByName(kept).join(hold.select("doc", "m", "f"), ["doc", "m"], "left")
-        rows = materialise(rows.withColumn("lost", F.col("lost") + F.coalesce("f", F.lit(0))), "signatures")
-    rows = rows.select("sig", "doc", "size", "m", "lost")
+    # what a document's segments have in common with others: the source of a family of copies has most of it
+    support = rows.groupBy("doc").agg(F.sum("c").alias("support"))
+    rows = rows.drop("c").join(support, "doc").select("sig", "doc", "size", "m", "lost", "support")
     check = Verifier(reps, rows, k, num, den)
-    links, seen, comp = None, None, None
-    fits = f"a <> b and {den} * least(sa, sb) >= {num} * greatest(sa, sb)"
-    for turn in range(HUB_ROUNDS + 1):
-        label = rows.withColumn("component", F.col("doc")) if comp is None else rows.join(comp, rows.doc == comp.node, "left").withColumn("component", F.coalesce("component", "doc")).drop("node")
-        hub = F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), F.col("doc").alias("hub"), F.col("size").alias("sh"), F.col("component").alias("ch"))).alias("hub")
-        several = label.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), hub).where("lo <> hi")
-        live = materialise(label.join(several.select("sig", "hub"), "sig"), "open")
-        if live.isEmpty():
-            break
-        if turn < HUB_ROUNDS:
-            # the likeliest hub of each document; no more than a shortcut, as the last turn has every pair
-            pairs = live.where("component <> hub.ch").select(F.col("hub.hub").alias("a"), F.col("hub.sh").alias("sa"), F.col("doc").alias("b"), F.col("size").alias("sb")).where(fits)
-            pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            # equal segments of a linked pair: m - (its largest difference) - (segments empty or too common in either)
-            side = lambda x: live.select("sig", "m", F.col("doc").alias(x), F.col("size").alias(f"s{x}"), F.col("component").alias(f"c{x}"), F.col("lost").alias(f"l{x}"))
-            least = F.expr(f"m - floor((sa + sb) * {den - num} / {den + num}) - least(la, lb)")
-            pairs = side("a").join(side("b"), ["sig", "m"]).where(f"a < b and ca <> cb and {fits}")
-            pairs = pairs.groupBy("a", "b", "m").agg(F.count("*").alias("n"), F.first("sa").alias("sa"), F.first("sb").alias("sb"), F.first("la").alias("la"), F.first("lb").alias("lb")).where(F.col("n") >= least).select("a", "b").distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        if not pairs.isEmpty():
-            found = check.links(pairs)
-            links = found if links is None else materialise(links.unionByName(found), "links")
-            seen = pairs if seen is None else materialise(seen.unionByName(pairs), "seen")
-            if not links.isEmpty():
-                comp = components(links)
-        rows = live.drop("hub", "component")
-    return comp if comp is not None else rows.select(F.col("doc").alias("node"), F.col("doc").alias("component")).limit(0)
+    fits = f"{den} * least(sa, sb) >= {num} * greatest(sa, sb)"
+    # first each document against its likeliest hub, which settles most components and is no more than a shortcut
+    hub = F.min(F.struct((-F.col("support")).alias("h"), F.col("doc").alias("hub"), F.col("size").alias("sh"))).alias("hub")
+    stars = rows.join(rows.groupBy("sig").agg(hub), "sig").where("doc <> hub.hub").select(F.col("hub.hub").alias("a"), F.col("hub.sh").alias("sa"), F.col("doc").alias("b"), F.col("size").alias("sb")).where(fits)
+    pairs = stars.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+    links = check.links(materialise(pairs.select("a", "b"), "pairs"))
+    comp = None if links.isEmpty() else components(links)
+    label = rows.withColumn("component", F.col("doc")) if comp is None else rows.join(bounded(comp), rows.doc == comp.node, "left").withColumn("component", F.coalesce("component", "doc")).drop("node")
+    several = label.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.min("doc").alias("hub")).where("lo <> hi")
+    live = materialise(label.join(several.select("sig", "c", "hub"), "sig"), "open")
+    # then every pair of different components that shares a segment: by rows where few documents share it, in blocks else
+    few = live.where(F.col("c") <= HOT)
+    side = lambda x: few.select("sig", "m", F.col("doc").alias(x), F.col("size").alias(f"s{x}"), F.col("component").alias(f"c{x}"), F.col("lost").alias(f"l{x}"))
+    # equal segments of a linked pair: m - (its largest difference) - (segments that are empty in both)
+    least = F.expr(f"m - floor((sa + sb) * {den - num} / {den + num}) - least(la, lb)")
+    light = side("a").join(side("b"), ["sig", "m"]).where(f"a < b and ca <> cb and {fits}")
+    light = light.groupBy("a", "b", "m").agg(F.count("*").alias("n"), F.first("sa").alias("sa"), F.first("sb").alias("sb"), F.first("la").alias("la"), F.first("lb").alias("lb")).where(F.col("n") >= least).select("a", "b")
+    many = live.where(F.col("c") > HOT)
+    if not many.isEmpty():
+        light = light.unionByName(_families(many, check, num, den))
+    more = check.links(materialise(light.distinct(), "pairs"))
+    if more.isEmpty():
+        return comp if comp is not None else rows.select(F.col("doc").alias("node"), F.col("doc").alias("component")).limit(0)
+    return components(links.unionByName(more))
+
+
+def _families(many: DataFrame, check: Verifier, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of different components, not ruled out by bitmaps, among documents that common segments connect.
+
+    A family is cut into blocks of about BLOCK documents of like size; each pair of blocks whose sizes may link is
+    one group, so that a family of any size is spread over many tasks and no pair becomes a row unless it is likely.
+    """
+    family = components(many.select(F.col("hub").alias("a"), F.col("doc").alias("b")))
+    docs = many.select("doc", "component").distinct().join(family.select(F.col("node").alias("doc"), F.col("component").alias("family")), "doc")
+    docs = docs.join(check.bits, "doc").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)))).cast("int"))
+    docs = materialise(docs, "families")
+    parts = docs.groupBy("family", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    near = docs
+    for name, shift in (("here", 0), ("up", 1), ("down", -1)):
+        near = near.join(parts.select("family", (F.col("band") - shift).alias("band"), F.col("parts").alias(name)), ["family", "band"], "left")
+    part = F.pmod(F.xxhash64("doc"), F.col("here").cast("bigint")).cast("int")
+    none = F.array().cast("array<struct<band: int, i: int, j: int, up: boolean>>")
+    span = lambda n: F.sequence(F.lit(0), n - 1)
+    flag = lambda band, i, j, up: F.struct(band.alias("band"), i.alias("i"), j.alias("j"), F.lit(up).alias("up"))
+    keys = F.concat(
+        F.transform(span(F.col("here")), lambda j: flag(F.col("band"), F.least(part, j), F.greatest(part, j), False)),
+        F.when(F.col("up").isNull(), none).otherwise(F.transform(span(F.col("up")), lambda j: flag(F.col("band"), part, j, True))),
+        F.when(F.col("down").isNull(), none).otherwise(F.transform(span(F.col("down")), lambda j: flag(F.col("band") - 1, j, part, True))))
+    dealt = near.select("family", "doc", "component", "n", "bits", "band", part.alias("part"), F.explode(keys).alias("k"))
+    dealt = dealt.select("family", F.col("k.band").alias("kb"), F.col("k.i").alias("ki"), F.col("k.j").alias("kj"), F.col("k.up").alias("ku"), "doc", "component", "n", "bits", "band", "part")
+    return dealt.groupBy("family", "kb", "ki", "kj", "ku").applyInArrow(_block_pairs(num, den), "a long, b long")
+
+
+def _block_pairs(num: int, den: int):
+    def run(table: pa.Table) -> pa.Table:
+        doc, comp, n, band, part = (table.column(c).to_numpy() for c in ("doc", "component", "n", "band", "part"))
+        kb, ki, up = table.column("kb")[0].as_py(), table.column("ki")[0].as_py(), table.column("ku")[0].as_py()
+        raw = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("bits")]
+        width = min(map(len, raw))
+        folded = []
+        for x in raw:
+            while len(x) > width:
+                x = x[:len(x) // 2] ^ x[len(x) // 2:]
+            folded.append(x)
+        bits = np.stack(folded)
+        left = np.flatnonzero((band == kb) & (part == ki))
+        right = np.arange(len(doc)) if not up and ki == table.column("kj")[0].as_py() else np.flatnonzero((band == kb + up) & ((part != ki) | up))
+        a, b = [], []
+        for i in left:
+            apart = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            good = (comp[right] != comp[i]) & (doc[right] != doc[i]) & (apart * (den + num) <= (n[right] + int(n[i])) * (den - num)) & (den * np.minimum(n[right], n[i]) >= num * np.maximum(n[right], n[i]))
+            for j in right[good]:
+                a.append(min(doc[i], doc[j]))
+                b.append(max(doc[i], doc[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return run

@@ -80,8 +80,14 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits(_docs(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_token_counts, op4_lm_scoring, op5_substring_dedup, op6_bpe, op7_ngram_jaccard_join, op8_warc, op9_language_id, op10_winnowing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_token_counts, op4_lm_scoring, op5_substring_dedup, op6_bpe, op7_ngram_jaccard_join, op8_warc, op9_language_id, op10_winnowing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -66,17 +66,18 @@ def components(edges: DataFrame) -> DataFrame:
     makes the number of rounds logarithmic for any graph, sorted paths too.
     """
     order = lambda c: F.struct(F.xxhash64(c).alias("h"), c.alias("v"))
-    edges = materialise(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    edges = edges.where("a <> b").select("a", "b")
     label = None
     while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy("a").agg(F.least(F.min(order(F.col("b"))), F.min(order(F.col("a"))))["v"].alias("p"))
         parent = materialise(parent, "parents")
-        label = parent.select(F.col("a").alias("node"), F.col("p").alias("root")) if label is None else materialise(
-            label.join(parent, label.root == parent.a, "left").select("node", F.coalesce("p", "root").alias("root")), "labels")
-        pa, pb = parent.select(F.col("a"), F.col("p").alias("pa")), parent.select(F.col("a").alias("b"), F.col("p").alias("pb"))
+        side = bounded(parent)
+        pa, pb = side.select("a", F.col("p").alias("pa")), side.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         edges = materialise(edges.join(pa, "a").join(pb, "b").where("pa <> pb").select(
             F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        label = parent.select(F.col("a").alias("node"), F.col("p").alias("root")) if label is None else materialise(
+            label.join(side, label.root == parent.a, "left").select("node", F.coalesce("p", "root").alias("root")), "labels")
         if edges.isEmpty():
             least = label.groupBy("root").agg(F.min("node").alias("component"))
             return materialise(label.join(least, "root").select("node", "component"), "components")
