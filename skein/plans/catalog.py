@@ -1,11 +1,439 @@
-"""All registered queries of the engine, with their SQL oracles."""
+"""All registered queries of the engine over the supplied tables, each with an SQL oracle where SQL can say it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.functions import redaction as R
+from skein.functions import scalars as S
+from skein.operators import episodes as E
+from skein.operators import health as H
+from skein.operators import merge as M
+from skein.operators import pairing, read, search
+from skein.plans import views as V
+
+WIDE = 3 * 86400
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+    return add
+
+
+# -- episodes and incidents --------------------------------------------------------------------------------------
+
+
+def _episodes_sql(gap: int, steps: int = E.MAX_STEPS) -> str:
+    return V.INVOCATIONS_SQL + f""", seq as (select *, row_number() over (partition by session_key order by t, line_no, entry_id, ordinal) rn from inv),
+    arcs as (select *, coalesce(sum(1 - is_error) over (partition by session_key, command_family order by rn rows between unbounded preceding and 1 preceding), 0) arc from seq),
+    ends as (select session_key, command_family, arc, min(case when is_error = 1 then rn end) lo, max(case when is_error = 0 then rn end) hi from arcs group by all having min(case when is_error = 1 then rn end) is not null),
+    ep0 as (select o.session_key, o.entry_id open_entry_id, o.ordinal open_ordinal, o.tool_name, o.command_family, o.error_signature, o.project_key, o."timestamp" opened_at, ends.lo, ends.hi,
+      (r.rn is not null and ends.hi - ends.lo + 1 <= {steps} and epoch(r.t) - epoch(o.t) <= {gap})::int resolved, r.entry_id rid, r.ordinal rord, r."timestamp" rts
+      from ends join seq o on o.session_key = ends.session_key and o.rn = ends.lo left join seq r on r.session_key = ends.session_key and r.rn = ends.hi),
+    paths as (select e.session_key, e.open_entry_id, string_agg(s.command_family, '>' order by s.rn) resolution_path from ep0 e join seq s on s.session_key = e.session_key and s.rn > e.lo and s.rn <= e.hi where e.resolved = 1 group by all),
+    ep as (select e.session_key, e.open_entry_id, open_ordinal, tool_name, command_family, error_signature, resolved, case when resolved = 1 then rid end resolve_entry_id, case when resolved = 1 then rord end resolve_ordinal,
+      p.resolution_path, project_key, opened_at, case when resolved = 1 then rts end resolved_at, lo, hi from ep0 e left join paths p on p.session_key = e.session_key and p.open_entry_id = e.open_entry_id)"""
+
+
+def _episodes(spark: SparkSession, sf_dir: str, gap: int) -> DataFrame:
+    return E.assemble(V.tool_invocations(spark, sf_dir), gap)
+
+
+_EPISODE_COLUMNS = "session_key, open_entry_id, open_ordinal, tool_name, command_family, error_signature, resolved, resolve_entry_id, resolve_ordinal, resolution_path, project_key, opened_at, resolved_at"
+
+
+def _flat(episodes: DataFrame) -> DataFrame:
+    return episodes.withColumn("resolution_path", F.array_join("resolution_path", ">"))
+
+
+@query(f"with {_episodes_sql(E.MAX_GAP_SECONDS)} select {_EPISODE_COLUMNS} from ep")
+def episodes_default(spark, sf_dir):
+    return _flat(_episodes(spark, sf_dir, E.MAX_GAP_SECONDS))
+
+
+@query(f"with {_episodes_sql(WIDE)} select {_EPISODE_COLUMNS} from ep")
+def episodes_wide(spark, sf_dir):
+    return _flat(_episodes(spark, sf_dir, WIDE))
+
+
+def _incidents_sql(state: str = "", where: str = "") -> str:
+    return f"""with {_episodes_sql(WIDE)}, agg as (select tool_name, command_family, error_signature, count(*) episodes, sum(resolved)::bigint resolved, count(distinct session_key) sessions, count(distinct project_key) projects,
+      count(distinct case when resolved = 1 then session_key end) resolved_sessions, min(opened_at) first_seen, max(opened_at) last_seen from ep {where} group by 1, 2, 3),
+    scored as (select *, resolved::double / episodes resolution_rate, case when resolved <= 0 then 'unresolved' when resolved >= episodes then 'resolved' else 'partial' end state,
+      case when resolved <= 0 then '' when resolved >= 3 and resolved_sessions >= 2 then 'established' else 'emerging' end tier, episodes * greatest(0.0, 1.0 + (sessions - 1) + 0.5 * (projects - 1))::double score from agg)
+    select * from scored {f"where state = '{state}'" if state else ''} order by score desc, episodes desc, tool_name, command_family, error_signature limit 50"""
+
+
+@query(_incidents_sql())
+def incidents(spark, sf_dir):
+    return E.incidents(_episodes(spark, sf_dir, WIDE))
+
+
+@query(_incidents_sql("unresolved"))
+def incidents_unresolved(spark, sf_dir):
+    return E.incidents(_episodes(spark, sf_dir, WIDE), "unresolved")
+
+
+@query(_incidents_sql("partial"))
+def incidents_partial(spark, sf_dir):
+    return E.incidents(_episodes(spark, sf_dir, WIDE), "partial")
+
+
+@query(_incidents_sql("resolved"))
+def incidents_resolved(spark, sf_dir):
+    return E.incidents(_episodes(spark, sf_dir, WIDE), "resolved")
+
+
+@query(_incidents_sql(where="where project_key = 'p3'"))
+def incidents_by_project(spark, sf_dir):
+    return E.incidents(E.faceted(_episodes(spark, sf_dir, WIDE), project="p3"))
+
+
+@query(_incidents_sql(where="where session_key in (select session_key from inv where source_name = 's1' and machine_id = 'm2')"))
+def incidents_by_source_machine(spark, sf_dir):
+    inv = V.tool_invocations(spark, sf_dir)
+    return E.incidents(E.faceted(E.assemble(inv, WIDE), inv.select("session_key", "source_name", "machine_id"), source="s1", machine="m2"))
+
+
+@query(f"""with {_episodes_sql(WIDE)}, p as (select tool_name, command_family, error_signature, resolution_path, count(*) support, count(distinct session_key) sessions, count(distinct project_key) projects, max((resolved_at, session_key, open_entry_id)) s from ep where resolved = 1 group by 1, 2, 3, 4),
+  w as (select *, sum(support) over (partition by tool_name, command_family, error_signature)::bigint trials from p),
+  c as (select *, greatest(0.0, least(1.0, (support / trials + 1.96 * 1.96 / (2.0 * trials) - 1.96 * sqrt(support / trials * (1 - support / trials) / trials + 1.96 * 1.96 / (4.0 * trials * trials))) / (1 + 1.96 * 1.96 / trials)))::double confidence from (select * replace (support::double as support, trials::double as trials) from w)),
+  d as (select *, confidence * (1.0 + (sessions - 1) + 0.5 * (projects - 1))::double score from c)
+  select tool_name, command_family, error_signature, resolution_path, support::bigint support, sessions, projects, trials::bigint trials, round(confidence, 9) confidence, round(score, 9) score from d
+  qualify row_number() over (partition by tool_name, command_family, error_signature order by round(score, 9) desc, support desc, replace(resolution_path, '>', chr(1))) <= 3""")
+def resolution_paths_top3(spark, sf_dir):
+    p = E.resolution_paths(_episodes(spark, sf_dir, WIDE))
+    return p.select("tool_name", "command_family", "error_signature", F.array_join("resolution_path", ">").alias("resolution_path"), "support", "sessions", "projects", "trials", F.round("confidence", 9).alias("confidence"), F.round("score", 9).alias("score"))
+
+
+@query(f"""with {_episodes_sql(WIDE)}, s as (select tool_name, command_family, error_signature, count(*) c, count(*) * (1.0 + (count(distinct session_key) - 1) + 0.5 * (count(distinct project_key) - 1)) score from ep group by 1, 2, 3),
+  page as (select tool_name, command_family, error_signature from s order by score desc, c desc, 1, 2, 3 limit 50),
+  r as (select tool_name, command_family, error_signature, epoch(strptime(opened_at, '%Y-%m-%dT%H:%M:%SZ')) t from ep join page using (tool_name, command_family, error_signature)), w as (select min(t) lo, max(t) hi from r),
+  b as (select tool_name, command_family, error_signature, case when hi > lo then floor((t - lo) / (hi - lo) * 11)::int else 0 end bucket, count(*) n from r, w group by 1, 2, 3, 4)
+  select tool_name, command_family, error_signature, g.bucket::int bucket, coalesce(n, 0) n from page cross join (select unnest(range(0, 12))::int bucket) g left join b using (tool_name, command_family, error_signature, bucket)""")
+def incident_sparkline(spark, sf_dir):
+    eps = _episodes(spark, sf_dir, WIDE)
+    return E.sparklines(eps, E.incidents(eps))
+
+
+@query(f"with {_episodes_sql(WIDE)} select e.session_key, e.open_entry_id, e.open_ordinal, (s.rn - e.lo)::bigint step, s.entry_id, s.tool_name, s.command_family, s.is_error from ep e join seq s on s.session_key = e.session_key and s.rn between e.lo and e.hi where e.resolved = 1")
+def incident_trajectory(spark, sf_dir):
+    inv = V.tool_invocations(spark, sf_dir)
+    return E.trajectories(inv, E.assemble(inv, WIDE)).withColumn("step", F.col("step").cast("bigint")).drop("ref")
+
+
+@query(f"with {_episodes_sql(WIDE)}, m as (select tool_name, command_family, error_signature, max((opened_at, session_key, open_entry_id)) s from ep group by 1, 2, 3) select tool_name, command_family, error_signature, 'msg:v1:' || replace(replace(rtrim(to_base64(encode(s[2])), '='), '+', '-'), '/', '_') || ':' || replace(replace(rtrim(to_base64(encode(s[3])), '='), '+', '-'), '/', '_') sample_ref from m")
+def incident_samples(spark, sf_dir):
+    return E.samples(_episodes(spark, sf_dir, WIDE))
+
+
+# -- scalar functions ----------------------------------------------------------------------------------------------
+
+
+@query(f"select doc_id, sha256({R.redact_sql('text')}) redacted from documents")
+def redact_text(spark, sf_dir):
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.sha2(R.redact(F.col("text")), 256).alias("redacted"))
+
+
+@query("with h as (" + " union all ".join(f"select '{n}' pattern, {x} hits from documents" for n, x in R.hits_sql("text")) + ") select pattern, sum(hits)::bigint hits from h group by 1 having sum(hits) > 0")
+def redaction_counts(spark, sf_dir):
+    hits = V.table(spark, sf_dir, "documents").select(F.explode(R.redaction_hits(F.col("text"))).alias("pattern", "hits"))
+    return H.redactions_by_pattern(hits)
+
+
+@query(f"select conv_id, turn, {R.signature_sql('substr(text, 1, 60)')} signature from conversations")
+def error_signature(spark, sf_dir):
+    return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", R.error_signature(F.substring("text", 1, 60)).alias("signature"))
+
+
+@query("""select event_id, case k % 6 when 0 then 'gh pr create' when 1 then 'git push origin' when 2 then 'gh api' when 3 then 'ls' when 4 then 'go test' else 't' || (k % 3) end family from (select event_id, coalesce(cast(json_extract_string(props, '$.k') as bigint), event_id) k from events)""")
+def command_family(spark, sf_dir):
+    inv = V.table(spark, sf_dir, "events").withColumn("k", F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.col("event_id")))
+    lines = ["gh pr create --title \"x\" --body \"y\"", "git push origin feature/foo", "gh api -X POST /repos/o/r/issues", "ls -la /tmp", "A=1 cd /home/x && B=2 go test ./... | tee log"]
+    command = F.coalesce(F.element_at(F.array(*map(F.lit, lines)), F.when(F.col("k") % 6 < 5, (F.col("k") % 6 + 1).cast("int")).otherwise(1)), F.lit(""))
+    command = F.when(F.col("k") % 6 == 5, "  ").otherwise(command)
+    return inv.select("event_id", R.command_family(F.concat(F.lit("t"), F.col("k") % 3), command).alias("family"))
+
+
+@query(r"""with p as (select page_id, string_split(lower(trim(regexp_replace(url, '^https?://', ''))), '/') parts from pages), t as (select page_id, unnest(list_concat(parts, flatten(list_transform(parts, lambda x: regexp_split_to_array(x, '[-_. \t]'))))) token from p)
+  select page_id, string_agg(distinct token, ' ' order by token) tokens from t where token not in ('', '.', '..') group by 1""")
+def path_tokens(spark, sf_dir):
+    return V.table(spark, sf_dir, "pages").select("page_id", F.array_join(S.path_tokens(F.regexp_replace("url", "^https?://", "")), " ").alias("tokens"))
+
+
+@query("select distinct 'sk1_' || sha256(unhex(lpad(hex(length('m' || user_id % 4)), 16, '0')) || encode('m' || user_id % 4) || unhex('0000000000000002') || encode('s' || user_id % 3) || unhex(lpad(hex(length('u' || user_id)), 16, '0')) || encode('u' || user_id)) session_key, 'u' || user_id session from events")
+def session_keys(spark, sf_dir):
+    inv = V.tool_invocations(spark, sf_dir).select("machine_id", "source_name", "session_key").distinct()
+    return inv.select(S.session_key(F.col("machine_id"), F.col("source_name"), F.col("session_key")).alias("session_key"), F.col("session_key").alias("session"))
+
+
+@query(f"with {V.ENTRIES_SQL} select session_key, entry_id, 'msg:v1:' || replace(replace(rtrim(to_base64(encode(session_key)), '='), '+', '-'), '/', '_') || ':' || replace(replace(rtrim(to_base64(encode(entry_id)), '='), '+', '-'), '/', '_') ref from entries")
+def message_refs(spark, sf_dir):
+    return V.entries(spark, sf_dir).select("session_key", "entry_id", S.message_ref(F.col("session_key"), F.col("entry_id")).alias("ref"))
+
+
+@query("""with c as (select l_suppkey, sum((l_returnflag = 'R')::int)::double s, count(*)::double n from lineitem group by 1)
+  select l_suppkey, round(greatest(0.0, least(1.0, (s / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(s / n * (1 - s / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n))), 9) wilson from c""")
+def wilson_scores(spark, sf_dir):
+    c = V.table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum((F.col("l_returnflag") == "R").cast("bigint")).alias("s"), F.count("*").alias("n"))
+    return c.select("l_suppkey", F.round(S.wilson(F.col("s"), F.col("n")), 9).alias("wilson"))
+
+
+# -- search --------------------------------------------------------------------------------------------------------
+
+
+def _tokens_sql(table: str, key: str) -> str:
+    text = f"lower(translate(text, '{search.FOLD_FROM}', '{search.FOLD_TO}'))"
+    return f"select {key} id, list_filter(regexp_split_to_array({text}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') toks from {table} where trim(coalesce(text, '')) <> ''"
+
+
+def _bm25_sql(table: str, key: str, query_text: str) -> str:
+    parts, total = [], []
+    for i, words in enumerate(search.phrases(query_text)):
+        f = f"len(list_filter(toks, lambda x: x = '{words[0]}'))" if len(words) == 1 else f"len(list_filter(range(1, greatest(len(toks) - {len(words) - 1}, 1) + 1), lambda i: toks[i:i + {len(words) - 1}] = {words}))"
+        parts.append(f"{f} f{i}")
+        n = f"(select count(*) from c where f{i} > 0)"
+        idf = f"(case when ln(((select count(*) from c) - {n} + 0.5) / ({n} + 0.5)) <= 0 then 1e-6 else ln(((select count(*) from c) - {n} + 0.5) / ({n} + 0.5)) end)"
+        total.append(f"{idf} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / (select avg(dl) from c)))")
+    hit = " and ".join(f"f{i} > 0" for i in range(len(parts)))
+    return f"with t as ({_tokens_sql(table, key)}), c as (select id, len(toks) dl, {', '.join(parts)} from t) select id, -({' + '.join(total)}) score from c where {hit}"
+
+
+_TOP = "select id, round(score, 9) score from ({}) order by 2, 1 limit 20"
+
+
+def _top(rows: DataFrame, limit: int = 20) -> DataFrame:
+    return rows.withColumn("score", F.round("score", 9)).orderBy("score", "id").limit(limit)
+
+
+@query(_TOP.format(_bm25_sql("documents", "doc_id", "thing erea")))
+def search_bm25(spark, sf_dir):
+    return _top(search.bm25(V.table(spark, sf_dir, "documents"), "doc_id", "thing erea"))
+
+
+@query(_TOP.format(_bm25_sql("documents", "doc_id", "of/the")))
+def search_phrase(spark, sf_dir):
+    return _top(search.bm25(V.table(spark, sf_dir, "documents"), "doc_id", "of/the"))
+
+
+@query(f"select s.id, round(score, 9) score from ({_bm25_sql('documents', 'doc_id', 'ération la')}) s join documents d on d.doc_id = s.id where d.lang = 'fr' and d.source >= 'src1' order by 2, 1 limit 20")
+def search_facets(spark, sf_dir):
+    docs = V.table(spark, sf_dir, "documents")
+    hits = search.bm25(docs, "doc_id", "ération la")
+    return _top(hits.join(docs.where("lang = 'fr' and source >= 'src1'").select(F.col("doc_id").alias("id")), "id", "left_semi"))
+
+
+@query(f"""with m as (select 'message' kind, id::varchar id, score from ({_bm25_sql("(select conv_id * 1000 + turn id, text from conversations) x", "id", "the thing")}) order by score, id limit 20),
+  a as (select 'artifact' kind, id::varchar id, score from ({_bm25_sql("documents", "doc_id", "the thing")}) order by score, id limit 20) select kind, id, round(score, 9) score from (select * from m union all select * from a) order by score, kind, id limit 20""")
+def search_union_artifacts(spark, sf_dir):
+    messages = V.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", "role")
+    artifacts = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return search.search(messages, artifacts, "the thing").withColumn("score", F.round("score", 9))
+
+
+@query(f"with t as ({_tokens_sql('documents', 'doc_id')}) select token, count(*) docs, sum(n)::bigint occurrences from (select id, unnest(toks) token, count(*) n from t group by 1, 2) group by 1")
+def postings(spark, sf_dir):
+    p = search.postings(V.table(spark, sf_dir, "documents"), "doc_id")
+    return p.groupBy("token", "id").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("docs"), F.sum("n").alias("occurrences"))
+
+
+@query()
+def search_snippets(spark, sf_dir):
+    docs = V.table(spark, sf_dir, "documents")
+    hits = search.bm25(docs, "doc_id", "thing").orderBy("score", "id").limit(20)
+    return hits.join(docs, hits.id == docs.doc_id).select("id", search.snippet(F.col("text"), "thing").alias("snippet"))
+
+
+@query("""with u as (select page_id, lower(url) url from pages) select page_id from u where contains(url, '/fr/') and list_contains(string_split(regexp_replace(url, '^https?://', ''), '/'), 'fr')""")
+def search_path_facets(spark, sf_dir):
+    pages = V.table(spark, sf_dir, "pages")
+    tokens = pages.select("page_id", F.explode(S.path_tokens(F.regexp_replace("url", "^https?://", ""))).alias("token"))
+    return search.with_path_token(pages.where(search.contains(F.col("url"), "/FR/")), tokens, " fr ", "page_id").select("page_id")
+
+
+# -- reading -------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {V.ENTRIES_SQL}, c as (select session_key, entry_id centre_id, line_no centre from entries where entry_id = 't3') select e.session_key, centre_id, e.entry_id, e.line_no from c join entries e on e.session_key = c.session_key and e.line_no between centre - 3 and centre + 5")
+def read_window(spark, sf_dir):
+    e = V.entries(spark, sf_dir)
+    return read.window(e, e.where("entry_id = 't3'")).select("session_key", "centre_id", "entry_id", "line_no")
+
+
+def _leaves(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("session_key").agg(F.max_by("entry_id", "line_no").alias("entry_id"))
+
+
+_LEAVES_SQL = "leaf as (select session_key, arg_max(entry_id, line_no) leaf_id, max(line_no) n from entries group by 1)"
+
+
+@query(f"with {V.ENTRIES_SQL}, {_LEAVES_SQL} select e.session_key, leaf_id, entry_id, (n - line_no)::bigint depth from entries e join leaf using (session_key)")
+def read_branch(spark, sf_dir):
+    e = V.entries(spark, sf_dir)
+    return read.branches(e, _leaves(e))
+
+
+@query(f"""with {V.ENTRIES_SQL}, {_LEAVES_SQL}, p as (select e.*, leaf_id, n - line_no depth from entries e join leaf using (session_key)), k as (select session_key, arg_min(first_kept, depth) anchor from p where entry_type = 'compaction' group by 1),
+  s as (select p.session_key, p.depth stop from p join k on p.session_key = k.session_key and p.entry_id = k.anchor), r as (select p.*, stop from p left join s using (session_key) where participates_in_context = 1 and (stop is null or depth <= stop))
+  select session_key, leaf_id, row_number() over (partition by session_key order by case when entry_type = 'compaction' then 0 else 1 end, case when entry_type = 'compaction' then depth else -depth end) place, entry_id from r""")
+def live_context(spark, sf_dir):
+    e = V.entries(spark, sf_dir)
+    return read.live_context(e, _leaves(e))
+
+
+# -- health --------------------------------------------------------------------------------------------------------
+
+
+@query("select coalesce(nullif(source, ''), '(none)') name, count(*) n from documents group by 1 order by 2 desc, 1")
+def overview_sources(spark, sf_dir):
+    return H.counted(V.table(spark, sf_dir, "documents"), "source")
+
+
+@query(f"with {V.INVOCATIONS_SQL} select project_key name, count(distinct session_key) n from inv group by 1 order by 2 desc, 1 limit 12")
+def overview_projects(spark, sf_dir):
+    return H.counted(V.tool_invocations(spark, sf_dir).select("project_key", "session_key").distinct(), "project_key", limit=H.TOP_PROJECTS)
+
+
+_TABLES = ("documents", "pages", "conversations", "labels", "events", "benchmark")
+
+
+@query(" union all ".join(f"select '{t}' name, count(*) n from {t}" for t in _TABLES))
+def status_counts(spark, sf_dir):
+    return H.status({t: V.table(spark, sf_dir, t) for t in _TABLES})
+
+
+@query("""select * from (select 'label without document' "check", count(*) n from labels l where not exists (select 1 from documents d where d.doc_id = l.doc_id and d.doc_id % 9 <> 0)
+  union all select 'document without label', count(*) from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id) union all select 'lineitem without order', count(*) from lineitem where not exists (select 1 from orders where o_orderkey = l_orderkey)) where n > 0""")
+def verify_checks(spark, sf_dir):
+    t = lambda n: V.table(spark, sf_dir, n)
+    return H.verify([H.orphan_check("label without document", t("labels"), t("documents").where("doc_id % 9 <> 0"), ["doc_id"]), H.orphan_check("document without label", t("documents"), t("labels"), ["doc_id"]),
+                     H.orphan_check("lineitem without order", t("lineitem").withColumnRenamed("l_orderkey", "k"), t("orders").withColumnRenamed("o_orderkey", "k"), ["k"])])
+
+
+@query("""with e as (select case conv_id % 3 when 0 then 'session' when 1 then 'artifact' else 'entry' end kind, conv_id, turn from conversations) select kind subject_kind, count(*) n from e where (kind = 'session' and conv_id % 2 = 1) or (kind = 'artifact' and not exists (select 1 from documents where doc_id = conv_id * 7)) or (kind = 'entry' and not exists (select 1 from pages where page_id = conv_id * 3)) group by 1""")
+def redaction_event_orphans(spark, sf_dir):
+    c = V.table(spark, sf_dir, "conversations")
+    kind = F.when(F.col("conv_id") % 3 == 0, "session").when(F.col("conv_id") % 3 == 1, "artifact").otherwise("entry")
+    subject = F.when(F.col("conv_id") % 3 == 0, F.col("conv_id")).when(F.col("conv_id") % 3 == 1, F.col("conv_id") * 7).otherwise(F.col("conv_id") * 3)
+    events = c.select(kind.alias("subject_kind"), subject.cast("string").alias("subject_id"))
+    lost = H.event_orphans(events, {"session": (c.where("conv_id % 2 = 0"), "conv_id"), "artifact": (V.table(spark, sf_dir, "documents"), "doc_id"), "entry": (V.table(spark, sf_dir, "pages"), "page_id")})
+    return lost.groupBy("subject_kind").agg(F.count("*").alias("n"))
+
+
+@query("select substr(sha256(text), 1, 1) class, count(*) files, sum(octet_length(encode(text)))::bigint bytes from (select distinct text from documents) group by 1")
+def archive_sizes(spark, sf_dir):
+    blobs = V.table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("bytes"))
+    return H.sizes(blobs.groupBy("sha256").agg(F.max("bytes").alias("bytes")))
+
+
+@query(f"""with {V.ENTRIES_SQL} select session_key, count(*) messages, sum((role = 'user')::int)::bigint user_messages, arg_min(case when role = 'user' then substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 140) end, case when role = 'user' then line_no end) title,
+  string_agg(role, ',' order by line_no) filter (line_no <= 18) timeline from entries group by 1""")
+def trace_cards(spark, sf_dir):
+    return H.trace_cards(V.entries(spark, sf_dir))
+
+
+# -- ingest and archive --------------------------------------------------------------------------------------------
+
+_WRITES_SQL = """w as (select 's' || (user_id % 3) source_name, 'm' || (user_id % 4) machine_id, 'u' || (user_id % 12) session_key, 'e' || (event_id % 500) entry_id, event_id line_no, sha256(event_type) entry_sha256 from events)"""
+
+
+def _writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.table(spark, sf_dir, "events")
+    name = lambda p, c: F.concat(F.lit(p), c)
+    return e.select(name("s", F.col("user_id") % 3).alias("source_name"), name("m", F.col("user_id") % 4).alias("machine_id"), name("u", F.col("user_id") % 12).alias("session_key"), name("e", F.col("event_id") % 500).alias("entry_id"), F.col("event_id").alias("line_no"), F.sha2("event_type", 256).alias("entry_sha256"))
+
+
+@query(f"with {_WRITES_SQL} select session_key, entry_id, machine_id, line_no, entry_sha256 from w qualify row_number() over (partition by session_key, entry_id order by machine_id, line_no) = 1")
+def first_writer_entries(spark, sf_dir):
+    return M.first_writer(_writes(spark, sf_dir), M.ENTRY, ["machine_id", "line_no"]).select("session_key", "entry_id", "machine_id", "line_no", "entry_sha256")
+
+
+@query(f"with {_WRITES_SQL}, f as (select *, first_value(entry_sha256) over (partition by session_key, entry_id order by machine_id, line_no) first_sha from w) select distinct session_key, entry_id, first_sha, entry_sha256 second_sha from f where entry_sha256 <> first_sha")
+def conflicts_same_session(spark, sf_dir):
+    return M.same_session_conflicts(_writes(spark, sf_dir), ["machine_id", "line_no"])
+
+
+@query(f"with {_WRITES_SQL} select source_name, source_name source_session_id, entry_id, min(entry_sha256) first_sha, max(entry_sha256) second_sha, count(distinct machine_id) machines from w group by 1, 2, 3 having count(distinct machine_id) > 1 and min(entry_sha256) <> max(entry_sha256)")
+def conflicts_cross_machine(spark, sf_dir):
+    return M.cross_machine_conflicts(_writes(spark, sf_dir).withColumn("source_session_id", F.col("source_name")))
+
+
+@query(f"with {_WRITES_SQL}, f as (select *, first_value(entry_sha256) over (partition by session_key, entry_id order by machine_id, line_no) first_sha from w) select line_no conflict_id, session_key, entry_id from f where entry_sha256 <> first_sha order by 1 limit 100 offset 50")
+def conflicts_page(spark, sf_dir):
+    w = _writes(spark, sf_dir)
+    first = M.first_writer(w, M.ENTRY, ["machine_id", "line_no"]).select(*M.ENTRY, F.col("entry_sha256").alias("first_sha"))
+    rows = w.join(first, M.ENTRY).where("entry_sha256 <> first_sha").select(F.col("line_no").alias("conflict_id"), *M.ENTRY)
+    return M.page(rows, 100, 50)
+
+
+@query(f"with {V.MANIFESTS_SQL} select coalesce(a.machine_id, b.machine_id) machine_id, coalesce(a.relative_path, b.relative_path) relative_path, case when a.sha256 is null then 'added' when b.sha256 is null then 'removed' else 'changed' end change from (select * from files where manifest = 'old') a full join (select * from files where manifest = 'new') b on a.machine_id = b.machine_id and a.relative_path = b.relative_path where a.sha256 is distinct from b.sha256")
+def snapshot_delta(spark, sf_dir):
+    f = V.manifest_files(spark, sf_dir)
+    return M.snapshot_delta(f.where("manifest = 'old'"), f.where("manifest = 'new'"))
+
+
+@query(f"with {V.MANIFESTS_SQL}, n as (select machine_id, sha256, max(bytes) bytes from files where manifest = 'new' group by 1, 2), o as (select distinct sha256 from files where manifest = 'old') select machine_id, count(*) blobs, count(o.sha256) existing, sum((o.sha256 is null)::int)::bigint uploads, sum(case when o.sha256 is null then bytes else 0 end)::bigint upload_bytes from n left join o using (sha256) group by 1")
+def blob_plan(spark, sf_dir):
+    f = V.manifest_files(spark, sf_dir)
+    return M.blob_plan(f.where("manifest = 'new'"), f.where("manifest = 'old'"))
+
+
+@query(f"with {V.MANIFESTS_SQL}, l as (select manifest, machine_id, sha256(relative_path || chr(9) || sha256) h from files) select manifest, machine_id, count(*) files, sha256(string_agg(h, '' order by h)) digest from l group by 1, 2")
+def manifest_digests(spark, sf_dir):
+    return M.manifest_digests(V.manifest_files(spark, sf_dir))
+
+
+@query(f"with {V.MANIFESTS_SQL}, l as (select manifest, machine_id, sha256(relative_path || chr(9) || sha256) h from files), d as (select manifest, machine_id, sha256(string_agg(h, '' order by h)) digest from l group by 1, 2), a as (select * from d where manifest = 'old' and machine_id <> 'src3'), b as (select * from d where manifest = 'new' and machine_id <> 'src5') select coalesce(a.machine_id, b.machine_id) machine_id, case when a.digest is null then 'missing' when b.digest is null then 'gone' when a.digest = b.digest then 'current' else 'behind' end state from a full join b on a.machine_id = b.machine_id")
+def latest_vector_diff(spark, sf_dir):
+    d = M.manifest_digests(V.manifest_files(spark, sf_dir))
+    return M.vector_diff(d.where("manifest = 'old' and machine_id <> 'src3'"), d.where("manifest = 'new' and machine_id <> 'src5'"))
+
+
+@query(f"with {V.MANIFESTS_SQL} select distinct sha256 from files where manifest = 'old' and sha256 not in (select sha256 from files where manifest = 'new')")
+def orphan_blobs(spark, sf_dir):
+    f = V.manifest_files(spark, sf_dir)
+    return M.orphans(f.where("manifest = 'old'").select("sha256").distinct(), f.where("manifest = 'new'"))
+
+
+@query(f"with {V.MANIFESTS_SQL} select machine_id, relative_path from files a where manifest = 'new' and not exists (select 1 from files b where manifest = 'old' and a.machine_id = b.machine_id and a.relative_path = b.relative_path and a.sha256 = b.sha256)")
+def new_session_versions(spark, sf_dir):
+    f = V.manifest_files(spark, sf_dir)
+    return M.unknown(f.where("manifest = 'new'"), f.where("manifest = 'old'"), ["machine_id", "relative_path", "sha256"]).select("machine_id", "relative_path")
+
+
+@query("select user_id % 32 id, case when user_id % 2 = 0 then 'archive_missing' when user_id % 3 = 0 then 'workspace_missing' when user_id % 5 = 0 then 'workspace_damaged' when user_id % 7 = 0 then 'workspace_foreign' when user_id % 11 = 0 then 'behind' else 'current' end state, case when user_id % 2 = 0 then 'initialise' when user_id % 3 = 0 then 'download' when user_id % 5 = 0 then 'repair' when user_id % 7 = 0 then 'rebind' when user_id % 11 = 0 then 'download' else 'none' end next_action from events")
+def system_state(spark, sf_dir):
+    u = F.col("user_id")
+    facts = V.table(spark, sf_dir, "events").select((u % 32).alias("id"), (u % 2 != 0).alias("has_archive"), (u % 3 != 0).alias("has_workspace"), (u % 5 == 0).alias("damaged"), (u % 7 == 0).alias("foreign"), (u % 11 == 0).alias("behind"))
+    return M.system_state(facts)
+
+
+# -- tool calls ----------------------------------------------------------------------------------------------------
+
+
+@query("""with e as (select event_id, 'u' || user_id session_key, event_type, coalesce(cast(json_extract_string(props, '$.k') as bigint), event_id) k from events),
+  keyed as (select session_key, event_id, k, event_type from e where event_id % 3 <> 0), res as (select session_key, event_id, k, event_type from e where event_id % 2 = 0 and event_id % 3 <> 0),
+  lc as (select *, row_number() over (partition by session_key order by event_id) n from e where event_id % 3 = 0), lr as (select *, row_number() over (partition by session_key order by event_id) n from e where event_id % 6 = 0)
+  select c.session_key, 'e' || c.event_id entry_id, (coalesce(r.event_type, '') = 'error')::int is_error, case when r.event_type = 'error' then 'exit_code:' || (r.k % 5) else '' end error_signature, r.event_id is not null outcome_observed from keyed c left join res r on c.session_key = r.session_key and c.event_id = r.event_id
+  union all select c.session_key, 'e' || c.event_id, (coalesce(r.event_type, '') = 'error')::int, case when r.event_type = 'error' then 'exit_code:' || (r.k % 5) else '' end, r.event_id is not null from lc c left join lr r on c.session_key = r.session_key and c.n = r.n""")
+def tool_pairing(spark, sf_dir):
+    e = V.table(spark, sf_dir, "events").withColumn("k", F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.col("event_id"))).withColumn("session_key", F.concat(F.lit("u"), F.col("user_id")))
+    call_id = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("c"), F.col("event_id"))).otherwise("")
+    calls = e.select("session_key", F.concat(F.lit("e"), F.col("event_id")).alias("entry_id"), F.col("event_id").alias("line_no"), F.lit(0).alias("ordinal"), call_id.alias("call_id"), F.lit("Bash").alias("tool_name"), F.lit("go test ./...").alias("command"), F.lit("").alias("files_json"), F.lit("").alias("timestamp"), F.lit("").alias("project_key"))
+    results = e.where("event_id % 2 = 0").select("session_key", F.col("event_id").alias("line_no"), F.lit(0).alias("ordinal"), call_id.alias("for_id"), (F.col("event_type") == "error").alias("is_error"), F.lit("boom").alias("outcome_text"), (F.col("k") % 5).alias("exit_code"))
+    return pairing.tool_invocations(calls, results).select("session_key", "entry_id", "is_error", "error_signature", "outcome_observed")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
