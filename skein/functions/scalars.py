@@ -67,7 +67,7 @@ def truncated_utf8(text: Column, most: int) -> Column:
     """At most `most` bytes of text, cut back to a whole character."""
     raw = text.cast("binary")
     cuts = F.array(*[F.try_validate_utf8(F.substring(raw, 1, most - back).cast("string")) for back in range(4)])
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.element_at(F.filter(cuts, lambda c: c.isNotNull()), 1))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.get(F.filter(cuts, lambda c: c.isNotNull()), F.lit(0)))
 
 
 def sniff_media(content: Column) -> Column:

@@ -75,7 +75,7 @@ def snippet(text: Column, query: str, size: int = 12) -> Column:
     first = [w for p in phrases(query) for w in p]
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
     hit = lambda w: F.exists(tokens(w), lambda t: t.isin(first))
-    at = F.coalesce(F.element_at(F.filter(F.transform(words, lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull()), 1), F.lit(0))
+    at = F.coalesce(F.get(F.filter(F.transform(words, lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull()), F.lit(0)), F.lit(0))
     begin = F.greatest(at - size // 2, F.lit(0))
     shown = F.transform(F.slice(words, begin + 1, size), lambda w: F.when(hit(w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
     return F.concat(F.when(begin > 0, "…").otherwise(""), F.array_join(shown, " "), F.when(F.size(words) > begin + size, "…").otherwise(""))

@@ -199,11 +199,11 @@ def _bm25_sql(table: str, key: str, query_text: str) -> str:
     for i, words in enumerate(search.phrases(query_text)):
         f = f"len(list_filter(toks, lambda x: x = '{words[0]}'))" if len(words) == 1 else f"len(list_filter(range(1, greatest(len(toks) - {len(words) - 1}, 1) + 1), lambda i: toks[i:i + {len(words) - 1}] = {words}))"
         parts.append(f"{f} f{i}")
-        n = f"(select count(*) from c where f{i} > 0)"
-        idf = f"(case when ln(((select count(*) from c) - {n} + 0.5) / ({n} + 0.5)) <= 0 then 1e-6 else ln(((select count(*) from c) - {n} + 0.5) / ({n} + 0.5)) end)"
-        total.append(f"{idf} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / (select avg(dl) from c)))")
-    hit = " and ".join(f"f{i} > 0" for i in range(len(parts)))
-    return f"with t as ({_tokens_sql(table, key)}), c as (select id, len(toks) dl, {', '.join(parts)} from t) select id, -({' + '.join(total)}) score from c where {hit}"
+        idf = f"(case when ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 then 1e-6 else ln((n - n{i} + 0.5) / (n{i} + 0.5)) end)"
+        total.append(f"{idf} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / a))")
+    every = range(len(parts))
+    stats = ", ".join(["count(*) n", "avg(dl) a", *(f"sum((f{i} > 0)::int) n{i}" for i in every)])
+    return f"with t as materialized ({_tokens_sql(table, key)}), c as materialized (select id, len(toks) dl, {', '.join(parts)} from t), s as materialized (select {stats} from c) select id, -({' + '.join(total)}) score from c, s where {' and '.join(f'f{i} > 0' for i in every)}"
 
 
 _TOP = "select id, round(score, 9) score from ({}) order by 2, 1 limit 20"
@@ -223,10 +223,10 @@ def search_phrase(spark, sf_dir):
     return _top(search.bm25(V.table(spark, sf_dir, "documents"), "doc_id", "of/the"))
 
 
-@query(f"select s.id, round(score, 9) score from ({_bm25_sql('documents', 'doc_id', 'ération la')}) s join documents d on d.doc_id = s.id where d.lang = 'fr' and d.source >= 'src1' order by 2, 1 limit 20")
+@query(f"select s.id, round(score, 9) score from ({_bm25_sql('documents', 'doc_id', 'é des')}) s join documents d on d.doc_id = s.id where d.lang = 'fr' and d.source >= 'src1' order by 2, 1 limit 20")
 def search_facets(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
-    hits = search.bm25(docs, "doc_id", "ération la")
+    hits = search.bm25(docs, "doc_id", "é des")
     return _top(hits.join(docs.where("lang = 'fr' and source >= 'src1'").select(F.col("doc_id").alias("id")), "id", "left_semi"))
 
 
