@@ -4,7 +4,8 @@ Transducers rewrite a text step by step and keep, for each output character, the
 homoglyphs and full-width forms to ASCII, invisible characters to nothing, spelled digits to digits, and the
 disguises of @ and dots (" at ", "(at)", "[dot]" ...) to the characters. Identifiers found in the result are mapped
 back to source characters. Plain identifiers of the source always stay; found ones that overlap a plain one of
-any kind are the same datum and are dropped.
+any kind are the same datum and are dropped. Where a plain match fails because it ran from one identifier into the
+next ("+1 (555) 555-0100 4111..."), what it holds by usual grouping is added too.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_DIGITS = re.compile(r"[^0-9]")
+_DIGITS, _DIGIT = re.compile(r"[^0-9]"), re.compile(r"[0-9]")
+_CARD_GROUPS = re.compile(r"(?<![0-9])(?:[0-9]{14,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])")
+_PHONE_GROUPS = re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -50,22 +53,42 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _cards(text: str) -> list[tuple[int, int]]:
-    out = []
-    for m in _CARD.finditer(text):
-        digits = _DIGITS.sub("", m[0])
-        if 14 <= len(digits) <= 19 and luhn(digits):
-            out.append(m.span())
-    return out
+def _is_card(m: re.Match) -> bool:
+    digits = _DIGITS.sub("", m[0])
+    return 14 <= len(digits) <= 19 and luhn(digits)
+
+
+def _is_phone(m: re.Match) -> bool:
+    return 10 <= len(_DIGITS.sub("", m[0])) <= 15
+
+
+def _split(m: re.Match) -> list[tuple[int, int, int]]:
+    """Identifiers in a match that ran over the end of one into the next, by their usual grouping."""
+    inside = [(x.start(), 3, x.end()) for x in _PHONE_GROUPS.finditer(m.string, m.start(), m.end()) if _is_phone(x)]
+    return inside + [(x.start(), 2, x.end()) for x in _CARD_GROUPS.finditer(m.string, m.start(), m.end()) if _is_card(x)]
+
 
+def find(text: str, dropped: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of plain identifiers, leftmost and non-overlapping in each kind, by start and kind.
+
+    What failing matches hold by usual grouping is added to `dropped`, where it is given.
+    """
+    lost: list[re.Match] = []
+
+    def kept(pattern: re.Pattern, good) -> list[tuple[int, int]]:
+        found = list(pattern.finditer(text))
+        lost.extend(m for m in found if m.end() - m.start() > 13 and not good(m))
+        return [m.span() for m in found if good(m)]
 
-def find(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of plain identifiers, leftmost and non-overlapping in each kind, by start and kind."""
     out = [(a, 0, b) for a, b in _emails(text)] if "@" in text else []
+    if not _DIGIT.search(text):
+        return out
     out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(int(x[-4:]) <= 255 and len(x.lstrip("0")) < 4 for x in m[0].split("."))]
-    out += [(a, 2, b) for a, b in _cards(text)]
+    out += [(a, 2, b) for a, b in kept(_CARD, _is_card)]
     if "+" in text:
-        out += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 10 <= len(_DIGITS.sub("", m[0])) <= 15]
+        out += [(a, 3, b) for a, b in kept(_PHONE, _is_phone)]
+    if dropped is not None:
+        dropped += {x for m in lost for x in _split(m)}
     return sorted(out)
 
 
@@ -103,6 +126,7 @@ _DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_ATOM}(?:{_DOT}{_ATOM}){{0,4}}?
 _DISGUISE_HINT = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|arobase|arroba|point|punkt|punto)\s*[\])}>]|\s(?:dot|point|punkt|punto)\s|\s@|@\s", re.I)
 # Endings that let a plain "name at host.ending" count as an address.
 _PLAIN_TAIL = re.compile(r"\.(?:com|org|net|edu|gov|mil|info|biz|io|ai|dev|app|co|uk|us|eu|de|fr|es|it|nl|ch|at|be|pt|pl|se|ru|cn|jp|in|br|mx|ar|ca|au|test|example|invalid)$", re.I)
+_HINTS = ("dot", "point", "punkt", "punto", "arobase", "arroba", "at]", "at)", "at}", "at>", "at ]", "at )", "[.", "(.", "{.", "<.", "[ .", "( .")
 _IP_DISGUISED = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _AT_RE, _DOT_RE = re.compile(_AT, re.I), re.compile(_DOT, re.I)
 
@@ -155,9 +179,11 @@ def normalise(text: str) -> Mapped:
     out = Mapped(text)
     if not text.isascii() and _FOLD_RE.search(text):
         out.replace([(m.start(), m.end(), FOLD[m[0]]) for m in _FOLD_RE.finditer(text)])
-    if _RUN_HINT.search(out.text):
+    low = out.text.lower()
+    # cheap tests first: most texts have no spelled digit and no disguise
+    if not _SPELLED.keys().isdisjoint(w.strip(",.()-") for w in set(low.split())) and _RUN_HINT.search(out.text):
         out.replace([(m.start(), m.end(), new) for m in _RUN.finditer(out.text) if (new := _spelled(m[0]))])
-    if _DISGUISE_HINT.search(out.text):
+    if ("@" in low or any(h in low for h in _HINTS)) and _DISGUISE_HINT.search(out.text):
         edits = []
         for m in _DISGUISED.finditer(out.text):
             body, at = m[0], _AT_RE.search(m[0])
@@ -176,23 +202,23 @@ def normalise(text: str) -> Mapped:
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(plain spans, spans added by the transducers) of (start, kind, end) in source characters."""
-    base = find(text)
+    added: list[tuple[int, int, int]] = []
+    base = find(text, added)
     mapped = normalise(text)
-    if not mapped.changed:
-        return base, []
-    # candidates stay where they touch something rewritten; plain spans are known already
-    taken = sorted((a, b) for a, _, b in base)
-    starts = [a for a, _ in taken]
-    added = []
-    for a, kind, b in find(mapped.text):
-        lo, hi = mapped.begin[a], mapped.end[b - 1]
-        if hi - lo == b - a and text[lo:hi] == mapped.text[a:b]:
-            continue
-        i = bisect_left(starts, hi)
-        if any(x < hi and lo < y for x, y in taken[max(0, i - 6):i]):
-            continue
-        added.append((lo, kind, hi))
-    return base, added
+    if mapped.changed:
+        more: list[tuple[int, int, int]] = []
+        for a, kind, b in find(mapped.text, more) + more:
+            lo, hi = mapped.begin[a], mapped.end[b - 1]
+            # only what touches something rewritten is new
+            if hi - lo != b - a or text[lo:hi] != mapped.text[a:b]:
+                added.append((lo, kind, hi))
+    taken, new = sorted((a, b) for a, _, b in base), []
+    for a, kind, b in sorted(set(added)):
+        i = bisect_left(taken, (b,))
+        if not any(x < b and a < y for x, y in taken[max(0, i - 6):i]):
+            new.append((a, kind, b))
+            taken.insert(bisect_left(taken, (a, b)), (a, b))
+    return base, new
 
 
 def _joined(found: list[tuple[int, int, int]]) -> str:

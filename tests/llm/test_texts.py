@@ -72,6 +72,7 @@ def test_pii_base_and_disguises(spark, odd, nothing):
         "jоhn@exаmple.com": [("email", "jоhn@exаmple.com")],
         "４１１１ １１１１ １１１１ １１１１": [("card", "４１１１ １１１１ １１１１ １１１１")],
         "plus one five five five one two three four five six seven": [("phone", "plus one five five five one two three four five six seven")],
+        "+1 (578) 555-6437 4111111111111111 x": [("phone", "+1 (578) 555-6437"), ("card", "4111111111111111")],
         "rest at noon.Then we looked at one dot": [], "one two three four five": [], "": [],
     }.items():
         assert shown(text) == want, text
