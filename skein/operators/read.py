@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.lineage import cut
+
 BEFORE, AFTER, MOST = 3, 5, 200
 
 
@@ -36,11 +38,10 @@ def branches(entries: DataFrame, leaves: DataFrame) -> DataFrame:
     jump, step, size = up.select("session_key", "entry_id", F.col("parent_id").alias("above")), 1, entries.groupBy("session_key").count().agg(F.max("count")).first()[0] or 0
     while step <= size:
         more = walk.join(jump, ["session_key", "entry_id"]).where("above is not null")
-        walk = walk.unionByName(more.select("session_key", "leaf_id", F.col("above").alias("entry_id"), (F.col("depth") + step).alias("depth"))).checkpoint()
-        jump = jump.join(jump.select("session_key", F.col("entry_id").alias("above"), F.col("above").alias("next")), ["session_key", "above"], "left").select("session_key", "entry_id", F.col("next").alias("above")).checkpoint()
+        walk = cut(walk.unionByName(more.select("session_key", "leaf_id", F.col("above").alias("entry_id"), (F.col("depth") + step).alias("depth"))))
+        jump = cut(jump.join(jump.select("session_key", F.col("entry_id").alias("above"), F.col("above").alias("next")), ["session_key", "above"], "left").select("session_key", "entry_id", F.col("next").alias("above")))
         step *= 2
         if jump.where("above is not null").isEmpty():
-            more = None
             break
     if not jump.where("above is not null").isEmpty():
         raise ValueError("parents form a cycle")
@@ -62,8 +63,6 @@ def live_context(entries: DataFrame, leaves: DataFrame) -> DataFrame:
     cut = path.join(anchored.select("session_key", "leaf_id", "at", "stop"), ["session_key", "leaf_id"], "left")
     # an anchor nearer to the leaf than its compaction has been passed already and ends nothing
     kept = cut.where("participates_in_context = 1 and (stop is null or stop < at or depth <= stop)")
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("session_key", "leaf_id").orderBy(F.when(compaction, 0).otherwise(1), F.when(compaction, F.col("depth")).otherwise(-F.col("depth"))))
     return kept.select("session_key", "leaf_id", place.cast("bigint").alias("place"), "entry_id")
 
