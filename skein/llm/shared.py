@@ -15,13 +15,16 @@ BROADCAST_ROWS = 2_000_000
 _written: list[tuple[SparkSession, str]] = []
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if not found and not _own:
+        _own.append(tempfile.mkdtemp(prefix="skein-"))
+    where = spark._jvm.org.apache.hadoop.fs.Path(found or _own[0])
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
