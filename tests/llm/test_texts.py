@@ -185,7 +185,7 @@ def test_warc_round_trip(spark):
     for i, _, html in rows[:-1]:
         raw = (html or "").encode()
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
-    path = packages.first().path.removeprefix("file://").removeprefix("file:")
+    path = "/" + packages.first().path.removeprefix("file:").lstrip("/")
     assert zipfile.ZipFile(path).testzip() is None
     held = io.BytesIO()
     w = warc.PackageWriter(held, zip64=True)
