@@ -57,8 +57,10 @@ def bm25(docs: DataFrame, id_col: str, query: str, text_col: str = "text") -> Da
     wanted = phrases(query)
     if not wanted:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where("false")
-    toks = docs.where(F.trim(F.coalesce(text_col, F.lit(""))) != "").select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("toks"))
-    counted = toks.select("id", F.size("toks").alias("dl"), *[phrase_count(F.col("toks"), w).alias(f"f{i}") for i, w in enumerate(wanted)])
+    rows = docs.where(F.trim(F.coalesce(text_col, F.lit(""))) != "")
+    # tokens are a variable of the lambda, so that no rewrite of the plan computes them once for each position
+    found = F.transform(F.array(tokens(F.col(text_col))), lambda t: F.struct(F.size(t).alias("dl"), *[phrase_count(t, w).alias(f"f{i}") for i, w in enumerate(wanted)]))
+    counted = rows.select(F.col(id_col).alias("id"), F.inline(found))
     stats = counted.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"f{i}") > 0).cast("int")).alias(f"n{i}") for i in range(len(wanted))])
     hits = counted.where(" and ".join(f"f{i} > 0" for i in range(len(wanted)))).join(F.broadcast(stats))
     total = F.lit(0.0)

@@ -197,7 +197,9 @@ def _tokens_sql(table: str, key: str) -> str:
 def _bm25_sql(table: str, key: str, query_text: str) -> str:
     parts, total = [], []
     for i, words in enumerate(search.phrases(query_text)):
-        f = f"len(list_filter(toks, lambda x: x = '{words[0]}'))" if len(words) == 1 else f"len(list_filter(range(1, greatest(len(toks) - {len(words) - 1}, 1) + 1), lambda i: toks[i:i + {len(words) - 1}] = {words}))"
+        # a phrase of different words can't overlap itself, so it is counted in the joined tokens
+        joined, phrase = "(' ' || array_to_string(toks, '  ') || ' ')", f"' {'  '.join(words)} '"
+        f = f"((length({joined}) - length(replace({joined}, {phrase}, ''))) / length({phrase}))::bigint"
         parts.append(f"{f} f{i}")
         idf = f"(case when ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 then 1e-6 else ln((n - n{i} + 0.5) / (n{i} + 0.5)) end)"
         total.append(f"{idf} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / a))")
