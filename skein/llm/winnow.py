@@ -82,13 +82,14 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     """
     frame = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     order = materialise(following(frame, "doc"), "next")
-    repeated = order.count() < frame.where("doc is not null").count()
-    source = frame.where("doc is not null")
-    source = source.groupBy("doc").agg(F.min("text").alias("text")) if repeated else source
-    pairs = frame.join(order, "doc", "left").join(source.select(F.col("doc").alias("next"), F.col("text").alias("next_text")), "next", "left")
+    real = frame.where("doc is not null")
+    source = real if order.count() == real.count() else real.groupBy("doc").agg(F.min("text").alias("text"))
+    # texts are dealt out by id once, for both sides, and a second time to the document that they follow
+    after = source.join(order.select(F.col("next").alias("doc"), F.col("doc").alias("before")), "doc").select(F.col("before").alias("doc"), F.col("text").alias("next_text"))
+    pairs = real.join(after, "doc").select("doc", "text", "next_text").unionByName(frame.where("doc is null").select("doc", "text", F.lit("").alias("next_text")))
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
-    head = F.coalesce(F.col("next_text"), F.lit(""))
+    head = F.col("next_text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(head, F.lit(1), third))
     texts = pairs.select("doc", "text", head.alias("next_text"), n.cast("long").alias("n_chars"), edited.alias("edited"))
     marked = texts.select("doc", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), picks(F.col("text"), k, window).alias("a"), picks(F.col("edited"), k, window).alias("b"), picks(F.col("next_text"), k, window).alias("c"))
