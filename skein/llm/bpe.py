@@ -18,12 +18,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, small_batches
 
 #: Words of the broadcast table at most, and the bytes of the longest word it takes.
 WORDS = 200_000
 WORD_BYTES = 64
-_SLICE = 2_000_000
+_SLICE = 500_000
 # Fixed value: the split of byte-level BPE; white space is the Unicode property, as in the library.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
@@ -112,6 +112,7 @@ def _counts(path: str):
 
 def word_table(docs: DataFrame, path: str, text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(word, n, ids) of the most frequent distinct words, each encoded once; ids as little-endian 32-bit integers."""
+    small_batches(docs.sparkSession)
     counts = docs.where(F.col(text_col) != "").select(F.col(text_col).cast("string")).mapInArrow(_counts(path), "word string, n long")
     counts = counts.groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= WORD_BYTES))
     counts = materialise(counts, "words")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import MARKS, Words, slices, text_buffers
+from .shared import small_batches
 
 #: Shortest run of tokens that counts as a match.
 MIN_MATCH = 4
@@ -139,6 +140,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     shuffled. Null and empty texts and items match nothing; repeated rows match each for itself.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.where(F.col(item_text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowtext import mix, slices, text_buffers
+from .shared import small_batches
 
 ORDER = 4
 #: Bytes of text a language that the models are fitted on, and the share of them kept for calibration.
@@ -208,6 +209,7 @@ def _gram_counts(alphabet: np.ndarray):
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit and calibrate on rows with a text and a language; raises ValueError where there are none."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(9)).alias("h"))
     sizes = {r.lang: r.b for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
     if not sizes:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import Words, mix, slices, text_buffers
-from .shared import BROADCAST_ROWS, bounded, components, materialise
+from .shared import BROADCAST_ROWS, bounded, components, materialise, small_batches
 
 #: Documents in the sample of common shingles, and the documents of it that a common one is in.
 SAMPLE = 10_000
@@ -226,6 +226,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shingles and no links; rows of equal words are one class from the start. A row with a null id keeps its
     count and has a null component_id, and takes no part in links. Repeated ids give one row for each input row.
     """
+    small_batches(docs.sparkSession)
     frame = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     keyed = materialise(frame.select("doc", "text").mapInArrow(_keys(k), "doc_id long, n_shingles long, k1 long, k2 long"), "keys")
     real = keyed.where("doc_id is not null and n_shingles > 0")

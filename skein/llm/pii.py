@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 RESULT = "struct<n_email: long, n_ip: long, n_card: long, n_phone: long, base_sha256: string, spans: string, n_disguised: long>"
 
@@ -259,10 +261,12 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Null and empty texts have no spans; ids may be null or repeated. Positions are code points, ends exclusive.
     """
+    small_batches(docs.sparkSession)
     found = docs.select(F.col(id_col).alias("doc_id"), F.arrow_udf(_report, RESULT).asNondeterministic()(F.col(text_col).cast("string")).alias("r"))
     return found.select("doc_id", "r.*")
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with identifiers in text_col replaced; null stays null."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(text_col, F.arrow_udf(_redacted, "string")(F.col(text_col)))

@@ -12,9 +12,20 @@ from pyspark.sql import functions as F
 #: Rows up to which an id table is broadcast; beyond it the same join is left to a shuffle.
 BROADCAST_ROWS = 2_000_000
 
+#: Bytes of an Arrow batch at most: long texts then take few rows a batch, and Python workers stay small.
+BATCH_BYTES = 8 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_BYTES; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 _own: list[str] = []
 
 
