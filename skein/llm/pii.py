@@ -125,10 +125,10 @@ _AT = r"(?:\s*[\[({<]\s*(?:at|@|arobase|arroba)\s*[\])}>]\s*|\s+(?:at|arobase|ar
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|point|punkt|punto|\.)\s*[\])}>]\s*|\s+(?:dot|point|punkt|punto)\s+|\s+\.\s+|\.)"
 _ATOM = r"[A-Za-z0-9_%+-]{1,64}"
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_ATOM}(?:{_DOT}{_ATOM}){{0,4}}?{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,5}}(?![A-Za-z0-9])", re.I)
-_DISGUISE_HINT = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|arobase|arroba|point|punkt|punto)\s*[\])}>]|\s(?:dot|point|punkt|punto)\s|\s@|@\s", re.I)
+# True wherever _DISGUISED or _IP_DISGUISED would rewrite anything: a bracketed sign, a spaced @ or dot, a dot word, or a plain "at" before a dotted host.
+_DISGUISE_HINT = re.compile(r"[\s\[({<@](?:(?<=[\[({<])\s*(?:at|@|arobase|arroba|dot|point|punkt|punto|\.)\s*[\])}>]|(?<=\s)(?:@|\.\s|(?:dot|point|punkt|punto)\s|(?:at|arobase|arroba)\s+[A-Za-z0-9-]{1,63}\.[A-Za-z0-9-])|(?<=@)\s)", re.I)
 # Endings that let a plain "name at host.ending" count as an address.
 _PLAIN_TAIL = re.compile(r"\.(?:com|org|net|edu|gov|mil|info|biz|io|ai|dev|app|co|uk|us|eu|de|fr|es|it|nl|ch|at|be|pt|pl|se|ru|cn|jp|in|br|mx|ar|ca|au|test|example|invalid)$", re.I)
-_HINTS = ("dot", "point", "punkt", "punto", "arobase", "arroba", "at]", "at)", "at}", "at>", "at ]", "at )", "[.", "(.", "{.", "<.", "[ .", "( .")
 _IP_DISGUISED = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _AT_RE, _DOT_RE = re.compile(_AT, re.I), re.compile(_DOT, re.I)
 
@@ -185,7 +185,7 @@ def normalise(text: str) -> Mapped:
     # cheap tests first: most texts have no spelled digit and no disguise
     if not _SPELLED.keys().isdisjoint(w.strip(",.()-") for w in set(low.split())) and _RUN_HINT.search(out.text):
         out.replace([(m.start(), m.end(), new) for m in _RUN.finditer(out.text) if (new := _spelled(m[0]))])
-    if ("@" in low or any(h in low for h in _HINTS)) and _DISGUISE_HINT.search(out.text):
+    if _DISGUISE_HINT.search(out.text):
         edits = []
         for m in _DISGUISED.finditer(out.text):
             body, at = m[0], _AT_RE.search(m[0])

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -84,6 +85,19 @@ def test_pii_base_and_disguises(spark, odd, nothing):
     assert pii.detect(nothing).count() == 0 and pii.detect(odd).count() == 4
 
 
+def test_pii_disguise_gate_drops_nothing(monkeypatch):
+    shown = lambda t: [(pii.KINDS[k], t[a:b]) for a, k, b in sorted(sum(pii.spans(t), []))]
+    for text in ("jane at example.com", "jane { at } host.com", "jane <at> host.com", "jane (  at\t) host.com", "jane@host . com", "jane AT example.com", "jane arroba example.org"):
+        assert shown(f"write to: {text}") == [("email", text)], text
+    assert shown("at 10 . 20 . 30 . 40,") == [("ip", "10 . 20 . 30 . 40")] and shown("we meet at noon.Then we go") == []
+    rng = random.Random(8)
+    pieces = ["jane", "host", "com", "b-c", "ſ", "7", "10", "at", "AT", "arobase", "dot", "punto", "@", ".", ".", "[", "(", "{", "<", "]", ")", "}", ">", " ", " ", "  ", "\t", "\n", ",", "é", "at host.com", "( at )", "10.2.3"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14))) for _ in range(40_000)]
+    gated = [pii.spans(t) for t in texts]
+    monkeypatch.setattr(pii, "_DISGUISE_HINT", re.compile(""))
+    assert gated == [pii.spans(t) for t in texts] and sum(bool(new) for _, new in gated) > 200
+
+
 def test_pii_base_equals_plain_patterns():
     import re
 
