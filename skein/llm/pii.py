@@ -119,7 +119,10 @@ _PART = rf"(?:{_DIGIT_WORD}|(?:double|triple)\s+{_DIGIT_WORD}|plus|[0-9]+)"
 _RUN = re.compile(rf"(?<!\w)(?:plus\s+|\+\s?)?{_PART}(?:{_JOIN}(?:dot\s+|point\s+|punkt\s+|punto\s+)?{_PART}){{3,}}(?!\w)", re.I)
 _WORD = re.compile(r"\w+|[^\w]+")
 _DOT_WORDS = {"dot", "point", "punkt", "punto"}
-_RUN_HINT = re.compile(rf"(?<!\w){_DIGIT_WORD}[\s,.()-]{{1,3}}(?:dot\s+|point\s+|punkt\s+|punto\s+|double\s+|triple\s+)?{_DIGIT_WORD}(?!\w)", re.I)
+# True wherever a _RUN holds the three digit words that _spelled asks for.
+_BETWEEN = r"(?:[\s,.()+0-9-]++|plus|dot|point|punkt|punto|double|triple)++"
+_RUN_HINT = re.compile(rf"(?<!\w){_DIGIT_WORD}(?:{_BETWEEN}{_DIGIT_WORD}){{2}}(?!\w)", re.I)
+_WORDS = re.compile(r"\w+")
 
 _AT = r"(?:\s*[\[({<]\s*(?:at|@|arobase|arroba)\s*[\])}>]\s*|\s+(?:at|arobase|arroba)\s+|\s+@\s*|\s*@\s+|@)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|point|punkt|punto|\.)\s*[\])}>]\s*|\s+(?:dot|point|punkt|punto)\s+|\s+\.\s+|\.)"
@@ -181,9 +184,8 @@ def normalise(text: str) -> Mapped:
     out = Mapped(text)
     if not text.isascii() and _FOLD_RE.search(text):
         out.replace([(m.start(), m.end(), FOLD[m[0]]) for m in _FOLD_RE.finditer(text)])
-    low = out.text.lower()
-    # cheap tests first: most texts have no spelled digit and no disguise
-    if not _SPELLED.keys().isdisjoint(w.strip(",.()-") for w in set(low.split())) and _RUN_HINT.search(out.text):
+    # cheap tests first, true wherever the scan behind them finds anything: most texts have no spelled digit and no disguise
+    if sum(map(_SPELLED.__contains__, _WORDS.findall(out.text.lower()))) >= 3 and _RUN_HINT.search(out.text):
         out.replace([(m.start(), m.end(), new) for m in _RUN.finditer(out.text) if (new := _spelled(m[0]))])
     if _DISGUISE_HINT.search(out.text):
         edits = []

@@ -98,6 +98,21 @@ def test_pii_disguise_gate_drops_nothing(monkeypatch):
     assert gated == [pii.spans(t) for t in texts] and sum(bool(new) for _, new in gated) > 200
 
 
+def test_pii_spelled_gate_drops_nothing(monkeypatch):
+    shown = lambda t: [(pii.KINDS[k], t[a:b]) for a, k, b in sorted(sum(pii.spans(t), []))]
+    for kind, text in (("phone", "plus one-five-five-five-oh-one-two-three-four-five-six"), ("phone", "plus 1 five 7 five 5 oh 1 two 3 four"), ("ip", "one.two.three.four"), ("ip", "10.two.three.four"),
+                       ("card", ",".join(["four"] + ["one"] * 15)), ("card", "-".join(["four"] + ["one"] * 15)), ("card", "four 1 one 1 1 one 11 1111 1111")):
+        assert shown(f'call "{text}".') == [(kind, text)], text
+    rng = random.Random(9)
+    pieces = ["one", "five", "FIVE", "ſix", "oh", "un", "neuf", "plus", "double", "triple", "dot", "1", "42", "4111", "+", "x", "_"]
+    joins = [" ", " ", " ", "-", ",", ".", ", ", " (", ") ", "/", "", "    "]
+    texts = ["".join(rng.choice(pieces) + rng.choice(joins) for _ in range(rng.randrange(1, 22))) for _ in range(30_000)]
+    gated = [pii.spans(t) for t in texts]
+    monkeypatch.setattr(pii, "_RUN_HINT", re.compile(""))
+    monkeypatch.setattr(pii, "_WORDS", type("Always", (), {"findall": lambda self, text: ["one"] * 3})())
+    assert gated == [pii.spans(t) for t in texts] and sum(bool(new) for _, new in gated) > 50
+
+
 def test_pii_base_equals_plain_patterns():
     import re
 
