@@ -3,8 +3,9 @@
 Counts of all training words are one distributed aggregation. The words up to a fixed number are the model's own;
 the output softmax is factored by frequency classes (class, then word in class); all other words share one symbol,
 and which of them it is comes from their counts, with a discount that leaves room for words never seen. Weights
-are fitted in numpy by back-propagation through windows of STEPS tokens: one task warms the model up, then every
-shard of a fixed share of the training documents goes on from there and the shards' weights are averaged.
+are fitted in numpy by back-propagation through windows of STEPS tokens: one task warms the model up on a bounded
+draw, then every shard goes on from there with all of its training documents, also where there is one shard only,
+and the shards' weights are averaged.
 
 Documents are scored whole: many are run side by side, the state is carried from window to window and cleared
 between documents. Frequent words are looked up where they stand, in a table of bounded size; the others are
@@ -31,9 +32,9 @@ CLASSES = 40
 MODEL_WORDS = 2000
 TABLE_WORDS = 200_000
 STEPS = 32
-#: Documents a training shard stands for, and the share of them it learns from.
+#: Documents of a training shard, and of the warm-up.
 SHARD_DOCS = 8192
-SHARE = 0.06
+WARM_DOCS = 983
 DISCOUNT = 0.5
 _OTHER, _END = 0, 1
 LN10 = math.log(10)
@@ -116,11 +117,11 @@ class Network:
         h = np.zeros((streams.shape[1], u), np.float32)
         before = np.vstack([np.full((1, streams.shape[1]), _END, streams.dtype), streams[:-1]])
         before = np.where(fresh, _END, before)
-        for lo in range(0, len(streams) - STEPS + 1, STEPS):
+        for lo in range(0, len(streams), STEPS):
             x, y, new = before[lo:lo + STEPS], streams[lo:lo + STEPS], fresh[lo:lo + STEPS]
             table = w["E"] @ w["X"] + w["b"]
             kept, states = [], []
-            for t in range(STEPS):
+            for t in range(len(y)):
                 h = h * (1 - new[t])[:, None].astype(np.float32)
                 p, q = table[x[t]], h @ w["U"]
                 zr = 1 / (1 + np.exp(-(p[:, :2 * u] + q[:, :2 * u])))
@@ -131,10 +132,10 @@ class Network:
                 states.append(h)
             grad = {k: np.zeros_like(v) for k, v in w.items()}
             _, dout = self.outputs(np.concatenate(states), y.ravel(), grad)
-            dout = dout.reshape(STEPS, -1, u)
+            dout = dout.reshape(len(y), -1, u)
             dh = np.zeros_like(h)
             dtable = np.zeros_like(table)
-            for t in range(STEPS - 1, -1, -1):
+            for t in range(len(y) - 1, -1, -1):
                 old, z, r, n, qn = kept[t]
                 dh = dh + dout[t]
                 dn = dh * (1 - z) * (1 - n * n)
@@ -258,23 +259,23 @@ def _count(batches):
 
 
 def _streams(docs: list[np.ndarray], side: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents one after another, cut into `side` streams of equal length."""
+    """Documents one after another, cut into `side` streams of equal length; the last is filled up from the first document on."""
     ids, fresh = np.concatenate(docs), np.zeros(sum(map(len, docs)), bool)
     fresh[np.append(0, np.cumsum([len(d) for d in docs])[:-1])] = True
-    n = len(ids) // side
-    return ids[:n * side].reshape(side, n).T.copy(), fresh[:n * side].reshape(side, n).T.copy()
+    n = -(-len(ids) // side)
+    return np.resize(ids, n * side).reshape(side, n).T.copy(), np.resize(fresh, n * side).reshape(side, n).T.copy()
 
 
 def _fit(box, weights, side: int):
-    """Weights after one pass over a task's documents; a task without enough of them reports none."""
+    """Weights after one pass over a task's documents, in fewer streams if they are short; a task without any reports none."""
     def run(batches):
         lexicon = box.value
         docs = [lexicon.model_ids(lexicon.ids(t.as_py())[1]) for batch in batches for t in batch.column(0)]
-        if sum(map(len, docs)) >= side * STEPS:
+        if docs:
             net = Network(lexicon.model_counts())
             if weights is not None:
                 net.w = {k: v.copy() for k, v in weights.value.items()}
-            net.train(*_streams(docs, side))
+            net.train(*_streams(docs, max(1, min(side, sum(map(len, docs)) // STEPS))))
             yield _row(net.w, 1)
     return run
 
@@ -303,22 +304,19 @@ def _unpacked(flat: np.ndarray, like: dict) -> dict:
 
 
 def fit(texts: DataFrame, lexicon: Lexicon, n_docs: int) -> Network:
-    """Warm up on one shard's share of texts (id, text), then average all shards' weights."""
+    """Warm up on a bounded draw of texts (id, text), then average the weights of shards that hold all of them."""
     spark = texts.sparkSession
     box = spark.sparkContext.broadcast(lexicon)
     shards = max(1, n_docs // SHARD_DOCS)
     net = Network(lexicon.model_counts())
     draw = texts.withColumn("h", F.pmod(F.xxhash64("id", F.lit(4)), F.lit(1 << 20)) / float(1 << 20))
     schema = "weights binary, n long"
-    warm = draw.where(F.col("h") < min(1.0, max(SHARE * 2 * SHARD_DOCS, 600) / max(1, n_docs))).select("text").repartition(1)
+    warm = draw.where(F.col("h") < min(1.0, WARM_DOCS / max(1, n_docs))).select("text").repartition(1)
     first = warm.mapInArrow(_fit(box, None, 32), schema).collect()
-    if not first:
-        return net
-    net.w = _unpacked(np.frombuffer(first[0].weights, "<f4"), net.w)
-    if shards == 1:
-        return net
+    if first:
+        net.w = _unpacked(np.frombuffer(first[0].weights, "<f4"), net.w)
     weights = spark.sparkContext.broadcast(net.w)
-    rows = draw.where(F.col("h") >= 1 - SHARE).repartition(shards, F.xxhash64("id", F.lit(5))).select("text").mapInArrow(_fit(box, weights, 64), schema)
+    rows = texts.repartition(shards, F.xxhash64("id", F.lit(5))).select("text").mapInArrow(_fit(box, weights, 64), schema)
     rows, left = materialise(rows, "weights"), shards
     while left > 16:
         left = -(-left // 16)

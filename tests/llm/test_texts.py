@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,33 @@ def test_lm_gradient_and_learning():
     assert net.log_probabilities(docs)[0] > before / 2
 
 
+@pytest.mark.parametrize("n", [300, 20_000])
+def test_lm_shards_learn_from_every_document(spark, tmp_path, monkeypatch, n):
+    def counting(box, weights, side):
+        def run(batches):
+            import uuid
+
+            docs = sum(b.num_rows for b in batches)
+            (tmp_path / f"{'warm' if weights is None else 'shard'}-{uuid.uuid4()}").write_text(str(docs))
+            yield lm._row(lm.Network(box.value.model_counts()).w, 1)
+        return run
+
+    monkeypatch.setattr(lm, "_fit", counting)
+    lm.fit(spark.range(n).withColumn("text", F.lit("a b c")), lm.Lexicon([b"a", b"b", b"c"], np.array([n, n, n]), 4 * n, 4, n), n)
+    seen = lambda kind: [int(p.read_text()) for p in tmp_path.glob(f"{kind}-*")]
+    assert sum(seen("shard")) == n and len(seen("shard")) == max(1, n // lm.SHARD_DOCS) and 0 < sum(seen("warm")) <= 1100
+
+
+def test_lm_learns_from_every_token():
+    docs = [np.array([2, 3, 4, 5, 1], np.int32)] * 27
+    ids, fresh = lm._streams(docs, 4)
+    assert ids.T.ravel()[:135].tolist() == np.concatenate(docs).tolist() and fresh.sum() == 28
+    box = type("Box", (), {"value": lm.Lexicon([b"a", b"b"], np.array([3, 2]), 6, 3, 1)})()
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b a"])], names=["text"])
+    few = list(lm._fit(box, None, 64)([batch]))
+    assert len(few) == 1 and few[0].column(0)[0].as_py() != lm._row(lm.Network(box.value.model_counts()).w, 1).column(0)[0].as_py()
+
+
 def test_winnowing_guarantee_and_edits(spark, texts, odd, nothing):
     df, held = texts
     order = sorted(held, reverse=True)
