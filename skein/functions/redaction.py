@@ -109,8 +109,9 @@ def error_signature(text: Column) -> Column:
     for pattern, to in SIGNATURE:
         c = F.regexp_replace(c, F.lit(java(pattern)), F.lit(to))
     c = _trim(c)
-    cut = F.substring(c.cast("binary"), 1, SIGNATURE_BYTES)
-    return F.when(F.octet_length(c) > SIGNATURE_BYTES, F.try_validate_utf8(cut.cast("string"))).otherwise(c)
+    # a cut inside a character goes back to the character's start
+    cuts = [F.try_validate_utf8(F.substring(c.cast("binary"), 1, SIGNATURE_BYTES - k).cast("string")) for k in range(4)]
+    return F.when(F.octet_length(c) > SIGNATURE_BYTES, F.coalesce(*cuts)).otherwise(c)
 
 
 def _trim(text: Column) -> Column:

@@ -153,6 +153,12 @@ def error_signature(spark, sf_dir):
     return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", R.error_signature(F.substring("text", 1, 60)).alias("signature"))
 
 
+@query()
+def error_signature_whole(spark, sf_dir):
+    """The signatures of whole turns; error_signature and its SQL stop at 60 characters and never reach the cut at 200 bytes."""
+    return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", R.error_signature(F.col("text")).alias("signature"))
+
+
 @query("""select event_id, case k % 6 when 0 then 'gh pr create' when 1 then 'git push origin' when 2 then 'gh api' when 3 then 'ls' when 4 then 'go test' else 't' || (k % 3) end family from (select event_id, coalesce(cast(json_extract_string(props, '$.k') as bigint), event_id) k from events)""")
 def command_family(spark, sf_dir):
     inv = V.table(spark, sf_dir, "events").withColumn("k", F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.col("event_id")))

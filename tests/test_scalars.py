@@ -70,3 +70,23 @@ def test_keys_refs_and_paths(spark):
     assert _one(spark, S.truncated_utf8(F.col("t"), 4), t="aéé!") == "aé"
     assert _one(spark, S.parse_ts(F.col("t")), t="2026-01-01") is None
     assert _one(spark, S.parse_ts(F.col("t")), t="2026-01-01T00:00:00Z") is not None
+
+
+def test_whole_signatures_equal_brute_force(spark, tmp_path):
+    import re
+
+    from skein.plans import catalog
+
+    def plain(t):
+        for name, pattern in R.SECRETS:
+            t = re.sub(pattern, f"[REDACTED:{name}]", t, flags=re.A)
+        t = t.lower()
+        for pattern, to in R.SIGNATURE:
+            t = re.sub(pattern, to, t, flags=re.A)
+        return t.strip().encode()[:200].decode(errors="ignore")
+
+    pad = "could not go on with the next of the steps after the first, "
+    texts = ["short 12", pad + "see /var/log/x and 42", pad[:55] + "/home/someone/project/file", pad[:50] + "ghp_" + "a1B2" * 9 + " end", pad * 6] + ["x" * n + "é日🙂" * 30 for n in range(190, 203)]
+    spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.signature for r in catalog.QUERIES["error_signature_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
