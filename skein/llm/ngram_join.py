@@ -15,7 +15,8 @@ exact segments is found by these, one in which both fall short by the wider nets
 
 Candidates are verified on whole texts. Links inside a component that is known already are not verified again:
 each document's likeliest hub comes first, then every pair of members of a group that are still in different
-components; where many documents share a segment these pairs are tested in blocks and don't become rows.
+components. Where many documents share a segment these pairs don't become rows: blocks of shingle sets are held
+against each other, and each pair of blocks returns only links that join two components, fewer than its documents.
 """
 
 from __future__ import annotations
@@ -31,9 +32,12 @@ from .shared import BROADCAST_ROWS, bounded, components, materialise, small_batc
 #: Documents in the sample of common shingles, and the documents of it that a common one is in.
 SAMPLE = 10_000
 COMMON = 4
-#: Documents that share a segment, beyond which its pairs are looked for in blocks, and the size of a block.
+#: Documents that share a segment, beyond which its links are looked for in blocks; documents and shingles of a block.
 HOT = 64
-BLOCK = 256
+BLOCK = 1024
+BLOCK_SHINGLES = 1 << 18
+#: Documents of the sample that share a segment, beyond which its rows are not gathered in one task to be counted.
+HEAVY = 10
 SHINGLE = 5
 
 
@@ -66,7 +70,8 @@ def segment_rows(row: np.ndarray, token: np.ndarray, size: np.ndarray, common: n
             yield out
             if short.any():  # every shingle is a signature
                 take = short[row]
-                yield row[take], mix(token[take] + np.uint64(77)) >> np.uint64(8), size[row[take]], size[row[take]], size[row[take]]
+                none = np.zeros(int(take.sum()), np.int64)  # no segments: such rows meet whatever their sizes are
+                yield row[take], mix(token[take] + np.uint64(77)) >> np.uint64(8), size[row[take]], none, none
 
 
 def _segmented(row: np.ndarray, token: np.ndarray, size: np.ndarray, num: int, den: int, space: int):
@@ -129,10 +134,14 @@ def _shingles(k: int):
     return run
 
 
-def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Shingles of COMMON or more of a sample of SAMPLE documents, sorted; no result depends on the sample."""
+def sampled(docs: DataFrame) -> DataFrame:
+    """About SAMPLE documents, by a hash of their ids; no result depends on which they are."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20))
+    return docs.where(F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20))
+
+
+def common_shingles(sample: DataFrame, k: int) -> np.ndarray:
+    """Shingles of COMMON or more documents of a sample, sorted."""
     counts = sample.select("text").mapInArrow(_shingles(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
     return np.sort(counts.select("token").toArrow().column(0).to_numpy().view(np.uint64))
 
@@ -158,14 +167,20 @@ def _parity(token: np.ndarray) -> bytes:
     return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def _sketches(k: int):
+def _sketches(k: int, sets: bool = False):
+    """(doc, n, bits) of each text, or with sets (doc, n, bits, shingles)."""
     def run(batches):
         for batch in batches:
             at, data = text_buffers(batch.column(1))
             for lo, hi in slices(at):
                 row, token = Words(at, data, lo, hi, fold=True).shingle_sets(k)
                 edge = np.searchsorted(row, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(edge).astype(np.int32)), pa.array([_parity(token[x:y]) for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], names=["doc", "n", "bits"])
+                own = [token[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
+                columns = [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(edge).astype(np.int32)), pa.array(map(_parity, own), pa.binary())]
+                names = ["doc", "n", "bits"]
+                if sets:
+                    columns, names = [*columns, pa.array([x.tobytes() for x in own], pa.binary())], [*names, "shingles"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
     return run
 
 
@@ -230,8 +245,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frame = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     keyed = materialise(frame.select("doc", "text").mapInArrow(_keys(k), "doc_id long, n_shingles long, k1 long, k2 long"), "keys")
     real = keyed.where("doc_id is not null and n_shingles > 0")
-    least = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
-    member = materialise(real.join(least.where("c > 1"), ["k1", "k2"]).select("doc_id", "rep").distinct(), "members")
+    # written first, so that the join below it is a plain one, which adaptive execution may split
+    least = materialise(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "classes")
+    member = materialise(real.join(bounded(least), ["k1", "k2"]).select("doc_id", "rep").distinct(), "members")
     extra = materialise(member.where("doc_id <> rep").select(F.col("doc_id").alias("doc")), "copies")
     reps = frame.where("doc is not null").join(bounded(extra), "doc", "left_anti")
     comp = materialise(_join_components(reps, k, num, den), "classes")
@@ -239,20 +255,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rep.join(comp, rep.rep == comp.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
+def _shared_segments(reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(sig, doc, size, m, lost, c): rows of signatures that c rows have, two at least."""
+    spark = reps.sparkSession
+    sample = sampled(reps)
+    box = spark.sparkContext.broadcast(common_shingles(sample, k))
+    sign = lambda d: d.select("doc", "text").mapInArrow(_signatures(k, num, den, box), "sig long, doc long, size int, m int, lost int")
+    # signatures of large families are known from the sample: no more of them than the sample has rows / HEAVY
+    heavy = materialise(sign(sample).groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= HEAVY).select("sig"), "heavy")
+    every = sign(reps)
+    window = F.count("*").over(Window.partitionBy("sig"))
+    if heavy.isEmpty():
+        return materialise(every.withColumn("c", window).where("c > 1").dropDuplicates(["sig", "doc"]), "signatures")
+    marked = every.join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), "sig", "left")
+    # a row of a heavy signature is its own group in the window, so that no task gathers them
+    spread = F.when(F.col("heavy"), F.xxhash64("sig", "doc")).otherwise(F.lit(0))
+    counted = marked.withColumn("spread", spread).withColumn("c", F.count("*").over(Window.partitionBy("sig", "spread"))).where("heavy or c > 1")
+    counted = materialise(counted.drop("spread").dropDuplicates(["sig", "doc"]), "signatures")
+    counts = materialise(counted.where("heavy").groupBy("sig").agg(F.count("*").alias("all")).where(F.col("all") > 1), "heavy")
+    light = counted.where("heavy is null").select("sig", "doc", "size", "m", "lost", "c")
+    return light.unionByName(counted.where("heavy").drop("c").join(F.broadcast(counts), "sig").select("sig", "doc", "size", "m", "lost", F.col("all").alias("c")))
+
+
 def _join_components(reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(node, component) of the distinct documents that link with another."""
-    box = reps.sparkSession.sparkContext.broadcast(common_shingles(reps, k))
-    sig = reps.select("doc", "text").mapInArrow(_signatures(k, num, den, box), "sig long, doc long, size int, m int, lost int")
-    rows = sig.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1").dropDuplicates(["sig", "doc"])
-    rows = materialise(rows, "signatures")
+    rows = _shared_segments(reps, k, num, den)
     # what a document's segments have in common with others: the source of a family of copies has most of it
-    support = rows.groupBy("doc").agg(F.sum("c").alias("support"))
-    rows = rows.drop("c").join(support, "doc").select("sig", "doc", "size", "m", "lost", "support")
+    support = materialise(rows.groupBy("doc").agg(F.sum("c").alias("support")), "support")
+    rows = rows.drop("c").join(bounded(support), "doc").select("sig", "doc", "size", "m", "lost", "support")
     check = Verifier(reps, rows, k, num, den)
     fits = f"{den} * least(sa, sb) >= {num} * greatest(sa, sb)"
     # first each document against its likeliest hub, which settles most components and is no more than a shortcut
     hub = F.min(F.struct((-F.col("support")).alias("h"), F.col("doc").alias("hub"), F.col("size").alias("sh"))).alias("hub")
-    stars = rows.join(rows.groupBy("sig").agg(hub), "sig").where("doc <> hub.hub").select(F.col("hub.hub").alias("a"), F.col("hub.sh").alias("sa"), F.col("doc").alias("b"), F.col("size").alias("sb")).where(fits)
+    hubs = rows.groupBy("sig").agg(hub)
+    stars = rows.join(hubs, "sig").where("doc <> hub.hub").select(F.col("hub.hub").alias("a"), F.col("hub.sh").alias("sa"), F.col("doc").alias("b"), F.col("size").alias("sb")).where(fits)
     pairs = stars.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
     links = check.links(materialise(pairs.select("a", "b"), "pairs"))
     comp = None if links.isEmpty() else components(links)
@@ -266,26 +302,30 @@ def _join_components(reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
     least = F.expr(f"m - floor((sa + sb) * {den - num} / {den + num}) - least(la, lb)")
     light = side("a").join(side("b"), ["sig", "m"]).where(f"a < b and ca <> cb and {fits}")
     light = light.groupBy("a", "b", "m").agg(F.count("*").alias("n"), F.first("sa").alias("sa"), F.first("sb").alias("sb"), F.first("la").alias("la"), F.first("lb").alias("lb")).where(F.col("n") >= least).select("a", "b")
+    more = check.links(materialise(light.distinct(), "pairs"))
     many = live.where(F.col("c") > HOT)
     if not many.isEmpty():
-        light = light.unionByName(_families(many, check, num, den))
-    more = check.links(materialise(light.distinct(), "pairs"))
+        more = more.unionByName(_families(many, reps, k, num, den))
     if more.isEmpty():
         return comp if comp is not None else rows.select(F.col("doc").alias("node"), F.col("doc").alias("component")).limit(0)
     return components(links.unionByName(more))
 
 
-def _families(many: DataFrame, check: Verifier, num: int, den: int) -> DataFrame:
-    """(a, b): pairs of different components, not ruled out by bitmaps, among documents that common segments connect.
+def _families(many: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b): verified links that join the components of documents that common segments connect.
 
-    A family is cut into blocks of about BLOCK documents of like size; each pair of blocks whose sizes may link is
-    one group, so that a family of any size is spread over many tasks and no pair becomes a row unless it is likely.
+    A family is cut into bands of like size and these into blocks of at most about BLOCK documents and
+    BLOCK_SHINGLES shingles; each pair of blocks whose sizes may link is one group, so that a family of any size is
+    spread over many tasks. A group returns a spanning forest: a link only where it joins two components.
     """
-    family = components(many.select(F.col("hub").alias("a"), F.col("doc").alias("b")))
-    docs = many.select("doc", "component").distinct().join(family.select(F.col("node").alias("doc"), F.col("component").alias("family")), "doc")
-    docs = docs.join(check.bits, "doc").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)))).cast("int"))
+    edges = materialise(many.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "families")
+    family = components(edges)
+    known = many.select("doc", "component").distinct().join(family.select(F.col("node").alias("doc"), F.col("component").alias("family")), "doc")
+    known = materialise(known, "families")
+    sets = reps.join(bounded(known.select("doc")), "doc", "left_semi").select("doc", "text").mapInArrow(_sketches(k, True), "doc long, n int, bits binary, shingles binary")
+    docs = sets.join(bounded(known), "doc").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)))).cast("int"))
     docs = materialise(docs, "families")
-    parts = docs.groupBy("family", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    parts = docs.groupBy("family", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     near = docs
     for name, shift in (("here", 0), ("up", 1), ("down", -1)):
         near = near.join(parts.select("family", (F.col("band") - shift).alias("band"), F.col("parts").alias(name)), ["family", "band"], "left")
@@ -297,15 +337,17 @@ def _families(many: DataFrame, check: Verifier, num: int, den: int) -> DataFrame
         F.transform(span(F.col("here")), lambda j: flag(F.col("band"), F.least(part, j), F.greatest(part, j), False)),
         F.when(F.col("up").isNull(), none).otherwise(F.transform(span(F.col("up")), lambda j: flag(F.col("band"), part, j, True))),
         F.when(F.col("down").isNull(), none).otherwise(F.transform(span(F.col("down")), lambda j: flag(F.col("band") - 1, j, part, True))))
-    dealt = near.select("family", "doc", "component", "n", "bits", "band", part.alias("part"), F.explode(keys).alias("k"))
-    dealt = dealt.select("family", F.col("k.band").alias("kb"), F.col("k.i").alias("ki"), F.col("k.j").alias("kj"), F.col("k.up").alias("ku"), "doc", "component", "n", "bits", "band", "part")
-    return dealt.groupBy("family", "kb", "ki", "kj", "ku").applyInArrow(_block_pairs(num, den), "a long, b long")
+    dealt = near.select("family", "doc", "component", "n", "bits", "shingles", "band", part.alias("part"), F.explode(keys).alias("k"))
+    dealt = dealt.select("family", F.col("k.band").alias("kb"), F.col("k.i").alias("ki"), F.col("k.j").alias("kj"), F.col("k.up").alias("ku"), "doc", "component", "n", "bits", "shingles", "band", "part")
+    return materialise(dealt.groupBy("family", "kb", "ki", "kj", "ku").applyInArrow(_block_links(num, den), "a long, b long"), "links")
 
 
-def _block_pairs(num: int, den: int):
+def _block_links(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
-        doc, comp, n, band, part = (table.column(c).to_numpy() for c in ("doc", "component", "n", "band", "part"))
+        doc, label, n, band, part = (table.column(c).to_numpy() for c in ("doc", "component", "n", "band", "part"))
+        label, n = label.copy(), n.astype(np.int64)
         kb, ki, up = table.column("kb")[0].as_py(), table.column("ki")[0].as_py(), table.column("ku")[0].as_py()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
         raw = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("bits")]
         width = min(map(len, raw))
         folded = []
@@ -319,9 +361,14 @@ def _block_pairs(num: int, den: int):
         a, b = [], []
         for i in left:
             apart = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            good = (comp[right] != comp[i]) & (doc[right] != doc[i]) & (apart * (den + num) <= (n[right] + int(n[i])) * (den - num)) & (den * np.minimum(n[right], n[i]) >= num * np.maximum(n[right], n[i]))
-            for j in right[good]:
-                a.append(min(doc[i], doc[j]))
-                b.append(max(doc[i], doc[j]))
+            # what bitmaps and sizes don't rule out, likeliest first, until all of it is in i's component or tested
+            likely = (apart * (den + num) <= (n[right] + n[i]) * (den - num)) & (den * np.minimum(n[right], n[i]) >= num * np.maximum(n[right], n[i]))
+            for j in right[likely][np.argsort(apart[likely], kind="stable")]:
+                if label[j] != label[i]:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if den * both >= num * (n[i] + n[j] - both):
+                        label[label == label[j]] = label[i]
+                        a.append(doc[i])
+                        b.append(doc[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return run
