@@ -119,15 +119,15 @@ class Words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         return np.concatenate(out_row), np.concatenate(out_at), np.concatenate(out)
 
-    def long_grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of every run of k words in a row, by prefix sums; for large k."""
+    def long_grams(self, k: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of every run of k words in a row, by prefix sums; for large k. second: another hash."""
         n = len(self.hash)
         if n < k:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         row = self.rows()
         at = np.flatnonzero(row[:n - k + 1] == row[k - 1:])
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hash * _power("up", _BASE, n), out=total[1:])
+        np.cumsum((mix(self.hash + np.uint64(1)) if second else self.hash) * _power("up", _BASE, n), out=total[1:])
         return at, mix((total[at + k] - total[at]) * _power("down", _INVERSE, n)[at] + np.uint64(k))
 
     def shingle_sets(self, k: int) -> tuple[np.ndarray, np.ndarray]:
