@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, small_batches
+from .shared import materialise, most_frequent, small_batches
 
 #: Words of the broadcast table at most, and the bytes of the longest word it takes.
 WORDS = 200_000
@@ -116,17 +116,12 @@ def word_table(docs: DataFrame, path: str, text_col: str = "text", words: int =
     counts = docs.where(F.col(text_col) != "").select(F.col(text_col).cast("string")).mapInArrow(_counts(path), "word string, n long")
     counts = counts.groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= WORD_BYTES))
     counts = materialise(counts, "words")
-    # the least count at which the table stays within its bound, from a histogram of counts
-    steps = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("n")).limit(100_000).toPandas()
-    fits = steps.n[steps.c.cumsum() <= words]
-    least = int(fits.min()) if len(fits) else 1 << 62
-
     def encode(batches):
         v = vocabulary(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(v.encode(batch.column(0).to_pylist()), pa.binary())], names=["word", "n", "ids"])
 
-    return counts.where(F.col("n") >= least).mapInArrow(encode, "word string, n long, ids binary")
+    return most_frequent(counts, "n", "word", words).mapInArrow(encode, "word string, n long, ids binary")
 
 
 def _encoded(path: str, box):

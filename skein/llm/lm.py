@@ -2,7 +2,8 @@
 
 Counts of all training words are one distributed aggregation. The words up to a fixed number are the model's own;
 the output softmax is factored by frequency classes (class, then word in class); all other words share one symbol,
-and which of them it is comes from their counts, with a discount that leaves room for words never seen. Weights
+and which of them it is comes from their counts, with a discount that leaves room for words never seen, which are spelled
+by a model of byte pairs, learned from the words seen once. Weights
 are fitted in numpy by back-propagation through windows of STEPS tokens: one task warms the model up on a bounded
 draw, then every shard goes on from there with all of its training documents, also where there is one shard only,
 and the shards' weights are averaged.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_mod, materialise
+from .shared import crc_mod, materialise, most_frequent
 
 HIDDEN = 32
 EMBEDDED = 24
@@ -207,7 +208,11 @@ class Network:
 class Lexicon:
     """The frequent words with their counts, and what is needed of all the others."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, tokens: int, kinds: int, ends: int):
+    def __init__(self, words: list[bytes], counts: np.ndarray, tokens: int, kinds: int, ends: int, letters: np.ndarray | None = None):
+        letters = np.zeros((257, 257)) if letters is None else letters
+        # pairs of bytes, smoothed towards how often the right one occurs at all
+        right = letters.sum(axis=0) + 1.0
+        self.spelled = np.log10((letters + 4 * right / right.sum()) / (letters.sum(axis=1, keepdims=True) + 4)).astype(np.float32).ravel()
         self.words, self.counts, self.tokens, self.kinds, self.ends = words, counts, tokens, kinds, ends
         own = int(counts[:MODEL_WORDS].sum())
         self.other_tokens, self.other_kinds = tokens - ends - own, max(0, kinds - 1 - min(len(words), MODEL_WORDS))
@@ -235,6 +240,13 @@ class Lexicon:
         """Model symbols of a document with its end."""
         return np.append(np.where((at >= 0) & (at < MODEL_WORDS), at + 2, _OTHER), _END).astype(np.int32)
 
+    def spelling(self, words: list[bytes]) -> np.ndarray:
+        """log10 probability of each word's letters, given that it is one never seen."""
+        if not words:
+            return np.zeros(0)
+        pair, first = _pairs_of(words)
+        return np.add.reduceat(self.spelled[pair].astype(np.float64), first)
+
     def share_of_other(self, count: np.ndarray) -> np.ndarray:
         """log10 probability of a word of this count among words outside the model."""
         unseen = max(DISCOUNT * self.other_kinds, DISCOUNT)
@@ -343,22 +355,22 @@ def _score(box):
                 words, at = lexicon.ids(text.as_py())
                 symbols.append(lexicon.model_ids(at))
                 stats.append((len(words) + 1, int((at >= 0).sum()) + (lexicon.ends > 0), log_count[at].sum() - base_all * len(words) + end, other[at[at >= MODEL_WORDS]].sum()))
-                for w, n in Counter([words[j] for j in np.flatnonzero(at < 0)]).items():
-                    rare.append((uids[i], w, n))
+                found = Counter([words[j] for j in np.flatnonzero(at < 0)])
+                rare += zip([uids[i]] * len(found), found, found.values(), lexicon.spelling(list(found)).tolist(), strict=True)
             score = net.log_probabilities(symbols) / LN10
             n = len(stats)
             yield pa.RecordBatch.from_arrays([
                 pa.array(uids), ids.cast(pa.int64()), pa.array([b" %d" % u for u in uids], pa.binary()), pa.array(np.zeros(n, np.int64)), pa.array([s[0] for s in stats], pa.int64()), pa.array([s[1] for s in stats], pa.int64()),
-                pa.array([s[2] for s in stats], pa.float64()), pa.array([x + s[3] for x, s in zip(score, stats, strict=True)], pa.float64())], names=_NAMES)
+                pa.array([s[2] for s in stats], pa.float64()), pa.array([x + s[3] for x, s in zip(score, stats, strict=True)], pa.float64()), pa.array(np.zeros(n, np.float32))], names=_NAMES)
             for lo in range(0, len(rare), 100_000):
                 part = rare[lo:lo + 100_000]
                 m = len(part)
                 zero, none = pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.nulls(m, pa.int64()), pa.array([r[1] for r in part], pa.binary()), pa.array([r[2] for r in part], pa.int64()), zero, zero, none, none], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.nulls(m, pa.int64()), pa.array([r[1] for r in part], pa.binary()), pa.array([r[2] for r in part], pa.int64()), zero, zero, none, none, pa.array([r[3] for r in part], pa.float32())], names=_NAMES)
     return run
 
 
-_NAMES = ["uid", "doc_id", "word", "tf", "n_tokens", "n_known", "base", "score"]
+_NAMES = ["uid", "doc_id", "word", "tf", "n_tokens", "n_known", "base", "score", "spelled"]
 
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
@@ -367,13 +379,34 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
 
 
 def lexicon(counts: DataFrame, n_docs: int) -> Lexicon:
-    """The most frequent words within the bound of the table, by the least count that keeps it."""
+    """The most frequent words within the bound of the table, exactly, and the letters of words seen once."""
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    steps = counts.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count("*").alias("k")).orderBy(F.desc("c")).limit(100_000).toPandas()
-    fits = steps.c[steps.k.cumsum() <= TABLE_WORDS]
-    table = counts.where(F.col("c") >= (int(fits.min()) if len(fits) else 1 << 62)).where(F.octet_length("word") <= 256).toPandas()
+    table = most_frequent(counts.where(F.octet_length("word") <= 256), "c", "word", TABLE_WORDS).toPandas()
     table = table.sort_values(["c", "word"], ascending=[False, True])
-    return Lexicon(table.word.map(bytes).tolist(), table.c.to_numpy(np.int64), int(total.n or 0) + n_docs, int(total.v) + (n_docs > 0), n_docs)
+    pairs = counts.where("c = 1").select("word").mapInArrow(_letter_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    letters = np.zeros(257 * 257)
+    letters[pairs.pair.to_numpy(np.int64)] = pairs.n.to_numpy(float)
+    return Lexicon(table.word.map(bytes).tolist(), table.c.to_numpy(np.int64), int(total.n or 0) + n_docs, int(total.v) + (n_docs > 0), n_docs, letters.reshape(257, 257))
+
+
+def _letter_pairs(batches):
+    """Pairs of neighbouring bytes of words as 257 * left + right; 256 is a word's begin and its end."""
+    for batch in batches:
+        pair, n = np.unique(_pairs_of(batch.column(0).to_pylist())[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(n.astype(np.int64))], names=["pair", "n"])
+
+
+def _pairs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs of all words in order, place of each word's first pair)."""
+    size = np.array([len(w) + 1 for w in words], np.int64)
+    first = np.concatenate([[0], np.cumsum(size)])
+    right = np.full(int(first[-1]), 256, np.int64)
+    inner = np.ones(len(right), bool)
+    inner[first[1:] - 1] = False
+    right[inner] = np.frombuffer(b"".join(words), np.uint8)
+    left = np.roll(right, 1)
+    left[first[:-1]] = 256
+    return left * 257 + right, first[:-1]
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2) -> DataFrame:
@@ -391,11 +424,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     net = fit(train.select(F.col("doc_id").alias("id"), "text"), lex, n_docs)
     box = spark.sparkContext.broadcast((net, lex))
     # a row's own number joins its parts again; it is the same when a lost task reads the same part of the input
-    rows = frame.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(_score(box), "uid long, doc_id long, word binary, tf long, n_tokens long, n_known long, base double, score double")
+    rows = frame.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(_score(box), "uid long, doc_id long, word binary, tf long, n_tokens long, n_known long, base double, score double, spelled float")
     joined = rows.join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
     unseen = max(DISCOUNT * lex.other_kinds, DISCOUNT)
-    other = F.when(F.col("tf") > 0, F.col("tf") * F.log10(F.when(c > 0, c - DISCOUNT).otherwise(unseen) / float(max(lex.other_tokens, 1)))).otherwise(0.0)
+    # an unseen word has its share of what all unseen words have together by its letters
+    each = F.log10(F.when(c > 0, c - DISCOUNT).otherwise(unseen) / float(max(lex.other_tokens, 1))) + F.when(c > 0, 0.0).otherwise(F.col("spelled").cast("double"))
+    other = F.when(F.col("tf") > 0, F.col("tf") * each).otherwise(0.0)
     rare_base = F.col("tf") * F.log10(c + 1)
     parts = joined.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("base") + rare_base).alias("base_score"), F.sum(F.col("score") + other).alias("score"))
     return parts.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), modulus) == held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(lex.tokens).cast("long").alias("train_tokens"), "base_score", "score")

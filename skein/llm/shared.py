@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +32,10 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
     if not found and not _own:
         _own.append(tempfile.mkdtemp(prefix="skein-"))
     where = spark._jvm.org.apache.hadoop.fs.Path(found or _own[0])
@@ -41,21 +45,36 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver's Python ends."""
     path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_clean)
     _written.append((spark, path))
     return path
 
 
+@atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session has ended already
             return
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, what was written to the shared folder inside it; results must be written elsewhere by then."""
+    begin = len(_written)
+    try:
+        yield
+    finally:
+        for own, path in _written[begin:]:
+            _delete(own, path)
+        del _written[begin:]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df once to the shared folder and read it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
@@ -73,6 +92,20 @@ def crc_mod(column: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
 
 
+def most_frequent(rows: DataFrame, n: str, by: str, most: int) -> DataFrame:
+    """The `most` rows of largest n > 0, ties by `by`; fewer only where there are fewer.
+
+    Levels of about one hundredth tell where the bound falls; only the rows of that level are sorted.
+    """
+    level = F.floor(F.log2(F.col(n).cast("double")) * 64).cast("int")
+    held = 0
+    for step in rows.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).orderBy(F.desc("level")).collect():
+        if held + step.rows > most:
+            return rows.where(level > step.level).unionByName(rows.where(level == step.level).orderBy(F.desc(n), by).limit(most - held))
+        held += step.rows
+    return rows
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), two long columns: rows (node, component), the component's least node.
 
