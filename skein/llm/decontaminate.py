@@ -4,7 +4,8 @@ Tokens are lower-cased runs of letters and digits. Documents and benchmark items
 (Karp-Rabin hashes of MIN_MATCH tokens, rolled over each side by prefix sums). For each pair that shares enough
 seeds, common runs are tiled greedily: the longest common run whose tokens are all unmarked on both sides is
 marked, again and again, until none of MIN_MATCH tokens is left; so a passage whose sentences are reordered is
-covered piece by piece. A document holds an item if the tiles cover at least `coverage` of the item's tokens.
+covered piece by piece. A document holds an item if the tiles cover at least `coverage` of the item's tokens. An item
+of fewer than MIN_MATCH tokens is its own seed: it is held where it occurs whole.
 """
 
 from __future__ import annotations
@@ -74,25 +75,33 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str], k: int):
         at, data = text_buffers(pc.utf8_lower(pa.array(texts, pa.string())))
         words = Words(at, data, 0, len(ids), fold=True, breaks=MARKS)
-        row, first, seed = words.grams(k, short=False)
-        order = np.argsort(seed, kind="stable")
-        self.ids, self.size = np.array(ids, np.int64), words.count
-        self.seed, self.item, self.at = seed[order], row[order], (first - words.first[row])[order]
-        # items of fewer tokens than a seed never match
-        self.k = k
+        self.ids, self.size, self.k = np.array(ids, np.int64), words.count, k
+        # seeds by their length: k tokens, or all of an item that has fewer
+        self.seeds = {}
+        for length in range(1, k + 1):
+            row, first, seed = words.grams(length)
+            mine = np.flatnonzero((self.size[row] == length) | (length == k))
+            mine = mine[np.argsort(seed[mine], kind="stable")]
+            if len(mine):
+                self.seeds[length] = (seed[mine], row[mine], (first - words.first[row])[mine])
 
     def matches(self, words: Words):
         """(row, item, tiles) of rows that share seeds with an item."""
-        row, first, seed = words.grams(self.k)
-        lo = np.searchsorted(self.seed, seed, "left")
-        hit = np.flatnonzero((lo < len(self.seed)) & (self.seed[np.minimum(lo, max(0, len(self.seed) - 1))] == seed)) if len(self.seed) else np.zeros(0, np.int64)
+        for length in self.seeds:
+            yield from self._matches(words, length)
+
+    def _matches(self, words: Words, k: int):
+        known, items, places = self.seeds[k]
+        row, first, seed = words.grams(k)
+        lo = np.searchsorted(known, seed, "left")
+        hit = np.flatnonzero(known[np.minimum(lo, len(known) - 1)] == seed)
         if not len(hit):
             return
-        lo, hi = lo[hit], np.searchsorted(self.seed, seed[hit], "right")
+        lo, hi = lo[hit], np.searchsorted(known, seed[hit], "right")
         which = np.repeat(np.arange(len(hit)), hi - lo)
         entry = np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[which]
-        row, item = row[hit][which], self.item[entry]
-        doc_at, item_at = (first - words.first[row_of(words, first)])[hit][which], self.at[entry]
+        row, item = row[hit][which], items[entry]
+        doc_at, item_at = (first - words.first[row_of(words, first)])[hit][which], places[entry]
         order = np.lexsort((item_at, item, row))
         row, item, doc_at, item_at = row[order], item[order], doc_at[order], item_at[order]
         new = np.ones(len(row), bool)
@@ -101,9 +110,9 @@ class Items:
         fresh = new.copy()
         fresh[1:] |= item_at[1:] != item_at[:-1]
         seeds = np.add.reduceat(fresh, begin[:-1])
-        for j in np.flatnonzero(seeds * self.k >= np.ceil(self.need * self.size[item[begin[:-1]]])):
+        for j in np.flatnonzero(seeds * k >= np.ceil(self.need * self.size[item[begin[:-1]]])):
             a, b = begin[j], begin[j + 1]
-            yield int(row[a]), int(item[a]), tiles(runs(doc_at[a:b], item_at[a:b], self.k), self.k)
+            yield int(row[a]), int(item[a]), tiles(runs(doc_at[a:b], item_at[a:b], k), k)
 
     need = COVERAGE
 

@@ -24,7 +24,11 @@ ORDER = 4
 #: Bytes of text a language that the models are fitted on, and the share of them kept for calibration.
 SAMPLE_BYTES = 3_000_000
 CALIBRATION = 0.2
-_LETTERS = 250
+#: Letters of the models at most: sixteen bits of a packed n-gram each. Rarer ones, and letters of no sample, are one.
+_LETTERS = (1 << 16) - 2
+_BITS = 16
+#: Letters of all scripts, about: what a letter costs where nothing is known of it.
+_UNICODE = 1 << 17
 RESULT = "struct<lang_pred: string, score: double, cross_entropy: double, rejected: boolean>"
 _fold: list[np.ndarray] = []
 
@@ -64,11 +68,11 @@ def letters(at: np.ndarray, data: np.ndarray, lo: int, hi: int) -> tuple[np.ndar
 
 
 def grams(ids: np.ndarray, order: int) -> np.ndarray:
-    """The n-gram that ends at each place from ORDER - 1 on, packed into eight bits a letter."""
+    """The n-gram that ends at each place from ORDER - 1 on, packed into _BITS a letter."""
     out = np.zeros(max(0, len(ids) - ORDER + 1), np.uint64)
     for j in range(order):
         at = ORDER - order + j
-        out = (out << np.uint64(8)) | ids[at:at + len(out)]
+        out = (out << np.uint64(_BITS)) | ids[at:at + len(out)]
     return out
 
 
@@ -96,7 +100,7 @@ class Model:
         out = np.zeros((len(gram), len(self.langs)), np.float32)
         rest = np.arange(len(gram))
         for order in range(ORDER, 0, -1):
-            g = gram[rest] & np.uint64((1 << 8 * order) - 1)
+            g = gram[rest] & np.uint64((1 << _BITS * order) - 1)
             h = mix(g + np.uint64(order))
             at = np.minimum(np.searchsorted(self.keys[order], h), len(self.keys[order]) - 1)
             hit = self.keys[order][at] == h
@@ -105,7 +109,7 @@ class Model:
             if not len(rest):
                 return out
             if order > 1:
-                h = mix((g[~hit] >> np.uint64(8)) + np.uint64(order))
+                h = mix((g[~hit] >> np.uint64(_BITS)) + np.uint64(order))
                 at = np.minimum(np.searchsorted(self.contexts[order], h), len(self.contexts[order]) - 1)
                 seen = self.contexts[order][at] == h
                 out[rest[seen]] += self.gamma[order][at[seen]]
@@ -146,30 +150,30 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def build(langs: list[str], alphabet: np.ndarray, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """Kneser-Ney from each language's (packed n-grams of ORDER, counts): continuation counts below the top order."""
-    model = Model(langs, alphabet, {}, {}, {}, {}, np.full(len(langs), -np.log(_LETTERS + 2), np.float32))
+    model = Model(langs, alphabet, {}, {}, {}, {}, np.full(len(langs), -np.log(_UNICODE), np.float32))
     levels = {lang: {ORDER: counts[lang]} for lang in langs}
     for lang in langs:
         for order in range(ORDER - 1, 0, -1):
-            g = levels[lang][order + 1][0] & np.uint64((1 << 8 * order) - 1)
+            g = levels[lang][order + 1][0] & np.uint64((1 << _BITS * order) - 1)
             levels[lang][order] = _sums(g, np.ones(len(g)))
     lower_keys, lower = None, None
     for order in range(1, ORDER + 1):
         union = np.unique(np.concatenate([levels[x][order][0] for x in langs]))
-        contexts = np.unique(union >> np.uint64(8))
+        contexts = np.unique(union >> np.uint64(_BITS))
         p, gamma = np.zeros((len(union), len(langs))), np.zeros((len(contexts), len(langs)))
         for j, lang in enumerate(langs):
             g, c = levels[lang][order]
             once, twice = (c == 1).sum(), (c == 2).sum()
             cut = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
-            ctx, mass = _sums(g >> np.uint64(8), c)
-            _, kinds = _sums(g >> np.uint64(8), np.ones(len(g)))
+            ctx, mass = _sums(g >> np.uint64(_BITS), c)
+            _, follow = _sums(g >> np.uint64(_BITS), np.ones(len(g)))
             weight = np.ones(len(contexts))
-            weight[np.searchsorted(contexts, ctx)] = cut * kinds / mass
+            weight[np.searchsorted(contexts, ctx)] = cut * follow / mass
             gamma[:, j] = weight
             own = np.zeros(len(union))
-            own[np.searchsorted(union, g)] = (c - cut) / mass[np.searchsorted(ctx, g >> np.uint64(8))]
-            below = lower[np.searchsorted(lower_keys, union & np.uint64((1 << 8 * (order - 1)) - 1)), j] if order > 1 else 1 / (_LETTERS + 2)
-            p[:, j] = own + weight[np.searchsorted(contexts, union >> np.uint64(8))] * below
+            own[np.searchsorted(union, g)] = (c - cut) / mass[np.searchsorted(ctx, g >> np.uint64(_BITS))]
+            below = lower[np.searchsorted(lower_keys, union & np.uint64((1 << _BITS * (order - 1)) - 1)), j] if order > 1 else 1 / _UNICODE
+            p[:, j] = own + weight[np.searchsorted(contexts, union >> np.uint64(_BITS))] * below
         lower_keys, lower = union, p
         for name, keys, values in (("keys", union, p), ("contexts", contexts, gamma)):
             h = mix(keys + np.uint64(order))
@@ -177,7 +181,7 @@ def build(langs: list[str], alphabet: np.ndarray, counts: dict[str, tuple[np.nda
             getattr(model, name)[order] = h[at]
             getattr(model, "logp" if name == "keys" else "gamma")[order] = np.log(values[at]).astype(np.float32)
         if order == 1:
-            model.floor = (np.log(gamma[0]) - np.log(_LETTERS + 2)).astype(np.float32)
+            model.floor = (np.log(gamma[0]) - np.log(_UNICODE)).astype(np.float32)
     return model
 
 
@@ -263,6 +267,6 @@ def predictor(model: Model):
     return F.arrow_udf(predict, RESULT).asNondeterministic()
 
 
-def identify(docs: DataFrame, model: Model, text: Column | str = "text") -> DataFrame:
-    """docs with a column `language` (RESULT). Null, empty and letterless texts: `und`, score 0, rejected."""
-    return docs.withColumn("language", predictor(model)(F.col(text) if isinstance(text, str) else text))
+def identify(docs: DataFrame, model: Model, text: Column | str = "text", name: str = "language") -> DataFrame:
+    """docs with a column `name` (RESULT), in place of one that has this name. Null, empty and letterless texts: `und`, score 0, rejected."""
+    return docs.withColumn(name, predictor(model)(F.col(text) if isinstance(text, str) else text))
