@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import decontaminate, ngram_join, substring
 from skein.llm.arrowtext import Words, text_buffers
@@ -56,6 +57,19 @@ def test_join_with_hot_groups_in_blocks(spark, monkeypatch):
     assert got == classes(texts)
 
 
+def test_blocks_return_fewer_links_than_documents():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 62, 400).astype(np.uint64))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[:385], rng.integers(0, 1 << 62, 12).astype(np.uint64)])) for _ in range(500)]
+    n = len(sets)
+    column = lambda x: pa.array([x] * n, pa.int32())
+    table = pa.table({"doc": pa.array(range(n), pa.int64()), "component": pa.array(range(n), pa.int64()), "n": pa.array(map(len, sets), pa.int32()), "bits": pa.array(map(ngram_join._parity, sets), pa.binary()), "shingles": pa.array([x.tobytes() for x in sets], pa.binary()),
+                      "band": column(3), "part": column(0), "kb": column(3), "ki": column(0), "kj": column(0), "ku": pa.array([False] * n)})
+    assert ngram_join._block_links(80, 100)(table).num_rows == n - 1
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_linked_sets_share_a_signature(seed):
     """The pigeonhole itself: for random linked pairs of any size, with any set of common shingles."""
@@ -112,6 +126,15 @@ def test_removed_spans_edge_cases(nothing, odd):
     assert sorted((r.n_words, r.n_removed) for r in substring.remove_repeats(odd).collect()) == [(0, 0), (6, 0), (6, 0), (6, 0)]
 
 
+def test_repeated_ids_with_unlike_texts(spark):
+    rng = np.random.default_rng(8)
+    make = lambda n: " ".join(f"u{x}" for x in rng.integers(0, 10 ** 6, n))
+    w, u, v = make(100), make(100), make(160)
+    rows = [(1, w), (2, w), (2, u), (3, make(10) + " " + v + " " + make(30)), (4, make(5) + " " + v), (4, "short text"), (4, u), (5, make(60))]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 100, 0), (2, 100, 0), (2, 100, 100), (3, 200, 0), (4, 2, 0), (4, 100, 100), (4, 165, 160), (5, 60, 0)]
+
+
 def test_windows_share_a_picked_kmer():
     rng = np.random.default_rng(0)
     text = " ".join(f"w{x}" for x in rng.integers(0, 30, 3000))
@@ -134,6 +157,39 @@ def test_leaks(spark, nothing):
     assert decontaminate.leaks(nothing, bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def tiled_by_brute_force(doc, item, k):
+    """Covered tokens of an item: again and again the longest common run of unmarked tokens, first in item, then in document."""
+    d, i, covered = [False] * len(doc), [False] * len(item), 0
+    k = min(k, len(item))
+    while True:
+        best = (0, 0, 0)
+        for a in range(len(item)):
+            for b in range(len(doc)):
+                n = 0
+                while a + n < len(item) and b + n < len(doc) and item[a + n] == doc[b + n] and not i[a + n] and not d[b + n]:
+                    n += 1
+                best = max(best, (n, -a, -b))
+        n, a, b = best[0], -best[1], -best[2]
+        if n < k:
+            return covered
+        i[a:a + n] = [True] * n
+        d[b:b + n] = [True] * n
+        covered += n
+
+
+def test_tiling_matches_brute_force(spark):
+    rng = np.random.default_rng(2)
+    make = lambda n: [f"t{x}" for x in rng.integers(0, 4, n)]
+    items = {i: make(n) for i, n in enumerate([1, 2, 3, 3, 4, 5, 7, 9, 12, 15, 20, 20])}
+    docs = {i: make(n) for i, n in enumerate(rng.integers(0, 40, 40).tolist())}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(0, " ".join(items[0]))], "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    got = sorted((r.doc_id, r.item_id, round(r.coverage * len(items[r.item_id]))) for r in decontaminate.leaks(df, bench).collect())
+    want = [(d, i, tiled_by_brute_force(w, x, 4)) for d, w in docs.items() for i, x in items.items()]
+    want = [x for x in want if x[2] and x[2] / len(items[x[1]]) >= 0.5]
+    assert got == sorted(want + [x for x in want if x[1] == 0]) and len({x[1] for x in want}) > 8
+
+
 def test_tiles_cut_overlapping_runs():
     # the longest run is marked first; of the other only what stays free and long enough
     assert decontaminate.tiles([(10, 0, 0), (8, 5, 20)], 3) == [(0, 0, 10), (10, 25, 3)]

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, langid, lm, pii, tokencount, warc, winnow
+from skein.llm.shared import most_frequent
 
 ODD_TEXTS = ["", "  ", "a  b\n\n c\td  ", "日本語テスト 🙂x é", "x" * 300, "▁a ▁", "<s> a</s><unk>", "it's we'll \x1c\x85 x  y 　", "a<|endoftext|> b<|endoftext|>", "é́ ٣٤ ²½", "\n", " \n ", "a\nb"]
 
@@ -40,6 +41,44 @@ def test_token_counts_equal_the_library(texts, odd, nothing):
     assert tokencount.token_counts(nothing, path).count() == 0 and tokencount.token_counts(odd, path).count() == 4
 
 
+def test_long_texts_without_spaces_equal_the_library():
+    import base64
+    import time
+
+    counter = tokencount.PrefixCounter(P.path("piece_bpe_32k.model"))
+    rng = random.Random(2)
+    cjk = "".join(rng.choice(["的", "是", chr(rng.randrange(0x4E00, 0x9FA5)), chr(rng.randrange(0x3041, 0x3090)), chr(rng.randrange(0xAC00, 0xD000))]) for _ in range(20_000))
+    for text in (cjk, "=" * 5000, base64.b64encode(rng.randbytes(750_000)).decode()):
+        began = time.perf_counter()
+        chunks = counter.chunks(text)
+        counter.learn(set(chunks))
+        assert counter.count(chunks, len(text))[0] == len(counter.library.encode(text))
+        assert time.perf_counter() - began < 30
+    text = cjk[:150] + " hello wörld\n" + "QUJD" * 20 + "  \n\n x the end"
+    assert counter.text_prefixes(text).tolist() == [len(counter.library.encode(text[:i])) for i in range(len(text) + 1)]
+    assert not counter.overruled
+
+
+def test_stored_prefixes_answer_budgets(spark, texts):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    df, held = texts
+    for r in tokencount.prefix_table(df, path).withColumn("fits", tokencount.fits(F.col("counts"), 20)).collect():
+        t = held[r.doc_id]
+        assert len(r.counts) == len(t) + 1 and r.counts[-1] == len(library.encode(t))
+        assert r.fits == max(i for i, c in enumerate(r.counts) if c <= 20)
+
+
+def test_most_frequent_is_exact(spark):
+    rows = [(f"w{i:03d}", 10 ** 6) for i in range(50)] + [(f"x{i:03d}", 1 + i % 7) for i in range(100)]
+    counts = spark.createDataFrame(rows, "word string, n long")
+    for most in (0, 1, 20, 50, 60, 149, 150, 400):
+        want = sorted(rows, key=lambda r: (-r[1], r[0]))[:most]
+        assert sorted((r.word, r.n) for r in most_frequent(counts, "n", "word", most).collect()) == sorted(want)
+
+
 def test_every_prefix_count_equals_the_library():
     counter = tokencount.PrefixCounter(P.path("piece_bpe_32k.model"))
     rng = random.Random(0)
