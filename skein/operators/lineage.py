@@ -3,13 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a temporary folder on a local master and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+    if not found and not _own:
+        _own.append(tempfile.mkdtemp(prefix="skein-"))
+    return (found or _own[0]).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in spark.checkpoint.dir, or in a temporary folder where that is unset (tests)."""
+    """df.checkpoint() in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"

@@ -53,13 +53,17 @@ def blob_plan(new: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def manifest_digests(files: DataFrame) -> DataFrame:
-    """(manifest, machine_id, files, digest): a snapshot's identity, the hash of its files' hashes in path order.
+    """(manifest, machine_id, files, digest): a snapshot's identity, by its files' paths and hashes.
 
-    Each file is reduced to a hash first and paths are summed in order inside ranges, so one machine of any size
-    needs no more than its list of hashes in one place.
+    In two levels: files are hashed and fall into 4096 ranges by the hash's first three digits, each range has a
+    digest of its hashes in order, and the machine's is that of its ranges in order. So no row gathers more than
+    a range's hashes, or 4096 digests.
     """
     line = F.sha2(F.concat_ws("\t", "relative_path", "sha256"), 256)
-    return files.groupBy("manifest", "machine_id").agg(F.count("*").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("digest"))
+    rows = files.select("manifest", "machine_id", line.alias("line"))
+    ranges = rows.groupBy("manifest", "machine_id", F.substring("line", 1, 3).alias("range")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("digest"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("range", "digest"))), lambda x: x["digest"])
+    return ranges.groupBy("manifest", "machine_id").agg(F.sum("n").alias("files"), F.sha2(F.array_join(ordered, ""), 256).alias("digest"))
 
 
 def vector_diff(mine: DataFrame, latest: DataFrame) -> DataFrame:
@@ -71,16 +75,3 @@ def vector_diff(mine: DataFrame, latest: DataFrame) -> DataFrame:
 def orphans(stored: DataFrame, referenced: DataFrame) -> DataFrame:
     """(sha256, bytes) of stored blobs that nothing refers to."""
     return stored.join(referenced.select("sha256").distinct(), "sha256", "left_anti")
-
-
-# Archive states, operations, whether they are allowed there, and the state they lead to.
-SYSTEM_STATES = (("archive_missing", "initialise"), ("workspace_missing", "download"), ("workspace_damaged", "repair"), ("workspace_foreign", "rebind"), ("behind", "download"), ("current", "none"))
-
-
-def system_state(facts: DataFrame) -> DataFrame:
-    """facts: (id, has_archive, has_workspace, damaged, foreign, behind) -> (id, state, next_action), first that holds."""
-    tests = (~F.col("has_archive"), ~F.col("has_workspace"), F.col("damaged"), F.col("foreign"), F.col("behind"))
-    state, action = F.lit(SYSTEM_STATES[-1][0]), F.lit(SYSTEM_STATES[-1][1])
-    for test, (name, then) in reversed(list(zip(tests, SYSTEM_STATES, strict=False))):
-        state, action = F.when(test, name).otherwise(state), F.when(test, then).otherwise(action)
-    return facts.select("id", state.alias("state"), action.alias("next_action"))

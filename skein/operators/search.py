@@ -1,13 +1,22 @@
-"""Full-text search: tokens, postings, BM25 over phrases, facets, snippets."""
+"""Full-text search: tokens, stored postings, BM25 over phrases, facets, snippets.
+
+`build` writes the postings of a table once, sorted by token, so that a query reads the row groups of its own tokens
+and no text; `bm25` scores a table without an index.
+"""
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.functions.scalars import message_ref
+
 K1, B = 1.2, 0.75
 DEFAULT_LIMIT, MAX_LIMIT = 20, 200
 #: Letters with marks, up to U+024F, and the letters they fold to.
@@ -48,12 +57,97 @@ def phrase_count(toks: Column, words: list[str]) -> Column:
     return F.size(F.filter(starts, lambda i: F.slice(toks, i, n) == wanted))
 
 
-def bm25(docs: DataFrame, id_col: str, query: str, text_col: str = "text") -> DataFrame:
-    """(id, score) of rows with every phrase of the query; smaller is better. An empty query has no rows.
+@dataclass
+class Index:
+    """Stored postings (token, id, dl, positions) below a path, with the number of rows and their mean length."""
+
+    spark: SparkSession
+    path: str
+    rows: int
+    mean: float
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+
+def build(docs: DataFrame, id_col: str, path: str, text_col: str = "text") -> Index:
+    """Write the postings of rows with text. Rows of one token are spread by id, so a token of every row is no hot key."""
+    spark = docs.sparkSession
+    found = postings(docs, id_col, text_col).groupBy("token", "id").agg(F.first("dl").alias("dl"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    found.sortWithinPartitions("token", "id").write.option("parquet.block.size", 16 << 20).mode("overwrite").parquet(f"{path}/postings")
+    sizes = docs.where(F.trim(F.coalesce(text_col, F.lit(""))) != "").select(F.size(tokens(F.col(text_col))).alias("dl"))
+    sizes.agg(F.count("*").alias("rows"), F.avg("dl").alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    return open_index(spark, path)
 
-    Statistics are those of the whole table. One scan: rows without the words are dropped on the JVM before any
-    shuffle, and the corpus statistics are one aggregate of the same tokens.
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    stats = spark.read.schema("rows bigint, mean double").parquet(f"{path}/stats").first()
+    return Index(spark, path, stats.rows, stats.mean or 0.0)
+
+
+def refreshed(index: Index, docs: DataFrame, id_col: str, path: str, text_col: str = "text") -> Index:
+    """A new index of docs that keeps the postings of rows that are still there, drops others and adds new rows.
+
+    A row is new by its id; changed texts come under new ids, as entries and artifacts never change.
     """
+    old = index.postings()
+    ids = docs.where(F.trim(F.coalesce(text_col, F.lit(""))) != "").select(F.col(id_col).alias("id"))
+    fresh = docs.join(old.select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
+    kept = old.join(ids, "id", "left_semi").select("token", "id", "dl", "positions")
+    added = postings(fresh, id_col, text_col).groupBy("token", "id").agg(F.first("dl").alias("dl"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    both = kept.unionByName(added).repartition("token", "id").sortWithinPartitions("token", "id")
+    both.write.option("parquet.block.size", 16 << 20).mode("overwrite").parquet(f"{path}/postings")
+    # rows whose text has no token count in the statistics with length 0
+    lengths = docs.sparkSession.read.parquet(f"{path}/postings").select("id", "dl").distinct()
+    ids.join(lengths, "id", "left").agg(F.count("*").alias("rows"), F.avg(F.coalesce("dl", F.lit(0))).alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    return open_index(docs.sparkSession, path)
+
+
+def _score(f: Column, dl: Column, rows: int, mean: float, n: int) -> Column:
+    idf = math.log((rows - n + 0.5) / (n + 0.5))
+    idf = 1e-6 if idf <= 0 else idf
+    return F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / F.lit(mean or 1.0)))
+
+
+def _hits(counted: DataFrame, phrases_: int, rows: int, mean: float) -> DataFrame:
+    """(id, score) of rows (id, dl, f0, f1, ...) that have every phrase."""
+    seen = counted.agg(F.count("*").alias("rows"), *[F.sum((F.col(f"f{i}") > 0).cast("bigint")).alias(f"n{i}") for i in range(phrases_)]).first()
+    total = F.lit(0.0)
+    for i in range(phrases_):
+        total = total + _score(F.col(f"f{i}"), F.col("dl"), rows, mean, seen[f"n{i}"] or 0)
+    return counted.where(" and ".join(f"f{i} > 0" for i in range(phrases_))).select("id", (-total).alias("score"))
+
+
+def matches(index: Index, query: str) -> DataFrame:
+    """(id, score) of rows with every phrase of the query, from stored postings; smaller is better.
+
+    Statistics are those of the whole table. An empty query has no rows.
+    """
+    wanted = phrases(query)
+    if not wanted:
+        return index.postings().select("id", F.lit(0.0).alias("score")).where("false")
+    words = sorted({w for p in wanted for w in p})
+    rows = index.postings().where(F.col("token").isin(words))
+    place = F.create_map(*[x for w in words for x in (F.lit(w), F.lit(words.index(w)))])
+    by_row = rows.groupBy("id").agg(F.first("dl").alias("dl"), *[F.first(F.when(place[F.col("token")] == i, F.col("positions")), ignorenulls=True).alias(f"p{i}") for i in range(len(words))])
+
+    def count(phrase: list[str]) -> Column:
+        at = [F.coalesce(F.col(f"p{words.index(w)}"), F.array().cast("array<int>")) for w in phrase]
+        if len(at) == 1:
+            return F.size(at[0])
+        # positions of the last word whose earlier words stand before it
+        ends = at[0]
+        for p in at[1:]:
+            ends = F.array_intersect(F.transform(ends, lambda x: x + 1), p)
+        return F.size(ends)
+
+    counted = by_row.select("id", "dl", *[count(p).alias(f"f{i}") for i, p in enumerate(wanted)])
+    return _hits(counted, len(wanted), index.rows, index.mean)
+
+
+def bm25(docs: DataFrame, id_col: str, query: str, text_col: str = "text") -> DataFrame:
+    """(id, score) of rows with every phrase of the query, by scans of a table that has no index (two, one for
+    the statistics)."""
     wanted = phrases(query)
     if not wanted:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where("false")
@@ -61,15 +155,8 @@ def bm25(docs: DataFrame, id_col: str, query: str, text_col: str = "text") -> Da
     # tokens are a variable of the lambda, so that no rewrite of the plan computes them once for each position
     found = F.transform(F.array(tokens(F.col(text_col))), lambda t: F.struct(F.size(t).alias("dl"), *[phrase_count(t, w).alias(f"f{i}") for i, w in enumerate(wanted)]))
     counted = rows.select(F.col(id_col).alias("id"), F.inline(found))
-    stats = counted.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"f{i}") > 0).cast("int")).alias(f"n{i}") for i in range(len(wanted))])
-    hits = counted.where(" and ".join(f"f{i} > 0" for i in range(len(wanted)))).join(F.broadcast(stats))
-    total = F.lit(0.0)
-    for i in range(len(wanted)):
-        f, n = F.col(f"f{i}"), F.col(f"n{i}")
-        idf = F.log((F.col("N") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        total = total + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.select("id", (-total).alias("score"))
+    stats = counted.agg(F.count("*").alias("rows"), F.avg("dl").alias("mean")).first()
+    return _hits(counted, len(wanted), stats["rows"], stats["mean"] or 0.0)
 
 
 def snippet(text: Column, query: str, size: int = 12) -> Column:
@@ -103,17 +190,42 @@ def with_path_token(rows: DataFrame, path_tokens: DataFrame, token: str, key: st
     return rows.join(path_tokens.where(F.col("token") == token.strip().lower()).select(key).distinct(), key, "left_semi")
 
 
-def search(messages: DataFrame, artifacts: DataFrame, query: str, limit: int = DEFAULT_LIMIT, role: str = "") -> DataFrame:
+# The order of results: score first, then by what is known of the hit.
+ORDER = ["score", "timestamp", "source_name", "machine_id", "session_key", "entry_id", "role"]
+
+
+def clamped(limit: int) -> int:
+    return min(limit if limit > 0 else DEFAULT_LIMIT, MAX_LIMIT)
+
+
+def find(index: Index, messages: DataFrame, query: str, limit: int = DEFAULT_LIMIT, path_tokens: DataFrame | None = None, path_token: str = "", **wanted: str) -> DataFrame:
+    """The best messages of a query among those that the facets take, with their reference and a snippet.
+
+    messages: (id, session_key, entry_id, role, text, timestamp, source_name, machine_id, raw_path, project_key), of
+    entries joined with their sessions. Scores are those of the whole index, before any facet.
+    """
+    rows = facets(messages, **wanted)
+    if path_token:
+        rows = with_path_token(rows, path_tokens, path_token, "session_key")
+    best = matches(index, query).join(rows.drop("text"), "id").orderBy(*ORDER).limit(clamped(limit))
+    # texts are read for the page only
+    page = best.join(messages.select("id", "text"), "id")
+    return page.select(*ORDER, message_ref(F.col("session_key"), F.col("entry_id")).alias("ref"), snippet(F.col("text"), query).alias("snippet")).orderBy(*ORDER)
+
+
+def search(messages: DataFrame, artifacts: DataFrame, query: str, limit: int = DEFAULT_LIMIT, role: str = "", message_index: Index | None = None, artifact_index: Index | None = None) -> DataFrame:
     """Best messages and artifacts, scored each in its own corpus; artifacts only without a role or with theirs.
 
     messages: (id, text, role); artifacts: (id, text). Ties go to the smaller kind and id.
     """
-    limit = min(limit if limit > 0 else DEFAULT_LIMIT, MAX_LIMIT)
+    limit = clamped(limit)
     top = lambda d: d.orderBy("score", "id").limit(limit)
-    out = bm25(messages, "id", query).join(messages.select("id", "role"), "id")
-    out = top(out.where(F.col("role") == role) if role else out).select(F.lit("message").alias("kind"), F.col("id").cast("string").alias("id"), "score")
+    scored = lambda rows, index: bm25(rows, "id", query) if index is None else matches(index, query)
+    out = scored(messages, message_index)
+    out = out.join(messages.where(F.col("role") == role).select("id"), "id", "left_semi") if role else out
+    out = top(out).select(F.lit("message").alias("kind"), F.col("id").cast("string").alias("id"), "score")
     if role in ("", "artifact"):
-        out = out.unionByName(top(bm25(artifacts, "id", query)).select(F.lit("artifact").alias("kind"), F.col("id").cast("string").alias("id"), "score"))
+        out = out.unionByName(top(scored(artifacts, artifact_index)).select(F.lit("artifact").alias("kind"), F.col("id").cast("string").alias("id"), "score"))
     return out.orderBy("score", "kind", "id").limit(limit)
 
 

@@ -9,6 +9,7 @@ from skein.functions import redaction as R
 from skein.functions import scalars as S
 from skein.operators import episodes as E
 from skein.operators import health as H
+from skein.operators import lifecycle as L
 from skein.operators import merge as M
 from skein.operators import pairing, read, search
 from skein.plans import views as V
@@ -148,24 +149,24 @@ def redaction_counts(spark, sf_dir):
     return H.redactions_by_pattern(hits)
 
 
-@query(f"select conv_id, turn, {R.signature_sql('substr(text, 1, 60)')} signature from conversations")
+@query(f"select conv_id, turn, {R.signature_sql('text')} signature from conversations")
 def error_signature(spark, sf_dir):
-    return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", R.error_signature(F.substring("text", 1, 60)).alias("signature"))
+    return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", R.error_signature(F.col("text")).alias("signature"))
 
 
 @query()
 def error_signature_whole(spark, sf_dir):
-    """The signatures of whole turns; error_signature and its SQL stop at 60 characters and never reach the cut at 200 bytes."""
-    return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", R.error_signature(F.col("text")).alias("signature"))
+    """As error_signature; tested against brute force on texts around the cut at 200 bytes."""
+    return error_signature(spark, sf_dir)
 
 
-@query("""select event_id, case k % 6 when 0 then 'gh pr create' when 1 then 'git push origin' when 2 then 'gh api' when 3 then 'ls' when 4 then 'go test' else 't' || (k % 3) end family from (select event_id, coalesce(cast(json_extract_string(props, '$.k') as bigint), event_id) k from events)""")
+@query("""select event_id, case event_id % 6 when 0 then event_type || 'ctl apply s' || (user_id % 9) when 1 then 'make ' || event_type when 2 then event_type when 3 then event_type || ' list' when 4 then event_type || ' sync u' || user_id else 't' || (user_id % 3) end family from events""")
 def command_family(spark, sf_dir):
-    inv = V.table(spark, sf_dir, "events").withColumn("k", F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.col("event_id")))
-    lines = ["gh pr create --title \"x\" --body \"y\"", "git push origin feature/foo", "gh api -X POST /repos/o/r/issues", "ls -la /tmp", "A=1 cd /home/x && B=2 go test ./... | tee log"]
-    command = F.coalesce(F.element_at(F.array(*map(F.lit, lines)), F.when(F.col("k") % 6 < 5, (F.col("k") % 6 + 1).cast("int")).otherwise(1)), F.lit(""))
-    command = F.when(F.col("k") % 6 == 5, "  ").otherwise(command)
-    return inv.select("event_id", R.command_family(F.concat(F.lit("t"), F.col("k") % 3), command).alias("family"))
+    e, kind, user = V.table(spark, sf_dir, "events"), F.col("event_type"), F.col("user_id").cast("string")
+    lines = [F.concat(kind, F.lit("ctl apply s"), F.col("user_id") % 9, F.lit(" w -n "), F.col("event_id")), F.concat(F.lit("A=1 cd /srv/"), user, F.lit(" && make "), kind, F.lit(" -j 4")), F.concat(F.lit("U="), user, F.lit(" "), kind, F.lit(" run/"), user, F.lit(" x")),
+             F.concat(kind, F.lit(" list --all u"), user), F.concat(F.lit("  "), kind, F.lit(" sync u"), user, F.lit(" | tee log")), F.lit(" \t ")]
+    command = F.element_at(F.array(*lines), (F.col("event_id") % 6 + 1).cast("int"))
+    return e.select("event_id", R.command_family(F.concat(F.lit("t"), F.col("user_id") % 3), command).alias("family"))
 
 
 @query(r"""with p as (select page_id, string_split(lower(trim(regexp_replace(url, '^https?://', ''))), '/') parts from pages), t as (select page_id, unnest(list_concat(parts, flatten(list_transform(parts, lambda x: regexp_split_to_array(x, '[-_. \t]'))))) token from p)
@@ -223,18 +224,23 @@ def _top(rows: DataFrame, limit: int = 20) -> DataFrame:
 
 @query(_TOP.format(_bm25_sql("documents", "doc_id", "thing erea")))
 def search_bm25(spark, sf_dir):
-    return _top(search.bm25(V.table(spark, sf_dir, "documents"), "doc_id", "thing erea"))
+    return _top(search.matches(V.index(spark, sf_dir, "documents"), "thing erea"))
 
 
 @query(_TOP.format(_bm25_sql("documents", "doc_id", "of/the")))
 def search_phrase(spark, sf_dir):
-    return _top(search.bm25(V.table(spark, sf_dir, "documents"), "doc_id", "of/the"))
+    return _top(search.matches(V.index(spark, sf_dir, "documents"), "of/the"))
+
+
+@query(_TOP.format(_bm25_sql("documents", "doc_id", "thing erea")))
+def search_scan(spark, sf_dir):
+    return _top(search.bm25(V.table(spark, sf_dir, "documents"), "doc_id", "thing erea"))
 
 
 @query(f"select s.id, round(score, 9) score from ({_bm25_sql('documents', 'doc_id', 'é des')}) s join documents d on d.doc_id = s.id where d.lang = 'fr' and d.source >= 'src1' order by 2, 1 limit 20")
 def search_facets(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
-    hits = search.bm25(docs, "doc_id", "é des")
+    hits = search.matches(V.index(spark, sf_dir, "documents"), "é des")
     return _top(hits.join(docs.where("lang = 'fr' and source >= 'src1'").select(F.col("doc_id").alias("id")), "id", "left_semi"))
 
 
@@ -243,19 +249,37 @@ def search_facets(spark, sf_dir):
 def search_union_artifacts(spark, sf_dir):
     messages = V.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", "role")
     artifacts = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return search.search(messages, artifacts, "the thing").withColumn("score", F.round("score", 9))
+    return search.search(messages, artifacts, "the thing", message_index=V.index(spark, sf_dir, "messages"), artifact_index=V.index(spark, sf_dir, "documents")).withColumn("score", F.round("score", 9))
 
 
 @query(f"with t as ({_tokens_sql('documents', 'doc_id')}) select token, count(*) docs, sum(n)::bigint occurrences from (select id, unnest(toks) token, count(*) n from t group by 1, 2) group by 1")
 def postings(spark, sf_dir):
-    p = search.postings(V.table(spark, sf_dir, "documents"), "doc_id")
-    return p.groupBy("token", "id").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("docs"), F.sum("n").alias("occurrences"))
+    p = V.index(spark, sf_dir, "documents").postings()
+    return p.groupBy("token").agg(F.count("*").alias("docs"), F.sum(F.size("positions")).cast("bigint").alias("occurrences"))
+
+
+_FOUND = f"""select round(score, 9) score, "timestamp", source_name, machine_id, session_key, entry_id, role, 'msg:v1:' || replace(replace(rtrim(to_base64(encode(session_key)), '='), '+', '-'), '/', '_') || ':' || replace(replace(rtrim(to_base64(encode(entry_id)), '='), '+', '-'), '/', '_') ref
+  from ({{}}) s join (with {V.MESSAGES_SQL} select * from messages) m using (id) where {{}} order by 1, 2, 3, 4, 5, 6, 7 limit {{}}"""
+
+
+@query(_FOUND.format(_bm25_sql("(select conv_id * 1000 + turn id, text from conversations) x", "id", "the thing"), "role = 'user' and source_name = 's1' and \"timestamp\" >= '2026-01-05' and \"timestamp\" <= '2026-01-25T00:00:00Z' and contains(lower(raw_path), 'work/p_')", 50))
+def search_messages(spark, sf_dir):
+    found = search.find(V.index(spark, sf_dir, "messages"), V.messages(spark, sf_dir), "the thing", 50, role="user", source="s1", after="2026-01-05", before="2026-01-25T00:00:00Z", path_contains="work/P_")
+    return found.drop("snippet").withColumn("score", F.round("score", 9))
+
+
+@query(_FOUND.format(_bm25_sql("(select conv_id * 1000 + turn id, text from conversations) x", "id", "the"), "project_key = 'p3' and machine_id = 'm1' and list_contains(['work', 'p_3', 'p', '3', 'src'], 'p_3')", 20))
+def search_project(spark, sf_dir):
+    rows = V.messages(spark, sf_dir)
+    tokens = rows.select("session_key", F.explode(S.path_tokens(F.col("raw_path"))).alias("token")).distinct()
+    found = search.find(V.index(spark, sf_dir, "messages"), rows, "the", path_tokens=tokens, path_token=" P_3 ", project="p3", machine="m1")
+    return found.drop("snippet").withColumn("score", F.round("score", 9))
 
 
 @query()
 def search_snippets(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
-    hits = search.bm25(docs, "doc_id", "thing").orderBy("score", "id").limit(20)
+    hits = search.matches(V.index(spark, sf_dir, "documents"), "thing").orderBy("score", "id").limit(20)
     return hits.join(docs, hits.id == docs.doc_id).select("id", search.snippet(F.col("text"), "thing").alias("snippet"))
 
 
@@ -393,12 +417,12 @@ def blob_plan(spark, sf_dir):
     return M.blob_plan(f.where("manifest = 'new'"), f.where("manifest = 'old'"))
 
 
-@query(f"with {V.MANIFESTS_SQL}, l as (select manifest, machine_id, sha256(relative_path || chr(9) || sha256) h from files) select manifest, machine_id, count(*) files, sha256(string_agg(h, '' order by h)) digest from l group by 1, 2")
+@query(f"with {V.MANIFESTS_SQL}, l as (select manifest, machine_id, sha256(relative_path || chr(9) || sha256) h from files), r as (select manifest, machine_id, substr(h, 1, 3) range, count(*) n, sha256(string_agg(h, '' order by h)) d from l group by 1, 2, 3) select manifest, machine_id, sum(n)::bigint files, sha256(string_agg(d, '' order by range)) digest from r group by 1, 2")
 def manifest_digests(spark, sf_dir):
     return M.manifest_digests(V.manifest_files(spark, sf_dir))
 
 
-@query(f"with {V.MANIFESTS_SQL}, l as (select manifest, machine_id, sha256(relative_path || chr(9) || sha256) h from files), d as (select manifest, machine_id, sha256(string_agg(h, '' order by h)) digest from l group by 1, 2), a as (select * from d where manifest = 'old' and machine_id <> 'src3'), b as (select * from d where manifest = 'new' and machine_id <> 'src5') select coalesce(a.machine_id, b.machine_id) machine_id, case when a.digest is null then 'missing' when b.digest is null then 'gone' when a.digest = b.digest then 'current' else 'behind' end state from a full join b on a.machine_id = b.machine_id")
+@query(f"with {V.MANIFESTS_SQL}, l as (select manifest, machine_id, sha256(relative_path || chr(9) || sha256) h from files), r as (select manifest, machine_id, substr(h, 1, 3) range, count(*) n, sha256(string_agg(h, '' order by h)) d from l group by 1, 2, 3), d as (select manifest, machine_id, sha256(string_agg(d, '' order by range)) digest from r group by 1, 2), a as (select * from d where manifest = 'old' and machine_id <> 'src3'), b as (select * from d where manifest = 'new' and machine_id <> 'src5') select coalesce(a.machine_id, b.machine_id) machine_id, case when a.digest is null then 'missing' when b.digest is null then 'gone' when a.digest = b.digest then 'current' else 'behind' end state from a full join b on a.machine_id = b.machine_id")
 def latest_vector_diff(spark, sf_dir):
     d = M.manifest_digests(V.manifest_files(spark, sf_dir))
     return M.vector_diff(d.where("manifest = 'old' and machine_id <> 'src3'"), d.where("manifest = 'new' and machine_id <> 'src5'"))
@@ -416,11 +440,37 @@ def new_session_versions(spark, sf_dir):
     return M.unknown(f.where("manifest = 'new'"), f.where("manifest = 'old'"), ["machine_id", "relative_path", "sha256"]).select("machine_id", "relative_path")
 
 
-@query("select user_id % 32 id, case when user_id % 2 = 0 then 'archive_missing' when user_id % 3 = 0 then 'workspace_missing' when user_id % 5 = 0 then 'workspace_damaged' when user_id % 7 = 0 then 'workspace_foreign' when user_id % 11 = 0 then 'behind' else 'current' end state, case when user_id % 2 = 0 then 'initialise' when user_id % 3 = 0 then 'download' when user_id % 5 = 0 then 'repair' when user_id % 7 = 0 then 'rebind' when user_id % 11 = 0 then 'download' else 'none' end next_action from events")
+_STATES_SQL = f"""s as (select event_id, (['current', 'upload_needed', 'unknown'])[user_id % 3 + 1] agent, ({list(L.ARCHIVE_STATES)})[event_id % 8 + 1] archive, ({list(L.WORKSPACE_STATES)})[(event_id // 8) % 7 + 1] workspace,
+  ({list(L.ARCHIVE_OPERATIONS)})[user_id % 6 + 1] a_op, ({list(L.WORKSPACE_OPERATIONS)})[user_id % 6 + 1] w_op from events)"""
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    e, u = F.col("event_id"), F.col("user_id")
+    return V.table(spark, sf_dir, "events").select(
+        "event_id", pick(("current", "upload_needed", "unknown"), u % 3).alias("agent"), pick(L.ARCHIVE_STATES, e % 8).alias("archive"), pick(L.WORKSPACE_STATES, F.floor(e / 8) % 7).alias("workspace"),
+        pick(L.ARCHIVE_OPERATIONS, u % 6).alias("a_op"), pick(L.WORKSPACE_OPERATIONS, u % 6).alias("w_op"))
+
+
+@query(f"""with {_STATES_SQL}, n as (select *, 'upgrade_required' in (archive, workspace) upgrade, agent = 'upload_needed' up, workspace in ('behind', 'absent') down from s)
+  select event_id, case when upgrade then 'upgrade_required' when archive like 'invalid%' or archive = 'unreachable' then 'archive_unavailable' when workspace in ('archive_mismatch', 'invalid_destination') then 'workspace_attention_required'
+      when archive = 'uninitialised' then 'archive_uninitialised' when 'damaged' in (archive, workspace) then 'damaged' when agent = 'unknown' then 'agent_history_unknown' when up and down then 'upload_and_download_needed' when up then 'upload_needed' when down then 'download_needed' else 'current' end state,
+    case when upgrade then 'version --json' when archive like 'invalid%' or archive = 'unreachable' then 'archive status' when workspace in ('archive_mismatch', 'invalid_destination') then 'workspace status'
+      when archive = 'uninitialised' then 'archive init' when archive = 'damaged' then 'archive verify --deep' when workspace = 'damaged' then 'workspace repair --backup' when agent = 'unknown' then 'archive upload --dry-run' when up then 'archive upload' when down then 'archive download' else '' end next_action from n""")
 def system_state(spark, sf_dir):
-    u = F.col("user_id")
-    facts = V.table(spark, sf_dir, "events").select((u % 32).alias("id"), (u % 2 != 0).alias("has_archive"), (u % 3 != 0).alias("has_workspace"), (u % 5 == 0).alias("damaged"), (u % 7 == 0).alias("foreign"), (u % 11 == 0).alias("behind"))
-    return M.system_state(facts)
+    return L.system_state(_states(spark, sf_dir)).select("event_id", "state", "next_action")
+
+
+@query(f"""with {_STATES_SQL}, r as (select event_id, 'archive' kind, archive state, a_op op from s union all select event_id, 'workspace', workspace, w_op from s),
+  t as (select *, op = 'status' or case when kind = 'archive' then case state when 'uninitialised' then op = 'init' when 'empty' then op <> 'init' when 'populated' then op <> 'init' when 'damaged' then op = 'verify' else false end
+    else case state when 'absent' then op in ('set_default', 'download') when 'current' then op <> 'repair' when 'behind' then op <> 'repair' when 'damaged' then op <> 'download' else false end end ok from r)
+  select event_id, kind, state, op operation, ok allowed, case when not ok or op = 'status' then state when kind = 'archive' and op = 'init' then 'empty' when kind = 'archive' and op = 'upload' then 'populated' when kind = 'workspace' and op in ('download', 'repair') then 'current' else state end next_state,
+    case when ok then '' when state = 'upgrade_required' then 'version --json' when kind = 'archive' then case state when 'uninitialised' then 'archive init' when 'damaged' then 'archive verify --deep' else 'archive status' end
+      else case state when 'absent' then 'archive download' when 'damaged' then 'workspace repair --backup' else 'workspace status' end end next_action from t""")
+def lifecycle_transitions(spark, sf_dir):
+    s = _states(spark, sf_dir)
+    requests = s.select("event_id", F.lit("archive").alias("kind"), F.col("archive").alias("state"), F.col("a_op").alias("operation")).unionByName(s.select("event_id", F.lit("workspace").alias("kind"), F.col("workspace").alias("state"), F.col("w_op").alias("operation")))
+    return L.attempted(spark, requests).select("event_id", "kind", "state", "operation", "allowed", "next_state", "next_action")
 
 
 # -- tool calls ----------------------------------------------------------------------------------------------------
@@ -434,7 +484,7 @@ def system_state(spark, sf_dir):
 def tool_pairing(spark, sf_dir):
     e = V.table(spark, sf_dir, "events").withColumn("k", F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.col("event_id"))).withColumn("session_key", F.concat(F.lit("u"), F.col("user_id")))
     call_id = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("c"), F.col("event_id"))).otherwise("")
-    calls = e.select("session_key", F.concat(F.lit("e"), F.col("event_id")).alias("entry_id"), F.col("event_id").alias("line_no"), F.lit(0).alias("ordinal"), call_id.alias("call_id"), F.lit("Bash").alias("tool_name"), F.lit("go test ./...").alias("command"), F.lit("").alias("files_json"), F.lit("").alias("timestamp"), F.lit("").alias("project_key"))
+    calls = e.select("session_key", F.concat(F.lit("e"), F.col("event_id")).alias("entry_id"), F.col("event_id").alias("line_no"), F.lit(0).alias("ordinal"), call_id.alias("call_id"), F.lit("Bash").alias("tool_name"), F.lit("make all").alias("command"), F.lit("").alias("files_json"), F.lit("").alias("timestamp"), F.lit("").alias("project_key"))
     results = e.where("event_id % 2 = 0").select("session_key", F.col("event_id").alias("line_no"), F.lit(0).alias("ordinal"), call_id.alias("for_id"), (F.col("event_type") == "error").alias("is_error"), F.lit("boom").alias("outcome_text"), (F.col("k") % 5).alias("exit_code"))
     return pairing.tool_invocations(calls, results).select("session_key", "entry_id", "is_error", "error_signature", "outcome_observed")
 

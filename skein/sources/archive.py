@@ -1,18 +1,25 @@
 """Content-addressed archive of snapshots: blobs, immutable manifests, and a latest pointer that is compared and swapped.
 
-Manifests are small and handled on the driver; blobs are hashed and verified by Spark.
+A machine's pointer is its last numbered version, a file that is linked into place once: of two writers that saw the
+same version one fails to publish the next and starts again from what the other left. Blobs are gzip files. Manifests are small and handled on the driver; blobs are hashed and verified by Spark.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import os
+import uuid
+import zlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ATTEMPTS = 12
+#: Bytes of a blob that `read` returns at most.
+BLOB_BYTES = 1 << 30
 # The folders of an archive.
 BLOBS, MANIFESTS, LATEST = "blobs", "manifests", "latest"
 
@@ -39,6 +46,22 @@ def state_digest(manifest: dict) -> str:
     return hashlib.sha256(canonical({"machine_id": manifest["machine_id"], "files": manifest["files"]})).hexdigest()
 
 
+def _unpacked_hash(content: pa.Array) -> pa.Array:
+    """The hash of each unpacked blob; empty for one that can't be unpacked. Blobs are unpacked in pieces."""
+    out = []
+    for raw in content:
+        total, unpack = hashlib.sha256(), zlib.decompressobj(31)
+        try:
+            rest = raw.as_py()
+            while rest:
+                total.update(unpack.decompress(rest, 1 << 20))
+                rest = unpack.unconsumed_tail
+            out.append(total.hexdigest() if unpack.eof else "")
+        except zlib.error:
+            out.append("")
+    return pa.array(out, pa.string())
+
+
 class Archive:
     """An archive in a local or mounted folder."""
 
@@ -53,7 +76,7 @@ class Archive:
         if os.path.exists(path):
             return False
         os.makedirs(os.path.dirname(path), exist_ok=True)
-        part = f"{path}.{os.getpid()}.part"
+        part = f"{path}.{uuid.uuid4().hex}.part"
         with open(part, "wb") as f:
             f.write(data)
         try:
@@ -65,17 +88,23 @@ class Archive:
             os.unlink(part)
 
     def blob_key(self, sha: str) -> str:
-        return f"{BLOBS}/{sha[:2]}/{sha}"
+        return f"{BLOBS}/{sha[:2]}/{sha}.gz"
+
+    def _version(self, machine: str) -> int:
+        """The machine's last version, 0 where it has none."""
+        folder = f"{self.root}/{LATEST}/{machine}"
+        return max((int(n) for n in os.listdir(folder) if n.isdigit()), default=0) if os.path.isdir(folder) else 0
 
     def latest(self, machine: str) -> str | None:
-        path = f"{self.root}/{LATEST}/{machine}"
-        return open(path).read().strip() if os.path.exists(path) else None
+        version = self._version(machine)
+        return open(f"{self.root}/{LATEST}/{machine}/{version:012d}").read().strip() if version else None
 
     def push(self, manifest: dict, blobs: dict[str, bytes]) -> str:
-        """Publish a snapshot: new blobs, the manifest, then the machine's pointer; an unchanged state is reused."""
+        """Publish a snapshot: new blobs, the manifest, then the machine's next version; an unchanged state is reused."""
         validate(manifest)
+        machine = manifest["machine_id"]
         for _ in range(ATTEMPTS):
-            before = self.latest(manifest["machine_id"])
+            version, before = self._version(machine), self.latest(machine)
             if before and state_digest(self.manifest(before)) == state_digest(manifest):
                 return before
             for f in manifest["files"]:
@@ -83,18 +112,27 @@ class Archive:
                     data = blobs[f["sha256"]]
                     if hashlib.sha256(data).hexdigest() != f["sha256"]:
                         raise ValueError(f"{f['relative_path']}: content differs from its hash")
-                    self._put(self.blob_key(f["sha256"]), data)
+                    self._put(self.blob_key(f["sha256"]), gzip.compress(data, mtime=0))
             raw = canonical(manifest)
             sha = hashlib.sha256(raw).hexdigest()
             self._put(f"{MANIFESTS}/{sha}.json", raw)
-            if self.latest(manifest["machine_id"]) == before:
-                part = f"{self.root}/{LATEST}/.{manifest['machine_id']}.{os.getpid()}"
-                with open(part, "w") as f:
-                    f.write(sha)
-                os.replace(part, f"{self.root}/{LATEST}/{manifest['machine_id']}")
+            if self._put(f"{LATEST}/{machine}/{version + 1:012d}", sha.encode()):
                 return sha
         raise RuntimeError("the latest pointer kept changing")
 
+    def read(self, sha: str, most: int = BLOB_BYTES) -> bytes:
+        """A blob's content, verified; ValueError if it is damaged or longer than `most` bytes."""
+        with gzip.open(f"{self.root}/{self.blob_key(sha)}") as f:
+            try:
+                data = f.read(most + 1)
+            except (OSError, EOFError, zlib.error) as e:
+                raise ValueError(f"blob {sha} is damaged") from e
+        if len(data) > most:
+            raise ValueError(f"blob {sha} has more than {most} bytes")
+        if hashlib.sha256(data).hexdigest() != sha:
+            raise ValueError(f"blob {sha} is damaged")
+        return data
+
     def manifest(self, sha: str) -> dict:
         raw = open(f"{self.root}/{MANIFESTS}/{sha}.json", "rb").read()
         if hashlib.sha256(raw).hexdigest() != sha:
@@ -103,7 +141,7 @@ class Archive:
 
     def vector(self) -> dict[str, str]:
         """machine -> latest manifest, in order of machine."""
-        return {m: self.latest(m) for m in sorted(os.listdir(f"{self.root}/{LATEST}")) if not m.startswith(".")}
+        return {m: self.latest(m) for m in sorted(os.listdir(f"{self.root}/{LATEST}"))}
 
     def files(self, spark: SparkSession) -> DataFrame:
         """(manifest_sha256, machine_id, relative_path, sha256, bytes) of the latest snapshots."""
@@ -112,10 +150,10 @@ class Archive:
         return rows.select(name.alias("manifest_sha256"), "machine_id", F.explode("files").alias("f")).select("manifest_sha256", "machine_id", "f.*")
 
     def stored(self, spark: SparkSession, content: bool = False) -> DataFrame:
-        """(sha256, bytes[, actual]) of stored blobs; with content they are read and hashed by the executors."""
-        blobs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.root}/{BLOBS}")
-        name = F.element_at(F.split("path", "/"), -1).alias("sha256")
-        return blobs.select(name, F.col("length").alias("bytes"), *([F.sha2("content", 256).alias("actual")] if content else []))
+        """(sha256, bytes[, actual]) of stored blobs; with content they are read, unpacked and hashed by the executors."""
+        blobs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(f"{self.root}/{BLOBS}")
+        name = F.regexp_extract("path", r"([^/]+)\.gz$", 1).alias("sha256")
+        return blobs.select(name, F.col("length").alias("bytes"), *([F.arrow_udf(_unpacked_hash, "string")("content").alias("actual")] if content else []))
 
     def verify(self, spark: SparkSession) -> DataFrame:
         """(check, sha256): blobs that are missing, damaged or not referred to."""

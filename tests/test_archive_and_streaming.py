@@ -27,6 +27,36 @@ def test_archive_push_reuse_and_verify(spark, tmp_path):
     assert {(r.check, r.sha256) for r in a.verify(spark).collect()} == {("damaged", sha), ("orphan", hashlib.sha256(b"two").hexdigest())}
 
 
+def test_two_writers_publish_one_after_the_other(tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    a = archive.Archive(str(tmp_path / "a"))
+    data = {f"f{i}": f"content {i}".encode() for i in range(9)}
+    push = lambda i: a.push(_manifest("m", {"f": data[f"f{i}"]}), {hashlib.sha256(data[f"f{i}"]).hexdigest(): data[f"f{i}"]})
+    with ThreadPoolExecutor(8) as pool:
+        shas = list(pool.map(push, range(8)))
+    versions = sorted((tmp_path / "a" / archive.LATEST / "m").iterdir())
+    assert sorted(v.read_text() for v in versions) == sorted(shas) and len(set(shas)) == 8
+    assert a.latest("m") == versions[-1].read_text()
+    # a writer that has seen an old version does not overwrite a newer one
+    seen = iter([7, 8])
+    monkeypatch.setattr(archive.Archive, "_version", lambda self, machine, real=archive.Archive._version: next(seen, None) or real(self, machine))
+    assert push(8) == a.latest("m") and len(list((tmp_path / "a" / archive.LATEST / "m").iterdir())) == 9
+
+
+def test_verified_reads(tmp_path):
+    a = archive.Archive(str(tmp_path / "a"))
+    sha = hashlib.sha256(b"some content").hexdigest()
+    a.push(_manifest("m", {"f": b"some content"}), {sha: b"some content"})
+    assert a.read(sha) == b"some content"
+    with pytest.raises(ValueError):
+        a.read(sha, most=4)
+    path = tmp_path / "a" / a.blob_key(sha)
+    path.write_bytes(path.read_bytes()[:-3])
+    with pytest.raises(ValueError):
+        a.read(sha)
+
+
 def test_database_export(spark, tmp_path):
     db = sqlite3.connect(tmp_path / "opencode.db")
     db.executescript("create table session(id text, data text); create table message(id text, session_id text, data text); create table part(id text, message_id text, session_id text, data text);")

@@ -77,3 +77,15 @@ def test_replaying_snapshots_equals_the_latest(spark):
     assert [(r.first_sha, r.second_sha) for r in merge.same_session_conflicts(rows, ["machine_id", "line_no"]).collect()] == [("h3", "h2")]
     with pytest.raises(ValueError):
         merge.page(first.withColumnRenamed("line_no", "conflict_id"), 500)
+
+
+def test_stored_postings_score_as_scans_do(spark, tmp_path):
+    texts = ["the quick fox", "the the fox jumped the fox", None, "", "...", "quick Fox, the", "nothing here", "a fox the fox the fox"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    index = search.build(df, "id", f"{tmp_path}/a")
+    later = search.refreshed(search.build(df.where("id < 5").unionByName(spark.createDataFrame([(99, "gone fox")], df.schema)), "id", f"{tmp_path}/b"), df, "id", f"{tmp_path}/c")
+    for query in ("fox", "the/fox", "quick the", "fox/the/fox the", "missing", "", "fox missing"):
+        want = {r.id: round(r.score, 9) for r in search.bm25(df, "id", query).collect()}
+        for one in (index, later):
+            assert {r.id: round(r.score, 9) for r in search.matches(one, query).collect()} == want, query
+    assert (index.rows, later.rows) == (6, 6) and index.mean == later.mean
