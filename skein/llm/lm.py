@@ -135,7 +135,7 @@ class Network:
             _, dout = self.outputs(np.concatenate(states), y.ravel(), grad)
             dout = dout.reshape(len(y), -1, u)
             dh = np.zeros_like(h)
-            dtable = np.zeros_like(table)
+            inputs = np.empty((*x.shape, 3 * u), np.float32)
             for t in range(len(y) - 1, -1, -1):
                 old, z, r, n, qn = kept[t]
                 dh = dh + dout[t]
@@ -143,9 +143,15 @@ class Network:
                 dz = dh * (old - n) * z * (1 - z)
                 dr = dn * qn * r * (1 - r)
                 dq = np.hstack([dz, dr, dn * r])
-                np.add.at(dtable, x[t], np.hstack([dz, dr, dn]))
+                inputs[t, :, :u], inputs[t, :, u:2 * u], inputs[t, :, 2 * u:] = dz, dr, dn
                 grad["U"] += old.T @ dq
                 dh = (dh * z + dq @ w["U"].T) * (1 - new[t])[:, None].astype(np.float32)
+            # rows of the same symbol are summed in one run each
+            order = np.argsort(x, axis=None, kind="stable")
+            symbols = x.ravel()[order]
+            begin = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
+            dtable = np.zeros_like(table)
+            dtable[symbols[begin]] = np.add.reduceat(inputs.reshape(-1, 3 * u)[order], begin, axis=0)
             grad["E"], grad["X"], grad["b"] = dtable @ w["X"].T, w["E"].T @ dtable, dtable.sum(axis=0)
             norm = math.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             tick += 1
@@ -278,7 +284,7 @@ def _streams(docs: list[np.ndarray], side: int) -> tuple[np.ndarray, np.ndarray]
     return np.resize(ids, n * side).reshape(side, n).T.copy(), np.resize(fresh, n * side).reshape(side, n).T.copy()
 
 
-def _fit(box, weights, side: int):
+def _fit(box, weights, side: int, rate: float):
     """Weights after one pass over a task's documents, in fewer streams if they are short; a task without any reports none."""
     def run(batches):
         lexicon = box.value
@@ -287,7 +293,7 @@ def _fit(box, weights, side: int):
             net = Network(lexicon.model_counts())
             if weights is not None:
                 net.w = {k: v.copy() for k, v in weights.value.items()}
-            net.train(*_streams(docs, max(1, min(side, sum(map(len, docs)) // STEPS))))
+            net.train(*_streams(docs, max(1, min(side, sum(map(len, docs)) // STEPS))), rate)
             yield _row(net.w, 1)
     return run
 
@@ -324,11 +330,11 @@ def fit(texts: DataFrame, lexicon: Lexicon, n_docs: int) -> Network:
     draw = texts.withColumn("h", F.pmod(F.xxhash64("id", F.lit(4)), F.lit(1 << 20)) / float(1 << 20))
     schema = "weights binary, n long"
     warm = draw.where(F.col("h") < min(1.0, WARM_DOCS / max(1, n_docs))).select("text").repartition(1)
-    first = warm.mapInArrow(_fit(box, None, 32), schema).collect()
+    first = warm.mapInArrow(_fit(box, None, 32, 3e-3), schema).collect()
     if first:
         net.w = _unpacked(np.frombuffer(first[0].weights, "<f4"), net.w)
     weights = spark.sparkContext.broadcast(net.w)
-    rows = texts.repartition(shards, F.xxhash64("id", F.lit(5))).select("text").mapInArrow(_fit(box, weights, 64), schema)
+    rows = texts.repartition(shards, F.xxhash64("id", F.lit(5))).select("text").mapInArrow(_fit(box, weights, 256, 6e-3), schema)
     rows, left = materialise(rows, "weights"), shards
     while left > 16:
         left = -(-left // 16)

@@ -223,7 +223,7 @@ def test_lm_gradient_and_learning():
 
 @pytest.mark.parametrize("n", [300, 20_000])
 def test_lm_shards_learn_from_every_document(spark, tmp_path, monkeypatch, n):
-    def counting(box, weights, side):
+    def counting(box, weights, side, rate):
         def run(batches):
             import uuid
 
@@ -244,7 +244,7 @@ def test_lm_learns_from_every_token():
     assert ids.T.ravel()[:135].tolist() == np.concatenate(docs).tolist() and fresh.sum() == 28
     box = type("Box", (), {"value": lm.Lexicon([b"a", b"b"], np.array([3, 2]), 6, 3, 1)})()
     batch = pa.RecordBatch.from_arrays([pa.array(["a b a"])], names=["text"])
-    few = list(lm._fit(box, None, 64)([batch]))
+    few = list(lm._fit(box, None, 64, 3e-3)([batch]))
     assert len(few) == 1 and few[0].column(0)[0].as_py() != lm._row(lm.Network(box.value.model_counts()).w, 1).column(0)[0].as_py()
 
 
