@@ -24,6 +24,8 @@ from .shared import BROADCAST_ROWS, bounded, materialise
 
 WINDOW = 50
 KMER = 12
+#: Rows of a broadcast side of several columns at most.
+_WIDE = BROADCAST_ROWS // 20
 RESULT = "struct<n_words: long, n_removed: long, kept_sha256: string>"
 
 
@@ -154,7 +156,7 @@ def compacted(seeds: DataFrame) -> DataFrame:
     enters = edge.groupBy(F.col("next").alias("seed")).agg(F.count("*").alias("into"))
     plain = materialise(leaves.join(enters, "seed", "left").where((F.col("out") == 1) & (F.coalesce("into", F.lit(0)) <= 1)).select("seed", F.lit(True).alias("plain")), "plain")
     # an edge goes on along the path if the node it leaves does not branch; a last node ends its path anyway
-    path = materialise(edges.join(bounded(plain), "seed", "left").withColumn("plain", F.when(F.col("next").isNull(), None).otherwise(F.coalesce("plain", F.lit(False)))), "paths")
+    path = materialise(edges.join(bounded(plain, _WIDE), "seed", "left").withColumn("plain", F.when(F.col("next").isNull(), None).otherwise(F.coalesce("plain", F.lit(False)))), "paths")
     back = F.lag("plain").over(along)
     cut = path.withColumn("new", F.when(F.coalesce(back, F.lit(False)) & F.coalesce("plain", F.lit(True)), 0).otherwise(1))
     group = cut.withColumn("path", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
@@ -167,13 +169,13 @@ def repeated_starts(reps: DataFrame, window: int = WINDOW, k: int = KMER) -> Dat
     seeds = materialise(seeds, "seeds")
     # shared seeds are written first: the join with them is broadcast, or a plain one that may be split where a seed is hot
     shared = materialise(seeds.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("seed"), "shared")
-    spans = compacted(seeds.join(bounded(shared), "seed").distinct())
+    spans = compacted(seeds.join(bounded(shared, _WIDE), "seed").distinct())
     # a seed alone spans itself; windows around a span are those that hold one of its seeds
     lists = materialise(spans.groupBy(*ROW).agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("spans")), "spans")
-    texts = reps.join(bounded(lists.select(*ROW)), ROW, "left_semi").join(lists, ROW).select("doc", "text", "turn", "spans")
+    texts = reps.join(bounded(lists.select(*ROW), _WIDE), ROW, "left_semi").join(lists, ROW).select("doc", "text", "turn", "spans")
     wins = materialise(texts.mapInArrow(_windows(window, k), "win long, win2 long, doc long, turn long, at int"), "windows")
     least = materialise(wins.groupBy("win", "win2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("win", "win2", "lo"), "least")
-    return wins.join(bounded(least), ["win", "win2"]).where("doc > lo").select("doc", "turn", "at").distinct()
+    return wins.join(bounded(least, _WIDE), ["win", "win2"]).where("doc > lo").select("doc", "turn", "at").distinct()
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = KMER) -> DataFrame:
@@ -196,7 +198,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     frame = turned(frame, F.xxhash64("text"))
     least = materialise(keyed.groupBy("k1", "k2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("k1", "k2", "lo"), "least")
-    copies = materialise(turned(keyed.join(bounded(least), ["k1", "k2"]).where("doc > lo").select("doc", "tk"), F.col("tk")).select(*ROW).distinct(), "copies")
+    copies = materialise(turned(keyed.join(bounded(least, _WIDE), ["k1", "k2"]).where("doc > lo").select("doc", "tk"), F.col("tk")).select(*ROW).distinct(), "copies")
     reps = frame.where("doc is not null").join(bounded(copies), ROW, "left_anti")
     starts = repeated_starts(reps, window, k).groupBy(*ROW).agg(F.collect_list("at").alias("starts"))
     edits = materialise(starts.select(*ROW, F.arrow_udf(_runs(window), "array<int>")("starts").alias("runs"), F.lit(False).alias("copy")).unionByName(copies.select(*ROW, F.lit(None).cast("array<int>").alias("runs"), F.lit(True).alias("copy"))), "edits")
