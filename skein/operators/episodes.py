@@ -21,27 +21,30 @@ def ordered(invocations: DataFrame) -> DataFrame:
     return invocations.withColumn("ts", parse_ts(F.col("timestamp"))).withColumn("rn", F.row_number().over(seq))
 
 
-def assemble(invocations: DataFrame, max_gap_seconds: int = MAX_GAP_SECONDS, max_steps: int = MAX_STEPS) -> DataFrame:
+def assemble(invocations: DataFrame, max_gap_seconds: int = MAX_GAP_SECONDS, max_steps: int = MAX_STEPS, paths: bool = True) -> DataFrame:
     """One row for each failure that opens an episode: the first of a command family since its last success.
 
     The family's next success closes it: resolved within both budgets, abandoned otherwise. A gap counts only where
-    both instants are known. resolution_path has the families after the opener up to the resolver.
+    both instants are known. resolution_path has the families after the opener up to the resolver; without paths
+    the column is left out, and no families are gathered. A session is ordered in one task, whatever its length.
     """
     seq = ordered(invocations)
     family = Window.partitionBy("session_key", "command_family").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
     back = Window.partitionBy("session_key").orderBy("rn").rowsBetween(-(max_steps - 1), 0)
-    seq = seq.withColumn("arc", F.coalesce(F.sum(F.when(F.col("is_error") == 0, 1).otherwise(0)).over(family), F.lit(0))).withColumn("families", F.collect_list("command_family").over(back))
+    seq = seq.withColumn("arc", F.coalesce(F.sum(F.when(F.col("is_error") == 0, 1).otherwise(0)).over(family), F.lit(0)))
+    seq = seq.withColumn("families", F.collect_list("command_family").over(back)) if paths else seq
     side = F.struct("rn", "entry_id", "ordinal", "tool_name", "error_signature", "project_key", "timestamp", "ts")
-    done = F.struct("rn", "entry_id", "ordinal", "timestamp", "ts", "families")
+    done = F.struct("rn", "entry_id", "ordinal", "timestamp", "ts", *(["families"] if paths else []))
     arcs = seq.groupBy("session_key", "command_family", "arc").agg(F.min(F.when(F.col("is_error") == 1, side)).alias("o"), F.max(F.when(F.col("is_error") == 0, done)).alias("r")).where("o is not null")
     steps = F.col("r.rn") - F.col("o.rn")
     gap = F.col("r.ts").cast("double") - F.col("o.ts").cast("double")
     good = F.col("r.rn").isNotNull() & (steps + 1 <= max_steps) & F.coalesce(gap <= max_gap_seconds, F.lit(True))
     keep = lambda c: F.when(F.col("resolved") == 1, c)
+    path = [keep(F.slice(F.col("r.families"), -F.least(steps, F.size("r.families")), F.least(steps, F.size("r.families")))).alias("resolution_path")] if paths else []
     return arcs.withColumn("resolved", good.cast("int")).select(
         "session_key", F.col("o.entry_id").alias("open_entry_id"), F.col("o.ordinal").alias("open_ordinal"), F.col("o.tool_name").alias("tool_name"), "command_family", F.col("o.error_signature").alias("error_signature"), "resolved",
         keep(F.col("r.entry_id")).alias("resolve_entry_id"), keep(F.col("r.ordinal")).alias("resolve_ordinal"),
-        keep(F.slice(F.col("r.families"), -F.least(steps, F.size("r.families")), F.least(steps, F.size("r.families")))).alias("resolution_path"), F.col("o.project_key").alias("project_key"), F.col("o.timestamp").alias("opened_at"), keep(F.col("r.timestamp")).alias("resolved_at"))
+        *path, F.col("o.project_key").alias("project_key"), F.col("o.timestamp").alias("opened_at"), keep(F.col("r.timestamp")).alias("resolved_at"))
 
 
 def faceted(episodes: DataFrame, sessions: DataFrame | None = None, tool: str = "", project: str = "", source: str = "", machine: str = "") -> DataFrame:

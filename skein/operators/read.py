@@ -29,6 +29,7 @@ def branches(entries: DataFrame, leaves: DataFrame) -> DataFrame:
     Ancestors are found by pointer doubling: after k joins each entry knows the 2^k entries above it, so a session
     of any depth takes a logarithmic number of joins. ValueError for a cycle or a parent that isn't there.
     """
+    entries = entries.join(leaves.select("session_key").distinct(), "session_key", "left_semi")
     up = entries.select("session_key", "entry_id", F.nullif(F.coalesce("parent_id", F.lit("")), F.lit("")).alias("parent_id"))
     lost = up.where("parent_id is not null").join(up.select("session_key", F.col("entry_id").alias("parent_id")), ["session_key", "parent_id"], "left_anti")
     if not lost.isEmpty():

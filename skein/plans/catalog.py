@@ -12,6 +12,7 @@ from skein.operators import health as H
 from skein.operators import lifecycle as L
 from skein.operators import merge as M
 from skein.operators import pairing, read, search
+from skein.operators.lineage import cut
 from skein.plans import views as V
 
 WIDE = 3 * 86400
@@ -43,8 +44,8 @@ def _episodes_sql(gap: int, steps: int = E.MAX_STEPS) -> str:
       p.resolution_path, project_key, opened_at, case when resolved = 1 then rts end resolved_at, lo, hi from ep0 e left join paths p on p.session_key = e.session_key and p.open_entry_id = e.open_entry_id)"""
 
 
-def _episodes(spark: SparkSession, sf_dir: str, gap: int) -> DataFrame:
-    return E.assemble(V.tool_invocations(spark, sf_dir), gap)
+def _episodes(spark: SparkSession, sf_dir: str, gap: int, paths: bool = True) -> DataFrame:
+    return E.assemble(V.tool_invocations(spark, sf_dir), gap, paths=paths)
 
 
 _EPISODE_COLUMNS = "session_key, open_entry_id, open_ordinal, tool_name, command_family, error_signature, resolved, resolve_entry_id, resolve_ordinal, resolution_path, project_key, opened_at, resolved_at"
@@ -74,27 +75,27 @@ def _incidents_sql(state: str = "", where: str = "") -> str:
 
 @query(_incidents_sql())
 def incidents(spark, sf_dir):
-    return E.incidents(_episodes(spark, sf_dir, WIDE))
+    return E.incidents(_episodes(spark, sf_dir, WIDE, paths=False))
 
 
 @query(_incidents_sql("unresolved"))
 def incidents_unresolved(spark, sf_dir):
-    return E.incidents(_episodes(spark, sf_dir, WIDE), "unresolved")
+    return E.incidents(_episodes(spark, sf_dir, WIDE, paths=False), "unresolved")
 
 
 @query(_incidents_sql("partial"))
 def incidents_partial(spark, sf_dir):
-    return E.incidents(_episodes(spark, sf_dir, WIDE), "partial")
+    return E.incidents(_episodes(spark, sf_dir, WIDE, paths=False), "partial")
 
 
 @query(_incidents_sql("resolved"))
 def incidents_resolved(spark, sf_dir):
-    return E.incidents(_episodes(spark, sf_dir, WIDE), "resolved")
+    return E.incidents(_episodes(spark, sf_dir, WIDE, paths=False), "resolved")
 
 
 @query(_incidents_sql(where="where project_key = 'p3'"))
 def incidents_by_project(spark, sf_dir):
-    return E.incidents(E.faceted(_episodes(spark, sf_dir, WIDE), project="p3"))
+    return E.incidents(E.faceted(_episodes(spark, sf_dir, WIDE, paths=False), project="p3"))
 
 
 @query(_incidents_sql(where="where session_key in (select session_key from inv where source_name = 's1' and machine_id = 'm2')"))
@@ -120,19 +121,19 @@ def resolution_paths_top3(spark, sf_dir):
   b as (select tool_name, command_family, error_signature, case when hi > lo then floor((t - lo) / (hi - lo) * 11)::int else 0 end bucket, count(*) n from r, w group by 1, 2, 3, 4)
   select tool_name, command_family, error_signature, g.bucket::int bucket, coalesce(n, 0) n from page cross join (select unnest(range(0, 12))::int bucket) g left join b using (tool_name, command_family, error_signature, bucket)""")
 def incident_sparkline(spark, sf_dir):
-    eps = _episodes(spark, sf_dir, WIDE)
+    eps = cut(_episodes(spark, sf_dir, WIDE, paths=False))  # read twice
     return E.sparklines(eps, E.incidents(eps))
 
 
 @query(f"with {_episodes_sql(WIDE)} select e.session_key, e.open_entry_id, e.open_ordinal, (s.rn - e.lo)::bigint step, s.entry_id, s.tool_name, s.command_family, s.is_error from ep e join seq s on s.session_key = e.session_key and s.rn between e.lo and e.hi where e.resolved = 1")
 def incident_trajectory(spark, sf_dir):
     inv = V.tool_invocations(spark, sf_dir)
-    return E.trajectories(inv, E.assemble(inv, WIDE)).withColumn("step", F.col("step").cast("bigint")).drop("ref")
+    return E.trajectories(inv, E.assemble(inv, WIDE, paths=False)).withColumn("step", F.col("step").cast("bigint")).drop("ref")
 
 
 @query(f"with {_episodes_sql(WIDE)}, m as (select tool_name, command_family, error_signature, max((opened_at, session_key, open_entry_id)) s from ep group by 1, 2, 3) select tool_name, command_family, error_signature, 'msg:v1:' || replace(replace(rtrim(to_base64(encode(s[2])), '='), '+', '-'), '/', '_') || ':' || replace(replace(rtrim(to_base64(encode(s[3])), '='), '+', '-'), '/', '_') sample_ref from m")
 def incident_samples(spark, sf_dir):
-    return E.samples(_episodes(spark, sf_dir, WIDE))
+    return E.samples(_episodes(spark, sf_dir, WIDE, paths=False))
 
 
 # -- scalar functions ----------------------------------------------------------------------------------------------
