@@ -14,6 +14,7 @@ from skein.operators import merge as M
 from skein.operators import pairing, read, search
 from skein.operators.lineage import cut
 from skein.plans import views as V
+from skein.sources import transcripts
 
 WIDE = 3 * 86400
 QUERIES: dict = {}
@@ -490,6 +491,45 @@ def tool_pairing(spark, sf_dir):
     return pairing.tool_invocations(calls, results).select("session_key", "entry_id", "is_error", "error_signature", "outcome_observed")
 
 
+# -- transcripts ---------------------------------------------------------------------------------------------------
+
+
+def _turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines of transcripts, a conversation a file."""
+    c, turn = V.table(spark, sf_dir, "conversations"), F.col("turn")
+    said = F.struct("role", F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content"))
+    line = F.struct(F.lit("message").alias("type"), F.concat(F.lit("t"), turn).alias("uuid"), F.when(turn > 0, F.concat(F.lit("t"), turn - 1)).alias("parentUuid"), F.concat(F.lit("/w/p"), F.col("conv_id") % 10).alias("cwd"), said.alias("message"))
+    name = F.concat(F.lit("c"), F.col("conv_id"))
+    return c.select(name.alias("path"), name.alias("source_session_id"), F.lit(False).alias("is_subagent"), (turn + 1).cast("int").alias("line_no"), F.to_json(line).alias("raw"))
+
+
+@query("select 'c' || conv_id source_session_id, 't' || turn entry_id, case when turn > 0 then 't' || (turn - 1) else '' end parent_id, (turn + 1)::int line_no, role, sha256(trim(coalesce(text, ''))) text_sha256, '/w/p' || (conv_id % 10) cwd from conversations")
+def ingest_entries(spark, sf_dir):
+    e = transcripts.generic_entries(_turn_lines(spark, sf_dir))
+    return e.select("source_session_id", "entry_id", "parent_id", "line_no", "role", F.sha2("text", 256).alias("text_sha256"), "cwd")
+
+
+def _call_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of transcripts: a tool call and, but for every fifth, its result on the next line; a user is a file."""
+    e, n = V.table(spark, sf_dir, "events"), F.col("event_id")
+    error, key = F.col("event_type") == "error", F.concat(F.lit("c"), n)
+    block = lambda **x: F.struct(*[v.alias(k) for k, v in x.items()])
+    line = lambda i, role, b: F.to_json(F.struct(F.lit(role).alias("type"), F.concat(F.lit(i), n).alias("uuid"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.struct(F.lit(role).alias("role"), F.array(b).alias("content")).alias("message")))
+    call = block(type=F.lit("tool_use"), id=key, name=F.concat(F.lit("t"), F.col("user_id") % 3), input=F.struct(F.concat(F.lit("cd /w && "), "event_type", F.lit(" run -n "), F.col("user_id")).alias("command")))
+    said = F.when(error, F.concat(F.lit("Failed at /w/u"), F.col("user_id"), F.lit(" with code "), n)).otherwise("fine")
+    result = block(type=F.lit("tool_result"), tool_use_id=key, is_error=error, content=said)
+    both = F.array(F.struct((n * 2).alias("line_no"), line("a", "assistant", call).alias("raw")), F.struct((n * 2 + 1).alias("line_no"), line("r", "user", result).alias("raw")))
+    rows = e.select("event_id", F.concat(F.lit("u"), F.col("user_id")).alias("path"), F.inline(both)).where("line_no % 2 = 0 or event_id % 5 <> 0")
+    return rows.select("path", F.col("path").alias("source_session_id"), F.lit(False).alias("is_subagent"), F.col("line_no").cast("int").alias("line_no"), "raw")
+
+
+@query("""select 'u' || user_id || '/u' || user_id session_key, 'a' || event_id entry_id, 't' || (user_id % 3) tool_name, event_type || ' run' command_family, (event_type = 'error' and event_id % 5 <> 0)::int is_error,
+  case when event_type = 'error' and event_id % 5 <> 0 then 'failed at <path> with code <n>' else '' end error_signature, event_id % 5 <> 0 outcome_observed from events""")
+def ingest_invocations(spark, sf_dir):
+    calls, results = transcripts.calls_and_results(transcripts.generic_entries(_call_lines(spark, sf_dir)))
+    return pairing.tool_invocations(calls, results, index_output=True).select("session_key", "entry_id", "tool_name", "command_family", "is_error", "error_signature", "outcome_observed")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
