@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, decontaminate, langid, ngram_join, pii
-from skein.llm.shared import bounded, materialise
+from skein.llm.shared import bounded, materialise, scratch, scratch_path
 
 _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -52,12 +52,16 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", identified), ("near_duplicates", deduplicated), ("decontamination", decontaminated), ("pii", redacted), ("bpe", tokenised)]
 
-#: SQL has no language models, tilings, transducers or merges; the stages are tested against brute force instead.
+#: SQL has no language models, tilings, transducers or merges; tests/llm/test_pipeline.py has brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        # what a stage has written for itself goes once its rows are written
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
     return docs
