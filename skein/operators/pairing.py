@@ -28,6 +28,8 @@ def tool_invocations(calls: DataFrame, results: DataFrame, index_output: bool =
     failed = F.coalesce(F.col("is_error"), F.lit(False))
     text = error_signature(F.coalesce("outcome_text", F.lit("")))
     signature = F.when(~failed, "").when(F.lit(index_output) & (F.trim(F.coalesce("outcome_text", F.lit(""))) != ""), text).otherwise(code)
-    family = command_family(F.col("tool_name"), F.col("command"))
+    # columns of their own, since each is shown twice
+    out = out.withColumn("family", command_family(F.col("tool_name"), F.col("command"))).withColumn("signature", signature)
+    family, signature = F.col("family"), F.col("signature")
     return out.select("session_key", "entry_id", "line_no", F.when(F.coalesce("call_id", F.lit("")) != "", F.col("call_id")).otherwise(F.format_string("#%03d", "ordinal")).alias("tool_key"), F.col("call_id").alias("tool_use_id"), "ordinal", "tool_name",
                       family.alias("command_family"), family.alias("command"), "exit_code", failed.cast("int").alias("is_error"), signature.alias("error_signature"), signature.alias("outcome_text"), F.coalesce("observed", F.lit(False)).alias("outcome_observed"), "timestamp", "project_key")
