@@ -46,6 +46,36 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def _keep_memory() -> None:
+    """A large block, freed at once, makes the C library keep freed arrays up to its size instead of mapping each anew."""
+    np.empty(31 << 20, np.uint8)
+
+
+def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials, their sums by row); logits are shifted by their rows' maxima first if any is far from 0."""
+    if logits.max() > 60 or logits.min() < -60:
+        logits -= logits.max(axis=1, keepdims=True)
+    e = np.exp(logits)
+    return e, e @ np.ones(e.shape[1], e.dtype)
+
+
+def _step(p: np.ndarray, old: np.ndarray, inner: np.ndarray, gates: np.ndarray, new: np.ndarray, state: np.ndarray) -> tuple:
+    """One step of the gated unit: fills gates (keep, reset), the new content and the state; a sigmoid is half a tanh of half."""
+    u = HIDDEN
+    q = old @ inner
+    np.add(p[:, :2 * u], q[:, :2 * u], out=gates)
+    np.tanh(gates, out=gates)
+    gates *= np.float32(0.5)
+    gates += np.float32(0.5)
+    np.multiply(gates[:, u:], q[:, 2 * u:], out=new)
+    new += p[:, 2 * u:]
+    np.tanh(new, out=new)
+    np.subtract(old, new, out=state)
+    state *= gates[:, :u]
+    state += new
+    return gates, new, q[:, 2 * u:]
+
+
 class Network:
     """Weights of the recurrent model; plain arrays by name, so that they can be averaged and sent."""
 
@@ -76,82 +106,97 @@ class Network:
         w = self.w
         rows = np.arange(len(y))
         logits = h @ w["C"] + w["c"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        s = e.sum(axis=1)
+        e, s = _exponentials(logits)
         k = self.cls[y]
         out = logits[rows, k] - np.log(s)
         dh = None
         if grad is not None:
-            d = e / s[:, None]
+            d = e
+            d /= s[:, None]
             d[rows, k] -= 1
             d /= len(y)
             grad["C"] += h.T @ d
             grad["c"] += d.sum(axis=0)
             dh = d @ w["C"].T
-        order = np.argsort(k, kind="stable")
+        # rows of the same class side by side; few classes sort fastest as small numbers
+        order = np.argsort(k.astype(np.uint8 if len(self.members) < 256 else np.int32), kind="stable")
         edge = np.searchsorted(k[order], np.arange(len(self.members) + 1))
+        sorted_h, sorted_j = h.take(order, axis=0), self.place[y[order]]
+        inside = np.zeros(len(y), out.dtype)
+        sorted_dh = np.zeros_like(h) if grad is not None else None
         for c, m in enumerate(self.members):
-            at = order[edge[c]:edge[c + 1]]
-            if not len(at) or len(m) == 1:
+            lo, hi = edge[c], edge[c + 1]
+            if lo == hi or len(m) == 1:
                 continue
-            hc = h[at]
-            logits = hc @ w["W"][m].T + w["v"][m]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            s = e.sum(axis=1)
-            j = self.place[y[at]]
-            out[at] += logits[np.arange(len(at)), j] - np.log(s)
+            hc, j, wm = sorted_h[lo:hi], sorted_j[lo:hi], w["W"][m]
+            logits = hc @ wm.T + w["v"][m]
+            e, s = _exponentials(logits)
+            inside[lo:hi] = logits[rows[:hi - lo], j] - np.log(s)
             if grad is not None:
-                d = e / s[:, None]
-                d[np.arange(len(at)), j] -= 1
+                d = e
+                d /= s[:, None]
+                d[rows[:hi - lo], j] -= 1
                 d /= len(y)
                 grad["W"][m] += d.T @ hc
                 grad["v"][m] += d.sum(axis=0)
-                dh[at] += d @ w["W"][m]
+                np.matmul(d, wm, out=sorted_dh[lo:hi])
+        out[order] += inside
+        if grad is not None:
+            dh[order] += sorted_dh
         return out, dh
 
+    def halved(self) -> tuple[np.ndarray, np.ndarray]:
+        """What each symbol and each state adds to the gates; both of the sigmoids' parts halved, as _step takes them."""
+        half = np.repeat(np.array([0.5, 1], np.float32), [2 * HIDDEN, HIDDEN])
+        return (self.w["E"] @ self.w["X"] + self.w["b"]) * half, self.w["U"] * half
+
     def train(self, streams: np.ndarray, fresh: np.ndarray, rate: float = 3e-3) -> None:
         """One pass of Adam over token streams (steps, streams), windows of STEPS; fresh marks begins of documents."""
         w, u = self.w, HIDDEN
         first, second, tick = {n: np.zeros_like(x) for n, x in w.items()}, {n: np.zeros_like(x) for n, x in w.items()}, 0
-        h = np.zeros((streams.shape[1], u), np.float32)
-        before = np.vstack([np.full((1, streams.shape[1]), _END, streams.dtype), streams[:-1]])
+        lanes = streams.shape[1]
+        h = np.zeros((lanes, u), np.float32)
+        before = np.vstack([np.full((1, lanes), _END, streams.dtype), streams[:-1]])
         before = np.where(fresh, _END, before)
+        space = lambda width: np.empty((STEPS, lanes, width), np.float32)
+        held, gates, news, recurrent, states = space(u), space(2 * u), space(u), space(u), space(u)
         for lo in range(0, len(streams), STEPS):
             x, y, new = before[lo:lo + STEPS], streams[lo:lo + STEPS], fresh[lo:lo + STEPS]
-            table = w["E"] @ w["X"] + w["b"]
-            kept, states = [], []
-            for t in range(len(y)):
-                h = h * (1 - new[t])[:, None].astype(np.float32)
-                p, q = table[x[t]], h @ w["U"]
-                zr = 1 / (1 + np.exp(-(p[:, :2 * u] + q[:, :2 * u])))
-                z, r = zr[:, :u], zr[:, u:]
-                n = np.tanh(p[:, 2 * u:] + r * q[:, 2 * u:])
-                kept.append((h, z, r, n, q[:, 2 * u:]))
-                h = (1 - z) * n + z * h
-                states.append(h)
+            m = len(y)
+            live = (~new).astype(np.float32)[:, :, None]
+            table, inner = self.halved()
+            for t in range(m):
+                np.multiply(h, live[t], out=held[t])
+                _, _, recurrent[t] = _step(table.take(x[t], axis=0), held[t], inner, gates[t], news[t], states[t])
+                h = states[t]
             grad = {k: np.zeros_like(v) for k, v in w.items()}
-            _, dout = self.outputs(np.concatenate(states), y.ravel(), grad)
-            dout = dout.reshape(len(y), -1, u)
+            _, dout = self.outputs(states[:m].reshape(-1, u), y.ravel(), grad)
+            dout = dout.reshape(m, -1, u)
+            old, z, r, n = held[:m], gates[:m, :, :u], gates[:m, :, u:], news[:m]
+            # how each gate follows the state, for all steps at once
+            by_new, by_keep, by_reset = (1 - z) * (1 - n * n), (old - n) * z * (1 - z), recurrent[:m] * r * (1 - r)
             dh = np.zeros_like(h)
-            inputs = np.empty((*x.shape, 3 * u), np.float32)
-            for t in range(len(y) - 1, -1, -1):
-                old, z, r, n, qn = kept[t]
-                dh = dh + dout[t]
-                dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (old - n) * z * (1 - z)
-                dr = dn * qn * r * (1 - r)
-                dq = np.hstack([dz, dr, dn * r])
-                inputs[t, :, :u], inputs[t, :, u:2 * u], inputs[t, :, 2 * u:] = dz, dr, dn
-                grad["U"] += old.T @ dq
-                dh = (dh * z + dq @ w["U"].T) * (1 - new[t])[:, None].astype(np.float32)
+            inputs, dq = np.empty((m, lanes, 3 * u), np.float32), np.empty((m, lanes, 3 * u), np.float32)
+            back = w["U"].T.copy()
+            for t in range(m - 1, -1, -1):
+                dh += dout[t]
+                dn = dh * by_new[t]
+                np.multiply(dh, by_keep[t], out=dq[t, :, :u])
+                np.multiply(dn, by_reset[t], out=dq[t, :, u:2 * u])
+                np.multiply(dn, r[t], out=dq[t, :, 2 * u:])
+                inputs[t, :, 2 * u:] = dn
+                dh *= z[t]
+                dh += dq[t] @ back
+                dh *= live[t]
+            inputs[:, :, :2 * u] = dq[:, :, :2 * u]
+            grad["U"] = old.reshape(-1, u).T @ dq.reshape(-1, 3 * u)
             # rows of the same symbol are summed in one run each
-            order = np.argsort(x, axis=None, kind="stable")
-            symbols = x.ravel()[order]
+            symbols = x.ravel().astype(np.uint16 if len(w["E"]) <= 1 << 16 else np.int64)
+            order = np.argsort(symbols, kind="stable")
+            symbols = symbols[order]
             begin = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
             dtable = np.zeros_like(table)
-            dtable[symbols[begin]] = np.add.reduceat(inputs.reshape(-1, 3 * u)[order], begin, axis=0)
+            dtable[symbols[begin]] = np.add.reduceat(inputs.reshape(-1, 3 * u).take(order, axis=0), begin, axis=0)
             grad["E"], grad["X"], grad["b"] = dtable @ w["X"].T, w["E"].T @ dtable, dtable.sum(axis=0)
             norm = math.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             tick += 1
@@ -184,29 +229,26 @@ class Network:
             owner[:n, s] = np.repeat(held, size[held])
             begins = np.cumsum(size[held])[:-1]
             fresh[np.append(0, begins[begins < n]) if n else [], s] = True
-        w, u = self.w, HIDDEN
-        table = w["E"] @ w["X"] + w["b"]
+        u = HIDDEN
+        table, inner = self.halved()
         h = np.zeros((side, u), np.float32)
+        gates, news = np.empty((side, 2 * u), np.float32), np.empty((side, u), np.float32)
+        states = np.empty((span * side, u), np.float32)
         last = np.full(side, _END, np.int32)
         for lo in range(0, steps, span):
             hi = min(steps, lo + span)
-            states, ys, who = [], [], []
+            ys, who, n = [], [], 0
             for t in range(lo, hi):
                 a = int(np.searchsorted(-length, -t, "left"))
-                new = fresh[t, :a]
-                last = last[:a]
-                last[new] = _END
-                g = np.where(new[:, None], np.float32(0), h[:a])  # the state itself is still to be read
-                p, q = table[last], g @ w["U"]
-                zr = 1 / (1 + np.exp(-(p[:, :2 * u] + q[:, :2 * u])))
-                z = zr[:, :u]
-                n = np.tanh(p[:, 2 * u:] + zr[:, u:] * q[:, 2 * u:])
-                h = n + z * (g - n)
-                states.append(h)
-                last = ids[t, :a].copy()
+                last, g = np.where(fresh[t, :a], _END, last[:a]), h[:a] * ~fresh[t, :a, None]
+                h = states[n:n + a]
+                _step(table.take(last, axis=0), g, inner, gates[:a], news[:a], h)
+                n += a
+                last = ids[t, :a]
                 ys.append(last)
                 who.append(owner[t, :a])
-            out, _ = self.outputs(np.concatenate(states), np.concatenate(ys))
+            h = h.copy()
+            out, _ = self.outputs(states[:n], np.concatenate(ys))
             total += np.bincount(np.concatenate(who), out, len(docs))
         return total
 
@@ -287,6 +329,7 @@ def _streams(docs: list[np.ndarray], side: int) -> tuple[np.ndarray, np.ndarray]
 def _fit(box, weights, side: int, rate: float):
     """Weights after one pass over a task's documents, in fewer streams if they are short; a task without any reports none."""
     def run(batches):
+        _keep_memory()
         lexicon = box.value
         docs = [lexicon.model_ids(lexicon.ids(t.as_py())[1]) for batch in batches for t in batch.column(0)]
         if docs:
@@ -348,6 +391,7 @@ def fit(texts: DataFrame, lexicon: Lexicon, n_docs: int) -> Network:
 
 def _score(box):
     def run(batches):
+        _keep_memory()
         net, lexicon = box.value
         known = lexicon.counts.astype(np.float64)
         log_count = np.append(np.log10(known + 1), 0.0)
