@@ -76,6 +76,24 @@ def _step(p: np.ndarray, old: np.ndarray, inner: np.ndarray, gates: np.ndarray,
     return gates, new, q[:, 2 * u:]
 
 
+def _sum_by_symbol(rows: np.ndarray, symbols: np.ndarray, n: int) -> np.ndarray:
+    """For each of n symbols the sum of its rows: many rows at once, few beside those of other symbols."""
+    symbols = symbols.astype(np.uint16 if n <= 1 << 16 else np.int64)
+    order = np.argsort(symbols, kind="stable")
+    symbols, rows = symbols[order], rows.take(order, axis=0)
+    begin = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
+    size = np.diff(np.append(begin, len(symbols)))
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    few = 16
+    for lo, k in zip(begin[size > few], size[size > few], strict=True):
+        out[symbols[lo]] = rows[lo:lo + k].sum(axis=0)
+    begin, size = begin[size <= few], size[size <= few]
+    for r in range(few):
+        begin, size = begin[size > r], size[size > r]
+        out[symbols[begin]] += rows[begin + r]
+    return out
+
+
 class Network:
     """Weights of the recurrent model; plain arrays by name, so that they can be averaged and sent."""
 
@@ -112,9 +130,8 @@ class Network:
         dh = None
         if grad is not None:
             d = e
-            d /= s[:, None]
-            d[rows, k] -= 1
-            d /= len(y)
+            d *= (1 / (s * len(y)))[:, None]
+            d[rows, k] -= np.float32(1 / len(y))
             grad["C"] += h.T @ d
             grad["c"] += d.sum(axis=0)
             dh = d @ w["C"].T
@@ -134,9 +151,8 @@ class Network:
             inside[lo:hi] = logits[rows[:hi - lo], j] - np.log(s)
             if grad is not None:
                 d = e
-                d /= s[:, None]
-                d[rows[:hi - lo], j] -= 1
-                d /= len(y)
+                d *= (1 / (s * len(y)))[:, None]
+                d[rows[:hi - lo], j] -= np.float32(1 / len(y))
                 grad["W"][m] += d.T @ hc
                 grad["v"][m] += d.sum(axis=0)
                 np.matmul(d, wm, out=sorted_dh[lo:hi])
@@ -190,13 +206,7 @@ class Network:
                 dh *= live[t]
             inputs[:, :, :2 * u] = dq[:, :, :2 * u]
             grad["U"] = old.reshape(-1, u).T @ dq.reshape(-1, 3 * u)
-            # rows of the same symbol are summed in one run each
-            symbols = x.ravel().astype(np.uint16 if len(w["E"]) <= 1 << 16 else np.int64)
-            order = np.argsort(symbols, kind="stable")
-            symbols = symbols[order]
-            begin = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
-            dtable = np.zeros_like(table)
-            dtable[symbols[begin]] = np.add.reduceat(inputs.reshape(-1, 3 * u).take(order, axis=0), begin, axis=0)
+            dtable = _sum_by_symbol(inputs.reshape(-1, 3 * u), x.ravel(), len(table))
             grad["E"], grad["X"], grad["b"] = dtable @ w["X"].T, w["E"].T @ dtable, dtable.sum(axis=0)
             norm = math.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             tick += 1

@@ -221,6 +221,15 @@ def test_lm_gradient_and_learning():
     assert net.log_probabilities(docs)[0] > before / 2
 
 
+def test_lm_sums_rows_by_symbol():
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 1), (5, 300), (70_000, 900), (40, 40)):
+        symbols, rows = rng.integers(0, n, m), rng.standard_normal((m, 3))
+        want = np.zeros((n, 3))
+        np.add.at(want, symbols, rows)
+        assert np.allclose(lm._sum_by_symbol(rows, symbols, n), want)
+
+
 @pytest.mark.parametrize("n", [300, 20_000])
 def test_lm_shards_learn_from_every_document(spark, tmp_path, monkeypatch, n):
     def counting(box, weights, side, rate):
