@@ -211,13 +211,13 @@ def _gram_counts(alphabet: np.ndarray):
     return run
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Fit and calibrate on rows with a text and a language; raises ValueError where there are none."""
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """Fit and calibrate on rows with a text and a language; None where there are none."""
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(9)).alias("h"))
     sizes = {r.lang: r.b for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
     if not sizes:
-        raise ValueError("no labelled rows to learn from")
+        return None
     langs = sorted(sizes)
     draw = F.pmod("h", F.lit(1 << 20)) / float(1 << 20)
     share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, sample_bytes / max(1, sizes[lang]))))])
@@ -267,6 +267,13 @@ def predictor(model: Model):
     return F.arrow_udf(predict, RESULT).asNondeterministic()
 
 
-def identify(docs: DataFrame, model: Model, text: Column | str = "text", name: str = "language") -> DataFrame:
-    """docs with a column `name` (RESULT), in place of one that has this name. Null, empty and letterless texts: `und`, score 0, rejected."""
+def identify(docs: DataFrame, model: Model | None, text: Column | str = "text", name: str = "language") -> DataFrame:
+    """docs with a column `name` (RESULT), in place of one that has this name. Null, empty and letterless texts: `und`, score 0, rejected.
+
+    Without a model (nothing was labelled) every text is `und`, score 0, and none is rejected.
+    """
+    if model is None:
+        known = {"lang_pred": F.lit("und"), "score": F.lit(0.0), "rejected": F.lit(False)}
+        kinds = [part.strip().split(": ") for part in RESULT[len("struct<"):-1].split(",")]
+        return docs.withColumn(name, F.struct(*[known.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in kinds]))
     return docs.withColumn(name, predictor(model)(F.col(text) if isinstance(text, str) else text))

@@ -180,8 +180,10 @@ def test_language_id_held_out(spark, odd, nothing):
     assert all(0 <= b.score <= 1 for _, b in got.values()) and not any(b.rejected for i, (_, b) in got.items() if i < 900)
     assert got[900][1].lang_pred == got[901][1].lang_pred == "und" and got[902][1].rejected
     assert langid.identify(nothing, model).count() == 0 and langid.identify(odd, model).count() == 4
-    with pytest.raises(ValueError):
-        langid.fit(nothing)
+    assert langid.fit(nothing) is None and langid.identify(nothing, None).count() == 0
+    unlabelled = langid.identify(test, None)
+    assert unlabelled.schema["language"].dataType == langid.identify(test, model).schema["language"].dataType
+    assert {tuple(r.language) for r in unlabelled.collect()} == {("und", 0.0, None, False)}
     # probabilities of a context sum to one
     ctx = model.keys[langid.ORDER]
     assert len(ctx) and np.isfinite(model.floor).all()
