@@ -7,9 +7,7 @@ and no text; `bm25` scores a table without an index.
 from __future__ import annotations
 
 import math
-import re
 import unicodedata
-
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,23 +17,39 @@ from skein.functions.scalars import message_ref
 
 K1, B = 1.2, 0.75
 DEFAULT_LIMIT, MAX_LIMIT = 20, 200
-#: Letters with marks, up to U+024F, and the letters they fold to.
-_MARKED = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
-FOLD_FROM, FOLD_TO = "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED)
+# Combining marks that a token drops, and letters that fold to another than their lower case.
+MARKS = "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u0309\u030a\u030b\u030c\u030f\u0311\u031b\u0323\u0324\u0325\u0326\u0327\u0328\u032d\u032e\u0330\u0331"
+VARIANTS = {"µ": "μ", "ſ": "s", "ς": "σ", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε", "ẛ": "s", "\u1fbe": "ι"}
+
+
+def _plain(c: str) -> str:
+    """The ASCII letter below a lower-case letter's one mark, else the letter: two marks, or other alphabets, stay."""
+    parts = unicodedata.normalize("NFD", c)
+    return parts[0] if len(parts) == 2 and parts[0].isascii() and parts[0].isalpha() else c
+
+
+_MARKED = {c: _plain(c) for c in map(chr, range(0xC0, 0x2000)) if _plain(c) != c and c.islower()} | VARIANTS
+FOLD_FROM, FOLD_TO = "".join(_MARKED), "".join(_MARKED.values())
+_FOLD = str.maketrans(FOLD_FROM, FOLD_TO, MARKS)
+
+
+def folded(text: Column) -> Column:
+    """Lower case, without the marks of letters of the Latin alphabet, composed or not; queries fold alike."""
+    # what stands behind the letters has no counterpart and goes
+    return F.translate(F.lower(text), FOLD_FROM + MARKS, FOLD_TO)
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits, in lower case and without accents."""
-    plain = F.lower(F.translate(F.coalesce(text, F.lit("")), FOLD_FROM, FOLD_TO))
-    return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Runs of letters, digits and private characters, folded."""
+    return F.filter(F.split(folded(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
 
 def phrases(query: str) -> list[list[str]]:
     """The phrases of a query: one for each white-space separated field; quotes and operators are plain text."""
     out = []
     for field in query.split():
-        text = "".join(c for c in unicodedata.normalize("NFD", field.replace("\\", " ")) if not unicodedata.combining(c)).lower()
-        words = [w for w in re.split(r"[\W_]+", text) if w]
+        text = field.lower().translate(_FOLD)
+        words = "".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in text).split()
         if words:
             out.append(words)
     return out
@@ -69,6 +83,10 @@ class Index:
     def postings(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/postings")
 
+    def of(self, words: list[str]) -> DataFrame:
+        """The postings of some tokens."""
+        return self.postings().where(F.col("token").isin(words))
+
 
 def build(docs: DataFrame, id_col: str, path: str, text_col: str = "text") -> Index:
     """Write the postings of rows with text. Rows of one token are spread by id, so a token of every row is no hot key."""
@@ -118,16 +136,16 @@ def _hits(counted: DataFrame, phrases_: int, rows: int, mean: float) -> DataFram
     return counted.where(" and ".join(f"f{i} > 0" for i in range(phrases_))).select("id", (-total).alias("score"))
 
 
-def matches(index: Index, query: str) -> DataFrame:
+def matches(index, query: str) -> DataFrame:
     """(id, score) of rows with every phrase of the query, from stored postings; smaller is better.
 
-    Statistics are those of the whole table. An empty query has no rows.
+    index: an Index, or segments (skein.operators.segments). Statistics are those of the whole table. An empty query has no rows.
     """
     wanted = phrases(query)
     if not wanted:
         return index.postings().select("id", F.lit(0.0).alias("score")).where("false")
     words = sorted({w for p in wanted for w in p})
-    rows = index.postings().where(F.col("token").isin(words))
+    rows = index.of(words)
     place = F.create_map(*[x for w in words for x in (F.lit(w), F.lit(words.index(w)))])
     by_row = rows.groupBy("id").agg(F.first("dl").alias("dl"), *[F.first(F.when(place[F.col("token")] == i, F.col("positions")), ignorenulls=True).alias(f"p{i}") for i in range(len(words))])
 

@@ -199,7 +199,7 @@ def wilson_scores(spark, sf_dir):
 
 
 def _tokens_sql(table: str, key: str) -> str:
-    text = f"lower(translate(text, '{search.FOLD_FROM}', '{search.FOLD_TO}'))"
+    text = "strip_accents(lower(text))"  # the tables' texts have no letters of two marks or of other alphabets than Latin
     return f"select {key} id, list_filter(regexp_split_to_array({text}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') toks from {table} where trim(coalesce(text, '')) <> ''"
 
 
