@@ -23,7 +23,7 @@ MOST_DELTAS = 8
 MOST_SHARE = 0.5
 #: Postings of a range in expectation.
 RANGE_ROWS = 1_000_000
-_COMMIT = "segment int, rows bigint, total bigint, dropped bigint, dropped_total bigint"
+_COMMIT = "segment int, id_type string, rows bigint, total bigint, dropped bigint, dropped_total bigint"
 
 
 @dataclass
@@ -44,13 +44,13 @@ class Segments:
         return sum(s.total - s.dropped_total for s in self.live) / self.rows if self.rows else 0.0
 
     def _read(self, name: str, segment: Row) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/segment={segment.segment}/{name}")
+        # schemas are given, since a table without rows may have no file
+        schema = "range int, lo string, hi string" if name == "ranges" else f"id {segment.id_type}, dl int"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/segment={segment.segment}/{name}")
 
-    def _postings(self, segment: int, *ranges: int) -> DataFrame:
-        kind = self.spark.read.parquet(f"{self.path}/segment={segment}/rows").schema["id"].dataType.simpleString()
-        path = f"{self.path}/segment={segment}/postings"
-        # a schema of its own, since a segment of rows without tokens has no file
-        return self.spark.read.schema(f"token string, id {kind}, dl int, positions array<int>").parquet(*([f"{path}/range={r}" for r in ranges] or [path]))
+    def _postings(self, segment: Row, *ranges: int) -> DataFrame:
+        path = f"{self.path}/segment={segment.segment}/postings"
+        return self.spark.read.schema(f"token string, id {segment.id_type}, dl int, positions array<int>").parquet(*([f"{path}/range={r}" for r in ranges] or [path]))
 
     def _kept(self, parts: list[tuple[int, DataFrame]]) -> DataFrame:
         """Rows of segments without what later ones drop."""
@@ -61,20 +61,20 @@ class Segments:
         return every.drop("segment")
 
     def postings(self) -> DataFrame:
-        return self._kept([(s.segment, self._postings(s.segment)) for s in self.live])
+        return self._kept([(s.segment, self._postings(s)) for s in self.live])
 
     def ids(self) -> DataFrame:
         """(id, dl) of the live rows."""
         return self._kept([(s.segment, self._read("rows", s)) for s in self.live])
 
-    def ranges_of(self, words: list[str]) -> list[tuple[int, list[int]]]:
+    def ranges_of(self, words: list[str]) -> list[tuple[Row, list[int]]]:
         """The ranges of each segment that may hold a token: for one word no more than its own rows fill, and one."""
         inside = [(F.col("lo") <= w) & (F.col("hi") >= w) for w in words]
-        return [(s.segment, [r["range"] for r in self._read("ranges", s).where(reduce(lambda x, y: x | y, inside)).select("range").collect()]) for s in self.live]
+        return [(s, [r["range"] for r in self._read("ranges", s).where(reduce(lambda x, y: x | y, inside)).select("range").collect()]) for s in self.live]
 
     def of(self, words: list[str]) -> DataFrame:
         """The postings of some tokens, from their ranges."""
-        parts = [(s, self._postings(s, *ranges).where(F.col("token").isin(words))) for s, ranges in self.ranges_of(words) if ranges]
+        parts = [(s.segment, self._postings(s, *ranges).where(F.col("token").isin(words))) for s, ranges in self.ranges_of(words) if ranges]
         return self._kept(parts) if parts else self.postings().where("false")
 
 
@@ -101,15 +101,15 @@ def _ranged(postings: DataFrame, path: str) -> None:
 
 def _segment(index: Segments, number: int, postings: DataFrame, rows: DataFrame, dropped: DataFrame, base: bool) -> Row | None:
     """Write a segment, and what a commit says of it; None for a delta that holds and drops nothing."""
-    path = f"{index.path}/segment={number}"
+    path, kind = f"{index.path}/segment={number}", rows.schema["id"].dataType.simpleString()
     for name, part in (("rows", rows), ("dropped", dropped)):
         part.select("id", F.col("dl").cast("int").alias("dl")).write.mode("overwrite").parquet(f"{path}/{name}")
-    total = lambda name: index.spark.read.parquet(f"{path}/{name}").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
+    total = lambda name: index.spark.read.schema(f"id {kind}, dl int").parquet(f"{path}/{name}").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
     held, gone = total("rows"), total("dropped")
     if not base and not held.n and not gone.n:
         return None
     _ranged(postings, path)
-    return Row(segment=number, rows=held.n, total=held.dl, dropped=gone.n, dropped_total=gone.dl)
+    return Row(segment=number, id_type=kind, rows=held.n, total=held.dl, dropped=gone.n, dropped_total=gone.dl)
 
 
 def open_segments(spark: SparkSession, path: str, version: int | None = None) -> Segments:
