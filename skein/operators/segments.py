@@ -50,7 +50,7 @@ class Segments:
 
     def _postings(self, segment: Row, *ranges: int) -> DataFrame:
         path = f"{self.path}/segment={segment.segment}/postings"
-        return self.spark.read.schema(f"token string, id {segment.id_type}, dl int, positions array<int>").parquet(*([f"{path}/range={r}" for r in ranges] or [path]))
+        return self.spark.read.schema(f"token string, id {segment.id_type}, dl int, positions array<int>").parquet(*([f"{path}/range={r}" for r in ranges] or [path])).drop("range")
 
     def _kept(self, parts: list[tuple[int, DataFrame]]) -> DataFrame:
         """Rows of segments without what later ones drop."""
@@ -119,8 +119,8 @@ def open_segments(spark: SparkSession, path: str, version: int | None = None) ->
     return Segments(spark, path, version, live)
 
 
-def _commit(index: Segments, live: list[Row]) -> Segments:
-    versions.publish(index.spark.createDataFrame([tuple(s) for s in live], _COMMIT), f"{index.path}/commits", index.version + 1)
+def _commit(index: Segments, live: list[Row], replace: bool) -> Segments:
+    versions.publish(index.spark.createDataFrame([tuple(s) for s in live], _COMMIT), f"{index.path}/commits", index.version + 1, replace)
     return open_segments(index.spark, index.path, index.version + 1)
 
 
@@ -128,12 +128,14 @@ def _next(index: Segments) -> int:
     return 1 + max((s.segment for s in index.live), default=0)
 
 
-def add(spark: SparkSession, path: str, fresh: DataFrame, dropped: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> Segments:
+def add(spark: SparkSession, path: str, fresh: DataFrame, dropped: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", version: int | None = None) -> Segments:
     """Write rows that the index doesn't have, and ids (id, dl) of live rows that go, as a delta; the first one is a base.
 
-    Only the delta is written, unless deltas have grown enough to be merged with all of the index.
+    Only the delta is written, unless deltas have grown enough to be merged with all of the index. A version given is
+    the commit to go on from, for a caller that keeps the number itself; later commits, which it never came to know
+    of, are replaced.
     """
-    index = open_segments(spark, path)
+    index, replace = open_segments(spark, path, version), version is not None
     toks = _indexed(fresh, id_col, text_col)
     rows = toks.select("id", F.size("toks").alias("dl"))
     postings = toks.select("id", F.size("toks").alias("dl"), F.posexplode("toks").alias("pos", "token")).groupBy("token", "id").agg(F.first("dl").alias("dl"), F.array_sort(F.collect_list("pos")).alias("positions"))
@@ -141,20 +143,20 @@ def add(spark: SparkSession, path: str, fresh: DataFrame, dropped: DataFrame | N
     made = _segment(index, _next(index), postings, rows, gone, not index.live)
     if made is None:
         return index
-    index = _commit(index, [*index.live, made])
+    index = _commit(index, [*index.live, made], replace)
     base, deltas = index.live[0], index.live[1:]
     if len(deltas) > MOST_DELTAS or sum(s.rows + s.dropped for s in deltas) > MOST_SHARE * max(1, base.rows):
-        return merged(index)
+        return merged(index, replace)
     return index
 
 
-def merged(index: Segments) -> Segments:
+def merged(index: Segments, replace: bool = False) -> Segments:
     """All live postings as one base; earlier commits stay readable, as their segments do."""
     if len(index.live) < 2:
         return index
     live = index.ids()
     number, postings = _next(index), index.postings().select("token", "id", "dl", "positions")
-    return _commit(index, [_segment(index, number, postings, live, live.where("false"), True)])
+    return _commit(index, [_segment(index, number, postings, live, live.where("false"), True)], replace)
 
 
 def refresh(spark: SparkSession, path: str, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Segments:

@@ -11,9 +11,10 @@ from skein.operators import episodes as E
 from skein.operators import health as H
 from skein.operators import lifecycle as L
 from skein.operators import merge as M
-from skein.operators import pairing, read, search
-from skein.operators.lineage import cut
+from skein.operators import pairing, read, search, segments
+from skein.operators.lineage import cut, new_path
 from skein.plans import views as V
+from skein.plans.snapshots import SnapshotWorkspace
 from skein.sources import transcripts
 
 WIDE = 3 * 86400
@@ -278,6 +279,16 @@ def search_project(spark, sf_dir):
     return found.drop("snippet").withColumn("score", F.round("score", 9))
 
 
+@query(_TOP.format(_bm25_sql("documents", "doc_id", "thing erea")))
+def search_segments(spark, sf_dir):
+    """An index of an earlier state (without every fifth document, with some that are gone now), brought up to date."""
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", "text")
+    earlier = docs.where("doc_id % 5 <> 0").unionByName(docs.where("doc_id % 3 = 0").select((-F.col("doc_id") - 1).alias("doc_id"), "text"))
+    path = new_path(spark, "segments")
+    segments.refresh(spark, path, earlier)
+    return _top(search.matches(segments.refresh(spark, path, docs), "thing erea"))
+
+
 @query()
 def search_snippets(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
@@ -530,6 +541,74 @@ def ingest_invocations(spark, sf_dir):
     return pairing.tool_invocations(calls, results, index_output=True).select("session_key", "entry_id", "tool_name", "command_family", "is_error", "error_signature", "outcome_observed")
 
 
+# -- snapshots -----------------------------------------------------------------------------------------------------
+
+_workspaces: dict[tuple[str, str], SnapshotWorkspace] = {}
+
+#: Three snapshots of conversations: their first three turns; all turns of every third one, with a turn of every fifth
+#: changed; and copies of every seventh one on another machine, its first turn changed.
+_SNAPSHOTS_SQL = """c as (select 'm' || (conv_id % 4) machine, conv_id, turn, role, coalesce(text, '') said from conversations),
+  states as (select machine, conv_id, turn, role, said from c where turn < 3 or conv_id % 3 = 0
+    union all select 'm9', conv_id, turn, role, said from c where conv_id % 7 = 0 and turn > 0)"""
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> SnapshotWorkspace:
+    """A workspace of the first snapshot, then of all three; made at the session's first use."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _workspaces:
+        return _workspaces[key]
+    turns = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("said"))
+    owner, conv, turn = F.concat(F.lit("m"), F.col("conv_id") % 4), F.col("conv_id"), F.col("turn")
+    changed = lambda where: F.when(where, F.concat(F.lit("x"), "said")).otherwise(F.col("said"))
+    name = lambda n, c=conv: F.concat(F.lit(f"v{n}-c"), c)
+    states = [turns.where(turn < 3).withColumns({"file": name(1)}), turns.where(conv % 3 == 0).withColumns({"said": changed((conv % 5 == 0) & (turn == 1)), "file": name(2)}),
+              turns.where(conv % 7 == 0).withColumns({"said": changed(turn == 0), "file": name(3)})]
+    lines = states[0].unionByName(states[1]).unionByName(states[2])
+    said = F.struct("role", F.array(F.struct(F.lit("text").alias("type"), F.col("said").alias("text"))).alias("content"))
+    raw = F.to_json(F.struct(F.lit("message").alias("type"), F.concat(F.lit("t"), turn).alias("uuid"), said.alias("message")))
+    lines = lines.select(F.col("file").alias("path"), F.concat(F.lit("c"), conv).alias("source_session_id"), F.lit(False).alias("is_subagent"), (turn + 1).cast("int").alias("line_no"), raw.alias("raw"))
+
+    def open_files(files: DataFrame) -> DataFrame:
+        return transcripts.generic_entries(lines).join(files, F.col("path") == F.col("file_sha256"))
+
+    convs = turns.select("conv_id").distinct()
+    again = F.when(conv % 3 == 0, name(2)).otherwise(name(1))
+    day = lambda n, rows, machine, file: rows.select(
+        F.concat(F.lit(f"s{n}-"), machine).alias("manifest_sha256"), machine.alias("machine_id"), F.lit(f"2026-01-0{n}").alias("captured_at"), conv.cast("int").alias("place"), F.lit("session").alias("kind"), F.lit("claude-code").alias("source_name"),
+        file.alias("file_sha256"), name(0).alias("relative_path"), name(0).alias("raw_path"), F.lit(1).cast("bigint").alias("bytes"), F.lit("copied").alias("copy_state"))
+    one, two, three = day(1, convs, owner, name(1)), day(2, convs, owner, again), day(3, convs.where(conv % 7 == 0), F.lit("m9"), name(3))
+    w = SnapshotWorkspace(spark, new_path(spark, "workspace"))
+    w.ingest_snapshots(one, open_files)
+    w.ingest_snapshots(one.unionByName(two).unionByName(three), open_files)
+    _workspaces[key] = w
+    return w
+
+
+@query(f"with {_SNAPSHOTS_SQL} select machine machine_id, 'c' || conv_id source_session_id, 't' || turn entry_id, role, sha256(trim(said)) text_sha256 from states")
+def snapshot_messages(spark, sf_dir):
+    w = _snapshots(spark, sf_dir)
+    rows = w.table("messages").join(w.table("sessions").select("session_key", "machine_id"), "session_key")
+    return rows.select("machine_id", "source_session_id", "entry_id", "role", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("""select 'm' || (conv_id % 4) machine_id, 'c' || conv_id source_session_id, 't1' entry_id, 'same-session' kind, null other_machine_id, 's2-m' || (conv_id % 4) manifest_sha256 from conversations where turn = 1 and conv_id % 15 = 0
+  union all select 'm9', 'c' || conv_id, 't0', 'cross-machine', 'm' || (conv_id % 4), 's3-m9' from conversations where turn = 0 and conv_id % 7 = 0""")
+def snapshot_conflicts(spark, sf_dir):
+    w = _snapshots(spark, sf_dir)
+    machines = w.table("sessions").select("session_key", "machine_id")
+    others = machines.select(F.col("session_key").alias("other_session_key"), F.col("machine_id").alias("other_machine_id"))
+    return w.conflicts().join(machines, "session_key").join(others, "other_session_key", "left").select("machine_id", "source_session_id", "entry_id", "kind", "other_machine_id", "manifest_sha256")
+
+
+@query("""with c as (select distinct conv_id from conversations), v as (
+    select 's1-m' || (conv_id % 4) manifest, 'v1-c' || conv_id file, conv_id from c union all select 's2-m' || (conv_id % 4), case when conv_id % 3 = 0 then 'v2-c' else 'v1-c' end || conv_id, conv_id from c union all select 's3-m9', 'v3-c' || conv_id, conv_id from c where conv_id % 7 = 0)
+  select manifest manifest_sha256, count(*) versions, count(distinct file) files, sum(conv_id)::bigint sessions from v group by 1""")
+def snapshot_versions(spark, sf_dir):
+    w = _snapshots(spark, sf_dir)
+    rows = w.table("session_versions").join(w.table("sessions").select("session_key", "source_session_id"), "session_key")
+    return rows.groupBy("manifest_sha256").agg(F.count("*").alias("versions"), F.count_distinct("file_sha256").alias("files"), F.sum(F.substring("source_session_id", 2, 20).cast("bigint")).alias("sessions"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

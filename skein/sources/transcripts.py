@@ -20,11 +20,36 @@ _RESULT = "struct<for_id: string, is_error: boolean, outcome_text: string, exit_
 
 def lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """(path, source_session_id, is_subagent, line_no, raw) of the non-blank lines of all files below root."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
-    path = F.col("_metadata.file_path")
-    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.jsonl$", "")
-    rows = files.select(path.alias("path"), name.alias("source_session_id"), name.startswith("agent-").alias("is_subagent"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    rows = rows.where(~F.col("path").rlike(r"/\.[^/]+/")).select("path", "source_session_id", "is_subagent", (F.col("pos") + 1).alias("line_no"), F.regexp_replace("line", r"\r+$", "").alias("raw"))
+    found = numbered(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(root))
+    return _named(found.where(~F.col("path").rlike(r"/\.[^/]+/")))
+
+
+def lines_of(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """As `lines`, of files that are named; paths without a scheme are local."""
+    return _named(numbered(spark.read.option("lineSep", "\n").text(paths)))
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """(path, line_no, value) of text files read line by line, blank lines counted.
+
+    A file of any size is read by splits. Lines are numbered within their split and follow on the lines of the
+    file's earlier splits; a line that runs over a border belongs to the split in which it begins.
+    """
+    spark, split = files.sparkSession, ["path", "begin"]
+    at = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("begin")]
+    # smaller files are never split
+    whole = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.openCostInBytes"))
+    counts = files.where(F.col("_metadata.file_size") > whole).select(*at).groupBy(*split).agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("path").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(*split, F.coalesce(earlier, F.lit(0)).alias("before"))
+    rows = files.select(*at, "value", F.monotonically_increasing_id().alias("place"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*split).orderBy("place")))
+    return rows.join(before, split, "left").select("path", (F.coalesce("before", F.lit(0)) + F.col("n")).cast("int").alias("line_no"), "value")
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.jsonl$", "")
+    rows = rows.select("path", name.alias("source_session_id"), name.startswith("agent-").alias("is_subagent"), "line_no", F.regexp_replace("value", r"\r+$", "").alias("raw"))
     return rows.where(F.trim(F.regexp_replace("raw", r"[\t\f\x0b]", " ")) != "")
 
 
@@ -231,13 +256,20 @@ READERS = {"pi": pi_entries, "claude-code": generic_entries, "opencode": opencod
 
 
 def read(spark: SparkSession, source: str, root: str) -> DataFrame:
-    """Entries of all transcripts of a source below root; codex files are told apart by their first lines."""
+    """Entries of all transcripts of a source below root."""
+    if source != "codex" and source not in READERS:
+        raise ValueError(f"unknown source {source!r}")
+    return read_lines(source, lines(spark, root))
+
+
+def read_lines(source: str, rows: DataFrame) -> DataFrame:
+    """Entries of a source's lines; codex files are told apart by their first lines."""
     if source == "codex":
-        probed = is_modern_codex(lines(spark, root))
+        probed = is_modern_codex(rows)
         return codex_entries(probed.where("modern")).unionByName(generic_entries(probed.where("not modern")))
     if source not in READERS:
         raise ValueError(f"unknown source {source!r}")
-    return READERS[source](lines(spark, root))
+    return READERS[source](rows)
 
 
 def calls_and_results(entries: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,9 +15,9 @@ def latest(spark: SparkSession, path: str) -> int:
     return next((n for n in sorted(numbers, reverse=True) if store.exists(where.suffix(f"/v={n}/_SUCCESS"))), 0)
 
 
-def publish(rows: DataFrame, path: str, version: int) -> None:
-    """Write a version of few rows. Remains of an attempt that failed are replaced; a complete version is an error."""
-    spark = rows.sparkSession
-    if latest(spark, path) >= version:
+def publish(rows: DataFrame, path: str, version: int, replace: bool = False) -> None:
+    """Write a version of few rows. Remains of an attempt that failed are replaced; a complete version is an error,
+    unless it is to be replaced since nothing refers to it."""
+    if not replace and latest(rows.sparkSession, path) >= version:
         raise ValueError(f"version {version} of {path} is there already: another writer was faster")
     rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/v={version}")
