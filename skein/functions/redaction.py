@@ -52,9 +52,9 @@ _BOUND = f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
 
 
 def java(pattern: str) -> str:
-    """An RE2 pattern in Java's dialect: ASCII word boundaries, and white space without the vertical tab.
+    """An RE2 pattern in Java's dialect: ASCII word boundaries, white space without the vertical tab, and cases of all letters.
 
-    Java's own \\b looks at Unicode letters, so a secret right after one would stay.
+    Java's own \\b looks at Unicode letters, so a secret right after one would stay; its (?i) knows ASCII only.
     """
     out, i, inside = [], 0, False
     while i < len(pattern):
@@ -73,7 +73,7 @@ def java(pattern: str) -> str:
             i += 1
             continue
         i += 2
-    return "".join(out)
+    return "".join(out).replace("(?i)", "(?iu)")
 
 
 def validated(extras: list[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -108,7 +108,7 @@ def _may_match(name: str, text: Column) -> Column:
     """Whether a text holds what every match of a named pattern holds; true for patterns of which nothing is known."""
     found = [text.contains(x) for x in LITERALS.get(name, ())]
     if name in FOLDED:
-        found = [F.lower(text).rlike("|".join(FOLDED[name]))]
+        found = [text.rlike("(?iu)" + "|".join(FOLDED[name]))]
     return reduce(lambda x, y: x | y, found) if found else F.lit(True)
 
 
@@ -124,8 +124,8 @@ def redact(text: Column, extras: list[tuple[str, str]] = ()) -> Column:
     return reduce(step, _steps(extras), text)
 
 
-def redaction_hits(text: Column, extras: list[tuple[str, str]] = ()) -> Column:
-    """map of name -> matches, for names that match; empty for a null text."""
+def cleaned(text: Column, extras: list[tuple[str, str]] = ()) -> Column:
+    """struct of `text` redacted and `hits`, an array of (name, hits) of the patterns that match, in one pass; null is empty."""
     none = F.array().cast("array<struct<name: string, hits: bigint>>")
 
     def step(c: Column, s: tuple[str, str]) -> Column:
@@ -135,7 +135,12 @@ def redaction_hits(text: Column, extras: list[tuple[str, str]] = ()) -> Column:
         return _with(c, lambda x: F.when(_may_match(name, x["text"]), F.struct(F.regexp_replace(x["text"], F.lit(java(pattern)), F.lit(f"[REDACTED:{name}]")).alias("text"), F.concat(x["hits"], hit(x["text"])).alias("hits"))).otherwise(x))
 
     done = reduce(step, _steps(extras), F.struct(F.coalesce(text, F.lit("")).alias("text"), none.alias("hits")))
-    return F.map_from_entries(F.filter(done["hits"], lambda x: x["hits"] > 0))
+    return _with(done, lambda x: F.struct(x["text"].alias("text"), F.filter(x["hits"], lambda h: h["hits"] > 0).alias("hits")))
+
+
+def redaction_hits(text: Column, extras: list[tuple[str, str]] = ()) -> Column:
+    """map of name -> matches, for names that match; empty for a null text."""
+    return F.map_from_entries(cleaned(text, extras)["hits"])
 
 
 def error_signature(text: Column) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.scalars import truncated_utf8
+
 TOP_PROJECTS = 12
 
 
@@ -48,15 +50,43 @@ def sizes(blobs: DataFrame) -> DataFrame:
     return blobs.groupBy(F.substring("sha256", 1, 1).alias("class")).agg(F.count("*").alias("files"), F.sum("bytes").cast("bigint").alias("bytes"))
 
 
-def trace_cards(entries: DataFrame, invocations: DataFrame | None = None) -> DataFrame:
-    """A card for each session: messages, user messages, title, first 18 roles, tool and failure counts, a status."""
-    rank = F.col("line_no")
-    cards = entries.groupBy("session_key").agg(
-        F.count("*").alias("messages"), F.sum((F.col("role") == "user").cast("bigint")).alias("user_messages"),
-        F.min_by(F.when(F.col("role") == "user", F.substring(F.regexp_replace("text", r"[ \t\n\f\r]+", " "), 1, 140)), F.when(F.col("role") == "user", rank)).alias("title"),
-        F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.when(rank <= 18, F.struct("line_no", "role")))), 1, 18), lambda x: x["role"]), ",").alias("timeline"))
+# Messages of a card's timeline, commands and files of a card, bytes of its title, and its states.
+TIMELINE, LISTED, TITLE_BYTES = 18, 6, 140
+UNTITLED = "Untitled trace"
+STATES = ("failed tool", "tool work", "file match", "conversation")
+
+
+def _first(rows: DataFrame, most: int, order: list[str], shown: str, name: str) -> DataFrame:
+    """(session_key, name): `shown` of the first rows of each session, comma-joined; no more than `most` are gathered."""
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("session_key").orderBy(*order))).where(F.col("place") <= most)
+    return placed.groupBy("session_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", shown))), lambda x: x[shown]), ",").alias(name))
+
+
+def _title(text: Column) -> Column:
+    """A text on one line without brackets, at most TITLE_BYTES of it."""
+    line = F.trim(F.regexp_replace(F.translate(text, "[]", ""), r"\s+", " "))
+    return F.when(F.octet_length(line) > TITLE_BYTES, F.concat(F.trim(truncated_utf8(line, TITLE_BYTES)), F.lit("…"))).otherwise(line)
+
+
+def trace_cards(messages: DataFrame, invocations: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """A card for each session: messages, user messages, title and the roles of its first messages.
+
+    messages: (session_key, entry_id, line_no, role, text). With invocations (session_key, tool_name, command_family,
+    is_error) and files (session_key, path) also their counts, failures, first commands and files by name, and a
+    state: failures go before calls, calls before files, files before talk.
+    """
+    said = (F.col("role") == "user") & (F.trim(F.coalesce("text", F.lit(""))) != "")
+    title = F.min_by("text", F.when(said, F.struct("line_no", "entry_id")))
+    cards = messages.groupBy("session_key").agg(F.count("*").alias("messages"), F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).cast("bigint").alias("user_messages"), title.alias("title"))
+    cards = cards.withColumn("title", F.coalesce(F.nullif(_title(F.col("title")), F.lit("")), F.lit(UNTITLED)))
+    cards = cards.join(_first(messages.select("session_key", "line_no", "entry_id", "role"), TIMELINE, ["line_no", "entry_id"], "role", "timeline"), "session_key")
     if invocations is None:
         return cards
-    tools = invocations.groupBy("session_key").agg(F.count("*").alias("tools"), F.sum("is_error").cast("bigint").alias("failures"), F.array_join(F.slice(F.array_sort(F.collect_set("command_family")), 1, 6), ",").alias("commands"))
-    out = cards.join(tools, "session_key", "full_outer").na.fill(0, ["messages", "user_messages", "tools", "failures"])
-    return out.withColumn("status", F.when(F.col("failures") > 0, "failed").when(F.col("tools") > 0, "worked").when(F.col("messages") > 0, "talked").otherwise("empty"))
+    command = F.coalesce(F.nullif("command_family", F.lit("")), F.nullif("tool_name", F.lit("")))
+    tools = invocations.groupBy("session_key").agg(F.count("*").alias("tools"), F.sum(F.when(F.col("is_error") != 0, 1).otherwise(0)).cast("bigint").alias("failures"))
+    commands = _first(invocations.select("session_key", command.alias("command")).where("command is not null").distinct(), LISTED, ["command"], "command", "commands")
+    paths = messages.select("session_key").limit(0).withColumn("path", F.lit("")) if files is None else files.select("session_key", "path").where("path <> ''").distinct()
+    shown = _first(paths, LISTED, ["path"], "path", "files")
+    out = cards.join(tools, "session_key", "full_outer").join(commands, "session_key", "left").join(shown, "session_key", "full_outer")
+    out = out.na.fill(0, ["messages", "user_messages", "tools", "failures"]).na.fill("", ["timeline", "commands", "files"]).na.fill(UNTITLED, ["title"])
+    return out.withColumn("status", F.when(F.col("failures") > 0, STATES[0]).when(F.col("tools") > 0, STATES[1]).when(F.col("files") != "", STATES[2]).otherwise(STATES[3]))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or _own[0]).rstrip("/")
 
 
+@contextmanager
+def passing(df: DataFrame, name: str = "passing") -> Iterator[DataFrame]:
+    """df written once to the shared folder, for as long as the block runs; then it is deleted, whatever happens."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df.checkpoint() in the shared folder."""
     context = df.sparkSession.sparkContext

@@ -81,16 +81,19 @@ SURFACES = ("raw_json", "text", "command", "files_json", "tool_name")
 
 
 def _redacted(rows: DataFrame) -> DataFrame:
-    """Entries with every surface redacted, and `hits` (surface, pattern, count) of what was found in each."""
-    def found(name: str) -> Column:
-        return F.transform(F.map_entries(R.redaction_hits(F.col(name))), lambda e: F.struct(F.lit(name).alias("surface"), e["key"].alias("pattern"), e["value"].alias("count")))
+    """Entries with every surface redacted, and `hits` (surface, pattern, count) of what was found in each column.
 
-    def inside(column: str, *fields: str) -> Column:
-        return F.transform(F.col(column), lambda x: reduce(lambda y, field: y.withField(field, R.redact(x[field])), fields, x))
-
-    rows = rows.withColumn("hits", F.flatten(F.array(*map(found, SURFACES))))
-    rows = rows.withColumns({name: R.redact(F.col(name)) for name in SURFACES})
-    return rows.withColumn("tool_calls", inside("tool_calls", "command", "files_json")).withColumn("tool_results", inside("tool_results", "outcome_text"))
+    All surfaces of an entry are one array, so that the patterns are one expression.
+    """
+    n, calls = len(SURFACES), F.size("tool_calls")
+    every = F.concat(F.array(*SURFACES), F.transform("tool_calls", lambda c: c["command"]), F.transform("tool_calls", lambda c: c["files_json"]), F.transform("tool_results", lambda r: r["outcome_text"]))
+    rows = rows.withColumn("clean", F.transform(every, lambda t: R.cleaned(t)))
+    text = lambda i: F.get("clean", i)["text"]
+    found = lambda i, name: F.transform(F.get("clean", F.lit(i))["hits"], lambda h: F.struct(F.lit(name).alias("surface"), h["name"].alias("pattern"), h["hits"].alias("count")))
+    rows = rows.withColumn("hits", F.flatten(F.array(*[found(i, name) for i, name in enumerate(SURFACES)])))
+    rows = rows.withColumn("tool_calls", F.transform("tool_calls", lambda c, i: c.withField("command", text(i + n)).withField("files_json", text(i + n + calls))))
+    rows = rows.withColumn("tool_results", F.transform("tool_results", lambda r, i: r.withField("outcome_text", text(i + n + 2 * calls))))
+    return rows.withColumns({name: text(F.lit(i)) for i, name in enumerate(SURFACES)}).drop("clean")
 
 
 def judged(candidates: DataFrame) -> DataFrame:

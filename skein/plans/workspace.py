@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import redaction as R
 from skein.functions import scalars as S
 from skein.operators import episodes as E
 from skein.operators import health, merge, pairing, read, search
-from skein.operators.lineage import cut
+from skein.operators.lineage import passing
 from skein.sources import transcripts
 
 LEVEL = "v1"
@@ -49,7 +49,11 @@ class Workspace:
     def ingest(self, captures: list[DataFrame], artifacts: DataFrame | None = None) -> None:
         """Load captured entries and artifacts (ARTIFACT); the workspace holds what they hold, and nothing of before."""
         every = reduce(DataFrame.unionByName, captures).withColumn("session_key", S.session_key(F.col("machine_id"), F.col("source_name"), F.col("source_session_id")))
-        every = cut(every)  # holds secrets, so it is not a table of the workspace
+        # it holds secrets, so it is no table of the workspace and goes when the tables are written
+        with passing(every, "captures") as read:
+            self._tables(read, artifacts)
+
+    def _tables(self, every: DataFrame, artifacts: DataFrame | None) -> None:
         order = ["machine_id", "path", "line_no"]
         self._write("machines", every.select("machine_id").distinct())
         self._write("sources", every.select("source_name").distinct())
@@ -62,7 +66,7 @@ class Workspace:
         self._write("session_versions", every.select("session_key", "path", "manifest_sha256").distinct())
         self._write("session_path_tokens", sessions.select("session_key", F.explode(S.path_tokens(F.col("raw_cwd"))).alias("token")))
         self._write("conflicts", merge.same_session_conflicts(every, order))
-        first = cut(merge.first_writer(every, merge.ENTRY, order).join(sessions.select("session_key", "project_key"), "session_key"))
+        first = merge.first_writer(every, merge.ENTRY, order).join(sessions.select("session_key", "project_key"), "session_key")
         self._write("entries", first.select(*merge.ENTRY, "parent_id", "line_no", "entry_type", "timestamp", "role", "entry_sha256", R.redact(F.col("raw_json")).alias("raw_json"), "participates_in_context", "first_kept", "project_key"))
         texts = first.select("session_key", "entry_id", "role", F.col("text").alias("plain"), "tool_name", "command", "model", "provider", "tokens", "cost", "participates_in_context", "first_kept")
         messages = self._write("messages", texts.withColumn("text", R.redact(F.col("plain"))).withColumn("command", R.redact(F.col("command"))).drop("plain"))
@@ -151,8 +155,8 @@ class Workspace:
         return read.live_context(self.table("entries").withColumn("participates_in_context", F.col("participates_in_context").cast("int")), leaves)
 
     def conflicts(self) -> DataFrame:
-        """(conflict_id, session_key, entry_id, first_sha, second_sha), numbered in order of their keys."""
-        return self.table("conflicts").withColumn("conflict_id", F.dense_rank().over(Window.orderBy("session_key", "entry_id", "second_sha")))
+        """(conflict_id, session_key, entry_id, first_sha, second_sha); an id is a hash of its row's keys."""
+        return self.table("conflicts").withColumn("conflict_id", F.xxhash64("session_key", "entry_id", "second_sha"))
 
     def overview(self, column: str = "source_name", limit: int | None = None) -> DataFrame:
         return health.counted(self.table("sessions"), column, limit=limit)
