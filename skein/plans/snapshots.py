@@ -15,6 +15,7 @@ anything is written; hashes are those of the raw lines. There is one writer at a
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -168,6 +169,12 @@ class SnapshotWorkspace(Workspace):
         spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={self.version + 1}")
         return [int(n.removeprefix("bucket=")) for n in self._names(f"{path}/v={self.version + 1}") if n.startswith("bucket=")]
 
+    def _put_all(self, tables: dict[str, tuple[DataFrame, Column]]) -> dict[str, list[int]]:
+        """Write several tables side by side."""
+        with ThreadPoolExecutor(len(tables)) as pool:
+            done = {name: pool.submit(self._put, name, *what) for name, what in tables.items()}
+            return {name: found.result() for name, found in done.items()}
+
     def _new(self, name: str) -> DataFrame:
         """The buckets of the next version that are written already."""
         return self.spark.read.schema(self._schema(name)).parquet(f"{self.root}/{name}/v={self.version + 1}").drop("bucket")
@@ -208,8 +215,7 @@ class SnapshotWorkspace(Workspace):
             parts = {"session_versions": noted.select("session_key", *VERSION, "manifest_sha256", F.col("captured_at").alias("observed_at"), "copy_state")}
             if i == rounds - 1:
                 parts |= self._notes(new, attempts)
-            for name, rows in parts.items():
-                put[name] = self._put(name, rows, F.lit(0 if name in REPLACED else self.version + 1))
+            put |= self._put_all({name: (rows, F.lit(0 if name in REPLACED else self.version + 1)) for name, rows in parts.items()})
             self._publish(put)
             report.buckets += len(put.get("accepted", []))
         report.version = self.version
@@ -255,14 +261,14 @@ class SnapshotWorkspace(Workspace):
         refused = fresh.select(*one, *key[:2], "ord").join(verdict.where("not stays"), one)
         kind = F.when(F.col("cross"), "cross-machine").otherwise("same-session")
         conflicts = refused.select(*key[:2], "session_key", "entry_id", F.col("first").alias("first_sha"), F.col("entry_sha256").alias("second_sha"), kind.alias("kind"), F.when(F.col("cross"), F.col("first_session")).alias("other_session_key"), F.col("ord.manifest_sha256").alias("manifest_sha256"))
-        put = {"accepted": self._put("accepted", old.select(*accepted.columns).unionByName(accepted), _bucket()), "conflicts": self._put("conflicts", self._held("conflicts", touched, conflicts), _bucket()),
-               "sessions": self._put("sessions", self._sessions(fresh, touched), _bucket())}
-        for name, rows in self._derived():
-            put[name] = self._put(name, rows, _bucket())
+        put = self._put_all({"accepted": (old.select(*accepted.columns).unionByName(accepted), _bucket()), "conflicts": (self._held("conflicts", touched, conflicts), _bucket()), "sessions": (self._sessions(fresh, touched), _bucket())})
         # accepted entries never change, so that the index only grows
         said = accepted.select(F.concat_ws("\t", *merge.ENTRY).alias("id"), "text")
-        index = segments.add(self.spark, f"{self.root}/fts_messages", said, None, "id", version=self.parts.get("fts_messages", {}).get(0, 0))
-        self.search_version = index.version
+        with ThreadPoolExecutor(1) as pool:
+            index = pool.submit(segments.add, self.spark, f"{self.root}/fts_messages", said, None, "id", version=self.parts.get("fts_messages", {}).get(0, 0))
+            put |= self._put_all({name: (rows, _bucket()) for name, rows in self._derived().items()})
+            put["failure_episodes"] = self._put("failure_episodes", self._episodes(), _bucket())
+            self.search_version = index.result().version
         return put
 
     def _held(self, name: str, touched: list[int], rows: DataFrame) -> DataFrame:
@@ -278,21 +284,23 @@ class SnapshotWorkspace(Workspace):
         rows = rows.withColumn("raw_cwd", F.coalesce("at.cwd", F.lit("")))
         return rows.select(*_SESSION, "at", "started_at", "is_subagent", "raw_cwd", S.project_key(F.col("raw_cwd")).alias("project_key"), F.lit(LEVEL).alias("redaction_level"))
 
-    def _derived(self):
-        """(name, rows) of the tables that follow from the accepted entries and sessions of the next version."""
+    def _derived(self) -> dict[str, DataFrame]:
+        """The tables that follow from the accepted entries and sessions of the next version."""
         names, sessions = ["source_name", "source_session_id"], self._new("sessions")
         told = self._new("accepted").join(sessions.select("session_key", "project_key"), "session_key")
-        head = [*names, *merge.ENTRY]
-        yield "entries", told.select(*head, "parent_id", "line_no", "entry_type", "timestamp", "role", "entry_sha256", "raw_json", "participates_in_context", "first_kept", "project_key")
-        yield "messages", told.select(*head, "role", "text", "tool_name", "command", "model", "provider", "tokens", "cost", "participates_in_context", "first_kept")
-        yield "redactions", told.select(*head, F.inline("hits"))
-        call = ["session_key", "entry_id", "line_no", "timestamp", "project_key"]
+        head, call = [*names, *merge.ENTRY], ["session_key", "entry_id", "line_no", "timestamp", "project_key"]
         calls = told.select(*call, F.explode("tool_calls").alias("c")).select(*call, F.col("c.ordinal"), F.col("c.id").alias("call_id"), "c.tool_name", "c.command", "c.files_json")
         results = told.select("session_key", "line_no", F.explode("tool_results").alias("r")).select("session_key", "line_no", "r.ordinal", "r.for_id", "r.is_error", "r.outcome_text", "r.exit_code")
-        source = sessions.select("session_key", *names)
-        yield "tool_invocations", pairing.tool_invocations(calls, results, index_output=True).join(source, "session_key")
-        yield "failure_episodes", episodes.assemble(self._new("tool_invocations").drop(*names)).join(source, "session_key")
-        yield "session_path_tokens", sessions.select("session_key", *names, F.explode(S.path_tokens(F.col("raw_cwd"))).alias("token"))
+        return {
+            "entries": told.select(*head, "parent_id", "line_no", "entry_type", "timestamp", "role", "entry_sha256", "raw_json", "participates_in_context", "first_kept", "project_key"),
+            "messages": told.select(*head, "role", "text", "tool_name", "command", "model", "provider", "tokens", "cost", "participates_in_context", "first_kept"),
+            "redactions": told.select(*head, F.inline("hits")),
+            "tool_invocations": pairing.tool_invocations(calls, results, index_output=True).join(sessions.select("session_key", *names), "session_key"),
+            "session_path_tokens": sessions.select("session_key", *names, F.explode(S.path_tokens(F.col("raw_cwd"))).alias("token"))}
+
+    def _episodes(self) -> DataFrame:
+        names = ["source_name", "source_session_id"]
+        return episodes.assemble(self._new("tool_invocations").drop(*names)).join(self._new("sessions").select("session_key", *names), "session_key")
 
     def _publish(self, put: dict[str, list[int]]) -> None:
         """Make the next version visible, then drop the entries as they were read."""
