@@ -52,6 +52,24 @@ def blob_plan(new: DataFrame, stored: DataFrame) -> DataFrame:
     return blobs.join(have, "sha256", "left").groupBy("machine_id").agg(F.count("*").alias("blobs"), F.sum(F.coalesce("have", F.lit(0))).cast("bigint").alias("existing"), F.sum(F.when(F.col("have").isNull(), 1).otherwise(0)).cast("bigint").alias("uploads"), F.sum(F.when(F.col("have").isNull(), F.col("bytes")).otherwise(0)).cast("bigint").alias("upload_bytes"))
 
 
+def download_plan(latest: DataFrame, materialised: DataFrame, known: DataFrame) -> DataFrame:
+    """(machine_id, state, files, unknown_blobs, unknown_bytes): what bringing each machine's latest snapshot here takes.
+
+    latest: (machine_id, manifest_sha256, sha256, bytes), a row for each file; materialised: (machine_id,
+    manifest_sha256) of what is here; known: (sha256) of blobs that are here. A machine whose latest manifest is here
+    is current and needs nothing, whatever its blobs. A blob that several machines need is fetched once, for the
+    first of them.
+    """
+    machines = latest.groupBy("machine_id", "manifest_sha256").agg(F.count("*").alias("files"))
+    have = materialised.select("machine_id", F.col("manifest_sha256").alias("have"))
+    state = F.when(F.col("have").isNull(), "new").when(F.col("have") == F.col("manifest_sha256"), "current").otherwise("behind")
+    machines = machines.join(have, "machine_id", "left").withColumn("state", state)
+    wanted = latest.join(machines.where("state <> 'current'").select("machine_id"), "machine_id", "left_semi")
+    blobs = unknown(wanted.groupBy("sha256").agg(F.min("machine_id").alias("machine_id"), F.max("bytes").alias("bytes")), known, ["sha256"])
+    fetched = blobs.groupBy("machine_id").agg(F.count("*").alias("unknown_blobs"), F.sum("bytes").cast("bigint").alias("unknown_bytes"))
+    return machines.join(fetched, "machine_id", "left").na.fill(0, ["unknown_blobs", "unknown_bytes"]).select("machine_id", "state", "files", "unknown_blobs", "unknown_bytes")
+
+
 def manifest_digests(files: DataFrame) -> DataFrame:
     """(manifest, machine_id, files, digest): a snapshot's identity, by its files' paths and hashes.
 

@@ -451,6 +451,18 @@ def blob_plan(spark, sf_dir):
     return M.blob_plan(f.where("manifest = 'new'"), f.where("manifest = 'old'"))
 
 
+@query(f"""with {V.MANIFESTS_SQL}, latest as (select * from files where manifest = 'new'),
+  machines as (select machine_id, case when machine_id = 'src1' then 'current' when machine_id = 'src2' or machine_id not in (select machine_id from files where manifest = 'old') then 'new' else 'behind' end state, count(*) files from latest group by 1),
+  blobs as (select sha256, min(machine_id) machine_id, max(bytes) bytes from latest where machine_id <> 'src1' and sha256 not in (select sha256 from files where manifest = 'old') group by 1),
+  fetched as (select machine_id, count(*) blobs, sum(bytes)::bigint bytes from blobs group by 1)
+  select machine_id, state, files, coalesce(blobs, 0) unknown_blobs, coalesce(bytes, 0)::bigint unknown_bytes from machines left join fetched using (machine_id)""")
+def download_plan(spark, sf_dir):
+    f = V.manifest_files(spark, sf_dir).withColumn("manifest_sha256", F.concat_ws("-", "manifest", "machine_id"))
+    old = f.where("manifest = 'old'")
+    here = old.where("machine_id not in ('src1', 'src2')").unionByName(f.where("manifest = 'new' and machine_id = 'src1'")).select("machine_id", "manifest_sha256").distinct()
+    return M.download_plan(f.where("manifest = 'new'"), here, old)
+
+
 @query(f"with {V.MANIFESTS_SQL}, l as (select manifest, machine_id, sha256(relative_path || chr(9) || sha256) h from files), r as (select manifest, machine_id, substr(h, 1, 3) range, count(*) n, sha256(string_agg(h, '' order by h)) d from l group by 1, 2, 3) select manifest, machine_id, sum(n)::bigint files, sha256(string_agg(d, '' order by range)) digest from r group by 1, 2")
 def manifest_digests(spark, sf_dir):
     return M.manifest_digests(V.manifest_files(spark, sf_dir))

@@ -27,6 +27,7 @@ from skein.functions import scalars as S
 from skein.operators import episodes, merge, pairing, search, segments
 from skein.plans.workspace import ARTIFACT, ASSET, EVENT, LEVEL, Workspace
 from skein.sources import transcripts, versions
+from skein.sources.archive import Archive
 
 #: Buckets of sessions. A bucket is what one new file rewrites; fixed when a workspace is made.
 BUCKETS = 64
@@ -62,6 +63,28 @@ def opener(spark: SparkSession) -> Opener:
     return read
 
 
+def archive_opener(spark: SparkSession, archive: Archive) -> Opener:
+    """Reads transcripts from an archive's blobs, each verified first; no content passes the driver.
+
+    Versions of equal content share a blob and are read each under its own name.
+    """
+    def read(files: DataFrame) -> DataFrame:
+        shas = [r.file_sha256 for r in files.select("file_sha256").distinct().collect()]  # FILES at most
+        bad = archive.damaged(spark, shas).collect()
+        if bad:
+            raise ValueError(f"damaged blobs: {sorted(r.sha256 for r in bad)}")
+        text = transcripts.numbered(spark.read.option("lineSep", "\n").text([f"{archive.root}/{archive.blob_key(s)}" for s in shas]))
+        text = text.select(F.regexp_extract("path", r"([^/]+)\.gz$", 1).alias("file_sha256"), "line_no", "value")
+        parts, version = [], F.to_json(F.array(*VERSION))
+        for source in (r.source_name for r in files.select("source_name").distinct().collect()):
+            mine = F.broadcast(files.where(F.col("source_name") == source).select(*VERSION, version.alias("version")))
+            rows = text.join(mine, "file_sha256").select(F.col("version").alias("path"), F.col("raw_path").alias("named"), "line_no", "value")
+            found = transcripts.read_lines(source, transcripts.named(rows, F.col("named")))
+            parts.append(found.join(mine, F.col("path") == F.col("version")).drop("version"))
+        return reduce(DataFrame.unionByName, parts)
+    return read
+
+
 @dataclass
 class Report:
     """What an ingest did: manifests that were known, files whose version was known, files that were read."""
@@ -221,6 +244,19 @@ class SnapshotWorkspace(Workspace):
         report.version = self.version
         return report
 
+    def plan(self, archive: Archive) -> DataFrame:
+        """What bringing the archive's latest snapshots here would take (skein.operators.merge.download_plan)."""
+        latest = archive.manifests(self.spark).withColumn("sha256", F.col("file_sha256"))
+        here = self._or_none("snapshots", "manifest_sha256 string, machine_id string").select("machine_id", "manifest_sha256")
+        # a machine is current if its latest snapshot is among those that came here
+        mine = here.join(latest.select("machine_id", F.col("manifest_sha256").alias("last")).distinct(), "machine_id")
+        mine = mine.groupBy("machine_id").agg(F.max(F.when(F.col("manifest_sha256") == F.col("last"), F.col("last"))).alias("same"), F.min("manifest_sha256").alias("any"))
+        return merge.download_plan(latest, mine.select("machine_id", F.coalesce("same", "any").alias("manifest_sha256")), self._or_none("files", "file_sha256 string").select(F.col("file_sha256").alias("sha256")))
+
+    def materialise(self, archive: Archive, now: str = "") -> Report:
+        """Bring the archive's latest snapshots of all machines here."""
+        return self.ingest_snapshots(archive.manifests(self.spark), archive_opener(self.spark, archive), now)
+
     def _notes(self, new: DataFrame, attempts: DataFrame) -> dict[str, DataFrame]:
         """Parts and new states of the tables that tell of snapshots, machines, sources and files."""
         first = attempts.where("duplicate = 0")

@@ -149,6 +149,23 @@ class Archive:
         name = F.regexp_extract("_metadata.file_name", r"^([0-9a-f]{64})", 1)
         return rows.select(name.alias("manifest_sha256"), "machine_id", F.explode("files").alias("f")).select("manifest_sha256", "machine_id", "f.*")
 
+    def manifests(self, spark: SparkSession) -> DataFrame:
+        """Rows of skein.plans.snapshots.MANIFEST of the latest snapshots; what a manifest leaves out is empty."""
+        field = "struct<relative_path: string, sha256: string, bytes: bigint, kind: string, source: string, raw_path: string, copy_state: string>"
+        names = [f"{self.root}/{MANIFESTS}/{s}.json" for s in self.vector().values()]
+        schema = f"machine_id string, captured_at string, files array<{field}>"
+        rows = spark.read.option("multiLine", "true").schema(schema).json(names) if names else spark.createDataFrame([], schema).withColumn("_metadata", F.struct(F.lit("").alias("file_name")))
+        rows = rows.select(F.regexp_extract("_metadata.file_name", r"^([0-9a-f]{64})", 1).alias("manifest_sha256"), "machine_id", F.coalesce("captured_at", F.lit("")).alias("captured_at"), F.posexplode("files").alias("place", "f"))
+        given = lambda name, other="": F.coalesce(F.col(f"f.{name}"), F.lit(other) if isinstance(other, str) else other)
+        return rows.select("manifest_sha256", "machine_id", "captured_at", "place", given("kind", "session").alias("kind"), given("source").alias("source_name"), F.col("f.sha256").alias("file_sha256"),
+                           "f.relative_path", given("raw_path", F.col("f.relative_path")).alias("raw_path"), "f.bytes", given("copy_state").alias("copy_state"))
+
+    def damaged(self, spark: SparkSession, shas: list[str]) -> DataFrame:
+        """(sha256) of the named blobs whose content isn't what their name says, by the executors."""
+        blobs = spark.read.format("binaryFile").load([f"{self.root}/{self.blob_key(s)}" for s in shas])
+        found = blobs.select(F.regexp_extract("path", r"([^/]+)\.gz$", 1).alias("sha256"), F.arrow_udf(_unpacked_hash, "string")("content").alias("actual"))
+        return found.where("actual <> sha256").select("sha256")
+
     def stored(self, spark: SparkSession, content: bool = False) -> DataFrame:
         """(sha256, bytes[, actual]) of stored blobs; with content they are read, unpacked and hashed by the executors."""
         blobs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(f"{self.root}/{BLOBS}")

@@ -21,12 +21,12 @@ _RESULT = "struct<for_id: string, is_error: boolean, outcome_text: string, exit_
 def lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """(path, source_session_id, is_subagent, line_no, raw) of the non-blank lines of all files below root."""
     found = numbered(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(root))
-    return _named(found.where(~F.col("path").rlike(r"/\.[^/]+/")))
+    return named(found.where(~F.col("path").rlike(r"/\.[^/]+/")))
 
 
 def lines_of(spark: SparkSession, paths: list[str]) -> DataFrame:
     """As `lines`, of files that are named; paths without a scheme are local."""
-    return _named(numbered(spark.read.option("lineSep", "\n").text(paths)))
+    return named(numbered(spark.read.option("lineSep", "\n").text(paths)))
 
 
 def numbered(files: DataFrame) -> DataFrame:
@@ -47,8 +47,9 @@ def numbered(files: DataFrame) -> DataFrame:
     return rows.join(before, split, "left").select("path", (F.coalesce("before", F.lit(0)) + F.col("n")).cast("int").alias("line_no"), "value")
 
 
-def _named(rows: DataFrame) -> DataFrame:
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.jsonl$", "")
+def named(rows: DataFrame, file: Column | str = "path") -> DataFrame:
+    """The non-blank ones of numbered lines, with what their file's name says of the session."""
+    name = F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\.jsonl$", "")
     rows = rows.select("path", name.alias("source_session_id"), name.startswith("agent-").alias("is_subagent"), "line_no", F.regexp_replace("value", r"\r+$", "").alias("raw"))
     return rows.where(F.trim(F.regexp_replace("raw", r"[\t\f\x0b]", " ")) != "")
 

@@ -1,5 +1,7 @@
 """Snapshot ingest: against a full load, a simulation row by row, and files; lines of files of any number of splits."""
 
+import gzip
+import hashlib
 import json
 import os
 import random
@@ -12,6 +14,7 @@ from skein.operators import health
 from skein.plans import snapshots
 from skein.plans.snapshots import MANIFEST, SnapshotWorkspace
 from skein.sources import transcripts as T
+from skein.sources.archive import Archive
 
 SECRET = "ghp_" + "Q7" * 12
 
@@ -151,6 +154,43 @@ def test_files_are_opened_by_their_paths(spark, tmp_path):
     assert [r.state for r in w.incidents().collect()] == [] and w.overview().first().n == 2
 
 
+def test_an_archive_is_materialised(spark, tmp_path):
+    archive, contents = Archive(str(tmp_path / "archive")), {}
+
+    def push(machine, at, files):
+        for name, lines in files.items():
+            raw = "\n".join(lines).encode()
+            contents[hashlib.sha256(raw).hexdigest()] = raw
+        rows = [{"relative_path": f"{n}.jsonl", "sha256": hashlib.sha256("\n".join(x).encode()).hexdigest(), "bytes": len("\n".join(x).encode()), "source": "claude-code"} for n, x in files.items()]
+        return archive.push({"machine_id": machine, "captured_at": at, "files": rows}, contents)
+
+    plan = lambda: {r.machine_id: (r.state, r.files, r.unknown_blobs, r.unknown_bytes) for r in w.plan(archive).collect()}
+    one, two = [_line(1, "shared text")], [_line(2, "own text"), _line(3, "more text")]
+    w = SnapshotWorkspace(spark, str(tmp_path / "w"))
+    push("m1", "2026-01-01", {"s": one, "t": one})
+    push("m2", "2026-01-01", {"s": one, "u": two})
+    size = lambda x: len("\n".join(x).encode())
+    assert plan() == {"m1": ("new", 2, 1, size(one)), "m2": ("new", 2, 1, size(two))}
+    report = w.materialise(archive)
+    assert report.read_files == 4 and plan() == {"m1": ("current", 2, 0, 0), "m2": ("current", 2, 0, 0)}
+    sessions = w.table("sessions").select("session_key", "machine_id")
+    assert sorted((r.machine_id, r.source_session_id, r.text) for r in w.table("messages").join(sessions, "session_key").collect()) == [("m1", "s", "shared text"), ("m1", "t", "shared text"), ("m2", "s", "shared text"), ("m2", "u", "more text"), ("m2", "u", "own text")]
+    last = push("m2", "2026-01-02", {"s": one, "u": [*two, _line(4, "last text")]})
+    assert plan()["m2"][:3] == ("behind", 2, 1) and plan()["m1"][0] == "current"
+    report = w.materialise(archive)
+    assert (report.duplicates, report.known_files, report.read_files) == (1, 1, 1) and w.table("messages").count() == 6
+    # a damaged blob stops the next one, and nothing of it shows
+    push("m1", "2026-01-03", {"s": [_line(8, "broken")], "t": one})
+    bad = hashlib.sha256(_line(8, "broken").encode()).hexdigest()
+    path = f"{archive.root}/{archive.blob_key(bad)}"
+    with open(path, "wb") as f:
+        f.write(gzip.compress(b"{}"))
+    version = w.version
+    with pytest.raises(ValueError, match=bad):
+        w.materialise(archive)
+    assert SnapshotWorkspace(spark, w.root).version == version and last
+
+
 @pytest.mark.parametrize("split", [7, 64, 1000, 10 ** 6])
 def test_lines_of_every_split(spark, tmp_path, split):
     rng = random.Random(split)
