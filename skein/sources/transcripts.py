@@ -100,36 +100,82 @@ def _blocks(at: Column) -> Column:
     return F.when(_kind(at).startswith("ARRAY"), at.cast("array<variant>")).when(_kind(at) == "VOID", F.array().cast("array<variant>")).otherwise(F.array(at))
 
 
-def _strings(block: Column) -> Column:
-    """Texts of a block: its own, and one level below for results."""
-    plain = F.when(_kind(block) == "STRING", F.array(block.cast("string"))).otherwise(F.array(_text(block, "text")))
-    inner = _blocks(F.try_variant_get(block, "$.content", "variant"))
-    below = F.transform(inner, lambda b: F.when(_kind(b) == "STRING", b.cast("string")).otherwise(_text(b, "text")))
-    kind = _text(block, "type")
-    return F.when(kind.isin("tool_result", "toolResult"), below).when(kind.isin("tool_use", "toolCall", "image", "image_url"), F.array().cast("array<string>")).otherwise(plain)
+_RESULT_KINDS, _CALL_KINDS, _IMAGE_KINDS = ("tool_result", "toolResult"), ("tool_use", "toolCall"), ("image", "image_url")
+_ITEM = "struct<v: variant, done: boolean, place: int>"
+
+
+def content_items(at: Column) -> Column:
+    """The blocks of content of any depth in order: array<struct<v, done, place>>, place being that in its own array.
+
+    Arrays give way to their elements; a result gives its content, then itself. One step opens all items that are
+    still closed, and steps go on until none is, at most one for each bracket and each content of the text; a step
+    without anything to open costs nothing.
+    """
+    item = lambda v, done, place: F.struct(v.alias("v"), F.lit(done).alias("done"), place.cast("int").alias("place"))
+
+    def opened(x: Column) -> Column:
+        inner = F.try_variant_get(x["v"], "$.content", "variant")
+        result = _text(x["v"], "type").isin(*_RESULT_KINDS) & inner.isNotNull()
+        whole = F.array(item(x["v"], True, x["place"]))
+        each = F.transform(x["v"].try_cast("array<variant>"), lambda v, i: item(v, False, i))
+        return (F.when(x["done"], F.array(x)).when(_kind(x["v"]).startswith("ARRAY"), each)
+                .when(result, F.concat(F.array(item(inner, False, x["place"])), whole)).otherwise(whole).cast(f"array<{_ITEM}>"))
+
+    def step(state: Column, _: Column) -> Column:
+        following = F.flatten(F.transform(state["items"], opened))
+        # the items are a variable, so that they are computed once
+        moved = F.element_at(F.transform(F.array(following), lambda items: F.struct(items.alias("items"), F.exists(items, lambda x: ~x["done"]).alias("open"))), 1)
+        return F.when(state["open"], moved).otherwise(state)
+
+    text = F.coalesce(F.to_json(at), F.lit(""))
+    most = 2 + F.octet_length(text) - F.octet_length(F.replace(text, F.lit("["))) + F.regexp_count(text, F.lit('"content"'))
+    first = F.array(item(at, False, F.lit(0))).cast(f"array<{_ITEM}>")
+    done = F.aggregate(F.sequence(F.lit(1), most), F.struct(first.alias("items"), F.lit(True).alias("open")), step)
+    return F.when(_kind(at) == "VOID", F.array().cast(f"array<{_ITEM}>")).otherwise(done["items"])
+
+
+def items_text(items: Column) -> Column:
+    """Texts of blocks, a line each: strings and the text of all blocks but calls, results and images."""
+    silent = lambda v: _text(v, "type").isin(*_CALL_KINDS, *_RESULT_KINDS, *_IMAGE_KINDS)
+    said = F.transform(items, lambda x: F.when(_kind(x["v"]) == "STRING", x["v"].try_cast("string")).when(_kind(x["v"]).startswith("OBJECT") & ~silent(x["v"]), _text(x["v"], "text")).otherwise(""))
+    return F.trim(F.array_join(F.filter(said, lambda s: s != ""), "\n"))
 
 
 def content_text(at: Column) -> Column:
-    return F.trim(F.array_join(F.filter(F.flatten(F.transform(_blocks(at), _strings)), lambda s: s != ""), "\n"))
+    return items_text(content_items(at))
 
 
-def _of_type(at: Column, *kinds: str) -> Column:
-    return F.filter(_blocks(at), lambda b: _text(b, "type").isin(*kinds))
+def _of_type(items: Column, *kinds: str) -> Column:
+    return F.transform(F.filter(items, lambda x: _text(x["v"], "type").isin(*kinds)), lambda x: x["v"])
 
 
-def content_calls(at: Column) -> Column:
+def items_calls(items: Column) -> Column:
     def call(b: Column, i: Column) -> Column:
         given = F.coalesce(F.try_variant_get(b, "$.input", "variant"), F.try_variant_get(b, "$.arguments", "variant"))
         return F.struct(_text(b, "id").alias("id"), _first(_text(b, "name"), _text(b, "toolName")).alias("tool_name"), _first(_text(given, "command"), _text(given, "cmd"), _text(b, "command")).alias("command"), F.coalesce(F.to_json(given), F.lit("")).alias("files_json"), i.alias("ordinal")).cast(_CALL)
-    return F.transform(_of_type(at, "tool_use", "toolCall"), call)
+    return F.transform(_of_type(items, *_CALL_KINDS), call)
 
 
-def content_results(at: Column) -> Column:
+def content_calls(at: Column) -> Column:
+    return items_calls(content_items(at))
+
+
+def _result_text(at: Column) -> Column:
+    """What a result shows: its text, or the texts one level below."""
+    below = F.transform(_blocks(at), lambda b: F.when(_kind(b) == "STRING", b.try_cast("string")).otherwise(_text(b, "text")))
+    return F.when(_kind(at).startswith("OBJECT"), "").otherwise(F.trim(F.array_join(F.filter(below, lambda s: s != ""), "\n")))
+
+
+def items_results(items: Column) -> Column:
     def result(b: Column, i: Column) -> Column:
         code = F.coalesce(_get(b, "exit_code", "bigint"), _get(b, "exitCode", "bigint"))
         error = F.coalesce(_truth(b, "is_error"), F.lit(False)) | F.coalesce(_truth(b, "isError"), F.lit(False)) | F.coalesce(code != 0, F.lit(False))
-        return F.struct(_first(_text(b, "tool_use_id"), _text(b, "toolCallId")).alias("for_id"), error.alias("is_error"), truncated_utf8(content_text(F.try_variant_get(b, "$.content", "variant")), OUTCOME_BYTES).alias("outcome_text"), code.alias("exit_code"), i.alias("ordinal")).cast(_RESULT)
-    return F.transform(_of_type(at, "tool_result", "toolResult"), result)
+        return F.struct(_first(_text(b, "tool_use_id"), _text(b, "toolCallId")).alias("for_id"), error.alias("is_error"), truncated_utf8(_result_text(F.try_variant_get(b, "$.content", "variant")), OUTCOME_BYTES).alias("outcome_text"), code.alias("exit_code"), i.alias("ordinal")).cast(_RESULT)
+    return F.transform(_of_type(items, *_RESULT_KINDS), result)
+
+
+def content_results(at: Column) -> Column:
+    return items_results(content_items(at))
 
 
 def _id_or_line(found: Column) -> Column:
@@ -147,9 +193,11 @@ def generic_entries(rows: DataFrame) -> DataFrame:
     v, m = F.col("v"), F.try_variant_get("v", "$.message", "variant")
     rows = parsed(rows).where("v is not null and schema_of_variant(v) like 'OBJECT%'")
     at = F.coalesce(F.try_variant_get(v, "$.message.content", "variant"), F.try_variant_get(v, "$.content", "variant"))
-    kind, text = _text(v, "type"), content_text(at)
+    # a column of its own, since texts, calls and results are taken from it
+    rows = rows.withColumn("items", content_items(at))
+    kind, text = _text(v, "type"), items_text(F.col("items"))
     role = _first(_text(m, "role"), _text(v, "role"))
-    calls, results = content_calls(at), content_results(at)
+    calls, results = items_calls(F.col("items")), items_results(F.col("items"))
     shown = _first(_text(v, "role"), _text(m, "role"), kind)
     alone = F.struct(_first(_text(m, "toolCallId"), _text(m, "tool_use_id"), _text(v, "toolCallId"), _text(v, "tool_use_id")).alias("for_id"),
                      (F.coalesce(_flag(m, "isError", "is_error"), F.lit(False)) | F.coalesce(_flag(v, "isError", "is_error"), F.lit(False)) | F.coalesce(F.coalesce(_get(m, "exit_code", "bigint"), _get(m, "exitCode", "bigint")) != 0, F.lit(False))).alias("is_error"),
@@ -167,7 +215,7 @@ def generic_entries(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("header", F.last(F.when((kind == "session") & (found != ""), found), ignorenulls=True).over(file)).withColumn("cwd", F.coalesce(F.first(F.nullif(_text(v, "cwd"), F.lit("")), ignorenulls=True).over(file), F.lit("")))
     return _finish(
         rows, source_session_id=F.coalesce("header", "source_session_id"), entry_id=_id_or_line(found), parent_id=_first(_text(v, "parentId"), _text(v, "parent_id"), _text(v, "parentUuid")), entry_type=kind, timestamp=_text(v, "timestamp"),
-        role=F.when((shown == "user") & (F.size(_of_type(at, "tool_result")) > 0), "toolResult").otherwise(shown), text=summary, tool_name=_first(tool("tool_name"), _text(v, "toolName"), _text(m, "toolName")), command=tool("command"), files_json=tool("files_json"),
+        role=F.when((shown == "user") & (F.size(_of_type(F.col("items"), "tool_result")) > 0), "toolResult").otherwise(shown), text=summary, tool_name=_first(tool("tool_name"), _text(v, "toolName"), _text(m, "toolName")), command=tool("command"), files_json=tool("files_json"),
         model=_first(_text(m, "model"), F.when(kind == "model_change", _text(v, "modelId")).otherwise(""), _text(v, "model")), provider=F.when(kind == "model_change", _text(v, "provider")).otherwise(""),
         tokens=usage("input_tokens") + usage("output_tokens") + usage("cache_creation_input_tokens") + usage("cache_read_input_tokens"), cache_read_tokens=usage("cache_read_input_tokens"), cache_write_tokens=usage("cache_creation_input_tokens"), reasoning_tokens=usage("reasoning_output_tokens") + usage("reasoning_tokens"),
         participates_in_context=takes_part & ~left_out, first_kept=F.when(kind == "compaction", _text(v, "firstKeptEntryId")).otherwise(""), cwd=F.col("cwd"))
