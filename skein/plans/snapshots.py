@@ -22,10 +22,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.functions import images
 from skein.functions import redaction as R
 from skein.functions import scalars as S
 from skein.operators import episodes, merge, pairing, search, segments
-from skein.plans.workspace import ARTIFACT, ASSET, EVENT, LEVEL, Workspace
+from skein.plans.workspace import ARTIFACT, EVENT, LEVEL, Workspace
 from skein.sources import transcripts, versions
 from skein.sources.archive import Archive
 
@@ -37,12 +38,12 @@ MANIFEST = "manifest_sha256 string, machine_id string, captured_at string, place
 VERSION = ["file_sha256", "relative_path", "raw_path", "machine_id", "source_name"]
 _CATALOG = "name string, bucket int, version int"
 _SESSION = ["session_key", "machine_id", "source_name", "source_session_id"]
-_TOLD = ["parent_id", "line_no", "entry_type", "timestamp", "role", "raw_json", "text", "tool_name", "command", "files_json", "tool_calls", "tool_results", "model", "provider", "tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "cost", "participates_in_context", "first_kept"]
+_TOLD = ["parent_id", "line_no", "entry_type", "timestamp", "role", "raw_json", "text", "tool_name", "command", "files_json", "tool_calls", "tool_results", "model", "provider", "tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "cost", "participates_in_context", "first_kept", "assets"]
 #: Tables of buckets, and those that each version adds a part to.
-BUCKETED = ("accepted", "sessions", "entries", "messages", "redactions", "tool_invocations", "failure_episodes", "conflicts", "session_path_tokens")
+BUCKETED = ("accepted", "sessions", "entries", "messages", "redactions", "tool_invocations", "failure_episodes", "conflicts", "session_path_tokens", "entry_assets")
 APPENDED = ("snapshots", "ingest_attempts", "files", "session_versions")
 REPLACED = ("machines", "sources")
-EMPTY = {"images": "sha256 string, mime_type string, bytes bigint", "entry_assets": ASSET, "artifacts": f"{ARTIFACT}, text_preview string", "artifact_path_tokens": "artifact_id bigint, token string", "redaction_events": EVENT}
+EMPTY = {"artifacts": f"{ARTIFACT}, text_preview string", "artifact_path_tokens": "artifact_id bigint, token string", "redaction_events": EVENT}
 
 #: Rows of MANIFEST to entries: transcripts.ENTRY_COLUMNS and the rows' VERSION columns.
 Opener = Callable[[DataFrame], DataFrame]
@@ -149,6 +150,10 @@ class SnapshotWorkspace(Workspace):
             self.parts.setdefault(r.name, {}).update({r.bucket: r.version} if r.bucket >= 0 else {})
 
     def table(self, name: str) -> DataFrame:
+        if name == "images":  # one row for each content, as its first mention by key tells it
+            held = self.table("entry_assets").where("bytes > 0")
+            first = held.groupBy("asset_sha256").agg(F.min(F.struct(*merge.ENTRY, "prompt_order", "source_name", "mime_type", "bytes", "width", "height")).alias("x"))
+            return first.select(F.col("asset_sha256").alias("image_sha256"), "x.source_name", "x.mime_type", "x.bytes", "x.width", "x.height", images.ending(F.col("x.mime_type")).alias("ext"))
         if name in EMPTY:
             return self.spark.createDataFrame([], EMPTY[name])
         paths = [f"{self.root}/{name}/v={v}/bucket={b}" for b, v in sorted(self.parts.get(name, {}).items())]
@@ -330,6 +335,7 @@ class SnapshotWorkspace(Workspace):
         return {
             "entries": told.select(*head, "parent_id", "line_no", "entry_type", "timestamp", "role", "entry_sha256", "raw_json", "participates_in_context", "first_kept", "project_key"),
             "messages": told.select(*head, "role", "text", "tool_name", "command", "model", "provider", "tokens", "cost", "participates_in_context", "first_kept"),
+            "entry_assets": told.select(*head, F.inline("assets")),
             "redactions": told.select(*head, F.inline("hits")),
             "tool_invocations": pairing.tool_invocations(calls, results, index_output=True).join(sessions.select("session_key", *names), "session_key"),
             "session_path_tokens": sessions.select("session_key", *names, F.explode(S.path_tokens(F.col("raw_cwd"))).alias("token"))}

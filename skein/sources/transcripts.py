@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.functions import images
 from skein.functions.scalars import truncated_utf8
 
 OUTCOME_BYTES = 4096
 ENTRY_COLUMNS = ["path", "source_session_id", "is_subagent", "entry_id", "parent_id", "line_no", "entry_type", "timestamp", "role", "raw_json", "entry_sha256", "text", "tool_name", "command", "files_json", "tool_calls", "tool_results", "model", "provider",
-                 "tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "cost", "participates_in_context", "first_kept", "cwd"]
+                 "tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "cost", "participates_in_context", "first_kept", "cwd", "assets"]
 _CALL = "struct<id: string, tool_name: string, command: string, files_json: string, ordinal: int>"
+_ASSET = "struct<asset_sha256: string, asset_kind: string, content_index: int, prompt_order: int, raw_ref: string, mime_type: string, block_type: string, bytes: bigint, width: int, height: int>"
 _RESULT = "struct<for_id: string, is_error: boolean, outcome_text: string, exit_code: bigint, ordinal: int>"
 
 
@@ -178,12 +180,42 @@ def content_results(at: Column) -> Column:
     return items_results(content_items(at))
 
 
+def items_assets(items: Column) -> Column:
+    """Images among blocks: by their kind, or any other block with a source that has a type or data.
+
+    Data is base64, in the source or the block; an asset is named by the hash of its bytes, without data by that of
+    its address or block. The bytes stay in the transcript.
+    """
+    silent = (*_CALL_KINDS, *_RESULT_KINDS, "text")
+
+    def is_asset(x: Column) -> Column:
+        kind, v = _text(x["v"], "type"), x["v"]
+        return kind.isin(*_IMAGE_KINDS) | (_kind(v).startswith("OBJECT") & ~kind.isin(*silent) & ((_text(v, "source.media_type") != "") | (_text(v, "source.data") != "")))
+
+    def asset(x: Column, i: Column) -> Column:
+        v = x["v"]
+        given = lambda path: F.try_to_binary(F.nullif(_text(v, path), F.lit("")), F.lit("base64"))
+        mime = _first(_text(v, "source.media_type"), _text(v, "source.mime_type"), _text(v, "mimeType"), _text(v, "mime_type"), _text(v, "media_type"), F.lit("application/octet-stream"))
+
+        def told(data: Column) -> Column:
+            held = F.coalesce(F.octet_length(data), F.lit(0)) > 0
+            ref = _first(_text(v, "url"), F.when(held, "").otherwise(F.to_json(v)))
+            size = images.dimensions(data)
+            return F.struct(F.when(held, F.sha2(data, 256)).otherwise(F.sha2(ref, 256)).alias("asset_sha256"), F.lit("image").alias("asset_kind"), x["place"].alias("content_index"), i.alias("prompt_order"), ref.alias("raw_ref"), mime.alias("mime_type"), _text(v, "type").alias("block_type"),
+                            F.when(held, F.octet_length(data)).otherwise(0).cast("bigint").alias("bytes"), F.when(held, size["width"]).otherwise(0).alias("width"), F.when(held, size["height"]).otherwise(0).alias("height")).cast(_ASSET)
+
+        # the data is a variable, so that it is decoded once
+        return F.element_at(F.transform(F.array(F.coalesce(given("source.data"), given("data"))), told), 1)
+
+    return F.transform(F.filter(items, is_asset), asset)
+
+
 def _id_or_line(found: Column) -> Column:
     return F.when(found != "", found).otherwise(F.format_string("line-%06d-%s", F.col("line_no"), F.substring(F.sha2("raw", 256), 1, 12)))
 
 
 def _finish(rows: DataFrame, **columns: Column) -> DataFrame:
-    none = {"parent_id": F.lit(""), "provider": F.lit(""), "cost": F.lit(0.0), "participates_in_context": F.lit(True), "first_kept": F.lit(""), "cwd": F.lit(""), "cache_read_tokens": F.lit(0).cast("bigint"), "cache_write_tokens": F.lit(0).cast("bigint"), "reasoning_tokens": F.lit(0).cast("bigint")}
+    none = {"parent_id": F.lit(""), "provider": F.lit(""), "cost": F.lit(0.0), "participates_in_context": F.lit(True), "first_kept": F.lit(""), "cwd": F.lit(""), "cache_read_tokens": F.lit(0).cast("bigint"), "cache_write_tokens": F.lit(0).cast("bigint"), "reasoning_tokens": F.lit(0).cast("bigint"), "assets": F.array().cast(f"array<{_ASSET}>")}
     columns = none | {"raw_json": F.col("raw"), "entry_sha256": F.sha2("raw", 256)} | columns
     return rows.select(*[columns.get(c, F.col(c)).alias(c) for c in ENTRY_COLUMNS])
 
@@ -218,7 +250,7 @@ def generic_entries(rows: DataFrame) -> DataFrame:
         role=F.when((shown == "user") & (F.size(_of_type(F.col("items"), "tool_result")) > 0), "toolResult").otherwise(shown), text=summary, tool_name=_first(tool("tool_name"), _text(v, "toolName"), _text(m, "toolName")), command=tool("command"), files_json=tool("files_json"),
         model=_first(_text(m, "model"), F.when(kind == "model_change", _text(v, "modelId")).otherwise(""), _text(v, "model")), provider=F.when(kind == "model_change", _text(v, "provider")).otherwise(""),
         tokens=usage("input_tokens") + usage("output_tokens") + usage("cache_creation_input_tokens") + usage("cache_read_input_tokens"), cache_read_tokens=usage("cache_read_input_tokens"), cache_write_tokens=usage("cache_creation_input_tokens"), reasoning_tokens=usage("reasoning_output_tokens") + usage("reasoning_tokens"),
-        participates_in_context=takes_part & ~left_out, first_kept=F.when(kind == "compaction", _text(v, "firstKeptEntryId")).otherwise(""), cwd=F.col("cwd"))
+        participates_in_context=takes_part & ~left_out, first_kept=F.when(kind == "compaction", _text(v, "firstKeptEntryId")).otherwise(""), cwd=F.col("cwd"), assets=items_assets(F.col("items")))
 
 
 def pi_entries(rows: DataFrame) -> DataFrame:

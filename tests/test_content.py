@@ -1,10 +1,14 @@
 """Content of any depth against a walk in plain Python."""
 
+import base64
+import hashlib
 import json
 import random
+import struct
 
 from pyspark.sql import functions as F
 
+from skein.functions import images
 from skein.sources import transcripts as T
 
 
@@ -68,3 +72,29 @@ def test_content_of_any_depth(spark):
         assert row.t == text.strip(" ") or row.t == text, shape
         assert [(c.id, c.tool_name, c.ordinal) for c in row.c] == calls, shape
         assert [(r.for_id, r.outcome_text, r.ordinal) for r in row.r] == results, shape
+
+
+def test_sizes_of_images(spark):
+    png = lambda w, h: b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", w, h) + b"\x08\x06"
+    gif = lambda w, h: b"GIF89a" + struct.pack("<HH", w, h) + b"\0"
+    segment = lambda mark, body: b"\xff" + bytes([mark]) + struct.pack(">H", len(body) + 2) + body
+    frame = lambda mark, w, h: segment(mark, b"\x08" + struct.pack(">HH", h, w) + b"\x01")
+    start = b"\xff\xd8"
+    cases = [(png(70000, 3), (70000, 3)), (png(1, 2)[:20], (1, 0)), (gif(513, 2), (513, 2)), (start + segment(0xE0, b"x" * 300) + frame(0xC0, 640, 480), (640, 480)),
+             (start + segment(0xE1, b"\xff\xc0" * 40) + b"\xff\xff" + segment(0xC4, b"t")[0:] + frame(0xC2, 5, 6), (5, 6)), (start + segment(0xDA, b"s") + frame(0xC0, 1, 1), (0, 0)), (start + segment(0xE0, b"cut")[:-2], (0, 0)),
+             (start + b"\xff\xd0" + frame(0xC1, 9, 8), (9, 8)), (b"RIFF1234WEBPVP8 ", (0, 0)), (b"", (0, 0)), (b"\xff\xd8\xff", (0, 0)), (start + b"no", (0, 0))]
+    df = spark.createDataFrame([(i, bytearray(raw)) for i, (raw, _) in enumerate(cases)] + [(99, None)], "id int, data binary")
+    got = {r.id: tuple(r.d) for r in df.select("id", images.dimensions(F.col("data")).alias("d")).collect()}
+    assert got == {i: size for i, (_, size) in enumerate(cases)} | {99: (0, 0)}
+
+
+def test_assets(spark):
+    raw = b"GIF87a" + struct.pack("<HH", 7, 9)
+    data = base64.b64encode(raw).decode()
+    content = ["x", {"type": "image", "source": {"media_type": "image/gif", "data": data}}, {"type": "tool_result", "content": [{"type": "text", "text": "t"}, {"type": "image", "mimeType": "image/gif", "data": data}]},
+               {"type": "image_url", "url": "https://example.test/a.png"}, {"type": "note", "source": {"media_type": "image/png"}}, {"type": "image", "data": "%%%"}, {"type": "text", "source": {"data": data}}]
+    lines = spark.createDataFrame([("p", "s", False, 1, json.dumps({"type": "user", "uuid": "u", "message": {"role": "user", "content": content}}))], "path string, source_session_id string, is_subagent boolean, line_no int, raw string")
+    got = T.generic_entries(lines).first().assets
+    assert [(a.content_index, a.prompt_order, a.mime_type, a.bytes, a.width, a.height) for a in got] == [
+        (1, 0, "image/gif", 10, 7, 9), (1, 1, "image/gif", 10, 7, 9), (3, 2, "application/octet-stream", 0, 0, 0), (4, 3, "image/png", 0, 0, 0), (5, 4, "application/octet-stream", 0, 0, 0)]
+    assert got[0].asset_sha256 == got[1].asset_sha256 == hashlib.sha256(raw).hexdigest() and got[2].raw_ref == "https://example.test/a.png" and got[2].asset_sha256 == hashlib.sha256(got[2].raw_ref.encode()).hexdigest()
