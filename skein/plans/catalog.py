@@ -248,10 +248,10 @@ def search_facets(spark, sf_dir):
     return _top(hits.join(docs.where("lang = 'fr' and source >= 'src1'").select(F.col("doc_id").alias("id")), "id", "left_semi"))
 
 
-@query(f"""with m as (select 'message' kind, id::varchar id, score from ({_bm25_sql("(select conv_id * 1000 + turn id, text from conversations) x", "id", "the thing")}) order by score, id limit 20),
+@query(f"""with m as (select 'message' kind, id::varchar id, score from ({_bm25_sql("(select conv_id * 1000000 + turn id, text from conversations) x", "id", "the thing")}) order by score, id limit 20),
   a as (select 'artifact' kind, id::varchar id, score from ({_bm25_sql("documents", "doc_id", "the thing")}) order by score, id limit 20) select kind, id, round(score, 9) score from (select * from m union all select * from a) order by score, kind, id limit 20""")
 def search_union_artifacts(spark, sf_dir):
-    messages = V.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", "role")
+    messages = V.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000000 + F.col("turn")).alias("id"), "text", "role")
     artifacts = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return search.search(messages, artifacts, "the thing", message_index=V.index(spark, sf_dir, "messages"), artifact_index=V.index(spark, sf_dir, "documents")).withColumn("score", F.round("score", 9))
 
@@ -266,13 +266,13 @@ _FOUND = f"""select round(score, 9) score, "timestamp", source_name, machine_id,
   from ({{}}) s join (with {V.MESSAGES_SQL} select * from messages) m using (id) where {{}} order by 1, 2, 3, 4, 5, 6, 7 limit {{}}"""
 
 
-@query(_FOUND.format(_bm25_sql("(select conv_id * 1000 + turn id, text from conversations) x", "id", "the thing"), "role = 'user' and source_name = 's1' and \"timestamp\" >= '2026-01-05' and \"timestamp\" <= '2026-01-25T00:00:00Z' and contains(lower(raw_path), 'work/p_')", 50))
+@query(_FOUND.format(_bm25_sql("(select conv_id * 1000000 + turn id, text from conversations) x", "id", "the thing"), "role = 'user' and source_name = 's1' and \"timestamp\" >= '2026-01-05' and \"timestamp\" <= '2026-01-25T00:00:00Z' and contains(lower(raw_path), 'work/p_')", 50))
 def search_messages(spark, sf_dir):
     found = search.find(V.index(spark, sf_dir, "messages"), V.messages(spark, sf_dir), "the thing", 50, role="user", source="s1", after="2026-01-05", before="2026-01-25T00:00:00Z", path_contains="work/P_")
     return found.drop("snippet").withColumn("score", F.round("score", 9))
 
 
-@query(_FOUND.format(_bm25_sql("(select conv_id * 1000 + turn id, text from conversations) x", "id", "the"), "project_key = 'p3' and machine_id = 'm1' and list_contains(['work', 'p_3', 'p', '3', 'src'], 'p_3')", 20))
+@query(_FOUND.format(_bm25_sql("(select conv_id * 1000000 + turn id, text from conversations) x", "id", "the"), "project_key = 'p3' and machine_id = 'm1' and list_contains(['work', 'p_3', 'p', '3', 'src'], 'p_3')", 20))
 def search_project(spark, sf_dir):
     rows = V.messages(spark, sf_dir)
     tokens = rows.select("session_key", F.explode(S.path_tokens(F.col("raw_path"))).alias("token")).distinct()
@@ -596,7 +596,7 @@ def ingest_assets(spark, sf_dir):
 
 # -- snapshots -----------------------------------------------------------------------------------------------------
 
-_workspaces: dict[tuple[str, str], SnapshotWorkspace] = {}
+_workspaces: dict[tuple, SnapshotWorkspace] = {}
 
 #: Three snapshots of conversations: their first three turns; all turns of every third one, with a turn of every fifth
 #: changed; and copies of every seventh one on another machine, its first turn changed.
@@ -607,7 +607,7 @@ _SNAPSHOTS_SQL = """c as (select 'm' || (conv_id % 4) machine, conv_id, turn, ro
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> SnapshotWorkspace:
     """A workspace of the first snapshot, then of all three; made at the session's first use."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, V.state(spark, f"{sf_dir}/conversations.parquet"))
     if key in _workspaces:
         return _workspaces[key]
     turns = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("said"))

@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from skein.operators import search
 from skein.operators.lineage import new_path
 
-_indexes: dict[tuple[str, str, str], search.Index] = {}
+_indexes: dict[tuple, search.Index] = {}
+
+
+def state(spark: SparkSession, path: str) -> tuple:
+    """What tells whether a table's files are as they were: their names, lengths and times."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in store.listStatus(where)))
 
 
 def index(spark: SparkSession, sf_dir: str, name: str) -> search.Index:
-    """The stored postings of documents or messages; written at the session's first use of them."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """The stored postings of documents or messages; written at the session's first use of them, and when their table has changed."""
+    source = "conversations" if name == "messages" else name
+    key = (spark.sparkContext.applicationId, sf_dir, name, state(spark, f"{sf_dir}/{source}.parquet"))
     if key not in _indexes:
         rows = messages(spark, sf_dir) if name == "messages" else table(spark, sf_dir, name).withColumn("id", F.col("doc_id"))
         _indexes[key] = search.build(rows, "id", new_path(spark, f"index-{name}"))
@@ -24,13 +32,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as messages joined with their entries and sessions; a conversation is a session."""
     c, conv = table(spark, sf_dir, "conversations"), F.col("conv_id")
     return c.select(
-        (conv * 1000 + F.col("turn")).alias("id"), F.concat(F.lit("c"), conv).alias("session_key"), F.concat(F.lit("t"), F.col("turn")).alias("entry_id"), "role", "text",
+        (conv * 1000000 + F.col("turn")).alias("id"), F.concat(F.lit("c"), conv).alias("session_key"), F.concat(F.lit("t"), F.col("turn")).alias("entry_id"), "role", "text",
         F.concat(F.lit("2026-01-"), F.lpad((conv % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:00Z")).alias("timestamp"), F.concat(F.lit("s"), conv % 3).alias("source_name"), F.concat(F.lit("m"), conv % 4).alias("machine_id"),
         F.concat(F.lit("/Work/p_"), conv % 10, F.lit("/src")).alias("raw_path"), F.concat(F.lit("p"), conv % 10).alias("project_key"))
 
 
 MESSAGES_SQL = """messages as (
-  select conv_id * 1000 + turn id, concat('c', conv_id) session_key, concat('t', turn) entry_id, role, text, concat('2026-01-', lpad((conv_id % 28 + 1)::varchar, 2, '0'), 'T00:00:00Z') "timestamp",
+  select conv_id * 1000000 + turn id, concat('c', conv_id) session_key, concat('t', turn) entry_id, role, text, concat('2026-01-', lpad((conv_id % 28 + 1)::varchar, 2, '0'), 'T00:00:00Z') "timestamp",
     concat('s', conv_id % 3) source_name, concat('m', conv_id % 4) machine_id, concat('/Work/p_', conv_id % 10, '/src') raw_path, concat('p', conv_id % 10) project_key from conversations)"""
 
 
