@@ -7,52 +7,18 @@ and no text; `bm25` scores a table without an index.
 from __future__ import annotations
 
 import math
-import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.functions.folding import phrases, tokens
 from skein.functions.scalars import message_ref
+from skein.operators import snippets
+from skein.operators.lineage import cut
 
 K1, B = 1.2, 0.75
 DEFAULT_LIMIT, MAX_LIMIT = 20, 200
-# Combining marks that a token drops, and letters that fold to another than their lower case.
-MARKS = "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u0309\u030a\u030b\u030c\u030f\u0311\u031b\u0323\u0324\u0325\u0326\u0327\u0328\u032d\u032e\u0330\u0331"
-VARIANTS = {"µ": "μ", "ſ": "s", "ς": "σ", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε", "ẛ": "s", "\u1fbe": "ι"}
-
-
-def _plain(c: str) -> str:
-    """The ASCII letter below a lower-case letter's one mark, else the letter: two marks, or other alphabets, stay."""
-    parts = unicodedata.normalize("NFD", c)
-    return parts[0] if len(parts) == 2 and parts[0].isascii() and parts[0].isalpha() else c
-
-
-_MARKED = {c: _plain(c) for c in map(chr, range(0xC0, 0x2000)) if _plain(c) != c and c.islower()} | VARIANTS
-FOLD_FROM, FOLD_TO = "".join(_MARKED), "".join(_MARKED.values())
-_FOLD = str.maketrans(FOLD_FROM, FOLD_TO, MARKS)
-
-
-def folded(text: Column) -> Column:
-    """Lower case, without the marks of letters of the Latin alphabet, composed or not; queries fold alike."""
-    # what stands behind the letters has no counterpart and goes
-    return F.translate(F.lower(text), FOLD_FROM + MARKS, FOLD_TO)
-
-
-def tokens(text: Column) -> Column:
-    """Runs of letters, digits and private characters, folded."""
-    return F.filter(F.split(folded(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
-
-
-def phrases(query: str) -> list[list[str]]:
-    """The phrases of a query: one for each white-space separated field; quotes and operators are plain text."""
-    out = []
-    for field in query.split():
-        text = field.lower().translate(_FOLD)
-        words = "".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in text).split()
-        if words:
-            out.append(words)
-    return out
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -177,17 +143,6 @@ def bm25(docs: DataFrame, id_col: str, query: str, text_col: str = "text") -> Da
     return _hits(counted, len(wanted), stats["rows"], stats["mean"] or 0.0)
 
 
-def snippet(text: Column, query: str, size: int = 12) -> Column:
-    """Up to `size` words from shortly before the first word of the query, which is put in brackets."""
-    first = [w for p in phrases(query) for w in p]
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-    hit = lambda w: F.exists(tokens(w), lambda t: t.isin(first))
-    at = F.coalesce(F.get(F.filter(F.transform(words, lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull()), F.lit(0)), F.lit(0))
-    begin = F.greatest(at - size // 2, F.lit(0))
-    shown = F.transform(F.slice(words, begin + 1, size), lambda w: F.when(hit(w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
-    return F.concat(F.when(begin > 0, "…").otherwise(""), F.array_join(shown, " "), F.when(F.size(words) > begin + size, "…").otherwise(""))
-
-
 def contains(column: Column, text: str) -> Column:
     """ASCII case-insensitive containment; % and _ are plain characters."""
     fold = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -227,8 +182,8 @@ def find(index: Index, messages: DataFrame, query: str, limit: int = DEFAULT_LIM
         rows = with_path_token(rows, path_tokens, path_token, "session_key")
     best = matches(index, query).join(rows.drop("text"), "id").orderBy(*ORDER).limit(clamped(limit))
     # texts are read for the page only
-    page = best.join(messages.select("id", "text"), "id")
-    return page.select(*ORDER, message_ref(F.col("session_key"), F.col("entry_id")).alias("ref"), snippet(F.col("text"), query).alias("snippet")).orderBy(*ORDER)
+    page = cut(best.join(messages.select("id", "text"), "id"))
+    return page.drop("text").join(snippets.snippets(page, query), "id").select(*ORDER, message_ref(F.col("session_key"), F.col("entry_id")).alias("ref"), "snippet").orderBy(*ORDER)
 
 
 def search(messages: DataFrame, artifacts: DataFrame, query: str, limit: int = DEFAULT_LIMIT, role: str = "", message_index: Index | None = None, artifact_index: Index | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from skein.operators import episodes as E
 from skein.operators import health as H
 from skein.operators import lifecycle as L
 from skein.operators import merge as M
-from skein.operators import pairing, read, search, segments
+from skein.operators import pairing, read, search, segments, snippets
 from skein.operators.lineage import cut, new_path
 from skein.plans import views as V
 from skein.plans.snapshots import SnapshotWorkspace
@@ -290,11 +290,30 @@ def search_segments(spark, sf_dir):
     return _top(search.matches(segments.refresh(spark, path, docs), "thing erea"))
 
 
-@query()
+def _snippets_sql(hits: str, query_text: str) -> str:
+    """Words as rows, joined with the words of the window that begins at each hit or sentence; phrases of one word."""
+    flags = [f"strip_accents(lower(word)) = '{p[0]}'" for p in search.phrases(query_text)]
+    any_, parts = " or ".join(flags), [f"sum(case when strip_accents(lower(a.word)) = '{p[0]}' then 1 else 0 end)" for p in search.phrases(query_text)]
+    weight = " + ".join(f"{c} + case when {c} > 0 then 999 else 0 end" for c in parts)
+    return f"""with best as ({hits}), d as (
+      select id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') w, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}]+') g from best join documents on doc_id = id),
+    r as (select id, len(w) n, unnest(w) word, unnest(g[:len(w)]) gap, unnest(range(len(w))) pos, g[-1] rest from d),
+    f as (select *, {any_} hit, pos = 0 or regexp_matches(gap, '[.:][ \t\n\r]+$') starts from r),
+    k as (select *, max(case when starts then pos end) over (partition by id order by pos) s from f),
+    e as (select b.id, b.pos, max(a.pos) filter (where a.hit) lst, {weight} weight from k b join k a on a.id = b.id and a.pos between b.pos and b.pos + 11 where b.hit or b.starts group by 1, 2),
+    o as (
+      select k.id, e.weight, 2 * k.pos turn, greatest(0, least(n - 12, k.pos - trunc((12 - (lst + 1 - k.pos)) / 2)::bigint)) b from k join e using (id, pos) where hit
+      union all select k.id, e.weight + case when s = 0 then 120 else 100 end, 2 * k.pos + 1, s from k join e on e.id = k.id and e.pos = s where hit and s < k.pos and n > 12),
+    c as (select id, arg_max(b, (weight, -turn)) b from o group by 1)
+    select id, string_agg(case when pos = b and b > 0 then '…' else gap end || case when hit then '[' || word || ']' else word end || case when pos = n - 1 then rest when pos = b + 11 then '…' else '' end, '' order by pos) snippet
+    from f join c using (id) where pos between b and b + 11 group by 1"""
+
+
+@query(_snippets_sql(_TOP.format(_bm25_sql("documents", "doc_id", "thing erea")), "thing erea"))
 def search_snippets(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents")
-    hits = search.matches(V.index(spark, sf_dir, "documents"), "thing").orderBy("score", "id").limit(20)
-    return hits.join(docs, hits.id == docs.doc_id).select("id", search.snippet(F.col("text"), "thing").alias("snippet"))
+    hits = cut(_top(search.matches(V.index(spark, sf_dir, "documents"), "thing erea")).select("id"))
+    docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return snippets.snippets(docs.join(F.broadcast(hits), "id", "left_semi"), "thing erea")  # the page's ids, 20 at most
 
 
 @query("""with u as (select page_id, lower(url) url from pages) select page_id from u where contains(url, '/fr/') and list_contains(string_split(regexp_replace(url, '^https?://', ''), '/'), 'fr')""")

@@ -53,9 +53,6 @@ def test_bm25_matches_the_formula(spark):
     for q in ('needle "quoted"', "--json", "needle:", "path/to/file", "one OR two", "", "a\\b"):
         search.bm25(df, "id", q).collect()
     assert [r.id for r in df.where(search.contains(df.text, "%")).collect()] == []
-    from pyspark.sql import functions as F
-
-    assert df.where("id = 1").select(search.snippet(F.col("text"), "two").alias("s")).first().s == "one [two] three"
 
 
 def test_pairing_keyed_positional_and_pending(spark):

@@ -1,0 +1,45 @@
+"""Snippets against the full-text tables of the standard library."""
+
+import random
+import sqlite3
+
+import pytest
+
+from skein.operators import search, snippets
+
+
+def _texts(rng, n):
+    kinds = ["alpha", "beta", "gamma", "Alpha", "bèta", "x", "y", "z", "word", "other", "thing", "q1"]
+    gaps = [" ", " ", " ", " ", " ", ". ", ": ", "\n", ", ", " - ", ".", "", ".\n\t"]
+    out = []
+    for _ in range(n):
+        size, few = rng.choice([1, 4, 11, 12, 13, 14, 25, 60, 200]), rng.random()
+        words = [rng.choice(kinds if rng.random() < few else kinds[5:]) for _ in range(size)]
+        out.append(rng.choice(["", "", " ", "«"]) + "".join(w + rng.choice(gaps) for w in words))
+    return out
+
+
+def _table(texts):
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table t using fts5(text, tokenize='unicode61')")
+    db.executemany("insert into t(rowid, text) values (?, ?)", list(enumerate(texts)))
+    return db
+
+
+@pytest.mark.parametrize("query", ["alpha", "alpha beta", "beta-gamma", "alpha-beta beta-alpha", "x alpha alpha", "thing x-y-z", "alpha-alpha"])
+def test_windows_and_brackets_equal_full_text_tables(spark, query):
+    texts = _texts(random.Random(query), 400)
+    texts.append("x alpha beta " * 6000 + "gamma alpha-alpha beta thing x y z beta gamma beta alpha end " + "pad " * 3000)
+    match = " ".join('"' + " ".join(p) + '"' for p in search.phrases(query))
+    want = dict(_table(texts).execute("select rowid, snippet(t, 0, '[', ']', '…', 12) from t where t match ?", [match]).fetchall())
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if i in want], "id int, text string")
+    got = {r.id: r.snippet for r in snippets.snippets(rows, query).collect()}
+    assert want and {i: (texts[i], got[i], w) for i, w in want.items() if got[i] != w} == {}
+
+
+def test_snippets_of_odd_texts(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, " -- ", "a"), (4, "no hit at all", "a"), (5, " ".join(map(str, range(20))), "a"), (6, "éte été ete", "a")], "id int, text string, snippet string")
+    got = {r.id: r.snippet for r in snippets.snippets(rows, "ete").collect()}
+    assert got == {1: "", 2: "", 3: " -- ", 4: "no hit at all", 5: "0 1 2 3 4 5 6 7 8 9 10 11…", 6: "[éte] [été] [ete]"}
+    assert {r.snippet for r in snippets.snippets(rows.where("id = 5"), " -- ").collect()} == {"0 1 2 3 4 5 6 7 8 9 10 11…"}
+    assert snippets.snippets(rows.limit(0), "ete").count() == 0
