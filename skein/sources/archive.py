@@ -87,6 +87,19 @@ class Archive:
         finally:
             os.unlink(part)
 
+    def holds(self, sha: str) -> bool:
+        return os.path.exists(f"{self.root}/{self.blob_key(sha)}")
+
+    def place(self, sha: str, part: str) -> bool:
+        """Link a packed blob into place, once; False if it is there already."""
+        path = f"{self.root}/{self.blob_key(sha)}"
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        try:
+            os.link(part, path)
+            return True
+        except FileExistsError:
+            return False
+
     def blob_key(self, sha: str) -> str:
         return f"{BLOBS}/{sha[:2]}/{sha}.gz"
 
@@ -100,19 +113,24 @@ class Archive:
         return open(f"{self.root}/{LATEST}/{machine}/{version:012d}").read().strip() if version else None
 
     def push(self, manifest: dict, blobs: dict[str, bytes]) -> str:
-        """Publish a snapshot: new blobs, the manifest, then the machine's next version; an unchanged state is reused."""
+        """Publish a snapshot whose new blobs are at hand; `push_files` leaves them to the executors."""
+        validate(manifest)
+        for f in manifest["files"]:
+            if not self.holds(f["sha256"]):
+                data = blobs[f["sha256"]]
+                if hashlib.sha256(data).hexdigest() != f["sha256"]:
+                    raise ValueError(f"{f['relative_path']}: content differs from its hash")
+                self._put(self.blob_key(f["sha256"]), gzip.compress(data, mtime=0))
+        return self.publish(manifest)
+
+    def publish(self, manifest: dict) -> str:
+        """Make a snapshot whose blobs are stored the machine's next version; an unchanged state is reused."""
         validate(manifest)
         machine = manifest["machine_id"]
         for _ in range(ATTEMPTS):
             version, before = self._version(machine), self.latest(machine)
             if before and state_digest(self.manifest(before)) == state_digest(manifest):
                 return before
-            for f in manifest["files"]:
-                if not os.path.exists(f"{self.root}/{self.blob_key(f['sha256'])}"):
-                    data = blobs[f["sha256"]]
-                    if hashlib.sha256(data).hexdigest() != f["sha256"]:
-                        raise ValueError(f"{f['relative_path']}: content differs from its hash")
-                    self._put(self.blob_key(f["sha256"]), gzip.compress(data, mtime=0))
             raw = canonical(manifest)
             sha = hashlib.sha256(raw).hexdigest()
             self._put(f"{MANIFESTS}/{sha}.json", raw)
@@ -120,6 +138,16 @@ class Archive:
                 return sha
         raise RuntimeError("the latest pointer kept changing")
 
+    def push_files(self, files: DataFrame, machine: str, captured_at: str = "") -> str:
+        """Publish a snapshot of files that executors read, hash, pack and store; see skein.sources.archive_sink.
+
+        files: (relative_path, path), and any of kind, source, raw_path, copy_state, sha256. path is where all executors
+        see the file; one whose sha256 is given and stored is carried on and not read.
+        """
+        from skein.sources import archive_sink
+
+        return archive_sink.push(self, files, machine, captured_at)
+
     def read(self, sha: str, most: int = BLOB_BYTES) -> bytes:
         """A blob's content, verified; ValueError if it is damaged or longer than `most` bytes."""
         with gzip.open(f"{self.root}/{self.blob_key(sha)}") as f:
