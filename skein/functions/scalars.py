@@ -55,6 +55,10 @@ def base64url(text: Column) -> Column:
     return F.translate(plain, "+/", "-_")
 
 
+#: A session's reference, or with a second part a message's.
+MESSAGE = r"^(?:session:v1:(?=[^:]*\z)|msg:v1:(?=[^:]*:[^:]*\z))([A-Za-z0-9_-]*):?([A-Za-z0-9_-]*)\z"
+
+
 def message_ref(session: Column, entry: Column) -> Column:
     return F.concat(F.lit("msg:v1:"), base64url(session), F.lit(":"), base64url(entry))
 
@@ -63,6 +67,33 @@ def session_ref(session: Column) -> Column:
     return F.concat(F.lit("session:v1:"), base64url(session))
 
 
+def artifact_ref(sha: Column) -> Column:
+    return F.concat(F.lit("artifact:v1:"), sha)
+
+
+def parsed_ref(ref: Column) -> Column:
+    """struct(kind, session_key, entry_id, artifact_sha256) of a reference; null for what is none.
+
+    A session's key is sk1_ and 64 hexadecimal digits in lower case, an entry's id has a letter that is no white space
+    and neither zero byte nor line break, base 64 is that of URLs without padding and holds text.
+    """
+    def decoded(group: int) -> Column:
+        plain = F.translate(F.regexp_extract(ref, MESSAGE, group), "-_", "+/")
+        padded = F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), "=")
+        return F.try_validate_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
+
+    def made(kind: str, session: Column | None = None, entry: Column | None = None, sha: Column | None = None) -> Column:
+        parts = zip(("session_key", "entry_id", "artifact_sha256"), (session, entry, sha), strict=True)
+        return F.struct(F.lit(kind).alias("kind"), *[(F.lit(None).cast("string") if c is None else c).alias(n) for n, c in parts])
+
+    session, entry = decoded(1), decoded(2)
+    known = session.rlike(r"^sk1_[0-9a-f]{64}\z")
+    named = entry.rlike(r"(?U)\S") & ~entry.rlike(r"[\x00\n\r]")
+    return (F.when(ref.rlike(MESSAGE) & ref.startswith("msg:") & known & named, made("message", session, entry))
+            .when(ref.rlike(MESSAGE) & ref.startswith("session:") & known, made("session", session))
+            .when(ref.rlike(r"^artifact:v1:[0-9a-f]{64}\z"), made("artifact", sha=F.substring(ref, 13, 64))))
+
+
 def truncated_utf8(text: Column, most: int) -> Column:
     """At most `most` bytes of text, cut back to a whole character."""
     raw = text.cast("binary")

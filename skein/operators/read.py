@@ -76,3 +76,18 @@ def resolve(ids: DataFrame, column: str, text: str) -> str:
     if len(found) != 1:
         raise LookupError(f"{text!r} is {'ambiguous' if found else 'unknown'}")
     return found[0][0]
+
+
+def artifact_hits(artifacts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted with (artifact_id, text, raw_path): of the artifacts with its hash, and its parent if that is not '', the one
+    of least id; null for none.
+
+    artifacts: (artifact_id, artifact_sha256, parent_session_key, raw_path, text, text_preview); wanted:
+    (artifact_sha256, parent_session_key). The text is the preview where there is none.
+    """
+    body = F.coalesce(F.nullif("text", F.lit("")), F.col("text_preview")).alias("text")
+    held = artifacts.select("artifact_sha256", "parent_session_key", "artifact_id", body, "raw_path")
+    first = lambda *keys: held.groupBy(*keys).agg(F.min_by(F.struct("artifact_id", "text", "raw_path"), "artifact_id").alias("x")).select(*keys, "x.*")
+    asked = wanted.select("artifact_sha256", F.coalesce("parent_session_key", F.lit("")).alias("parent_session_key"))
+    own = asked.where("parent_session_key <> ''").join(first("artifact_sha256", "parent_session_key"), ["artifact_sha256", "parent_session_key"], "left")
+    return own.unionByName(asked.where("parent_session_key = ''").join(first("artifact_sha256"), "artifact_sha256", "left"))

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.folding import phrases, tokens
-from skein.functions.scalars import message_ref
+from skein.functions.scalars import artifact_ref, message_ref
 from skein.operators import snippets
 from skein.operators.lineage import cut
 
@@ -180,10 +181,40 @@ def find(index: Index, messages: DataFrame, query: str, limit: int = DEFAULT_LIM
     rows = facets(messages, **wanted)
     if path_token:
         rows = with_path_token(rows, path_tokens, path_token, "session_key")
-    best = matches(index, query).join(rows.drop("text"), "id").orderBy(*ORDER).limit(clamped(limit))
-    # texts are read for the page only
-    page = cut(best.join(messages.select("id", "text"), "id"))
-    return page.drop("text").join(snippets.snippets(page, query), "id").select(*ORDER, message_ref(F.col("session_key"), F.col("entry_id")).alias("ref"), "snippet").orderBy(*ORDER)
+    hits = matches(index, query).join(rows.drop("text"), "id").withColumn("ref", message_ref(F.col("session_key"), F.col("entry_id")))
+    return _page(hits, ["score", "timestamp", "session_key", "entry_id"], messages, query, limit)
+
+
+def _page(hits: DataFrame, order: list[str], texts: DataFrame, query: str, limit: int) -> DataFrame:
+    """The first hits with their snippets; texts (id, text) are read for these only."""
+    page = cut(hits.orderBy(*order).limit(clamped(limit)).join(texts.select("id", "text"), "id"))
+    return page.drop("text").join(snippets.snippets(page, query), "id").select(*ORDER, "ref", "snippet").orderBy(*ORDER)
+
+
+def find_artifacts(index: Index, artifacts: DataFrame, snapshots: DataFrame, sessions: DataFrame, query: str, limit: int = DEFAULT_LIMIT, path_tokens: DataFrame | None = None, path_token: str = "", **wanted: str) -> DataFrame:
+    """The best artifacts of a query among those that the facets take, in the columns of `find`.
+
+    artifacts: (id, artifact_sha256, source_name, machine_id, manifest_sha256, parent_session_key, raw_path, text);
+    snapshots: (manifest_sha256, captured_at), whose time is the artifact's; sessions: (session_key, project_key) of
+    parents. An artifact without a snapshot has the time '' and is outside of every range of times; one without a
+    parent is of no project. session_key is the parent's ('' for none), entry_id the hash. path_tokens: (id, token).
+    """
+    rows = artifacts.drop("text").join(snapshots.select("manifest_sha256", F.col("captured_at").alias("timestamp")), "manifest_sha256", "left")
+    if wanted.get("project"):
+        parents = sessions.where(F.col("project_key") == wanted["project"]).select(F.col("session_key").alias("parent_session_key"), "project_key")
+        rows = rows.join(parents, "parent_session_key")
+    rows = facets(rows, **wanted)
+    if path_token:
+        rows = with_path_token(rows, path_tokens, path_token, "id")
+    hits = matches(index, query).join(rows, "id").select("id", "score", F.coalesce("timestamp", F.lit("")).alias("timestamp"), "source_name", "machine_id", "raw_path", F.coalesce("parent_session_key", F.lit("")).alias("session_key"),
+                                                         F.col("artifact_sha256").alias("entry_id"), F.lit("artifact").alias("role"), artifact_ref(F.col("artifact_sha256")).alias("ref"))
+    return _page(hits, ["score", "timestamp", "raw_path", "entry_id"], artifacts, query, limit)
+
+
+def find_all(messages: DataFrame | None, artifacts: DataFrame | None, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """The best of both pages (`find`, `find_artifacts`), each scored among its own; one that isn't asked for is None."""
+    pages = [p for p in (messages, artifacts) if p is not None]
+    return reduce(DataFrame.unionByName, pages).orderBy(*ORDER).limit(clamped(limit))
 
 
 def search(messages: DataFrame, artifacts: DataFrame, query: str, limit: int = DEFAULT_LIMIT, role: str = "", message_index: Index | None = None, artifact_index: Index | None = None) -> DataFrame:

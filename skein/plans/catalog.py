@@ -263,7 +263,7 @@ def postings(spark, sf_dir):
 
 
 _FOUND = f"""select round(score, 9) score, "timestamp", source_name, machine_id, session_key, entry_id, role, 'msg:v1:' || replace(replace(rtrim(to_base64(encode(session_key)), '='), '+', '-'), '/', '_') || ':' || replace(replace(rtrim(to_base64(encode(entry_id)), '='), '+', '-'), '/', '_') ref
-  from ({{}}) s join (with {V.MESSAGES_SQL} select * from messages) m using (id) where {{}} order by 1, 2, 3, 4, 5, 6, 7 limit {{}}"""
+  from ({{}}) s join (with {V.MESSAGES_SQL} select * from messages) m using (id) where {{}} order by 1, 2, 5, 6 limit {{}}"""
 
 
 @query(_FOUND.format(_bm25_sql("(select conv_id * 1000000 + turn id, text from conversations) x", "id", "the thing"), "role = 'user' and source_name = 's1' and \"timestamp\" >= '2026-01-05' and \"timestamp\" <= '2026-01-25T00:00:00Z' and contains(lower(raw_path), 'work/p_')", 50))
@@ -290,6 +290,48 @@ def search_segments(spark, sf_dir):
     return _top(search.matches(segments.refresh(spark, path, docs), "thing erea"))
 
 
+# the page of artifacts of a query, by score, time, path and hash; fields: scores, condition, limit
+_FOUND_ARTIFACTS = f"""select round(score, 9) score, coalesce(captured_at, '') "timestamp", source_name, machine_id, coalesce(parent, '') session_key, sha entry_id, 'artifact' "role", 'artifact:v1:' || sha ref
+  from ({{}}) s join (with {V.ARTIFACT_ROWS_SQL} select a.*, captured_at from artifacts a left join snapshots using (manifest)) a using (id) left join (select distinct concat('c', conv_id) parent, concat('p', conv_id % 10) project_key from conversations) p using (parent)
+  where {{}} order by 1, 2, raw_path, 6 limit {{}}"""
+
+
+def _artifacts(spark, sf_dir, query_text, limit, **wanted) -> DataFrame:
+    sessions, rows = V.messages(spark, sf_dir).select("session_key", "project_key").distinct(), V.artifact_rows(spark, sf_dir)
+    tokens = rows.select("id", F.explode(S.path_tokens(F.col("raw_path"))).alias("token"))
+    return search.find_artifacts(V.index(spark, sf_dir, "documents"), rows, V.artifact_snapshots(spark, sf_dir), sessions, query_text, limit, tokens, **wanted)
+
+
+@query(_FOUND_ARTIFACTS.format(_bm25_sql("documents", "doc_id", "the"), "machine_id = 'm1' and captured_at >= '2026-01-12' and captured_at <= '2026-01-15T00:00:00Z' and contains(lower(raw_path), '/d_')", 30))
+def search_artifacts(spark, sf_dir):
+    found = _artifacts(spark, sf_dir, "the", 30, machine="m1", after="2026-01-12", before="2026-01-15T00:00:00Z", path_contains="/D_")
+    return found.drop("snippet").withColumn("score", F.round("score", 9))
+
+
+@query(_FOUND_ARTIFACTS.format(_bm25_sql("documents", "doc_id", "of/the"), "project_key = 'p3' and contains(raw_path, '/en/')", 20))
+def search_artifacts_of_project(spark, sf_dir):
+    found = _artifacts(spark, sf_dir, "of/the", 20, project="p3", path_token="EN ")
+    return found.drop("snippet").withColumn("score", F.round("score", 9))
+
+
+@query(f"""select * from (select * from ({_FOUND.format(_bm25_sql("(select conv_id * 1000000 + turn id, text from conversations) x", "id", "the thing"), "machine_id = 'm1'", 40)})
+  union all select * from ({_FOUND_ARTIFACTS.format(_bm25_sql("documents", "doc_id", "the thing"), "machine_id = 'm1'", 40)})) order by 1, 2, 3, 4, 5, 6, 7 limit 40""")
+def search_everything(spark, sf_dir):
+    said = search.find(V.index(spark, sf_dir, "messages"), V.messages(spark, sf_dir), "the thing", 40, machine="m1")
+    found = search.find_all(said, _artifacts(spark, sf_dir, "the thing", 40, machine="m1"), 40)
+    return found.drop("snippet").withColumn("score", F.round("score", 9))
+
+
+@query(f"""with {V.ARTIFACT_ROWS_SQL}, asked as (select distinct sha, coalesce(parent, '') parent from artifacts union select distinct sha, '' from artifacts union select sha, 'nobody' from artifacts where id = 1)
+  select asked.sha artifact_sha256, asked.parent parent_session_key, min(id) artifact_id, arg_min(raw_path, id) raw_path, arg_min(length(text), id)::int n_chars
+  from asked left join artifacts a on a.sha = asked.sha and (asked.parent = '' or a.parent = asked.parent) group by 1, 2""")
+def artifact_hits(spark, sf_dir):
+    rows = V.artifact_rows(spark, sf_dir)
+    key = rows.select("artifact_sha256", F.coalesce("parent_session_key", F.lit("")).alias("parent_session_key"))
+    asked = key.unionByName(key.withColumn("parent_session_key", F.lit(""))).unionByName(rows.where("id = 1").select("artifact_sha256", F.lit("nobody").alias("parent_session_key"))).distinct()
+    return read.artifact_hits(rows, asked).select("artifact_sha256", "parent_session_key", "artifact_id", "raw_path", F.char_length("text").alias("n_chars"))
+
+
 def _snippets_sql(hits: str, query_text: str) -> str:
     """Words as rows, joined with the words of the window that begins at each hit or sentence; phrases of one word."""
     flags = [f"strip_accents(lower(word)) = '{p[0]}'" for p in search.phrases(query_text)]

@@ -137,6 +137,8 @@ def judged(candidates: DataFrame) -> DataFrame:
 class SnapshotWorkspace(Workspace):
     """Workspace below a root that manifests are ingested into; the questions are those of Workspace."""
 
+    takes_artifacts = False
+
     def __init__(self, spark: SparkSession, root: str, version: int | None = None):
         super().__init__(spark, root)
         self._at(version)

@@ -42,6 +42,27 @@ MESSAGES_SQL = """messages as (
     concat('s', conv_id % 3) source_name, concat('m', conv_id % 4) machine_id, concat('/Work/p_', conv_id % 10, '/src') raw_path, concat('p', conv_id % 10) project_key from conversations)"""
 
 
+def artifact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as artifacts of snapshots b0 to b6 and of sessions, some of which are not there."""
+    d, doc = table(spark, sf_dir, "documents"), F.col("doc_id")
+    return d.select(
+        doc.alias("id"), doc.alias("artifact_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("artifact_sha256"), F.col("source").alias("source_name"), F.concat(F.lit("m"), doc % 4).alias("machine_id"),
+        F.concat(F.lit("b"), doc % 7).alias("manifest_sha256"), F.when(doc % 5 != 0, F.concat(F.lit("c"), doc % 150)).alias("parent_session_key"), F.concat(F.lit("/Art/"), "lang", F.lit("/d_"), doc, F.lit(".txt")).alias("raw_path"), "text",
+        F.substring("text", 1, 40).alias("text_preview"))
+
+
+ARTIFACT_ROWS_SQL = """artifacts as (
+  select doc_id id, sha256(coalesce(text, '')) sha, source source_name, concat('m', doc_id % 4) machine_id, concat('b', doc_id % 7) manifest, case when doc_id % 5 <> 0 then concat('c', doc_id % 150) end parent,
+    '/Art/' || lang || '/d_' || doc_id || '.txt' raw_path, text from documents),
+snapshots as (select concat('b', doc_id % 7) manifest, concat('2026-01-1', (min(doc_id) % 7)::varchar, 'T00:00:00Z') captured_at from documents where doc_id % 7 <> 6 group by 1)"""
+
+
+def artifact_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = F.col("doc_id")
+    made = table(spark, sf_dir, "documents").where(doc % 7 != 6).groupBy(F.concat(F.lit("b"), doc % 7).alias("manifest_sha256"))
+    return made.agg(F.concat(F.lit("2026-01-1"), F.min(doc) % 7, F.lit("T00:00:00Z")).alias("captured_at"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

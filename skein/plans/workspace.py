@@ -36,6 +36,8 @@ def capture(entries: DataFrame, machine: str, source: str, manifest: str = "") -
 
 
 class Workspace:
+    takes_artifacts = True
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
@@ -136,6 +138,23 @@ class Workspace:
     def search(self, query: str, limit: int = search.DEFAULT_LIMIT, path_token: str = "", **facets: str) -> DataFrame:
         return search.find(search.open_index(self.spark, f"{self.root}/fts_messages"), self.joined(), query, limit, self.table("session_path_tokens"), path_token, **facets)
 
+    def search_all(self, query: str, limit: int = 0, role: str = "", path_token: str = "", **facets: str) -> DataFrame:
+        """Messages and artifacts; artifacts only without a role, or with theirs."""
+        said = self.search(query, limit, path_token, role=role, **facets)
+        if role not in ("", "artifact") or not self.takes_artifacts:
+            return said
+        artifacts = self.table("artifacts").withColumn("id", F.col("artifact_id"))
+        tokens = self.table("artifact_path_tokens").select(F.col("artifact_id").alias("id"), "token")
+        snapshots = self.table("snapshots")
+        # a load without manifests knows no times
+        snapshots = snapshots if "captured_at" in snapshots.columns else snapshots.select("manifest_sha256", F.lit(None).cast("string").alias("captured_at"))
+        index = search.open_index(self.spark, f"{self.root}/fts_artifacts")
+        kept = search.find_artifacts(index, artifacts, snapshots.groupBy("manifest_sha256").agg(F.min("captured_at").alias("captured_at")), self.table("sessions"), query, limit, tokens, path_token, **facets)
+        return search.find_all(said, kept, limit)
+
+    def artifact(self, wanted: DataFrame) -> DataFrame:
+        return read.artifact_hits(self.table("artifacts"), wanted)
+
     def incidents(self, state: str = "", limit: int = 50, **facets: str) -> DataFrame:
         return E.incidents(E.faceted(self.table("failure_episodes"), self.table("sessions"), **facets), state, limit)
 

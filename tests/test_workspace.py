@@ -46,6 +46,10 @@ def test_transcripts_to_incidents(spark, tmp_path):
     found = w.search("needle", role="user").collect()
     assert sorted((r.source_name, r.entry_id) for r in found) == [("claude-code", "mone"), ("claude-code", "mtwo"), ("pi", "u")] and all("[needle]" in r.snippet for r in found)
     assert {r.source_name for r in w.search("needle", path_token="my-app").collect()} == {"claude-code"} and w.search("needle", project="app").count() == 1
+    both = w.search_all("note").collect()
+    assert [(r.role, r.ref, r.snippet) for r in both] == [("artifact", "artifact:v1:" + "f" * 64, "a [note] with [REDACTED:github_token]")]
+    assert w.search_all("needle", role="user").count() == 3 and w.search_all("note", path_token="notes.md").count() == 1 and w.search_all("note", after="2026").count() == 0
+    assert w.artifact(spark.createDataFrame([("f" * 64, "")], "artifact_sha256 string, parent_session_key string")).first().raw_path == "/w/notes.md"
     session = next(r.session_key for r in found if r.entry_id == "mone")
     leaf = spark.createDataFrame([(session, "mone")], "session_key string, entry_id string")
     assert [r.entry_id for r in w.branch(leaf).orderBy("depth").collect()] == ["mone", "r3", "a3", "r2", "a2", "r1", "a1"]
