@@ -76,22 +76,24 @@ def java(pattern: str) -> str:
     return "".join(out).replace("(?i)", "(?iu)")
 
 
+def marker(name: str) -> str:
+    """What a secret is replaced by."""
+    return f"[REDACTED:{name}]"
+
+
 def validated(extras: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Extra (name, pattern) rules: named, no collision, and matching neither nothing nor a marker."""
+    """Extra (name, pattern) rules, as given; ValueError for one that has no name of its own, or could match what redaction leaves.
+
+    Later patterns see the markers of all earlier ones, so that none may match any marker, nor the empty text.
+    """
     import re
 
-    names = {n for n, _ in SECRETS}
-    for name, pattern in extras:
-        if not name:
-            raise ValueError("an extra pattern has no name")
-        if name in names:
-            raise ValueError(f"extra pattern {name!r} collides with another")
-        found = re.compile(pattern)
-        if found.search(""):
-            raise ValueError(f"extra pattern {name!r} matches the empty string")
-        if found.search(f"[REDACTED:{name}]") or found.search("[REDACTED:openai_key]"):
-            raise ValueError(f"extra pattern {name!r} matches a redaction marker")
-        names.add(name)
+    names = [n for n, _ in (*SECRETS, *extras)]
+    left = {"": "the empty text"} | {marker(n): f"the marker of {n}" for n in names}
+    faults = [f"extra pattern {n!r} has no name of its own" for n, _ in extras if not n or names.count(n) > 1]
+    faults += [f"extra pattern {n!r} matches {what}" for n, pattern in extras for text, what in left.items() if re.search(pattern, text)]
+    if faults:
+        raise ValueError("; ".join(faults))
     return list(extras)
 
 
@@ -119,7 +121,7 @@ def redact(text: Column, extras: list[tuple[str, str]] = ()) -> Column:
     """
     def step(c: Column, s: tuple[str, str]) -> Column:
         name, pattern = s
-        return _with(c, lambda t: F.when(_may_match(name, t), F.regexp_replace(t, F.lit(java(pattern)), F.lit(f"[REDACTED:{name}]"))).otherwise(t))
+        return _with(c, lambda t: F.when(_may_match(name, t), F.regexp_replace(t, F.lit(java(pattern)), F.lit(marker(name)))).otherwise(t))
 
     return reduce(step, _steps(extras), text)
 
@@ -132,7 +134,7 @@ def cleaned(text: Column, extras: list[tuple[str, str]] = ()) -> Column:
         name, pattern = s
         count = lambda t: F.regexp_count(t, F.lit(java(pattern))).cast("bigint")
         hit = lambda t: F.array(F.struct(F.lit(name).alias("name"), count(t).alias("hits")))
-        return _with(c, lambda x: F.when(_may_match(name, x["text"]), F.struct(F.regexp_replace(x["text"], F.lit(java(pattern)), F.lit(f"[REDACTED:{name}]")).alias("text"), F.concat(x["hits"], hit(x["text"])).alias("hits"))).otherwise(x))
+        return _with(c, lambda x: F.when(_may_match(name, x["text"]), F.struct(F.regexp_replace(x["text"], F.lit(java(pattern)), F.lit(marker(name))).alias("text"), F.concat(x["hits"], hit(x["text"])).alias("hits"))).otherwise(x))
 
     done = reduce(step, _steps(extras), F.struct(F.coalesce(text, F.lit("")).alias("text"), none.alias("hits")))
     return _with(done, lambda x: F.struct(x["text"].alias("text"), F.filter(x["hits"], lambda h: h["hits"] > 0).alias("hits")))

@@ -50,7 +50,7 @@ def test_every_pattern_redacts_and_is_idempotent(spark):
 def test_extra_patterns_are_validated(spark):
     import pytest
 
-    for bad in (("", "x"), ("jwt_token", "x"), ("e", "x*"), ("m", "REDACTED")):
+    for bad in (("", "x"), ("jwt_token", "x"), ("e", "x*"), ("m", "REDACTED"), ("m", "jwt_t.ken")):
         with pytest.raises(ValueError):
             R.validated([bad])
     assert _one(spark, R.redact(F.col("t"), [("badge", r"badge-\d+")]), t="my badge-12") == "my [REDACTED:badge]"
