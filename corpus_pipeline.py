@@ -16,7 +16,10 @@ _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that language identification rejects; models are fitted on the labelled documents."""
+    """Drop documents that language identification rejects; models are fitted on the labelled documents.
+
+    Where no document is labelled there is nothing to reject by, and all go on.
+    """
     labelled = docs.where("text is not null and lang is not null")
     if labelled.isEmpty():
         return docs.select(_COLUMNS)
@@ -24,7 +27,11 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each component of near duplicates."""
+    """Keep the document of least id of each component of near duplicates.
+
+    An id stands for one document: rows that repeat it go or stay together. So exact repeats of a kept row stay, and of
+    an id with two texts both go if one of them is a copy of a document with a smaller id. Documents without words stay.
+    """
     found = ngram_join.jaccard_components(docs)
     extra = materialise(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
     return docs.join(bounded(extra), "doc_id", "left_anti").select(_COLUMNS)
