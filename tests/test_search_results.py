@@ -89,3 +89,16 @@ def test_references_are_parsed_strictly(spark):
            f"artifact:v1:{sha.upper()}", f"artifact:v1:{sha}0", f"artifact:v1:{sha}\n", f"artifact:v2:{sha}", f" artifact:v1:{sha}", f"session:v1:{enc(key + chr(10))}", None]
     rows = spark.createDataFrame([(r,) for r in [*good, *bad]], "ref string").select("ref", S.parsed_ref(F.col("ref")).alias("p")).collect()
     assert {r.ref: tuple(r.p) for r in rows if r.p} == good
+
+
+def test_scores_equal_to_nine_places_are_ordered_by_time_and_path(spark, tmp_path):
+    # a word of more than half of the rows weighs so little that texts of other lengths differ beyond the ninth place only
+    rows = [(i, f"{i:064x}", "s", "m", f"b{i % 3}", None, f"/w/{99 - i}.txt", "the " + "pad " * (3000 + i)) for i in range(20)] + [(50, f"{50:064x}", "s", "m", "b1", None, "/w/x", "other")]
+    artifacts = spark.createDataFrame(rows, "id long, artifact_sha256 string, source_name string, machine_id string, manifest_sha256 string, parent_session_key string, raw_path string, text string")
+    times = spark.createDataFrame([(f"b{i}", f"2026-01-0{9 - i}") for i in range(3)], "manifest_sha256 string, captured_at string")
+    sessions = spark.createDataFrame([], "session_key string, project_key string")
+    index = search.build(artifacts, "id", f"file://{tmp_path}/index")
+    scores = {r.id: round(r.score, 9) for r in search.matches(index, "the").collect()}
+    want = sorted((scores[r[0]], f"2026-01-0{9 - r[0] % 3}", r[6], r[1]) for r in rows[:20])[:7]
+    got = search.find_artifacts(index, artifacts, times, sessions, "the", 7).collect()
+    assert len(set(scores.values())) < len(scores) and {(r.timestamp, r.entry_id) for r in got} == {(w[1], w[3]) for w in want}
