@@ -200,11 +200,11 @@ def items_assets(items: Column) -> Column:
         def told(data: Column) -> Column:
             held = F.coalesce(F.octet_length(data), F.lit(0)) > 0
             ref = _first(_text(v, "url"), F.when(held, "").otherwise(F.to_json(v)))
-            size = images.dimensions(data)
-            return F.struct(F.when(held, F.sha2(data, 256)).otherwise(F.sha2(ref, 256)).alias("asset_sha256"), F.lit("image").alias("asset_kind"), x["place"].alias("content_index"), i.alias("prompt_order"), ref.alias("raw_ref"), mime.alias("mime_type"), _text(v, "type").alias("block_type"),
-                            F.when(held, F.octet_length(data)).otherwise(0).cast("bigint").alias("bytes"), F.when(held, size["width"]).otherwise(0).alias("width"), F.when(held, size["height"]).otherwise(0).alias("height")).cast(_ASSET)
+            return F.element_at(F.transform(F.array(images.dimensions(data)), lambda size: F.struct(
+                F.when(held, F.sha2(data, 256)).otherwise(F.sha2(ref, 256)).alias("asset_sha256"), F.lit("image").alias("asset_kind"), x["place"].alias("content_index"), i.alias("prompt_order"), ref.alias("raw_ref"), mime.alias("mime_type"), _text(v, "type").alias("block_type"),
+                F.when(held, F.octet_length(data)).otherwise(0).cast("bigint").alias("bytes"), F.when(held, size["width"]).otherwise(0).alias("width"), F.when(held, size["height"]).otherwise(0).alias("height")).cast(_ASSET)), 1)
 
-        # the data is a variable, so that it is decoded once
+        # the data is a variable, as its size is, so that each is computed once
         return F.element_at(F.transform(F.array(F.coalesce(given("source.data"), given("data"))), told), 1)
 
     return F.transform(F.filter(items, is_asset), asset)
@@ -240,7 +240,8 @@ def generic_entries(rows: DataFrame) -> DataFrame:
     left_out = F.coalesce(_flag(v, "excludeFromContext", "exclude_from_context"), _flag(m, "excludeFromContext", "exclude_from_context"), F.lit(False))
     summary = F.when((text == "") & (shown.isin("branchSummary", "compactionSummary") | kind.isin("summary", "compaction", "branch_summary")), _first(_text(v, "summary"), _text(v, "text"))).otherwise(text)
     usage = lambda n: _number(m, f"usage.{n}")
-    rows = rows.withColumn("tool_calls", calls).withColumn("tool_results", results)
+    # what a window follows is a column by then: a filter on the number of assets would make each of them once more
+    rows = rows.withColumn("tool_calls", calls).withColumn("tool_results", results).withColumn("assets", items_assets(F.col("items")))
     # the header's id names the session; the first entry with a folder names it too
     file = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = _first(_text(v, "id"), _text(v, "uuid"), _text(m, "id"), _text(m, "uuid"))
@@ -250,7 +251,7 @@ def generic_entries(rows: DataFrame) -> DataFrame:
         role=F.when((shown == "user") & (F.size(_of_type(F.col("items"), "tool_result")) > 0), "toolResult").otherwise(shown), text=summary, tool_name=_first(tool("tool_name"), _text(v, "toolName"), _text(m, "toolName")), command=tool("command"), files_json=tool("files_json"),
         model=_first(_text(m, "model"), F.when(kind == "model_change", _text(v, "modelId")).otherwise(""), _text(v, "model")), provider=F.when(kind == "model_change", _text(v, "provider")).otherwise(""),
         tokens=usage("input_tokens") + usage("output_tokens") + usage("cache_creation_input_tokens") + usage("cache_read_input_tokens"), cache_read_tokens=usage("cache_read_input_tokens"), cache_write_tokens=usage("cache_creation_input_tokens"), reasoning_tokens=usage("reasoning_output_tokens") + usage("reasoning_tokens"),
-        participates_in_context=takes_part & ~left_out, first_kept=F.when(kind == "compaction", _text(v, "firstKeptEntryId")).otherwise(""), cwd=F.col("cwd"), assets=items_assets(F.col("items")))
+        participates_in_context=takes_part & ~left_out, first_kept=F.when(kind == "compaction", _text(v, "firstKeptEntryId")).otherwise(""), cwd=F.col("cwd"), assets=F.col("assets"))
 
 
 def pi_entries(rows: DataFrame) -> DataFrame:
