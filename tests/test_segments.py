@@ -127,3 +127,15 @@ def test_no_rows(spark, tmp_path):
     assert index.rows == 0 and ranking(index, "word") == []
     index = segments.refresh(spark, str(tmp_path / "index"), spark.createDataFrame([(1, "word")], "doc_id long, text string"))
     assert [i for i, _ in ranking(index, "word")] == [1]
+
+
+def test_postings_are_made_where_the_text_is(spark):
+    rng = random.Random(3)
+    texts = TEXTS + ["", None, "...", " ", "a a b a", "b"] + [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(40))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    made = search.by_token(df, "id")
+    want = search.postings(df, "id").groupBy("token", "id").agg(F.first("dl").alias("dl"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    rows = lambda d: sorted((r.token, r.id, r.dl, list(r.positions)) for r in d.collect())
+    assert rows(made) == rows(want) and rows(search.by_token(df.where("id < 0"), "id")) == []
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange ") == 1 and plan.index("MapInArrow") < plan.index("Exchange ")  # of texts, not of postings
