@@ -32,8 +32,13 @@ from skein.sources.archive import Archive
 
 #: Buckets of sessions. A bucket is what one new file rewrites; fixed when a workspace is made.
 BUCKETS = 64
-#: Transcripts read for one version of the workspace; more files are taken in several.
+#: Sessions of a bucket are spread over so many files of each table, whatever the number of tasks.
+SPREAD = 8
+#: Transcripts that an opener is given at once, since their paths are listed in the driver; an opener that lists none
+#: says so by an attribute `any_number`. More files are read in parts.
 FILES = 10_000
+#: Versions that one ingest makes at most, so that the buckets are rewritten a fixed number of times, however many files come.
+VERSIONS = 8
 MANIFEST = "manifest_sha256 string, machine_id string, captured_at string, place int, kind string, source_name string, file_sha256 string, relative_path string, raw_path string, bytes bigint, copy_state string"
 VERSION = ["file_sha256", "relative_path", "raw_path", "machine_id", "source_name"]
 _CATALOG = "name string, bucket int, version int"
@@ -195,7 +200,8 @@ class SnapshotWorkspace(Workspace):
         if name not in self.parts:  # what a reader takes the schema from
             self.spark.createDataFrame([], rows.schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/none")
         by = ["bucket", "session_key"] if name in BUCKETED else ["bucket"]
-        spread = rows.withColumn("bucket", bucket).repartition(*by).sortWithinPartitions(*by)
+        dealt = ["bucket", F.pmod(F.xxhash64("session_key"), F.lit(SPREAD))] if name in BUCKETED else ["bucket"]
+        spread = rows.withColumn("bucket", bucket).repartition(*dealt).sortWithinPartitions(*by)
         spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={self.version + 1}")
         return [int(n.removeprefix("bucket=")) for n in self._names(f"{path}/v={self.version + 1}") if n.startswith("bucket=")]
 
@@ -213,7 +219,7 @@ class SnapshotWorkspace(Workspace):
         return self.table(name) if name in self.parts else self.spark.createDataFrame([], schema)
 
     def ingest_snapshots(self, manifests: DataFrame, open_files: Opener | None = None, now: str = "") -> Report:
-        """Take in manifests (MANIFEST), in order of the time of capture; a version for each FILES new transcripts.
+        """Take in manifests (MANIFEST), in order of the time of capture; a version for each FILES new transcripts, VERSIONS at most.
 
         The result is that of taking them one by one. A manifest that is known is noted as an attempt, nothing more.
         An empty table of manifests does nothing.
@@ -232,15 +238,20 @@ class SnapshotWorkspace(Workspace):
         unknown = wanted.join(known.select(*VERSION), VERSION, "left_anti").groupBy(*VERSION).agg(F.min(order).alias("seen"))
         count = unknown.count()
         report = Report(self.version, attempts.where("duplicate = 1").count(), wanted.select(*VERSION).distinct().count() - count, count)
-        rounds = max(1, -(-count // FILES))
-        # later rounds hold later files, so that the first writer is the same; the rows are names of files
-        dealt = unknown.withColumn("round", F.lit(0) if rounds == 1 else F.ntile(rounds).over(Window.orderBy("seen", *VERSION)) - 1)
         open_files = open_files or opener(self.spark)
+        pieces = 1 if getattr(open_files, "any_number", False) else max(1, -(-count // FILES))
+        rounds = min(pieces, VERSIONS)
+        # later rounds hold later files, so that the first writer is the same; the rows are names of files
+        dealt = unknown.withColumn("part", F.lit(0) if pieces == 1 else F.ntile(pieces).over(Window.orderBy("seen", *VERSION)) - 1)
         for i in range(rounds):
             put, noted = {}, wanted.join(known, VERSION)
             if count:
-                files = dealt.where(F.col("round") == i).drop("round")
-                put = self._entries(open_files(files.select(*VERSION)).join(F.broadcast(files), VERSION))
+                own = range(i * pieces // rounds, (i + 1) * pieces // rounds)
+                files = dealt.where(F.col("part").between(own[0], own[-1])).drop("part")
+                each = [files] if len(own) == 1 else [dealt.where(F.col("part") == n).drop("part") for n in own]
+                # names of FILES files are few; where the opener takes any number, they may be many
+                hinted = F.broadcast if count <= FILES * pieces else lambda rows: rows
+                put = self._entries([open_files(f.select(*VERSION)).join(hinted(f), VERSION) for f in each])
                 noted = noted.where(F.lit(i == rounds - 1)).unionByName(wanted.join(files.select(*VERSION), VERSION).join(self._read_keys(), VERSION, "left").withColumn("session_key", F.coalesce("session_key", _own_key())).select(*noted.columns))
             parts = {"session_versions": noted.select("session_key", *VERSION, "manifest_sha256", F.col("captured_at").alias("observed_at"), "copy_state")}
             if i == rounds - 1:
@@ -278,21 +289,33 @@ class SnapshotWorkspace(Workspace):
     def _read_path(self) -> str:
         return f"{self.root}/read/v={self.version + 1}"
 
+    def _read_rows(self) -> DataFrame:
+        """The states of entries that were read for the next version."""
+        together = f"{self._read_path()}/all"
+        return self.spark.read.parquet(together if self._names(together) else self._read_path())
+
     def _read_keys(self) -> DataFrame:
         """The session of each file version that was read."""
-        return self.spark.read.parquet(self._read_path()).select("session_key", F.explode("files").alias("f")).select("f.*", "session_key").groupBy(*VERSION).agg(F.min("session_key").alias("session_key"))
+        return self._read_rows().select("session_key", F.explode("files").alias("f")).select("f.*", "session_key").groupBy(*VERSION).agg(F.min("session_key").alias("session_key"))
 
-    def _entries(self, read: DataFrame) -> dict[str, list[int]]:
-        """Write the buckets that new transcripts touch, in all tables of buckets."""
+    def _entries(self, reads: list[DataFrame]) -> dict[str, list[int]]:
+        """Write the buckets that new transcripts, read part by part, touch, in all tables of buckets."""
         seen, one = F.col("seen"), ["session_key", "entry_id", "entry_sha256"]
         order = F.struct(F.lit(self.version + 1).alias("version"), seen["captured_at"].alias("captured_at"), seen["manifest_sha256"].alias("manifest_sha256"), seen["place"].alias("place"), F.col("line_no").cast("int").alias("line_no"))
-        every = read.withColumn("session_key", S.session_key(F.col("machine_id"), F.col("source_name"), F.col("source_session_id")))
-        every = _redacted(every.withColumn("ord", order).withColumn("bucket", _bucket()))
         columns = [*_SESSION[1:], *_TOLD, "is_subagent", "cwd", "hits", "ord", "bucket"]
+
+        def states(every: DataFrame, files: Column) -> DataFrame:
+            return every.groupBy(*one).agg(F.min_by(F.struct(*columns), "ord").alias("x"), files.alias("files")).select(*one, "x.*", "files")
+
         # one row for each state of an entry, redacted: what is written here goes when the version is published
-        states = every.groupBy(*one).agg(F.min_by(F.struct(*columns), "ord").alias("x"), F.collect_set(F.struct(*VERSION)).alias("files"))
-        states.select(*one, "x.*", "files").write.mode("overwrite").parquet(self._read_path())
-        fresh = self.spark.read.parquet(self._read_path()).drop("files")
+        path = self._read_path() if len(reads) == 1 else f"{self._read_path()}/parts"
+        for n, read in enumerate(reads):
+            every = read.withColumn("session_key", S.session_key(F.col("machine_id"), F.col("source_name"), F.col("source_session_id")))
+            every = _redacted(every.withColumn("ord", order).withColumn("bucket", _bucket()))
+            states(every, F.collect_set(F.struct(*VERSION))).write.mode("append" if n else "overwrite").parquet(path)
+        if len(reads) > 1:
+            states(self.spark.read.parquet(path), F.array_distinct(F.flatten(F.collect_list("files")))).write.mode("overwrite").parquet(f"{self._read_path()}/all")
+        fresh = self._read_rows().drop("files")
         touched = sorted(r.bucket for r in fresh.select("bucket").distinct().collect())  # BUCKETS at most
         old = self.buckets_of("accepted", touched) if "accepted" in self.parts else fresh.where("false").drop("bucket")
         key = ["source_name", "source_session_id", "entry_id"]

@@ -226,3 +226,20 @@ def test_trace_cards(spark):
     assert got["s"].timeline == ",".join(["user", "assistant"] * 9) and got["s"].title == "ab c " + "é" * 67 + "…"
     assert [got[k].status for k in "stuv"] == ["file match", "tool work", "failed tool", "file match"]
     assert (got["t"].commands, got["t"].title, got["u"].tools, got["u"].failures, got["v"].files) == ("Tool,f0,f1,f2,f3,f4", "Untitled trace", 2, 1, "/a")
+
+
+def test_many_files_make_few_versions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "FILES", 1)
+    monkeypatch.setattr(snapshots, "VERSIONS", 2)
+    store = Store(spark)
+    one = [_line(1, "first words"), _line(2, "more")]
+    for name, lines in (("a", one), ("b", [*one, _line(3, "third")]), ("c", [_line(1, "other words"), one[1]]), ("d", [_line(9, "alone here")])):
+        store.put(name, lines)
+    w = SnapshotWorkspace(spark, str(tmp_path / "few"))
+    days = [_manifest(spark, "man1", "m1", "2026-01-01", [("s", "a"), ("t", "d")]), _manifest(spark, "man2", "m1", "2026-01-02", [("s", "b")]), _manifest(spark, "man3", "m2", "2026-01-03", [("s", "c")])]
+    report = w.ingest_snapshots(days[0].unionByName(days[1]).unionByName(days[2]), store.open)
+    # two files of one at a time to a version
+    assert (report.version, report.read_files) == (2, 4) and sorted(store.opened) == ["a", "b", "c", "d"]
+    assert sorted(r.entry_id for r in w.table("entries").collect()) == ["e1", "e2", "e2", "e3", "e9"]
+    assert [(r.entry_id, r.kind) for r in w.conflicts().collect()] == [("e1", "cross-machine")]
+    assert w.table("session_versions").count() == 4
