@@ -18,11 +18,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, most_frequent, small_batches
+from .shared import give_back, materialise, most_frequent, small_batches
 
 #: Words of the broadcast table at most, and the bytes of the longest word it takes.
 WORDS = 200_000
 WORD_BYTES = 64
+#: Distinct words that a task counts before it passes them on: a worker's memory, whatever the task's texts.
+HELD_WORDS = 200_000
 _SLICE = 500_000
 # Fixed value: the split of byte-level BPE; white space is the Unicode property, as in the library.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -92,6 +94,7 @@ def _counts(path: str):
 
     def run(batches):
         v = vocabulary(path)
+        give_back()
         held: Counter = Counter()
 
         def rows():
@@ -103,10 +106,11 @@ def _counts(path: str):
             for texts in _slices([x or "" for x in batch.column(0).to_pylist()]):
                 for t in texts:
                     held.update(v.words(t))
-                if len(held) > 400_000:
+                if len(held) > HELD_WORDS:
                     yield rows()
         if held:
             yield rows()
+        give_back()
     return run
 
 
@@ -128,6 +132,7 @@ def _encoded(path: str, box):
     def run(text: pa.Array) -> pa.Array:
         v = vocabulary(path)
         table = box.value
+        give_back()
         out = []
         for texts in _slices([x or "" for x in text.to_pylist()]):
             split = [v.words(t) for t in texts]

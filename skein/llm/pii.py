@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import give_back, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 RESULT = "struct<n_email: long, n_ip: long, n_card: long, n_phone: long, base_sha256: string, spans: string, n_disguised: long>"
@@ -255,6 +255,7 @@ def redact(text: str) -> str:
 
 
 def _redacted(text: pa.Array) -> pa.Array:
+    give_back()
     return pa.array([None if (s := v.as_py()) is None else redact(s) for v in text], pa.string())
 
 

@@ -53,3 +53,30 @@ def test_stages_take_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_counting_words_holds_a_bounded_number(monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from skein.llm import bpe
+
+    monkeypatch.setattr(bpe, "HELD_WORDS", 1000, raising=False)
+    monkeypatch.setattr(bpe, "_SLICE", 500)
+    texts = [" ".join(f"w{i % 37}x{(i * j) % 4099}" for i in range(60)) for j in range(200)]
+    path = P.path("byte_bpe_50k.json")
+    found, total = list(bpe._counts(path)(iter([pa.record_batch([pa.array(texts)], names=["text"])]))), Counter()
+    for batch in found:
+        total.update(dict(zip(*map(pa.Array.to_pylist, batch.columns), strict=True)))
+    want = Counter(w for t in texts for w in bpe.vocabulary(path).words(t))
+    assert total == want and len(want) > 2000 and len(found) > 1
+    assert max(b.num_rows for b in found) <= 1000 + 2000
+
+
+def test_batches_of_texts_are_small(spark):
+    from skein.llm.shared import small_batches
+
+    small_batches(spark)
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+    assert 0 < size <= 2 << 20
