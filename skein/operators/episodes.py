@@ -12,11 +12,18 @@ MAX_STEPS = 40
 MAX_LIMIT = 200
 TOP_PATHS = 3
 BUCKETS = 12
+#: Invocations that a task orders, on average: what it holds does not grow with the table.
+TASK_ROWS = 50_000
 CLUSTER = ["tool_name", "command_family", "error_signature"]
 
 
 def ordered(invocations: DataFrame) -> DataFrame:
-    """Invocations with their instant `ts` and place `rn` in the session; those without an instant come first."""
+    """Invocations with their instant `ts` and place `rn` in the session; those without an instant come first.
+
+    Sessions are dealt to a number of tasks that follows the number of rows, which adaptive execution leaves as it is.
+    """
+    tasks = max(invocations.sparkSession.sparkContext.defaultParallelism, -(-invocations.count() // TASK_ROWS))
+    invocations = invocations.repartition(tasks, "session_key")
     seq = Window.partitionBy("session_key").orderBy(F.col("ts").asc_nulls_first(), "line_no", "entry_id", "ordinal")
     return invocations.withColumn("ts", parse_ts(F.col("timestamp"))).withColumn("rn", F.row_number().over(seq))
 

@@ -65,3 +65,15 @@ def test_later_success_flips_an_abandoned_episode(spark):
     assert E.assemble(_rows(spark, steps)).first().resolved == 0
     assert E.assemble(_rows(spark, [*steps, ("s", "f", 0, "2026-01-01T00:01:00Z")])).first().resolved == 1
     assert E.assemble(_rows(spark, [])).count() == 0
+
+
+def test_tasks_follow_the_number_of_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(E, "TASK_ROWS", 50, raising=False)
+    steps = [(f"s{i % 60}", f"f{i % 3}", i % 7 < 3, f"2026-01-01T{i % 24:02d}:00:00Z") for i in range(1000)]
+    held = E.ordered(_rows(spark, steps)).groupBy(F.spark_partition_id()).count().collect()
+    # 20 tasks, some of which may get no session
+    assert len(held) > 10 and sum(r["count"] for r in held) == 1000
+    got = E.assemble(_rows(spark, steps), 3 * 3600, 6).collect()
+    assert sorted((r.session_key, r.open_entry_id, r.resolved, tuple(r.resolution_path) if r.resolution_path else None) for r in got) == _machine(steps, 3 * 3600, 6)
