@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrowtext import slices, text_buffers
 from .shared import crc_mod, materialise, most_frequent
 
 HIDDEN = 32
@@ -37,13 +38,26 @@ STEPS = 32
 SHARD_DOCS = 8192
 WARM_DOCS = 983
 DISCOUNT = 0.5
+#: Bytes of text that are split into words at once.
+SLICE_TEXT = 4 << 20
+#: Bytes of words that are counted at once.
+COUNTED_BYTES = 36 << 20
 _OTHER, _END = 0, 1
 LN10 = math.log(10)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ with A-Z in lower case; bytes split and fold on ASCII only."""
-    return (text or "").encode().lower().split()
+def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words [^\\x20\\x09-\\x0D]+ of a slice of texts with A-Z in lower case, the text of each); splits and folds on ASCII only."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.string()).fill_null("")))
+    text, words = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().cast(pa.binary())
+    ink = pc.not_equal(pc.binary_length(words), 0)
+    return words.filter(ink), text[ink.to_numpy(zero_copy_only=False)]
+
+
+def _pieces(column: pa.Array):
+    """Slices of a text column with about SLICE_TEXT bytes each."""
+    offsets, _ = text_buffers(column)
+    return (column.slice(lo, hi - lo) for lo, hi in slices(offsets, SLICE_TEXT))
 
 
 def _keep_memory() -> None:
@@ -51,46 +65,58 @@ def _keep_memory() -> None:
     np.empty(31 << 20, np.uint8)
 
 
-def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(exponentials, their sums by row); logits are shifted by their rows' maxima first if any is far from 0."""
-    if logits.max() > 60 or logits.min() < -60:
-        logits -= logits.max(axis=1, keepdims=True)
+def _exponentials(logits: np.ndarray, far: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials, their sums by column); logits are shifted by their columns' maxima first if any may be far from 0."""
+    if far:
+        logits -= logits.max(axis=0)
     e = np.exp(logits)
-    return e, e @ np.ones(e.shape[1], e.dtype)
+    return e, np.ones(len(e), e.dtype) @ e
+
 
+def _step(p: np.ndarray, old: np.ndarray, inner: np.ndarray, gates: np.ndarray, new: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """One step of the gated unit: fills gates (keep, reset), the new content and the state; sigmoid and tanh by exp.
 
-def _step(p: np.ndarray, old: np.ndarray, inner: np.ndarray, gates: np.ndarray, new: np.ndarray, state: np.ndarray) -> tuple:
-    """One step of the gated unit: fills gates (keep, reset), the new content and the state; a sigmoid is half a tanh of half."""
-    u = HIDDEN
+    What belongs to a gate is a block of its own in p and inner, so that all arithmetic runs over whole blocks.
+    """
     q = old @ inner
-    np.add(p[:, :2 * u], q[:, :2 * u], out=gates)
-    np.tanh(gates, out=gates)
-    gates *= np.float32(0.5)
-    gates += np.float32(0.5)
-    np.multiply(gates[:, u:], q[:, 2 * u:], out=new)
-    new += p[:, 2 * u:]
-    np.tanh(new, out=new)
+    np.add(p[:2], q[:2], out=gates)
+    np.exp(gates, out=gates)
+    gates += np.float32(1)
+    np.reciprocal(gates, out=gates)
+    np.multiply(gates[1], q[2], out=new)
+    new += p[2]
+    np.exp(new, out=new)
+    new += np.float32(1)
+    np.reciprocal(new, out=new)
+    new *= np.float32(2)
+    new -= np.float32(1)
     np.subtract(old, new, out=state)
-    state *= gates[:, :u]
+    state *= gates[0]
     state += new
-    return gates, new, q[:, 2 * u:]
+    return q[2]
 
 
 def _sum_by_symbol(rows: np.ndarray, symbols: np.ndarray, n: int) -> np.ndarray:
-    """For each of n symbols the sum of its rows: many rows at once, few beside those of other symbols."""
-    symbols = symbols.astype(np.uint16 if n <= 1 << 16 else np.int64)
-    order = np.argsort(symbols, kind="stable")
-    symbols, rows = symbols[order], rows.take(order, axis=0)
+    """For each of n symbols the sum of its rows (the axis before the last)."""
+    order = np.argsort(symbols.astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")
+    symbols = symbols[order]
     begin = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
     size = np.diff(np.append(begin, len(symbols)))
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out = np.zeros((*rows.shape[:-2], n, rows.shape[-1]), rows.dtype)
+    # symbols of many rows by products with ones; all others side by side, those of most rows first
     few = 16
-    for lo, k in zip(begin[size > few], size[size > few], strict=True):
-        out[symbols[lo]] = rows[lo:lo + k].sum(axis=0)
-    begin, size = begin[size <= few], size[size <= few]
-    for r in range(few):
-        begin, size = begin[size > r], size[size > r]
-        out[symbols[begin]] += rows[begin + r]
+    one = np.ones(size.max(), rows.dtype)
+    for lo, k in zip(begin[size > few].tolist(), size[size > few].tolist(), strict=True):
+        out[..., symbols[lo], :] = one[:k] @ rows.take(order[lo:lo + k], axis=-2)
+    by_size = np.argsort(-size, kind="stable")
+    by_size = by_size[np.count_nonzero(size > few):]
+    begin, size = begin[by_size], size[by_size]
+    if len(begin):
+        total = rows.take(order[begin], axis=-2)
+        for r in range(1, size[0]):
+            a = np.count_nonzero(size > r)
+            total[..., :a, :] += rows.take(order[begin[:a] + r], axis=-2)
+        out[..., symbols[begin], :] = total
     return out
 
 
@@ -110,6 +136,8 @@ class Network:
         _, self.cls = np.unique(self.cls, return_inverse=True)
         self.cls = self.cls.astype(np.int32)
         self.members = [np.flatnonzero(self.cls == c) for c in range(self.cls.max() + 1)]
+        self.by_class = np.concatenate(self.members)
+        self.begin = np.cumsum([0] + [len(m) for m in self.members])
         self.place = np.zeros(n, np.int32)
         for m in self.members:
             self.place[m] = np.arange(len(m))
@@ -121,51 +149,68 @@ class Network:
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each y after state h; with grad, adds gradients of its mean and returns that of h."""
-        w = self.w
-        rows = np.arange(len(y))
-        logits = h @ w["C"] + w["c"]
-        e, s = _exponentials(logits)
+        w, n = self.w, len(y)
         k = self.cls[y]
-        out = logits[rows, k] - np.log(s)
+        # tokens of the same class side by side; few classes sort fastest as small numbers
+        order = np.argsort(k.astype(np.uint8 if len(self.members) < 256 else np.int32), kind="stable")
+        edge = np.searchsorted(k[order], np.arange(len(self.members) + 1)).tolist()
+        # biases are weights of a last state that is always 1
+        state = np.ones((n, h.shape[1] + 1), h.dtype)
+        state[:, :-1] = h.take(order, axis=0)
+        size = np.diff(edge)
+        # where each token's own word is among the logits of its class
+        own = self.place[y[order]] * np.repeat(size, size) + np.arange(n) - np.repeat(edge[:-1], size)
+        C, W = (np.concatenate([x, b[:, None]], axis=1) for x, b in ((w["C"].T, w["c"]), (w["W"].take(self.by_class, axis=0), w["v"].take(self.by_class))))
+        most = np.float32(max(state.max(initial=1), -state.min(initial=1)))
+        far = most * max(np.abs(C).sum(axis=1).max(), np.abs(W).sum(axis=1).max()) > 60
+        # a row for each class or word, a column for each token: sums run along whole rows
+        logits = C @ state.T
+        e, s = _exponentials(logits, far)
+        found, inside = np.empty(n, logits.dtype), np.ones(n, logits.dtype)
+        for c in range(len(self.members)):
+            found[edge[c]:edge[c + 1]] = logits[c, edge[c]:edge[c + 1]]
         dh = None
         if grad is not None:
-            d = e
-            d *= (1 / (s * len(y)))[:, None]
-            d[rows, k] -= np.float32(1 / len(y))
-            grad["C"] += h.T @ d
-            grad["c"] += d.sum(axis=0)
-            dh = d @ w["C"].T
-        # rows of the same class side by side; few classes sort fastest as small numbers
-        order = np.argsort(k.astype(np.uint8 if len(self.members) < 256 else np.int32), kind="stable")
-        edge = np.searchsorted(k[order], np.arange(len(self.members) + 1))
-        sorted_h, sorted_j = h.take(order, axis=0), self.place[y[order]]
-        inside = np.zeros(len(y), out.dtype)
-        sorted_dh = np.zeros_like(h) if grad is not None else None
-        for c, m in enumerate(self.members):
-            lo, hi = edge[c], edge[c + 1]
-            if lo == hi or len(m) == 1:
+            e *= 1 / (s * n)
+            for c in range(len(self.members)):
+                e[c, edge[c]:edge[c + 1]] -= np.float32(1 / n)
+            d = e @ state
+            grad["C"] += d[:, :-1].T
+            grad["c"] += d[:, -1]
+            dh = e.T @ C[:, :-1]
+            dW = np.zeros_like(W)
+        for c in range(len(self.members)):
+            lo, hi, a, b = edge[c], edge[c + 1], self.begin[c], self.begin[c + 1]
+            if lo == hi or b - a == 1:
                 continue
-            hc, j, wm = sorted_h[lo:hi], sorted_j[lo:hi], w["W"][m]
-            logits = hc @ wm.T + w["v"][m]
-            e, s = _exponentials(logits)
-            inside[lo:hi] = logits[rows[:hi - lo], j] - np.log(s)
+            logits = W[a:b] @ state[lo:hi].T
+            at = own[lo:hi]
+            e, inside[lo:hi] = _exponentials(logits, far)
+            found[lo:hi] += logits.ravel().take(at)
             if grad is not None:
-                d = e
-                d *= (1 / (s * len(y)))[:, None]
-                d[rows[:hi - lo], j] -= np.float32(1 / len(y))
-                grad["W"][m] += d.T @ hc
-                grad["v"][m] += d.sum(axis=0)
-                np.matmul(d, wm, out=sorted_dh[lo:hi])
-        out[order] += inside
+                e *= 1 / (inside[lo:hi] * n)
+                e.ravel()[at] -= np.float32(1 / n)
+                np.matmul(e, state[lo:hi], out=dW[a:b])
+                dh[lo:hi] += e.T @ W[a:b, :-1]
+        out = np.empty_like(found)
+        out[order] = found - np.log(s) - np.log(inside)
         if grad is not None:
-            dh[order] += sorted_dh
+            grad["W"][self.by_class] += dW[:, :-1]
+            grad["v"][self.by_class] += dW[:, -1]
+            back = np.empty_like(order)
+            back[order] = np.arange(n)
+            dh = dh.take(back, axis=0)
         return out, dh
 
-    def halved(self) -> tuple[np.ndarray, np.ndarray]:
-        """What each symbol and each state adds to the gates; both of the sigmoids' parts halved, as _step takes them."""
-        half = np.repeat(np.array([0.5, 1], np.float32), [2 * HIDDEN, HIDDEN])
-        return (self.w["E"] @ self.w["X"] + self.w["b"]) * half, self.w["U"] * half
+    def gated(self) -> tuple[np.ndarray, np.ndarray]:
+        """What each symbol and each state adds to the gates, a block for each gate, times -1 or, for the new content, -2, as _step takes them."""
+        w, sign = self.w, np.array([-1, -1, -2], np.float32)[:, None, None]
+        blocks = lambda x: np.ascontiguousarray(x.reshape(-1, 3, HIDDEN).transpose(1, 0, 2)) * sign
+        table = w["E"] @ blocks(w["X"])
+        table += blocks(w["b"])
+        return table, blocks(w["U"])
 
+    @np.errstate(over="ignore")
     def train(self, streams: np.ndarray, fresh: np.ndarray, rate: float = 3e-3) -> None:
         """One pass of Adam over token streams (steps, streams), windows of STEPS; fresh marks begins of documents."""
         w, u = self.w, HIDDEN
@@ -174,39 +219,54 @@ class Network:
         h = np.zeros((lanes, u), np.float32)
         before = np.vstack([np.full((1, lanes), _END, streams.dtype), streams[:-1]])
         before = np.where(fresh, _END, before)
-        space = lambda width: np.empty((STEPS, lanes, width), np.float32)
-        held, gates, news, recurrent, states = space(u), space(2 * u), space(u), space(u), space(u)
+        space = lambda *shape: np.empty((*shape, lanes, u), np.float32)
+        held, gates, news, recurrent, states = space(STEPS), space(STEPS, 2), space(STEPS), space(STEPS), space(STEPS)
+        # by step what reaches the new content, keep, reset, and the new content's recurrent part
+        deltas, a, b = space(4, STEPS), space(), space()
+        one = np.float32(1)
         for lo in range(0, len(streams), STEPS):
-            x, y, new = before[lo:lo + STEPS], streams[lo:lo + STEPS], fresh[lo:lo + STEPS]
+            x, y = before[lo:lo + STEPS], streams[lo:lo + STEPS]
             m = len(y)
-            live = (~new).astype(np.float32)[:, :, None]
-            table, inner = self.halved()
+            new = [np.flatnonzero(f) for f in fresh[lo:lo + STEPS]]
+            table, inner = self.gated()
             for t in range(m):
-                np.multiply(h, live[t], out=held[t])
-                _, _, recurrent[t] = _step(table.take(x[t], axis=0), held[t], inner, gates[t], news[t], states[t])
+                held[t] = h
+                held[t][new[t]] = 0
+                recurrent[t] = _step(table.take(x[t], axis=1), held[t], inner, gates[t], news[t], states[t])
                 h = states[t]
             grad = {k: np.zeros_like(v) for k, v in w.items()}
             _, dout = self.outputs(states[:m].reshape(-1, u), y.ravel(), grad)
             dout = dout.reshape(m, -1, u)
-            old, z, r, n = held[:m], gates[:m, :, :u], gates[:m, :, u:], news[:m]
-            # how each gate follows the state, for all steps at once
-            by_new, by_keep, by_reset = (1 - z) * (1 - n * n), (old - n) * z * (1 - z), recurrent[:m] * r * (1 - r)
-            dh = np.zeros_like(h)
-            inputs, dq = np.empty((m, lanes, 3 * u), np.float32), np.empty((m, lanes, 3 * u), np.float32)
-            back = w["U"].T.copy()
+            h, dh = h.copy(), np.zeros_like(h)
+            back = np.ascontiguousarray(w["U"].reshape(u, 3, u).transpose(1, 2, 0))
             for t in range(m - 1, -1, -1):
+                dn, keep, reset, dr = deltas[0, t], deltas[1, t], deltas[2, t], deltas[3, t]
+                z, r, n = gates[t, 0], gates[t, 1], news[t]
                 dh += dout[t]
-                dn = dh * by_new[t]
-                np.multiply(dh, by_keep[t], out=dq[t, :, :u])
-                np.multiply(dn, by_reset[t], out=dq[t, :, u:2 * u])
-                np.multiply(dn, r[t], out=dq[t, :, 2 * u:])
-                inputs[t, :, 2 * u:] = dn
-                dh *= z[t]
-                dh += dq[t] @ back
-                dh *= live[t]
-            inputs[:, :, :2 * u] = dq[:, :, :2 * u]
-            grad["U"] = old.reshape(-1, u).T @ dq.reshape(-1, 3 * u)
-            dtable = _sum_by_symbol(inputs.reshape(-1, 3 * u), x.ravel(), len(table))
+                np.subtract(one, z, out=a)
+                # new content: (1 - z) (1 - n n)
+                np.multiply(n, n, out=b)
+                np.subtract(one, b, out=b)
+                np.multiply(a, b, out=dn)
+                dn *= dh
+                # keep: (old - n) z (1 - z); what goes on to the old state is dh z
+                dh *= z
+                np.subtract(held[t], n, out=keep)
+                keep *= a
+                keep *= dh
+                # reset: recurrent r (1 - r), where recurrent has a factor of -2
+                np.multiply(dn, r, out=dr)
+                np.subtract(r, one, out=reset)
+                reset *= np.float32(0.5)
+                reset *= recurrent[t]
+                reset *= dr
+                for part in deltas[1:, t] @ back:
+                    dh += part
+                dh[new[t]] = 0
+            flat = deltas[:, :m].reshape(4, -1, u)
+            beside = lambda blocks: np.concatenate([blocks[1], blocks[2], blocks[0]], axis=1)
+            grad["U"] = np.concatenate(list(held[:m].reshape(-1, u).T @ flat[1:]), axis=1)
+            dtable = beside(_sum_by_symbol(flat[:3], x.ravel(), table.shape[1]))
             grad["E"], grad["X"], grad["b"] = dtable @ w["X"].T, w["E"].T @ dtable, dtable.sum(axis=0)
             norm = math.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             tick += 1
@@ -217,7 +277,8 @@ class Network:
                 second[k] += np.float32(0.001) * (g * g - second[k])
                 w[k] -= np.float32(step) * first[k] / (np.sqrt(second[k]) + np.float32(1e-8))
 
-    def log_probabilities(self, docs: list[np.ndarray], side: int = 512, span: int = 64) -> np.ndarray:
+    @np.errstate(over="ignore")
+    def log_probabilities(self, docs: list[np.ndarray], side: int = 256, span: int = 64) -> np.ndarray:
         """Natural log probability of each document's ids; `side` documents run beside each other."""
         size = np.array([len(d) for d in docs])
         total = np.zeros(len(docs))
@@ -240,26 +301,29 @@ class Network:
             begins = np.cumsum(size[held])[:-1]
             fresh[np.append(0, begins[begins < n]) if n else [], s] = True
         u = HIDDEN
-        table, inner = self.halved()
+        table, inner = self.gated()
         h = np.zeros((side, u), np.float32)
-        gates, news = np.empty((side, 2 * u), np.float32), np.empty((side, u), np.float32)
         states = np.empty((span * side, u), np.float32)
         last = np.full(side, _END, np.int32)
+        live = np.searchsorted(-length, -np.arange(steps), "left").tolist()
         for lo in range(0, steps, span):
             hi = min(steps, lo + span)
-            ys, who, n = [], [], 0
+            n = 0
+            gates, news = np.empty((2, live[lo], u), np.float32), np.empty((live[lo], u), np.float32)
             for t in range(lo, hi):
-                a = int(np.searchsorted(-length, -t, "left"))
-                last, g = np.where(fresh[t, :a], _END, last[:a]), h[:a] * ~fresh[t, :a, None]
+                a = live[t]
+                if a < news.shape[0]:
+                    gates, news = np.empty((2, a, u), np.float32), np.empty((a, u), np.float32)
+                new = np.flatnonzero(fresh[t, :a])
+                last, old = last[:a].copy(), h[:a].copy()
+                last[new], old[new] = _END, 0
                 h = states[n:n + a]
-                _step(table.take(last, axis=0), g, inner, gates[:a], news[:a], h)
+                _step(table.take(last, axis=1), old, inner, gates, news, h)
                 n += a
                 last = ids[t, :a]
-                ys.append(last)
-                who.append(owner[t, :a])
             h = h.copy()
-            out, _ = self.outputs(states[:n], np.concatenate(ys))
-            total += np.bincount(np.concatenate(who), out, len(docs))
+            out, _ = self.outputs(states[:n], np.concatenate([ids[t, :live[t]] for t in range(lo, hi)]))
+            total += np.bincount(np.concatenate([owner[t, :live[t]] for t in range(lo, hi)]), out, len(docs))
         return total
 
 
@@ -278,25 +342,21 @@ class Lexicon:
     def model_counts(self) -> np.ndarray:
         return np.concatenate([[max(1, self.other_tokens), max(1, self.ends)], self.counts[:MODEL_WORDS]]).astype(np.float64)
 
-    def index(self) -> dict:
-        if not hasattr(self, "_index"):
-            class Index(dict):
-                def __missing__(self, word):
-                    return -1
-            self._index = Index(zip(self.words, range(len(self.words)), strict=True))
-        return self._index
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Each word's place in the table, or -1."""
+        if not hasattr(self, "_table"):
+            self._table = pa.array(self.words, pa.binary())
+        return pc.index_in(words, value_set=self._table).fill_null(-1).to_numpy()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_index"}
+        return {k: v for k, v in self.__dict__.items() if k != "_table"}
 
-    def ids(self, text: str | None) -> tuple[list[bytes], np.ndarray]:
-        """(words, places in the table or -1)."""
-        words = words_of(text)
-        return words, np.fromiter(map(self.index().__getitem__, words), np.int64, len(words))
-
-    def model_ids(self, at: np.ndarray) -> np.ndarray:
-        """Model symbols of a document with its end."""
-        return np.append(np.where((at >= 0) & (at < MODEL_WORDS), at + 2, _OTHER), _END).astype(np.int32)
+    def model_ids(self, at: np.ndarray, text: np.ndarray, n: int) -> list[np.ndarray]:
+        """Model symbols of n texts, each with its end, from its words' places."""
+        size = np.bincount(text, minlength=n) + 1
+        out = np.full(len(at) + n, _END, np.int32)
+        out[np.arange(len(at)) + text] = np.where((at >= 0) & (at < MODEL_WORDS), at + 2, _OTHER)
+        return np.split(out, np.cumsum(size)[:-1]) if n else []
 
     def spelling(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of each word's letters, given that it is one never seen."""
@@ -312,19 +372,22 @@ class Lexicon:
 
 
 def _count(batches):
-    held: Counter = Counter()
+    held, size = [], 0
 
     def rows():
-        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+        found = pc.value_counts(pa.chunked_array(held))
         held.clear()
-        return out
+        return pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "c"])
 
     for batch in batches:
-        for text in batch.column(0):
-            held.update(words_of(text.as_py()))
-            if len(held) > 400_000:
+        for piece in _pieces(batch.column(0)):
+            words, _ = _words(piece)
+            held.append(words)
+            size += words.nbytes
+            if size > COUNTED_BYTES:
                 yield rows()
-    if held:
+                size = 0
+    if size:
         yield rows()
 
 
@@ -341,7 +404,11 @@ def _fit(box, weights, side: int, rate: float):
     def run(batches):
         _keep_memory()
         lexicon = box.value
-        docs = [lexicon.model_ids(lexicon.ids(t.as_py())[1]) for batch in batches for t in batch.column(0)]
+        docs = []
+        for batch in batches:
+            for piece in _pieces(batch.column(0)):
+                words, text = _words(piece)
+                docs += lexicon.model_ids(lexicon.places(words), text, len(piece))
         if docs:
             net = Network(lexicon.model_counts())
             if weights is not None:
@@ -406,30 +473,49 @@ def _score(box):
         known = lexicon.counts.astype(np.float64)
         log_count = np.append(np.log10(known + 1), 0.0)
         other = np.append(lexicon.share_of_other(known), 0.0)
+        other[:MODEL_WORDS] = 0.0
         base_all = math.log10(lexicon.tokens + lexicon.kinds + 1)
         end = math.log10(lexicon.ends + 1) - base_all
         for batch in batches:
-            uids, ids = batch.column(0).to_numpy(), batch.column(1)
-            symbols, stats, rare = [], [], []
-            for i, text in enumerate(batch.column(2)):
-                words, at = lexicon.ids(text.as_py())
-                symbols.append(lexicon.model_ids(at))
-                stats.append((len(words) + 1, int((at >= 0).sum()) + (lexicon.ends > 0), log_count[at].sum() - base_all * len(words) + end, other[at[at >= MODEL_WORDS]].sum()))
-                found = Counter([words[j] for j in np.flatnonzero(at < 0)])
-                rare += zip([uids[i]] * len(found), found, found.values(), lexicon.spelling(list(found)).tolist(), strict=True)
-            score = net.log_probabilities(symbols) / LN10
-            n = len(stats)
+            symbols, stats, first = [], [], 0
+            for piece in _pieces(batch.column(2)):
+                words, text = _words(piece)
+                n, at = len(piece), lexicon.places(words)
+                uids, learned = (batch.column(c).slice(first, n).to_numpy(zero_copy_only=False) for c in (0, 3))
+                first += n
+                symbols += lexicon.model_ids(at, text, n)
+                size = np.bincount(text, minlength=n)
+                stats.append((size + 1, np.bincount(text[at >= 0], minlength=n) + (lexicon.ends > 0), np.bincount(text, log_count[at], n) - base_all * size + end, np.bincount(text, other[at], n)))
+                yield from _rare_rows(lexicon, words.filter(pa.array(at < 0)), text[at < 0], uids, learned)
+            if not symbols:
+                continue
+            size, seen, base, share = (np.concatenate(x) for x in zip(*stats, strict=True))
+            score = net.log_probabilities(symbols) / LN10 + share
+            n = len(size)
             yield pa.RecordBatch.from_arrays([
-                pa.array(uids), ids.cast(pa.int64()), pa.array([b" %d" % u for u in uids], pa.binary()), pa.array(np.zeros(n, np.int64)), pa.array([s[0] for s in stats], pa.int64()), pa.array([s[1] for s in stats], pa.int64()),
-                pa.array([s[2] for s in stats], pa.float64()), pa.array([x + s[3] for x, s in zip(score, stats, strict=True)], pa.float64()), pa.array(np.zeros(n, np.float32))], names=_NAMES)
-            for lo in range(0, len(rare), 100_000):
-                part = rare[lo:lo + 100_000]
-                m = len(part)
-                zero, none = pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.nulls(m, pa.int64()), pa.array([r[1] for r in part], pa.binary()), pa.array([r[2] for r in part], pa.int64()), zero, zero, none, none, pa.array([r[3] for r in part], pa.float32())], names=_NAMES)
+                batch.column(0), batch.column(1).cast(pa.int64()), pa.array([b" %d" % u for u in batch.column(0).to_pylist()], pa.binary()), pa.array(np.zeros(n, np.int64)), pa.array(size, pa.int64()), pa.array(seen, pa.int64()),
+                pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(np.zeros(n, np.float32))], names=_NAMES)
     return run
 
 
+def _rare_rows(lexicon: Lexicon, words: pa.Array, text: np.ndarray, uids: np.ndarray, learned: np.ndarray):
+    """A row for each text and word outside the table. Words of texts that were learned from are counted, so never spelled."""
+    if not len(words):
+        return
+    coded = words.dictionary_encode()
+    kinds = len(coded.dictionary)
+    key, tf = np.unique(text * kinds + coded.indices.to_numpy(), return_counts=True)
+    text, code = np.divmod(key, kinds)
+    spelled = np.zeros(kinds, np.float32)
+    unsure = np.unique(code[~learned[text]])
+    spelled[unsure] = lexicon.spelling(coded.dictionary.take(pa.array(unsure)).to_pylist())
+    for lo in range(0, len(key), 100_000):
+        part = slice(lo, lo + 100_000)
+        m = len(key[part])
+        zero, none = pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m))
+        yield pa.RecordBatch.from_arrays([pa.array(uids[text[part]]), pa.nulls(m, pa.int64()), coded.dictionary.take(pa.array(code[part])), pa.array(tf[part], pa.int64()), zero, zero, none, none, pa.array(spelled[code[part]])], names=_NAMES)
+
+
 _NAMES = ["uid", "doc_id", "word", "tf", "n_tokens", "n_known", "base", "score", "spelled"]
 
 
@@ -484,7 +570,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     net = fit(train.select(F.col("doc_id").alias("id"), "text"), lex, n_docs)
     box = spark.sparkContext.broadcast((net, lex))
     # a row's own number joins its parts again; it is the same when a lost task reads the same part of the input
-    rows = frame.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(_score(box), "uid long, doc_id long, word binary, tf long, n_tokens long, n_known long, base double, score double, spelled float")
+    rows = frame.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", F.expr("not held_out and doc_id is not null").alias("learned")).mapInArrow(_score(box), "uid long, doc_id long, word binary, tf long, n_tokens long, n_known long, base double, score double, spelled float")
     joined = rows.join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
     unseen = max(DISCOUNT * lex.other_kinds, DISCOUNT)

@@ -218,6 +218,84 @@ def test_lm_gradient_and_learning():
     assert net.log_probabilities(docs)[0] > before / 2
 
 
+def plain_lm(net, ids, fresh):
+    """Log probability of each id of one stream, by the formulas of the unit and of the two softmaxes, in doubles."""
+    w, u = {k: v.astype(float) for k, v in net.w.items()}, lm.HIDDEN
+    sigmoid, log_softmax = (lambda x: 1 / (1 + np.exp(-x))), (lambda x: x - np.log(np.exp(x - x.max()).sum()) - x.max())
+    h, before, out = np.zeros(u), 1, []
+    for y, new in zip(ids, fresh, strict=True):
+        h, before = (np.zeros(u), 1) if new else (h, before)
+        p, q = w["E"][before] @ w["X"] + w["b"], h @ w["U"]
+        keep, reset = sigmoid(p[:u] + q[:u]), sigmoid(p[u:2 * u] + q[u:2 * u])
+        h = keep * h + (1 - keep) * np.tanh(p[2 * u:] + reset * q[2 * u:])
+        m = net.members[net.cls[y]]
+        out.append(log_softmax(h @ w["C"] + w["c"])[net.cls[y]] + log_softmax(w["W"][m] @ h + w["v"][m])[net.place[y]])
+        before = y
+    return np.array(out)
+
+
+def test_lm_is_its_formula():
+    rng = np.random.default_rng(4)
+    net = lm.Network(np.sort(rng.integers(1, 900, 130))[::-1].astype(float), seed=3)
+    for far in (1, 40):  # logits far from 0 too
+        net.w["W"] *= np.float32(far)
+        docs = [np.append(rng.integers(2, 130, n), 1).astype(np.int32) for n in (0, 1, 30, 70, 5)]
+        want = [plain_lm(net, d, np.arange(len(d)) == 0).sum() for d in docs]
+        assert np.allclose(net.log_probabilities(docs, 2, 8), want, rtol=1e-4)
+
+
+def test_lm_trains_along_the_gradient():
+    rng = np.random.default_rng(5)
+    net = lm.Network(np.sort(rng.integers(1, 900, 130))[::-1].astype(float), seed=3)
+    ids, fresh = rng.zipf(1.5, (lm.STEPS, 3)).clip(1, 129).astype(np.int32), rng.random((lm.STEPS, 3)) < 0.2
+    fresh[0] = True
+    loss = lambda: -np.mean([plain_lm(net, ids[:, s], fresh[:, s]) for s in range(3)])
+    first = {k: v.astype(float) for k, v in net.w.items()}
+    net.train(ids, fresh, rate=1e-3)
+    moved = {k: v - first[k] for k, v in net.w.items()}  # the first update of a weight is the rate, against its gradient's sign
+    checked = 0
+    for k, w in first.items():
+        net.w = {n: v.copy() for n, v in first.items()}
+        for at in rng.choice(w.size, min(w.size, 25), replace=False):
+            flat = net.w[k].ravel()
+            sides = []
+            for eps in (1e-4, -1e-4):
+                flat[at] = w.flat[at] + eps
+                sides.append(loss())
+            flat[at] = w.flat[at]
+            slope = (sides[0] - sides[1]) / 2e-4
+            if abs(slope) > 1e-4:
+                checked += 1
+                assert moved[k].flat[at] * slope < 0 and math.isclose(abs(moved[k].flat[at]), 1e-3, rel_tol=0.05), (k, at)
+    assert checked > 80
+
+
+def test_lm_words_of_slices(monkeypatch):
+    texts = [None, "", "  \n\t ", " Ab  C\x0b\x0cD\x1c\x1dE\x85f g\xa0\u00c9 I\u0130 x ", "".join("a" + chr(c) for c in range(0x2100)), "x", "日本 🙂", "a" * 90]
+    want = [[w.encode() for w in re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] for t in texts]
+    for most in (16, 1 << 20):
+        monkeypatch.setattr(lm, "SLICE_TEXT", most)
+        got = []
+        for piece in lm._pieces(pa.array([*texts, "cut"]).slice(0, len(texts))):
+            words, text = lm._words(piece)
+            got += [[w for w, t in zip(words.to_pylist(), text.tolist(), strict=True) if t == i] for i in range(len(piece))]
+        assert got == want
+
+
+def test_lm_spells_only_words_of_texts_not_learned_from(monkeypatch):
+    spelt = []
+    spelling = lm.Lexicon.spelling
+    monkeypatch.setattr(lm.Lexicon, "spelling", lambda self, words: spelt.extend(words) or spelling(self, words))
+    lexicon = lm.Lexicon([b"a", b"b"], np.array([3, 2]), 9, 6, 2)
+    box = type("Box", (), {"value": (lm.Network(lexicon.model_counts()), lexicon)})()
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array([1, 2, None], pa.int64()), pa.array(["a rare rare Once", "b new a RARE new", None]), pa.array([True, False, False])], names=["uid", "doc_id", "text", "learned"])
+    rows = [r for out in lm._score(box)([batch]) for r in out.to_pylist()]
+    assert sorted(spelt) == [b"new", b"rare"]
+    assert sorted((r["uid"], r["word"], r["tf"]) for r in rows if r["tf"]) == [(7, b"once", 1), (7, b"rare", 2), (8, b"new", 2), (8, b"rare", 1)]
+    assert [(r["uid"], r["doc_id"], r["n_tokens"], r["n_known"]) for r in rows if not r["tf"]] == [(7, 1, 5, 2), (8, 2, 6, 3), (9, None, 1, 1)]
+    assert all(r["spelled"] < 0 for r in rows if r["word"] in spelt and r["uid"] == 8)
+
+
 def test_lm_sums_rows_by_symbol():
     rng = np.random.default_rng(2)
     for n, m in ((1, 1), (5, 300), (70_000, 900), (40, 40)):
