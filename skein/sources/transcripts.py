@@ -360,3 +360,14 @@ def calls_and_results(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = entries.select(key, "entry_id", "line_no", "timestamp", F.explode("tool_calls").alias("c")).select("session_key", "entry_id", "line_no", F.col("c.ordinal"), F.col("c.id").alias("call_id"), F.col("c.tool_name"), F.col("c.command"), F.col("c.files_json"), "timestamp", F.lit("").alias("project_key"))
     results = entries.select(key, "line_no", F.explode("tool_results").alias("r")).select("session_key", "line_no", F.col("r.ordinal"), F.col("r.for_id"), F.col("r.is_error"), F.col("r.outcome_text"), F.col("r.exit_code"))
     return calls, results
+
+
+def calls_with_results(entries: DataFrame) -> DataFrame:
+    """The calls and results of calls_and_results as one table, for operators.pairing.paired: entries are read once."""
+    none = lambda kind: F.lit(None).cast(kind)
+    calls = F.transform("tool_calls", lambda c: F.struct(c.alias("c"), none(_RESULT).alias("r")))
+    results = F.transform("tool_results", lambda r: F.struct(none(_CALL).alias("c"), r.alias("r")))
+    key, c, r = F.concat_ws("/", "path", "source_session_id").alias("session_key"), F.col("x.c"), F.col("x.r")
+    steps = entries.select(key, "entry_id", "line_no", "timestamp", F.explode(F.concat(calls, results)).alias("x"))
+    return steps.select("session_key", "entry_id", "line_no", "timestamp", F.lit("").alias("project_key"), c.isNotNull().alias("is_call"), F.coalesce(c["ordinal"], r["ordinal"]).alias("ordinal"), F.coalesce(c["id"], r["for_id"]).alias("call_id"),
+                        c["tool_name"].alias("tool_name"), c["command"].alias("command"), c["files_json"].alias("files_json"), r["is_error"].alias("is_error"), r["outcome_text"].alias("outcome_text"), r["exit_code"].alias("exit_code"))
