@@ -117,13 +117,15 @@ def _may_match(name: str, text: Column) -> Column:
 def redact(text: Column, extras: list[tuple[str, str]] = ()) -> Column:
     """text with every secret replaced by [REDACTED:name]; later patterns see what earlier ones left.
 
-    A pattern runs only over texts that hold its literal.
+    A pattern runs only over texts that hold its literal, and none over texts that hold no literal at all.
     """
+    steps = _steps(extras)
+
     def step(c: Column, s: tuple[str, str]) -> Column:
         name, pattern = s
         return _with(c, lambda t: F.when(_may_match(name, t), F.regexp_replace(t, F.lit(java(pattern)), F.lit(marker(name)))).otherwise(t))
 
-    return reduce(step, _steps(extras), text)
+    return _with(text, lambda t: F.when(reduce(lambda x, y: x | y, [_may_match(name, t) for name, _ in steps]), reduce(step, steps, t)).otherwise(t))
 
 
 def cleaned(text: Column, extras: list[tuple[str, str]] = ()) -> Column:
@@ -167,22 +169,22 @@ CHANGED_FOLDER = r"^\s*(?:[A-Za-z_][A-Za-z0-9_]*=\S+\s+)*cd\s+\S+\s+&&\s*(.+)$"
 def command_family(tool: Column, command: Column) -> Column:
     """Program and up to two leading subcommands of a shell command; the tool's name where there is none."""
     def fields_of(safe: Column) -> Column:
-        inner = F.regexp_extract(safe, java(CHANGED_FOLDER), 1)
-        body = F.when(inner != "", inner).otherwise(safe)
+        body = _with(F.regexp_extract(safe, java(CHANGED_FOLDER), 1), lambda inner: F.when(inner != "", inner).otherwise(safe))
         body = F.substring_index(F.regexp_extract(body, r"^[^\n|;]*", 0), " & ", 1)
         return F.filter(F.split(body, r"[ \t-\r]+"), lambda f: f != "")
 
-    def family(fields: Column) -> Column:
-        # leading assignments go; F.aggregate finds how many
-        assigned = lambda f: f.contains("=") & ~f.startswith("=")
-        skip = F.aggregate(fields, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda s, f: F.struct((s["n"] + F.when(s["go"] & assigned(f), 1).otherwise(0)).alias("n"), (s["go"] & assigned(f)).alias("go")))["n"]
-        rest = F.slice(fields, skip + 1, F.greatest(F.size(fields) - skip, F.lit(0)))
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(True).alias("go"))
-        taken = F.aggregate(F.slice(rest, 2, 2), start, lambda s, f: F.when(s["go"] & ~f.startswith("-") & ~f.rlike("[/=$]"), F.struct(F.concat(s["out"], F.array(f)).alias("out"), F.lit(True).alias("go"))).otherwise(F.struct(s["out"].alias("out"), F.lit(False).alias("go"))))["out"]
-        return F.when(F.size(rest) > 0, F.array_join(F.concat(F.slice(rest, 1, 1), taken), " "))
+    def unassigned(fields: Column) -> Column:
+        # leading assignments go
+        first = F.array_position(F.transform(fields, lambda f: ~f.contains("=") | f.startswith("=")), True)
+        return _with(first, lambda n: F.when(n > 0, F.slice(fields, n.cast("int"), F.size(fields))))
+
+    def family(rest: Column) -> Column:
+        plain = lambda f: ~f.startswith("-") & ~f.contains("/") & ~f.contains("=") & ~f.contains("$")
+        program, second, third = (F.get(rest, F.lit(i)) for i in range(3))
+        return F.when(rest.isNotNull(), F.concat_ws(" ", program, F.when(plain(second), second), F.when(plain(second) & plain(third), third)))
 
     name = _trim(F.coalesce(tool, F.lit("")))
-    return F.coalesce(_with(_with(redact(_trim(F.coalesce(command, F.lit("")))), fields_of), family), name)
+    return F.coalesce(_with(_with(_with(redact(_trim(F.coalesce(command, F.lit("")))), fields_of), unassigned), family), name)
 
 
 # -- the same in SQL, for engines whose regular expressions are RE2 ----------------------------------------------

@@ -60,9 +60,23 @@ def parsed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("v", F.try_parse_json("raw"))
 
 
+def objects(rows: DataFrame) -> DataFrame:
+    """As parsed, the lines that are JSON objects: what was parsed is one if it begins as one."""
+    return parsed(rows).where(F.col("v").isNotNull() & _braced())
+
+
+def _braced() -> Column:
+    return F.col("raw").startswith("{") | F.col("raw").rlike(r"^[ \t\r\n]+\{")
+
+
 def diagnostics(rows: DataFrame) -> DataFrame:
     """(path, line_no) of lines that are not JSON objects."""
-    return parsed(rows).where("v is null or not schema_of_variant(v) like 'OBJECT%'").select("path", "line_no")
+    return parsed(rows).where(F.col("v").isNull() | ~_braced()).select("path", "line_no")
+
+
+def _once(value: Column, make) -> Column:
+    """make(value), with value computed once: the one element of an array is its own variable."""
+    return F.element_at(F.transform(F.array(value), make), 1)
 
 
 def _get(v: Column, path: str, kind: str = "string") -> Column:
@@ -99,11 +113,17 @@ def _number(v: Column, path: str) -> Column:
 
 def _blocks(at: Column) -> Column:
     """Content as an array of blocks; a plain string is one block."""
-    return F.when(_kind(at).startswith("ARRAY"), at.cast("array<variant>")).when(_kind(at) == "VOID", F.array().cast("array<variant>")).otherwise(F.array(at))
+    return F.coalesce(at.try_cast("array<variant>"), F.when(at.isNull() | F.is_variant_null(at), F.array().cast("array<variant>")).otherwise(F.array(at)))
 
 
 _RESULT_KINDS, _CALL_KINDS, _IMAGE_KINDS = ("tool_result", "toolResult"), ("tool_use", "toolCall"), ("image", "image_url")
 _ITEM = "struct<v: variant, done: boolean, place: int>"
+_FEW_STEPS = 4  # what a list of results with lists of texts takes
+
+
+def _is(v: Column, *kinds: str) -> Column:
+    """Whether a block is of one of the kinds."""
+    return F.coalesce(_get(v, "type").isin(*kinds), F.lit(False))
 
 
 def content_items(at: Column) -> Column:
@@ -117,23 +137,25 @@ def content_items(at: Column) -> Column:
 
     def opened(x: Column) -> Column:
         inner = F.try_variant_get(x["v"], "$.content", "variant")
-        result = _text(x["v"], "type").isin(*_RESULT_KINDS) & inner.isNotNull()
         whole = F.array(item(x["v"], True, x["place"]))
+        # null for all but arrays
         each = F.transform(x["v"].try_cast("array<variant>"), lambda v, i: item(v, False, i))
-        return (F.when(x["done"], F.array(x)).when(_kind(x["v"]).startswith("ARRAY"), each)
-                .when(result, F.concat(F.array(item(inner, False, x["place"])), whole)).otherwise(whole).cast(f"array<{_ITEM}>"))
+        result = F.when(_is(x["v"], *_RESULT_KINDS) & inner.isNotNull(), F.concat(F.array(item(inner, False, x["place"])), whole))
+        return F.when(x["done"], F.array(x)).otherwise(F.coalesce(each, result, whole)).cast(f"array<{_ITEM}>")
 
     def step(state: Column, _: Column) -> Column:
         following = F.flatten(F.transform(state["items"], opened))
         # the items are a variable, so that they are computed once
-        moved = F.element_at(F.transform(F.array(following), lambda items: F.struct(items.alias("items"), F.exists(items, lambda x: ~x["done"]).alias("open"))), 1)
+        moved = _once(following, lambda items: F.struct(items.alias("items"), F.exists(items, lambda x: ~x["done"]).alias("open")))
         return F.when(state["open"], moved).otherwise(state)
 
     text = F.coalesce(F.to_json(at), F.lit(""))
     most = 2 + F.octet_length(text) - F.octet_length(F.replace(text, F.lit("["))) + F.regexp_count(text, F.lit('"content"'))
     first = F.array(item(at, False, F.lit(0))).cast(f"array<{_ITEM}>")
-    done = F.aggregate(F.sequence(F.lit(1), most), F.struct(first.alias("items"), F.lit(True).alias("open")), step)
-    return F.when(_kind(at) == "VOID", F.array().cast(f"array<{_ITEM}>")).otherwise(done["items"])
+    few = F.aggregate(F.array(*map(F.lit, range(_FEW_STEPS))), F.struct(first.alias("items"), F.lit(True).alias("open")), step)
+    # the text is written out only for what is still open then
+    done = _once(few, lambda state: F.when(state["open"], F.aggregate(F.sequence(F.lit(1), most), state, step)).otherwise(state))
+    return F.when(at.isNull() | F.is_variant_null(at), F.array().cast(f"array<{_ITEM}>")).otherwise(done["items"])
 
 
 def items_text(items: Column) -> Column:
@@ -148,12 +170,14 @@ def content_text(at: Column) -> Column:
 
 
 def _of_type(items: Column, *kinds: str) -> Column:
-    return F.transform(F.filter(items, lambda x: _text(x["v"], "type").isin(*kinds)), lambda x: x["v"])
+    return F.transform(F.filter(items, lambda x: _is(x["v"], *kinds)), lambda x: x["v"])
 
 
 def items_calls(items: Column) -> Column:
     def call(b: Column, i: Column) -> Column:
-        given = F.coalesce(F.try_variant_get(b, "$.input", "variant"), F.try_variant_get(b, "$.arguments", "variant"))
+        return _once(F.coalesce(F.try_variant_get(b, "$.input", "variant"), F.try_variant_get(b, "$.arguments", "variant")), lambda given: told(b, i, given))
+
+    def told(b: Column, i: Column, given: Column) -> Column:
         return F.struct(_text(b, "id").alias("id"), _first(_text(b, "name"), _text(b, "toolName")).alias("tool_name"), _first(_text(given, "command"), _text(given, "cmd"), _text(b, "command")).alias("command"), F.coalesce(F.to_json(given), F.lit("")).alias("files_json"), i.alias("ordinal")).cast(_CALL)
     return F.transform(_of_type(items, *_CALL_KINDS), call)
 
@@ -170,9 +194,10 @@ def _result_text(at: Column) -> Column:
 
 def items_results(items: Column) -> Column:
     def result(b: Column, i: Column) -> Column:
+        text = _once(F.try_variant_get(b, "$.content", "variant"), _result_text)
         code = F.coalesce(_get(b, "exit_code", "bigint"), _get(b, "exitCode", "bigint"))
         error = F.coalesce(_truth(b, "is_error"), F.lit(False)) | F.coalesce(_truth(b, "isError"), F.lit(False)) | F.coalesce(code != 0, F.lit(False))
-        return F.struct(_first(_text(b, "tool_use_id"), _text(b, "toolCallId")).alias("for_id"), error.alias("is_error"), truncated_utf8(_result_text(F.try_variant_get(b, "$.content", "variant")), OUTCOME_BYTES).alias("outcome_text"), code.alias("exit_code"), i.alias("ordinal")).cast(_RESULT)
+        return F.struct(_first(_text(b, "tool_use_id"), _text(b, "toolCallId")).alias("for_id"), error.alias("is_error"), _once(text, lambda t: truncated_utf8(t, OUTCOME_BYTES)).alias("outcome_text"), code.alias("exit_code"), i.alias("ordinal")).cast(_RESULT)
     return F.transform(_of_type(items, *_RESULT_KINDS), result)
 
 
@@ -222,14 +247,15 @@ def _finish(rows: DataFrame, **columns: Column) -> DataFrame:
 
 def generic_entries(rows: DataFrame) -> DataFrame:
     """Entries of the common shape (pi, claude-code, older codex)."""
-    v, m = F.col("v"), F.try_variant_get("v", "$.message", "variant")
-    rows = parsed(rows).where("v is not null and schema_of_variant(v) like 'OBJECT%'")
+    v, m, kind, found = (F.col(c) for c in ("v", "m", "kind", "found"))
+    # lines that are no objects say nothing and go behind the window: a filter before it would parse each line once more
+    rows = parsed(rows).withColumn("object", v.isNotNull() & _braced()).withColumn("m", F.try_variant_get("v", "$.message", "variant"))
     at = F.coalesce(F.try_variant_get(v, "$.message.content", "variant"), F.try_variant_get(v, "$.content", "variant"))
     # a column of its own, since texts, calls and results are taken from it
-    rows = rows.withColumn("items", content_items(at))
-    kind, text = _text(v, "type"), items_text(F.col("items"))
+    rows = rows.withColumn("items", content_items(at)).withColumn("kind", _text(v, "type")).withColumn("found", _first(_text(v, "id"), _text(v, "uuid"), _text(m, "id"), _text(m, "uuid")))
+    text = items_text(F.col("items"))
     role = _first(_text(m, "role"), _text(v, "role"))
-    calls, results = items_calls(F.col("items")), items_results(F.col("items"))
+    calls, results = items_calls(F.col("items")), F.col("tool_results")
     shown = _first(_text(v, "role"), _text(m, "role"), kind)
     alone = F.struct(_first(_text(m, "toolCallId"), _text(m, "tool_use_id"), _text(v, "toolCallId"), _text(v, "tool_use_id")).alias("for_id"),
                      (F.coalesce(_flag(m, "isError", "is_error"), F.lit(False)) | F.coalesce(_flag(v, "isError", "is_error"), F.lit(False)) | F.coalesce(F.coalesce(_get(m, "exit_code", "bigint"), _get(m, "exitCode", "bigint")) != 0, F.lit(False))).alias("is_error"),
@@ -241,13 +267,12 @@ def generic_entries(rows: DataFrame) -> DataFrame:
     summary = F.when((text == "") & (shown.isin("branchSummary", "compactionSummary") | kind.isin("summary", "compaction", "branch_summary")), _first(_text(v, "summary"), _text(v, "text"))).otherwise(text)
     usage = lambda n: _number(m, f"usage.{n}")
     # what a window follows is a column by then: a filter on the number of assets would make each of them once more
-    rows = rows.withColumn("tool_calls", calls).withColumn("tool_results", results).withColumn("assets", items_assets(F.col("items")))
+    rows = rows.withColumn("entry_id", _id_or_line(found)).withColumn("tool_calls", calls).withColumn("tool_results", items_results(F.col("items"))).withColumn("tool_results", results).withColumn("assets", items_assets(F.col("items")))
     # the header's id names the session; the first entry with a folder names it too
     file = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    found = _first(_text(v, "id"), _text(v, "uuid"), _text(m, "id"), _text(m, "uuid"))
-    rows = rows.withColumn("header", F.last(F.when((kind == "session") & (found != ""), found), ignorenulls=True).over(file)).withColumn("cwd", F.coalesce(F.first(F.nullif(_text(v, "cwd"), F.lit("")), ignorenulls=True).over(file), F.lit("")))
+    rows = rows.withColumn("header", F.last(F.when((kind == "session") & (found != ""), found), ignorenulls=True).over(file)).withColumn("cwd", F.coalesce(F.first(F.nullif(_text(v, "cwd"), F.lit("")), ignorenulls=True).over(file), F.lit(""))).where("object")
     return _finish(
-        rows, source_session_id=F.coalesce("header", "source_session_id"), entry_id=_id_or_line(found), parent_id=_first(_text(v, "parentId"), _text(v, "parent_id"), _text(v, "parentUuid")), entry_type=kind, timestamp=_text(v, "timestamp"),
+        rows, source_session_id=F.coalesce("header", "source_session_id"), parent_id=_first(_text(v, "parentId"), _text(v, "parent_id"), _text(v, "parentUuid")), entry_type=kind, timestamp=_text(v, "timestamp"),
         role=F.when((shown == "user") & (F.size(_of_type(F.col("items"), "tool_result")) > 0), "toolResult").otherwise(shown), text=summary, tool_name=_first(tool("tool_name"), _text(v, "toolName"), _text(m, "toolName")), command=tool("command"), files_json=tool("files_json"),
         model=_first(_text(m, "model"), F.when(kind == "model_change", _text(v, "modelId")).otherwise(""), _text(v, "model")), provider=F.when(kind == "model_change", _text(v, "provider")).otherwise(""),
         tokens=usage("input_tokens") + usage("output_tokens") + usage("cache_creation_input_tokens") + usage("cache_read_input_tokens"), cache_read_tokens=usage("cache_read_input_tokens"), cache_write_tokens=usage("cache_creation_input_tokens"), reasoning_tokens=usage("reasoning_output_tokens") + usage("reasoning_tokens"),
@@ -269,7 +294,7 @@ def is_modern_codex(rows: DataFrame) -> DataFrame:
 
 def codex_entries(rows: DataFrame) -> DataFrame:
     """Entries of enveloped codex lines; model and provider carry forward from the latest header or turn."""
-    rows = parsed(rows).where("v is not null and schema_of_variant(v) like 'OBJECT%'").withColumn("p", F.try_variant_get("v", "$.payload", "variant"))
+    rows = objects(rows).withColumn("p", F.try_variant_get("v", "$.payload", "variant"))
     v, p, at = F.col("v"), F.col("p"), F.try_variant_get("p", "$.content", "variant")
     outer, kind = _text(v, "type"), _text(p, "type")
     sets = outer.isin("session_meta", "turn_context")
@@ -309,7 +334,7 @@ def codex_entries(rows: DataFrame) -> DataFrame:
 
 def opencode_entries(rows: DataFrame) -> DataFrame:
     """Entries of exported database rows: a session line, then a message with its parts on each line."""
-    rows = parsed(rows).where("v is not null and schema_of_variant(v) like 'OBJECT%'")
+    rows = objects(rows)
     inner = lambda x: F.coalesce(F.try_variant_get(x, "$.data", "variant"), x)
     rows = rows.withColumn("d", inner(F.try_variant_get("v", "$.row", "variant")))
     v, d = F.col("v"), F.col("d")

@@ -56,7 +56,14 @@ def test_calls_and_results_of_one_reading(spark):
 
 def test_a_line_is_parsed_once(spark, tmp_path):
     spark.sql("select id event_id, timestamp_seconds(id) ts, id % 4 user_id, 'error' event_type, 1d value, '{}' props from range(40)").write.parquet(f"{tmp_path}/events.parquet")
-    plan = catalog.ingest_invocations(spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
-    assert plan.count("FileScan parquet") == 1
+    plan = catalog.ingest_invocations(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("parseJson") == 1
     # rows with the key of a pair are brought together once, behind the lines of a file
-    assert catalog.ingest_invocations(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_lines_that_are_no_objects_say_nothing(spark):
+    raws = ['{"type": "session", "id": "head", "cwd": "/w"}', '[{"type": "session", "id": "no", "cwd": "/no"}]', ' \t{"uuid": "a", "content": "one"}', "null", '"session"', "{broken", "3", None]
+    lines = spark.createDataFrame([("p", "s", False, n, raw) for n, raw in enumerate(raws)], "path string, source_session_id string, is_subagent boolean, line_no int, raw string")
+    assert {(r.line_no, r.source_session_id, r.cwd, r.text) for r in T.generic_entries(lines).collect()} == {(0, "head", "/w", ""), (2, "head", "/w", "one")}
+    assert {r.line_no for r in T.diagnostics(lines).collect()} == {1, 3, 4, 5, 6, 7}
